@@ -2,9 +2,9 @@
 
 A query's features are counts over its tokens. "Shallow" counts cover one
 scope; "deep" counts cover a scope and every scope nested in it. Scopes nest
-as position ranges, so the deep rollup is a range self-join of per-scope
-counts on the query key (a handful of scopes per query) followed by a sum.
-Both sides stay hash-partitioned by the query key, so no exchange is added.
+as position ranges; the deep rollup pairs each scope with the scopes opened
+inside its range, generated from the (few) scopes of one query, then sums.
+Everything stays hash-partitioned by the query key, so no exchange is added.
 """
 
 from __future__ import annotations
@@ -31,8 +31,9 @@ def _keys(key):
 def scope_stats(tokens: DataFrame, key="datapoint_id") -> DataFrame:
     """Shallow counts per (query, scope): operators, clauses, set operators, variables.
 
-    Also the select-item count of branch 0, the shallow WHERE condition count and
-    the position range [lo, hi] of the scope (lo = -1 for the root).
+    Also the select-item count of branch 0, the shallow WHERE condition count, the
+    position range [scope, hi] of the scope (scope = -1 for the root) and the Q32
+    validity signals, so one aggregate over the tokens feeds everything downstream.
     """
     keys = _keys(key)
     is33 = F.col("op").isin(OP_NAMES)
@@ -47,27 +48,43 @@ def scope_stats(tokens: DataFrame, key="datapoint_id") -> DataFrame:
                       & (F.col("branch") == 0), 1).otherwise(0)) + 1).alias("select_items"),
         F.sum(F.when(is33 & (F.col("clause") == "where"), 1).otherwise(0)).alias("where_ops"),
         F.max(F.col("depth")).alias("depth"),
-        F.max("pos").alias("hi"),
     ]
+    aggs += sqltokens.signal_aggs()
     return tokens.groupBy(*keys, "scope").agg(*aggs)
 
 
+SCOPE_FIELDS = COUNT_COLS + ["depth", "hi"]
+
+
 def deep_stats(stats: DataFrame, key="datapoint_id") -> DataFrame:
-    """Deep counts per scope: the scope plus all scopes whose opener lies in its range.
+    """Deep counts per scope (the scope plus every scope whose opener lies in its range).
 
-    Adds N (nested scopes below), sql_query_depth (max relative depth) and keeps the
+    The few scopes of a query are gathered into one array per query (bounded by the
+    query's length), and the (scope, nested scope) pairs are generated locally from
+    it: no join, no exchange, and the token pipeline runs once. Adds N (nested
+    scopes), sql_query_depth (max relative depth), the query's parse_error and the
     shallow SO / select_items / where_ops / W as ``sh_*`` columns.
     """
     keys = _keys(key)
-    anc = stats.select(*keys, F.col("scope").alias("a_scope"), F.col("depth").alias("a_depth"),
-                       F.col("hi").alias("a_hi"), F.col("SO").alias("sh_SO"),
-                       F.col("select_items").alias("sh_select_items"), F.col("where_ops").alias("sh_where_ops"),
-                       F.col("W").alias("sh_W"))
-    pairs = anc.join(stats, keys).where((F.col("scope") >= F.col("a_scope")) & (F.col("scope") <= F.col("a_hi")))
-    aggs = [F.sum(c).alias(c) for c in COUNT_COLS]
-    aggs += [(F.count(F.lit(1)) - 1).alias("N"), (F.max("depth") - F.first("a_depth")).alias("sql_query_depth")]
-    return pairs.groupBy(*keys, "a_scope", "a_depth", "sh_SO", "sh_select_items", "sh_where_ops", "sh_W") \
-        .agg(*aggs).withColumnRenamed("a_scope", "scope").withColumnRenamed("a_depth", "depth")
+    fields = ["scope"] + SCOPE_FIELDS + ["select_items", "where_ops"]
+    per_query = stats.groupBy(*keys).agg(F.collect_list(F.struct(*fields)).alias("scopes"), *_query_signal_aggs())
+    per_query = per_query.withColumn("parse_error", sqltokens.parse_error_expr())
+    a = F.col("a")
+    pairs = per_query.select(*keys, "parse_error", F.explode("scopes").alias("a"), "scopes").select(
+        *keys, "parse_error", "a",
+        F.explode(F.filter("scopes", lambda d: (d["scope"] >= a["scope"]) & (d["scope"] <= a["hi"]))).alias("d"))
+    aggs = [F.sum(F.col("d")[c]).alias(c) for c in COUNT_COLS]
+    aggs += [(F.count(F.lit(1)) - 1).alias("N"), F.max(F.col("d")["depth"]).alias("max_depth")]
+    g = pairs.groupBy(*keys, "parse_error", a["scope"].alias("scope"), a["depth"].alias("depth"),
+                      a["SO"].alias("sh_SO"), a["select_items"].alias("sh_select_items"),
+                      a["where_ops"].alias("sh_where_ops"), a["W"].alias("sh_W")).agg(*aggs)
+    return g.withColumn("sql_query_depth", F.col("max_depth") - F.col("depth")).drop("max_depth")
+
+
+def _query_signal_aggs():
+    return [F.min("min_p").alias("min_p"), F.max_by("last_p", "hi").alias("last_p"),
+            F.max("has_select").alias("has_select"), F.max("dup_distinct").alias("dup_distinct"),
+            F.max("dup_clause").alias("dup_clause"), F.max("nq").alias("nq")]
 
 
 def type_counts(df: DataFrame) -> list[Column]:
@@ -87,41 +104,47 @@ def feature_rows(datapoints: DataFrame, key: str = "datapoint_id", sql_col: str
                  ) -> DataFrame:
     """Q31: the queries frame, one row per query (current_depth -1) and per (sub)query at depth 0, 1, ...
 
-    A query that fails Q32 keeps only its -1 row with every feature null.
+    A query that fails Q32 keeps only its -1 row with every feature null. The plan is
+    one exchange (the SQL strings, hash-partitioned by the key) followed by windows,
+    aggregates and generates that all keep that partitioning.
     """
     keys = _keys(key)
     dp = datapoints.select(*keys, sql_col, *carry).repartition(*keys)
-    t = tokens if tokens is not None else sqltokens.token_relation(dp, keys, sql_col)
-    errs = sqltokens.parse_errors(dp, t, keys, sql_col)
+    t = tokens if tokens is not None else sqltokens.token_relation(dp, keys, sql_col, repartition=False)
     deep = deep_stats(scope_stats(t, keys), keys)
+    ok = F.col("parse_error").isNull()
+    deep = deep.where(ok | (F.col("scope") == -1))
     deep = deep.withColumn("subquery_no", F.row_number().over(
         Window.partitionBy(*[F.col(k) for k in keys], "depth").orderBy("scope")) - 1)
     deep = deep.select("*", *type_counts(deep))
     is_set = F.col("sh_SO") > 0
-    feats = deep.select(
-        *keys, F.col("depth").alias("current_depth"), "subquery_no",
-        category(STRUCT_ABBRS, "name").alias("structural_category_name"),
-        F.coalesce(F.nullif(category(TYPE_ABBRS, "name"), F.lit("")), F.lit("None"))
-        .alias("operatorTypes_category_name"),
-        category(STRUCT_ABBRS, "counter").alias("structural_category_counter"),
-        category(TYPE_ABBRS, "counter").alias("operatorTypes_category_counter"),
-        F.when(~is_set, F.col("sh_select_items")).cast("long").alias("select_columns"),
-        F.when(~is_set & (F.col("sh_W") > 0), F.col("sh_where_ops")).cast("long").alias("where_conditions"),
-        F.col("sql_query_depth").cast("long").alias("sql_query_depth"),
-        *[F.col(c).cast("long").alias(c) for c in OP_COLS + CLAUSE_ABBRS],
-        *[F.col(c).cast("long").alias(c) for c in ("columns", "tables", "values")],
-        F.col("SO").cast("long").alias("SO"), F.col("N").cast("long").alias("N"),
-        *[F.col(c).cast("long").alias(c) for c in TYPE_ABBRS],
+
+    def feat(c: Column, name: str) -> Column:
+        return F.when(ok, c).alias(name)
+
+    depth_rows = F.when(~ok, F.array(F.lit(-1))).when(F.col("depth") == 0, F.array(F.lit(-1), F.lit(0))) \
+        .otherwise(F.array(F.col("depth")))
+    rows = deep.select(
+        *keys, F.explode(depth_rows).alias("current_depth"), "subquery_no", "parse_error",
+        feat(category(STRUCT_ABBRS, "name"), "structural_category_name"),
+        feat(F.coalesce(F.nullif(category(TYPE_ABBRS, "name"), F.lit("")), F.lit("None")),
+             "operatorTypes_category_name"),
+        feat(category(STRUCT_ABBRS, "counter"), "structural_category_counter"),
+        feat(category(TYPE_ABBRS, "counter"), "operatorTypes_category_counter"),
+        feat(F.when(~is_set, F.col("sh_select_items")).cast("long"), "select_columns"),
+        feat(F.when(~is_set & (F.col("sh_W") > 0), F.col("sh_where_ops")).cast("long"), "where_conditions"),
+        feat(F.col("sql_query_depth").cast("long"), "sql_query_depth"),
+        *[feat(F.col(c).cast("long"), c) for c in OP_COLS + CLAUSE_ABBRS],
+        *[feat(F.col(c).cast("long"), c) for c in ("columns", "tables", "values", "SO", "N")],
+        *[feat(F.col(c).cast("long"), c) for c in TYPE_ABBRS],
     )
-    ok = errs.where(F.col("parse_error").isNull()).select(*keys)
-    feats = feats.join(ok, keys, "left_semi")
-    root = feats.where(F.col("current_depth") == 0).withColumn("current_depth", F.lit(-1))
-    feat_cols = [c for c in feats.columns if c not in keys + ["current_depth", "subquery_no"]]
-    failed = errs.where(F.col("parse_error").isNotNull()).select(
-        *keys, F.lit(-1).alias("current_depth"), F.lit(0).alias("subquery_no"))
-    rows = feats.unionByName(root).unionByName(failed, allowMissingColumns=True)
-    meta = dp.join(errs, keys, "left")
-    out = rows.join(meta, keys).withColumn(
-        sql_col, F.when(F.col("current_depth") == -1, F.col(sql_col)))
-    front = keys + ["current_depth", "subquery_no", sql_col, *carry, "parse_error"]
-    return out.select(*front, *feat_cols)
+    feat_cols = [c for c in rows.columns if c not in keys + ["current_depth", "subquery_no", "parse_error"]]
+    out = dp.join(rows, keys, "left")
+    no_rows = F.col("current_depth").isNull()  # a query without a single token
+    out = out.select(
+        *keys, F.coalesce("current_depth", F.lit(-1)).alias("current_depth"),
+        F.coalesce("subquery_no", F.lit(0)).alias("subquery_no"),
+        F.when(no_rows | (F.col("current_depth") == -1), F.col(sql_col)).alias(sql_col), *carry,
+        F.when(no_rows, F.lit("no select")).otherwise(F.col("parse_error")).alias("parse_error"),
+        *feat_cols)
+    return out

@@ -44,7 +44,9 @@ def tokenize(df: DataFrame, key: str | list[str] = "datapoint_id", sql_col: str
     src = df.select(*keys, sql_col)
     if repartition:
         src = src.repartition(*keys)
-    toks = src.select(*keys, F.posexplode(F.regexp_extract_all(F.col(sql_col), F.lit(vocab.TOKEN_PATTERN), 0))
+    nq = F.length(sql_col) - F.length(F.regexp_replace(sql_col, "'", ""))
+    toks = src.select(*keys, nq.alias("nq"),
+                      F.posexplode(F.regexp_extract_all(F.col(sql_col), F.lit(vocab.TOKEN_PATTERN), 0))
                       .alias("pos", "tok"))
     first = F.substring("tok", 1, 1)
     kind = (F.when(first == "'", "str")
@@ -56,7 +58,7 @@ def tokenize(df: DataFrame, key: str | list[str] = "datapoint_id", sql_col: str
     lt = (F.when(first == "'", F.col("tok"))
           .when(_isin(first, ['"', "`"]), F.lower(F.expr("substring(tok, 2, length(tok) - 2)")))
           .otherwise(F.lower("tok")))
-    return toks.select(*keys, "pos", "tok", lt.alias("lt"), kind.alias("kind"))
+    return toks.select(*keys, "pos", "tok", lt.alias("lt"), kind.alias("kind"), "nq")
 
 
 def structure(tokens: DataFrame, key: str | list[str] = "datapoint_id") -> DataFrame:
@@ -103,6 +105,12 @@ def structure(tokens: DataFrame, key: str | list[str] = "datapoint_id") -> DataF
     wb = Window.partitionBy(*kc, "scope", "branch").orderBy("pos").rowsBetween(Window.unboundedPreceding,
                                                                                Window.currentRow)
     t = t.withColumn("clause", F.last("clause_kw", ignorenulls=True).over(wb))
+    # a clause keyword seen before in the same (scope, branch): the query repeats a clause
+    seen = F.lit(0)
+    for name in CLAUSE_KEYWORDS.values():
+        seen = F.when(F.col("clause_kw") == name, F.sum((F.col("clause_kw") == name).cast("int")).over(wb)) \
+            .otherwise(seen)
+    t = t.withColumn("dup_clause", F.coalesce(seen, F.lit(0)) > 1)
     return t
 
 
@@ -174,40 +182,56 @@ def _roles(t: DataFrame, kc) -> DataFrame:
     return t.withColumn("role", role).drop("from_sep")
 
 
-def token_relation(df: DataFrame, key: str | list[str] = "datapoint_id", sql_col: str = "sql_query") -> DataFrame:
-    """Q1 + Q2 + operator names + roles in one relation (see module docstring)."""
+def token_relation(df: DataFrame, key: str | list[str] = "datapoint_id", sql_col: str = "sql_query",
+                   repartition: bool = True) -> DataFrame:
+    """Q1 + Q2 + operator names + roles in one relation (see module docstring).
+
+    Pass ``repartition=False`` when ``df`` is already hash-partitioned by the key.
+    """
     keys = [key] if isinstance(key, str) else list(key)
     kc = [F.col(k) for k in keys]
-    t = structure(tokenize(df, keys, sql_col), keys)
+    t = structure(tokenize(df, keys, sql_col, repartition), keys)
     t = _operator(t, kc)
     t = _roles(t, kc)
     return t
 
 
-def parse_errors(df: DataFrame, tokens: DataFrame, key: str | list[str] = "datapoint_id",
-                 sql_col: str = "sql_query") -> DataFrame:
-    """Q32: (key..., parse_error) for queries the feature model cannot represent.
+def query_signals(tokens: DataFrame, key: str | list[str] = "datapoint_id") -> DataFrame:
+    """Per-query validity signals of Q32 from the token relation (one aggregate, no join)."""
+    keys = [key] if isinstance(key, str) else list(key)
+    return tokens.groupBy(*keys).agg(*signal_aggs())
+
+
+def signal_aggs(prefix: str = "") -> list[Column]:
+    """Aggregates of the Q32 signals over tokens (or, with ``prefix``, over per-scope rows)."""
+    if prefix:
+        return [F.min(f"{prefix}min_p").alias("min_p"), F.max_by(f"{prefix}last_p", f"{prefix}hi").alias("last_p"),
+                F.max(f"{prefix}has_select").alias("has_select"),
+                F.max(f"{prefix}dup_distinct").alias("dup_distinct"),
+                F.max(f"{prefix}dup_clause").alias("dup_clause"), F.max(f"{prefix}nq").alias("nq")]
+    return [F.min("p").alias("min_p"), F.max_by("p", "pos").alias("last_p"), F.max("pos").alias("hi"),
+            F.max((F.col("lt") == "select").cast("int")).alias("has_select"),
+            F.max(F.coalesce((F.col("lt") == "distinct") & (F.col("next1") == "distinct"), F.lit(False))
+                  .cast("int")).alias("dup_distinct"),
+            F.max(F.col("dup_clause").cast("int")).alias("dup_clause"), F.max("nq").alias("nq")]
+
+
+def parse_error_expr() -> Column:
+    """Q32 rule over the signal columns; first match wins. No tokens at all -> 'no select'."""
+    return (F.when(F.coalesce(F.col("min_p") < 0, F.lit(False)) | F.coalesce(F.col("last_p") != 0, F.lit(False)),
+                   "unbalanced parentheses")
+            .when(F.coalesce(F.col("nq"), F.lit(0)) % 2 == 1, "unbalanced quotes")
+            .when(F.coalesce(F.col("has_select"), F.lit(0)) == 0, "no select")
+            .when(F.col("dup_distinct") == 1, "repeated distinct")
+            .when(F.col("dup_clause") == 1, "repeated clause"))
+
+
+def parse_errors(df: DataFrame, tokens: DataFrame, key: str | list[str] = "datapoint_id") -> DataFrame:
+    """Q32: (key..., parse_error) for every query; null when the feature model can represent it.
 
     Rules, first match wins: unbalanced parentheses, unbalanced quotes, no SELECT,
     repeated DISTINCT, a clause repeated within one (scope, branch).
     """
     keys = [key] if isinstance(key, str) else list(key)
-    per_query = tokens.groupBy(*keys).agg(
-        F.min("p").alias("min_p"),
-        F.max_by("p", "pos").alias("last_p"),
-        F.max((F.col("lt") == "select").cast("int")).alias("has_select"),
-        F.max(((F.col("lt") == "distinct") & (F.col("next1") == "distinct")).cast("int")).alias("dup_distinct"),
-    )
-    rep = (tokens.where(F.col("clause_kw").isNotNull())
-           .groupBy(*keys, "scope", "branch", "clause_kw").count()
-           .where(F.col("count") > 1).select(*keys).distinct()
-           .withColumn("dup_clause", F.lit(1)))
-    quotes = df.select(*keys, (F.length(sql_col) - F.length(F.regexp_replace(sql_col, "'", ""))).alias("nq"))
-    j = quotes.join(per_query, keys, "left").join(rep, keys, "left")
-    err = (F.when(F.coalesce(F.col("min_p") < 0, F.lit(False)) | F.coalesce(F.col("last_p") != 0, F.lit(False)),
-                  "unbalanced parentheses")
-           .when(F.col("nq") % 2 == 1, "unbalanced quotes")
-           .when(F.coalesce(F.col("has_select"), F.lit(0)) == 0, "no select")
-           .when(F.col("dup_distinct") == 1, "repeated distinct")
-           .when(F.col("dup_clause") == 1, "repeated clause"))
-    return j.select(*keys, err.alias("parse_error"))
+    sig = query_signals(tokens, keys)
+    return df.select(*keys).join(sig, keys, "left").select(*keys, parse_error_expr().alias("parse_error"))
