@@ -174,10 +174,17 @@ def token_ctes(src: str, key: str = "datapoint_id", sql_col: str = "sql_query",
          lt IN ('and', 'between') AS is_ab
   FROM {P}t10
 ),
+{P}t11b AS (
+  SELECT *,
+    (CASE WHEN clause_kw IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY {K}, scope, branch, clause_kw ORDER BY pos {run}) END) > 1 AS dup_clause,
+    sum(CASE WHEN lt = ',' AND p = base_p AND clause = 'orderby' THEN 1 ELSE 0 END)
+      OVER (PARTITION BY {K}, scope, branch ORDER BY pos {run}) AS ob_item
+  FROM {P}t11
+),
 {P}t12 AS (
   SELECT *, (lt = 'and' AND coalesce(lag(lt, 1) OVER (PARTITION BY {K}, scope, p, is_ab ORDER BY pos) = 'between', false)) AS between_and,
          coalesce((lt IN ('from', 'join') AND kind = 'kw') OR (lt = ',' AND clause = 'from' AND p = base_p), false) AS from_sep
-  FROM {P}t11
+  FROM {P}t11b
 ),
 {P}t13 AS (
   SELECT *,
@@ -203,7 +210,7 @@ def token_ctes(src: str, key: str = "datapoint_id", sql_col: str = "sql_query",
     coalesce(kind = 'ident' AND clause = 'from' AND lag(from_sep, 1) OVER ({w}), false) AS is_table
   FROM {P}t12
 ),
-{P}tok AS (
+{P}t14 AS (
   SELECT *,
     CASE
       WHEN is_table THEN 'table'
@@ -216,8 +223,14 @@ def token_ctes(src: str, key: str = "datapoint_id", sql_col: str = "sql_query",
       WHEN kind = 'ident' AND next1 = '(' THEN 'function'
       WHEN kind = 'ident' THEN 'column'
       WHEN kind IN ('num', 'str') AND coalesce(clause <> 'limit', true) THEN 'value'
-    END AS role
+    END AS role,
+    CASE WHEN sub_open THEN lag(scope, 1) OVER ({w}) END AS parent_scope,
+    CASE WHEN sub_open THEN lag(branch, 1) OVER ({w}) END AS parent_branch
   FROM {P}t13
+),
+{P}tok AS (
+  SELECT *, CASE WHEN role = 'table_alias' THEN (CASE WHEN prev1 = 'as' THEN prev2 ELSE prev1 END) END AS alias_of
+  FROM {P}t14
 )"""
 
 

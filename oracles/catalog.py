@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import base
+from . import match as match_oracle
 from .base import OP_COLS, TYPE_ABBRS
 
 ORACLES: dict[str, str] = {}
@@ -130,3 +131,8 @@ FROM d JOIN b2 USING (dataset) GROUP BY b2.dataset, mean, n, q1, med, q3, iqr"""
     "structural_variety": _variety("structural_category_name", "structural_variety"),
     "operator_variety": _variety("operatorTypes_category_name", "operator_variety"),
 })
+
+ORACLES.update({
+    "partial_match": match_oracle.partial_match_sql(),
+    "partial_match_by_model": match_oracle.partial_match_by_model_sql(),
+})

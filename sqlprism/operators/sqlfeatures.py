@@ -48,6 +48,8 @@ def scope_stats(tokens: DataFrame, key="datapoint_id") -> DataFrame:
                       & (F.col("branch") == 0), 1).otherwise(0)) + 1).alias("select_items"),
         F.sum(F.when(is33 & (F.col("clause") == "where"), 1).otherwise(0)).alias("where_ops"),
         F.max(F.col("depth")).alias("depth"),
+        F.max("parent_scope").alias("parent_scope"),
+        F.max("parent_branch").alias("parent_branch"),
     ]
     aggs += sqltokens.signal_aggs()
     return tokens.groupBy(*keys, "scope").agg(*aggs)
@@ -87,6 +89,24 @@ def _query_signal_aggs():
             F.max("dup_clause").alias("dup_clause"), F.max("nq").alias("nq")]
 
 
+def scope_table(tokens: DataFrame, key="datapoint_id") -> DataFrame:
+    """Per (query, scope): depth, subquery_no (order within its depth), shallow set-operator
+    count, parent scope/branch and the query's parse_error. Windows by the query key only."""
+    keys = _keys(key)
+    st = scope_stats(tokens, keys)
+    wq = Window.partitionBy(*[F.col(k) for k in keys])
+    sig = st.select(
+        *keys, "scope", "depth", F.col("SO").alias("sh_SO"), "parent_scope", "parent_branch",
+        F.min("min_p").over(wq).alias("min_p"), F.max_by("last_p", "hi").over(wq).alias("last_p"),
+        F.max("has_select").over(wq).alias("has_select"), F.max("dup_distinct").over(wq).alias("dup_distinct"),
+        F.max("dup_clause").over(wq).alias("dup_clause"), F.max("nq").over(wq).alias("nq"))
+    sig = sig.withColumn("parse_error", sqltokens.parse_error_expr())
+    sig = sig.withColumn("subquery_no", F.row_number().over(
+        Window.partitionBy(*[F.col(k) for k in keys], "depth").orderBy("scope")) - 1)
+    return sig.select(*keys, "scope", "depth", "subquery_no", "sh_SO", "parent_scope", "parent_branch",
+                      "parse_error")
+
+
 def type_counts(df: DataFrame) -> list[Column]:
     """Operator-type counts (J, Ag, C, Lo, Li, Ar, Me, Nu) from the 33 operator columns."""
     out = []

@@ -111,6 +111,9 @@ def structure(tokens: DataFrame, key: str | list[str] = "datapoint_id") -> DataF
         seen = F.when(F.col("clause_kw") == name, F.sum((F.col("clause_kw") == name).cast("int")).over(wb)) \
             .otherwise(seen)
     t = t.withColumn("dup_clause", F.coalesce(seen, F.lit(0)) > 1)
+    # ORDER BY item number: running count of base-level commas inside the orderby clause
+    t = t.withColumn("ob_item", F.sum(F.when((F.col("lt") == ",") & (F.col("p") == F.col("base_p"))
+                                             & (F.col("clause") == "orderby"), 1).otherwise(0)).over(wb))
     return t
 
 
@@ -171,6 +174,9 @@ def _roles(t: DataFrame, kc) -> DataFrame:
     sub_alias = is_ident & (prev_sub_close | ((prev1 == "as") & prev2_sub_close))
     col_alias = is_ident & (prev1 == "as") & ~prev2_table & ~prev2_sub_close
     function = is_ident & (F.col("next1") == "(")
+    # the opener of a scope records the scope and branch it is nested in
+    t = t.withColumn("parent_scope", F.when(F.col("sub_open"), F.lag("scope", 1).over(w)))
+    t = t.withColumn("parent_branch", F.when(F.col("sub_open"), F.lag("branch", 1).over(w)))
     role = (F.when(F.col("is_table"), "table")
             .when(table_alias, "table_alias")
             .when(sub_alias, "query_alias")
@@ -179,7 +185,10 @@ def _roles(t: DataFrame, kc) -> DataFrame:
             .when(is_ident, "column")
             .when(_isin(F.col("kind"), ["num", "str"]) & F.coalesce(F.col("clause") != "limit", F.lit(True)),
                   "value"))
-    return t.withColumn("role", role).drop("from_sep")
+    t = t.withColumn("role", role).drop("from_sep")
+    # table an alias stands for (null for a subquery alias)
+    return t.withColumn("alias_of", F.when(F.col("role") == "table_alias",
+                                           F.when(prev1 == "as", F.col("prev2")).otherwise(prev1)))
 
 
 def token_relation(df: DataFrame, key: str | list[str] = "datapoint_id", sql_col: str = "sql_query",

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import sqltokens, stats
+from ..operators import match, sqltokens, stats
 from . import corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -211,3 +211,21 @@ def q_structural_variety(spark, sf):
 def q_operator_variety(spark, sf):
     """A25.2."""
     return stats.operator_variety(corpus.features(spark, sf))
+
+
+# --- match metrics ----------------------------------------------------------------------------------
+
+def _pm(spark, sf):
+    return match.partial_match(corpus.datapoints(spark, sf), corpus.predictions(spark, sf), boolean=True)
+
+
+@register("partial_match")
+def q_partial_match(spark, sf):
+    """PM, SM, OM, VM per (datapoint, model), with the boolean variants."""
+    return _pm(spark, sf)
+
+
+@register("partial_match_by_model")
+def q_partial_match_by_model(spark, sf):
+    """M9: corpus-level means per model (failures count as 0)."""
+    return match.corpus_partial_match(_pm(spark, sf))

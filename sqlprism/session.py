@@ -53,3 +53,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="sqlprism-ckpt-")
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def materialize(df):
+    """Compute ``df`` once and cut its lineage: a reliable checkpoint in the session's checkpoint
+    dir (the cluster's shared folder when configured). Used where one relation feeds many
+    branches of a plan, so the branches read it instead of recomputing it. The physical
+    partitioning of ``df`` is kept, so key-partitioned consumers still avoid a shuffle."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
