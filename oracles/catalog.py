@@ -136,3 +136,13 @@ ORACLES.update({
     "partial_match": match_oracle.partial_match_sql(),
     "partial_match_by_model": match_oracle.partial_match_by_model_sql(),
 })
+
+ORACLES.update({
+    "evaluation_long": match_oracle.evaluation_long_sql(),
+    "metric_errors": match_oracle.metric_errors_sql(),
+    "success_rates": match_oracle.success_rates_sql(),
+    "structural_category_errors": match_oracle.category_errors_sql("structural_category_name", 5),
+    "operator_type_category_errors": match_oracle.category_errors_sql("operatorTypes_category_name", 3),
+    "parsing_errors_per_model": match_oracle.parsing_errors_sql(),
+    "models_disagreement_pm": match_oracle.disagreement_sql("PM"),
+})

@@ -214,10 +214,12 @@ def partial_match(gold: DataFrame, predictions: DataFrame, key: str = "datapoint
     cs = component_scores(gold, predictions, key, gold_col, pred_col)
     fam = cs.where(F.col("component") == "total").groupBy(key, "model", "parse_error").pivot(
         "family", list(FAMILIES)).agg(F.first("score"))
+    em = exact_match(cs, key)
     failed = F.col("parse_error").isNotNull()
     cols = [F.when(failed, 0.0).otherwise(F.coalesce(F.col(f), F.lit(0.0))).alias(f) for f in FAMILIES]
     out = fam.select(key, "model", "parse_error", *cols)
-    out = out.withColumn("PM", (F.col("SM") + F.col("OM") + F.col("VM")) / 3)
+    out = out.withColumn("PM", (F.col("SM") + F.col("OM") + F.col("VM")) / 3).join(em, [key, "model"], "left")
+    out = out.withColumn("EM", F.when(failed, 0).otherwise(F.coalesce("EM", F.lit(0))))
     metric_cols = ["PM", "SM", "OM", "VM"]
     if report_components:
         comp = cs.where(F.col("component") != "total").withColumn(
@@ -228,14 +230,29 @@ def partial_match(gold: DataFrame, predictions: DataFrame, key: str = "datapoint
         out = out.select(key, "model", "parse_error", *metric_cols,
                          *[F.when(failed, 0.0).otherwise(F.col(n)).alias(n) for n in names])
         metric_cols = metric_cols + names
-    out = out.select(key, "model", "parse_error", *[F.round(c, PRECISION).alias(c) for c in metric_cols])
+    out = out.select(key, "model", "parse_error", "EM", *[F.round(c, PRECISION).alias(c) for c in metric_cols])
     if boolean:
         out = out.select("*", *[F.when(F.col(c) == 1, 1).otherwise(0).alias(f"{c}_boolean")
                                 for c in ["PM", "SM", "OM", "VM"]])
     return out
 
 
+EM_COMPONENTS = [("SM", "total"), ("OM", "total"), ("VM", "columns"), ("VM", "tables")]
+
+
+def exact_match(component_scores_df: DataFrame, key: str = "datapoint_id") -> DataFrame:
+    """EM = 1 when, at every aligned subquery, the structural elements, the operators per
+    clause and the (alias-free) columns and tables coincide; literal values are ignored.
+    (Our set-based definition; failures are handled by the caller.)"""
+    cond = None
+    for fam, comp in EM_COMPONENTS:
+        c = (F.col("family") == fam) & (F.col("component") == comp)
+        cond = c if cond is None else cond | c
+    return component_scores_df.where(cond).groupBy(key, "model").agg(
+        F.min(F.when(F.col("score") == 1.0, 1).otherwise(0)).alias("EM"))
+
+
 def corpus_partial_match(scores: DataFrame, by=("model",)) -> DataFrame:
     """M9 (aggregated): mean of each metric per model (failures count as 0)."""
-    metrics = [c for c in scores.columns if c in ("PM", "SM", "OM", "VM") or c.endswith("_boolean")]
+    metrics = [c for c in scores.columns if c in ("EM", "PM", "SM", "OM", "VM") or c.endswith("_boolean")]
     return scores.groupBy(*by).agg(*[F.round(F.avg(c), PRECISION).alias(c) for c in metrics])

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import match, sqltokens, stats
+from ..operators import evaluation, match, sqltokens, stats
 from . import corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -229,3 +229,54 @@ def q_partial_match(spark, sf):
 def q_partial_match_by_model(spark, sf):
     """M9: corpus-level means per model (failures count as 0)."""
     return match.corpus_partial_match(_pm(spark, sf))
+
+
+# --- evaluation and error analysis -------------------------------------------------------------------
+
+def _long(spark, sf):
+    return evaluation.evaluation_long(_pm(spark, sf), corpus.predictions(spark, sf))
+
+
+@register("evaluation_long")
+def q_evaluation_long(spark, sf):
+    """One row per (datapoint, model, metric) with the prediction."""
+    return _long(spark, sf)
+
+
+@register("metric_errors")
+def q_metric_errors(spark, sf):
+    """Errors per metric x model, as % of all queries and of the test split."""
+    dp = corpus.datapoints(spark, sf)
+    return evaluation.errors(_long(spark, sf), subset=dp.where(F.col("split") == "test"))
+
+
+@register("success_rates")
+def q_success(spark, sf):
+    """E3."""
+    return evaluation.total_errors(_long(spark, sf))
+
+
+@register("structural_category_errors")
+def q_struct_errors(spark, sf):
+    """Errors by top-5 structural category (+ Other)."""
+    labels = evaluation.category_labels(corpus.features(spark, sf), "structural_category_name", 5)
+    return evaluation.category_errors(_long(spark, sf), labels)
+
+
+@register("operator_type_category_errors")
+def q_optype_errors(spark, sf):
+    """E5: errors by top-3 operator-type category (+ Other)."""
+    labels = evaluation.category_labels(corpus.features(spark, sf), "operatorTypes_category_name", 3)
+    return evaluation.category_errors(_long(spark, sf), labels)
+
+
+@register("parsing_errors_per_model")
+def q_parsing_errors(spark, sf):
+    """E6."""
+    return evaluation.parsing_errors(_pm(spark, sf))
+
+
+@register("models_disagreement_pm")
+def q_disagreement(spark, sf):
+    """E7 on PM: datapoints whose models disagree, with every model's prediction."""
+    return evaluation.models_differences(_long(spark, sf), corpus.datapoints(spark, sf), "PM")
