@@ -146,3 +146,7 @@ ORACLES.update({
     "parsing_errors_per_model": match_oracle.parsing_errors_sql(),
     "models_disagreement_pm": match_oracle.disagreement_sql("PM"),
 })
+
+from . import text as text_oracle  # noqa: E402
+
+ORACLES.update(text_oracle.oracles())

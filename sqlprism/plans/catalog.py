@@ -280,3 +280,261 @@ def q_parsing_errors(spark, sf):
 def q_disagreement(spark, sf):
     """E7 on PM: datapoints whose models disagree, with every model's prediction."""
     return evaluation.models_differences(_long(spark, sf), corpus.datapoints(spark, sf), "PM")
+
+
+# --- question / text features -------------------------------------------------------------------------
+
+from ..operators import schema_profile, text  # noqa: E402
+from ..sources import fixtures  # noqa: E402
+
+
+def _texts(spark, sf):
+    return fixtures.text_inputs(spark, sf)
+
+
+def _ann(spark, sf):
+    return fixtures.annotated_tokens(spark, sf)
+
+
+def _ref(spark, sf):
+    return fixtures.reference_frequency_list(spark, sf)
+
+
+@register("text_length_words")
+def q_len_words(spark, sf):
+    """T1 (words)."""
+    return text.length(_texts(spark, sf))
+
+
+@register("text_length_chars")
+def q_len_chars(spark, sf):
+    """T1 (characters)."""
+    return text.length(_texts(spark, sf), "char")
+
+
+@register("text_readability")
+def q_readability(spark, sf):
+    """T4."""
+    return text.readability(_texts(spark, sf))
+
+
+@register("text_lexical_richness")
+def q_lexical(spark, sf):
+    """T11-T14."""
+    return text.lexical_richness(_texts(spark, sf))
+
+
+@register("text_lexical_density")
+def q_density(spark, sf):
+    """T6."""
+    return text.lexical_density(_ann(spark, sf))
+
+
+@register("text_rarity")
+def q_rarity(spark, sf):
+    """T7."""
+    return text.rarity(_ann(spark, sf), _ref(spark, sf))
+
+
+@register("text_word_frequency")
+def q_word_freq(spark, sf):
+    """T5."""
+    return text.word_frequency_mean(_ann(spark, sf), _ref(spark, sf))
+
+
+@register("text_dependency_metrics")
+def q_dependency(spark, sf):
+    """T8-T10."""
+    return text.dependency_metrics(_ann(spark, sf))
+
+
+@register("text_variability")
+def q_variability(spark, sf):
+    """T17."""
+    return text.variability(_texts(spark, sf))
+
+
+@register("text_complexity")
+def q_complexity(spark, sf):
+    """T16."""
+    return text.complexity(_texts(spark, sf), _ann(spark, sf), _ref(spark, sf))
+
+
+def _elements(spark, sf):
+    st, sc, _ = fixtures.schema_relations(spark, sf)
+    return schema_profile.schema_elements(st, sc)
+
+
+@register("question_schema_references")
+def q_schema_refs(spark, sf):
+    """Schema elements of the datapoint's database mentioned in its question."""
+    return text.schema_references(corpus.datapoints(spark, sf), _elements(spark, sf))
+
+
+@register("question_schema_reference_pct")
+def q_schema_ref_pct(spark, sf):
+    """T3."""
+    dp = corpus.datapoints(spark, sf)
+    refs = text.schema_references(dp, _elements(spark, sf))
+    t = sqltokens.token_relation(dp)
+    return text.schema_reference_percentage(refs, text.sql_schema_elements(t), sqltokens.parse_errors(dp, t))
+
+
+def _question_lengths(spark, sf):
+    dp = corpus.datapoints(spark, sf).select(F.col("datapoint_id").alias("text_id"), "dataset", "split",
+                                             F.col("question").alias("text"))
+    return text.length(dp)
+
+
+@register("question_length_shares")
+def q_qlen_shares(spark, sf):
+    """A23.1 (distribution): share of each question length per dataset."""
+    return stats.attr_percentages(_question_lengths(spark, sf), "length", pct_name="pct_questions")
+
+
+@register("question_length_statistics")
+def q_qlen_stats(spark, sf):
+    """A23.1 (statistics)."""
+    return stats.summary(_question_lengths(spark, sf), "length", name="length")
+
+
+@register("text_readability_statistics")
+def q_read_stats(spark, sf):
+    """A23.3: Flesch reading ease statistics per dataset."""
+    return stats.summary(text.readability(_texts(spark, sf)), "flesch_reading_ease", name="flesch")
+
+
+def _text_meta(spark, sf):
+    return _texts(spark, sf).select("text_id", "dataset")
+
+
+@register("text_rarity_statistics")
+def q_rarity_stats(spark, sf):
+    """A23.4."""
+    r = text.rarity(_ann(spark, sf), _ref(spark, sf)).join(_text_meta(spark, sf), "text_id")
+    return stats.summary(r, "rarity", name="rarity")
+
+
+@register("text_lexical_density_statistics")
+def q_density_stats(spark, sf):
+    """A23.5."""
+    r = text.lexical_density(_ann(spark, sf)).join(_text_meta(spark, sf), "text_id")
+    return stats.summary(r, "lexical_density", name="lexical_density")
+
+
+@register("text_dependency_statistics")
+def q_dep_stats(spark, sf):
+    """A23.6-A23.8: average dependency distance, tree depth and dependency count statistics."""
+    d = text.dependency_metrics(_ann(spark, sf)).join(_text_meta(spark, sf), "text_id")
+    a = stats.summary(d, "avg_dependency_distance", name="add")
+    b = stats.summary(d, "depth", name="depth")
+    c = stats.summary(d, "dependencies_num", name="dependencies")
+    return a.join(b, "dataset").join(c, "dataset")
+
+
+# --- schema profile -----------------------------------------------------------------------------------
+
+def _schema(spark, sf):
+    st, sc, names = fixtures.schema_relations(spark, sf)
+    return st, sc, schema_profile.resolve_fks(st, sc, names)
+
+
+@register("schema_foreign_keys")
+def q_fks(spark, sf):
+    """D3."""
+    return _schema(spark, sf)[2]
+
+
+@register("schema_columns_per_table")
+def q_cols_per_table(spark, sf):
+    """D4 (lower-cased)."""
+    st, sc, _ = _schema(spark, sf)
+    return schema_profile.columns_per_table(st, sc, lowercase=True)
+
+
+@register("schema_elements")
+def q_schema_elements(spark, sf):
+    """D5."""
+    st, sc, _ = _schema(spark, sf)
+    return schema_profile.schema_elements(st, sc)
+
+
+@register("schema_counts")
+def q_schema_counts(spark, sf):
+    """D6 + D7."""
+    return schema_profile.schema_counts(*_schema(spark, sf))
+
+
+@register("schema_explainable")
+def q_explainable(spark, sf):
+    """D8."""
+    st, sc, _ = _schema(spark, sf)
+    return schema_profile.explainable_percentage(schema_profile.schema_elements(st, sc),
+                                                 fixtures.dictionary_words(spark, sf))
+
+
+@register("schema_json")
+def q_schema_json(spark, sf):
+    """D9 (JSON text; rows-only check)."""
+    return schema_profile.schema_as_json(*_schema(spark, sf))
+
+
+def _db_rows(spark, sf):
+    st, sc, fk = _schema(spark, sf)
+    dp = corpus.datapoints(spark, sf)
+    return schema_profile.database_rows(dp, st, sc, fk, fixtures.dictionary_words(spark, sf))
+
+
+@register("database_rows")
+def q_database_rows(spark, sf):
+    """D10."""
+    return _db_rows(spark, sf)
+
+
+def _dataset_dbs(spark, sf):
+    dp = corpus.datapoints(spark, sf).select("dataset", "db_id").distinct()
+    return dp.join(_db_rows(spark, sf), "db_id")
+
+
+@register("databases_by_tables")
+def q_dbs_tables(spark, sf):
+    """A21.1."""
+    return stats.attr_percentages(_dataset_dbs(spark, sf), "tables_num", pct_name="pct_databases")
+
+
+@register("databases_by_columns")
+def q_dbs_columns(spark, sf):
+    """A21.2."""
+    return stats.attr_percentages(_dataset_dbs(spark, sf), "columns_num", pct_name="pct_databases")
+
+
+@register("databases_by_fk_relations")
+def q_dbs_fks(spark, sf):
+    """A21.3."""
+    return stats.attr_percentages(_dataset_dbs(spark, sf), "foreign_primary_key_relations_num",
+                                  pct_name="pct_databases")
+
+
+@register("databases_by_explainable_pct")
+def q_dbs_expl(spark, sf):
+    """A21.4."""
+    return stats.attr_percentages(_dataset_dbs(spark, sf), "explainable_schema_elements_percentage",
+                                  pct_name="pct_databases")
+
+
+@register("databases_by_total_rows")
+def q_dbs_rows(spark, sf):
+    """A21.5."""
+    return stats.attr_percentages(_dataset_dbs(spark, sf), "total_rows", pct_name="pct_databases")
+
+
+@register("databases_explainable_statistics")
+def q_dbs_expl_stats(spark, sf):
+    """A22.1."""
+    return stats.summary(_dataset_dbs(spark, sf), "explainable_schema_elements_percentage", name="explainable")
+
+
+@register("databases_table_rows_statistics")
+def q_dbs_rows_stats(spark, sf):
+    """A22.2: statistics of the average rows per table."""
+    return stats.summary(_dataset_dbs(spark, sf), "avg_table_rows", name="avg_table_rows")
