@@ -72,11 +72,16 @@ def deep_stats(stats: DataFrame, key="datapoint_id") -> DataFrame:
     per_query = stats.groupBy(*keys).agg(F.collect_list(F.struct(*fields)).alias("scopes"), *_query_signal_aggs())
     per_query = per_query.withColumn("parse_error", sqltokens.parse_error_expr())
     a = F.col("a")
-    pairs = per_query.select(*keys, "parse_error", F.explode("scopes").alias("a"), "scopes").select(
+    # a query failing Q32 explodes no scope: its single row aggregates nulls, so every
+    # feature is null without a per-column condition
+    pairs = per_query.select(
+        *keys, "parse_error", F.explode_outer(F.when(F.col("parse_error").isNull(), F.col("scopes"))).alias("a"),
+        "scopes").select(
         *keys, "parse_error", "a",
-        F.explode(F.filter("scopes", lambda d: (d["scope"] >= a["scope"]) & (d["scope"] <= a["hi"]))).alias("d"))
+        F.explode_outer(F.filter("scopes", lambda d: (d["scope"] >= a["scope"]) & (d["scope"] <= a["hi"])))
+        .alias("d"))
     aggs = [F.sum(F.col("d")[c]).alias(c) for c in COUNT_COLS]
-    aggs += [(F.count(F.lit(1)) - 1).alias("N"), F.max(F.col("d")["depth"]).alias("max_depth")]
+    aggs += [F.when(F.count("d") > 0, F.count("d") - 1).alias("N"), F.max(F.col("d")["depth"]).alias("max_depth")]
     g = pairs.groupBy(*keys, "parse_error", a["scope"].alias("scope"), a["depth"].alias("depth"),
                       a["SO"].alias("sh_SO"), a["select_items"].alias("sh_select_items"),
                       a["where_ops"].alias("sh_where_ops"), a["W"].alias("sh_W")).agg(*aggs)
@@ -132,31 +137,27 @@ def feature_rows(datapoints: DataFrame, key: str = "datapoint_id", sql_col: str
     dp = datapoints.select(*keys, sql_col, *carry).repartition(*keys)
     t = tokens if tokens is not None else sqltokens.token_relation(dp, keys, sql_col, repartition=False)
     deep = deep_stats(scope_stats(t, keys), keys)
-    ok = F.col("parse_error").isNull()
-    deep = deep.where(ok | (F.col("scope") == -1))
     deep = deep.withColumn("subquery_no", F.row_number().over(
         Window.partitionBy(*[F.col(k) for k in keys], "depth").orderBy("scope")) - 1)
     deep = deep.select("*", *type_counts(deep))
     is_set = F.col("sh_SO") > 0
+    parsed = F.col("S").isNotNull()  # null counts: the query failed Q32
 
-    def feat(c: Column, name: str) -> Column:
-        return F.when(ok, c).alias(name)
-
-    depth_rows = F.when(~ok, F.array(F.lit(-1))).when(F.col("depth") == 0, F.array(F.lit(-1), F.lit(0))) \
-        .otherwise(F.array(F.col("depth")))
+    depth_rows = F.when(F.col("depth").isNull(), F.array(F.lit(-1))) \
+        .when(F.col("depth") == 0, F.array(F.lit(-1), F.lit(0))).otherwise(F.array(F.col("depth")))
     rows = deep.select(
         *keys, F.explode(depth_rows).alias("current_depth"), "subquery_no", "parse_error",
-        feat(category(STRUCT_ABBRS, "name"), "structural_category_name"),
-        feat(F.coalesce(F.nullif(category(TYPE_ABBRS, "name"), F.lit("")), F.lit("None")),
-             "operatorTypes_category_name"),
-        feat(category(STRUCT_ABBRS, "counter"), "structural_category_counter"),
-        feat(category(TYPE_ABBRS, "counter"), "operatorTypes_category_counter"),
-        feat(F.when(~is_set, F.col("sh_select_items")).cast("long"), "select_columns"),
-        feat(F.when(~is_set & (F.col("sh_W") > 0), F.col("sh_where_ops")).cast("long"), "where_conditions"),
-        feat(F.col("sql_query_depth").cast("long"), "sql_query_depth"),
-        *[feat(F.col(c).cast("long"), c) for c in OP_COLS + CLAUSE_ABBRS],
-        *[feat(F.col(c).cast("long"), c) for c in ("columns", "tables", "values", "SO", "N")],
-        *[feat(F.col(c).cast("long"), c) for c in TYPE_ABBRS],
+        F.when(parsed, category(STRUCT_ABBRS, "name")).alias("structural_category_name"),
+        F.when(parsed, F.coalesce(F.nullif(category(TYPE_ABBRS, "name"), F.lit("")), F.lit("None")))
+        .alias("operatorTypes_category_name"),
+        F.when(parsed, category(STRUCT_ABBRS, "counter")).alias("structural_category_counter"),
+        F.when(parsed, category(TYPE_ABBRS, "counter")).alias("operatorTypes_category_counter"),
+        F.when(~is_set, F.col("sh_select_items")).cast("long").alias("select_columns"),
+        F.when(~is_set & (F.col("sh_W") > 0), F.col("sh_where_ops")).cast("long").alias("where_conditions"),
+        F.col("sql_query_depth").cast("long").alias("sql_query_depth"),
+        *[F.col(c).cast("long").alias(c) for c in OP_COLS + CLAUSE_ABBRS],
+        *[F.col(c).cast("long").alias(c) for c in ("columns", "tables", "values", "SO", "N")],
+        *[F.col(c).cast("long").alias(c) for c in TYPE_ABBRS],
     )
     feat_cols = [c for c in rows.columns if c not in keys + ["current_depth", "subquery_no", "parse_error"]]
     out = dp.join(rows, keys, "left")
