@@ -150,3 +150,33 @@ ORACLES.update({
 from . import text as text_oracle  # noqa: E402
 
 ORACLES.update(text_oracle.oracles())
+
+ORACLES.update({
+    "deduplicated_datapoints": dps("""
+SELECT datapoint_id, dataset, split FROM datapoints WHERE datapoint_id IN (
+  SELECT min(datapoint_id) FROM datapoints GROUP BY dataset, split, question, sql_query, db_id)"""),
+    "duplicates_removed": dps("""
+SELECT dataset, split, count(*) - count(DISTINCT (question, sql_query, db_id)) AS duplicates_removed
+FROM datapoints GROUP BY dataset, split"""),
+    "sql_replaced": dps("""
+SELECT datapoint_id, CASE WHEN sql_query = 'select count( from orders where' THEN 'select count(*) from orders'
+                          ELSE sql_query END AS sql_query FROM datapoints"""),
+    "sql_text_repairs": base.with_ctes(base.DATAPOINTS, base.PREDICTIONS) + """
+SELECT datapoint_id, model,
+  regexp_replace(regexp_replace(regexp_replace(predicted, '" (.*?) "', '"\\1"', 'g'),
+                 '(RESTAURANT\\S*)\\.ID', '\\1.RESTAURANT_ID', 'g'), '\\."(.*?)"', '.\\1', 'g') AS predicted
+FROM predictions""",
+    "predictions_attached_by_position": base.with_ctes(base.DATAPOINTS, base.PREDICTIONS) + """
+SELECT d.datapoint_id, p.model, p.predicted
+FROM (SELECT datapoint_id, dataset, row_number() OVER (PARTITION BY dataset ORDER BY datapoint_id) - 1 AS position
+      FROM datapoints) d
+JOIN (SELECT dataset, model, predicted,
+             row_number() OVER (PARTITION BY dataset, model ORDER BY datapoint_id) - 1 AS position FROM predictions) p
+  ON p.dataset = d.dataset AND p.position = d.position""",
+    "rejected_queries": feat("""
+SELECT datapoint_id, dataset, sql_query, 'Error from parser: ' || parse_error AS error FROM features
+WHERE current_depth = -1 AND parse_error IS NOT NULL"""),
+    "rejected_counts": feat("""
+SELECT dataset, CAST(sum(CASE WHEN parse_error IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS rejected, count(*) AS total
+FROM features WHERE current_depth = -1 GROUP BY dataset"""),
+})

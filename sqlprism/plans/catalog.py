@@ -538,3 +538,62 @@ def q_dbs_expl_stats(spark, sf):
 def q_dbs_rows_stats(spark, sf):
     """A22.2: statistics of the average rows per table."""
     return stats.summary(_dataset_dbs(spark, sf), "avg_table_rows", name="avg_table_rows")
+
+
+# --- sources and reshaping ----------------------------------------------------------------------------
+
+from ..sources import readers  # noqa: E402
+
+# --- fixed values: known-bad SQL of the stand-in corpus and its replacement ---
+SQL_REPLACEMENTS = [("select count( from orders where", "select count(*) from orders")]
+
+
+@register("deduplicated_datapoints")
+def q_dedup(spark, sf):
+    """Datapoints left after removing exact duplicates (same question, SQL and database)."""
+    kept, _ = readers.remove_duplicates(corpus.datapoints(spark, sf), ["question", "sql_query", "db_id"])
+    return kept.select("datapoint_id", "dataset", "split")
+
+
+@register("duplicates_removed")
+def q_dups(spark, sf):
+    """Number of duplicates removed per dataset and split."""
+    return readers.remove_duplicates(corpus.datapoints(spark, sf), ["question", "sql_query", "db_id"])[1]
+
+
+@register("sql_replaced")
+def q_replaced(spark, sf):
+    """Known-bad SQL replaced through a lookup table."""
+    lookup = spark.createDataFrame(SQL_REPLACEMENTS, "bad_sql string, good_sql string")
+    return readers.replace_sql_queries(corpus.datapoints(spark, sf), lookup).select("datapoint_id", "sql_query")
+
+
+@register("sql_text_repairs")
+def q_repairs(spark, sf):
+    """The three text repairs applied to the predicted SQL."""
+    p = corpus.predictions(spark, sf)
+    fixed = readers.normalize_schema_elements(readers.fix_restaurant_ids(readers.tighten_literals(F.col("predicted"))))
+    return p.select("datapoint_id", "model", fixed.alias("predicted"))
+
+
+@register("predictions_attached_by_position")
+def q_attach(spark, sf):
+    """Every model's predictions, listed in datapoint order per dataset, attached by position."""
+    dp = corpus.datapoints(spark, sf)
+    preds = readers.with_position(corpus.predictions(spark, sf).select("dataset", "datapoint_id", "model",
+                                                                       "predicted"),
+                                  ["datapoint_id"], ["dataset", "model"]).drop("datapoint_id")
+    return readers.attach_by_position(dp.select("datapoint_id", "dataset"), preds).select(
+        "datapoint_id", "model", "predicted")
+
+
+@register("rejected_queries")
+def q_rejected(spark, sf):
+    """Queries the feature model rejects, with the error text."""
+    return readers.error_log(corpus.features(spark, sf))[0]
+
+
+@register("rejected_counts")
+def q_rejected_counts(spark, sf):
+    """Rejected / total per dataset."""
+    return readers.error_log(corpus.features(spark, sf))[1]
