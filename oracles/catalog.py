@@ -180,3 +180,5 @@ WHERE current_depth = -1 AND parse_error IS NOT NULL"""),
 SELECT dataset, CAST(sum(CASE WHEN parse_error IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS rejected, count(*) AS total
 FROM features WHERE current_depth = -1 GROUP BY dataset"""),
 })
+
+ORACLES.update(text_oracle.report_oracles())

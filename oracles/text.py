@@ -309,3 +309,73 @@ LEFT JOIN (SELECT db_id, table_idx, string_agg(lower(column_name), ',' ORDER BY
         "databases_table_rows_statistics": sch(summary("s_dataset_dbs", "avg_table_rows", "avg_table_rows")),
     }
     return o
+
+
+def report_oracles() -> dict:
+    from .catalog import CATEGORY_COUNTS  # noqa: F401
+
+    def summ(src, col, name, by="dataset, split"):
+        return f"""(SELECT {by}, round_even(avg(v), 2) AS {name}_mean, min(v) AS {name}_min, max(v) AS {name}_max
+  FROM (SELECT {by}, CAST({col} AS DOUBLE) AS v FROM {src}) WHERE v IS NOT NULL AND NOT isnan(v) GROUP BY {by})"""
+
+    ops = "CAST(" + " + ".join(f'"{c}"' for c in base.OP_COLS) + " AS BIGINT)"
+    roots = "(SELECT * FROM features WHERE current_depth = -1)"
+    proots = "(SELECT * FROM features WHERE current_depth = -1 AND parse_error IS NULL)"
+    general = base.with_ctes(
+        base.DATAPOINTS, base.feature_ctes(), base.schema_ctes(), SCHEMA_EL, REFS, f"""
+sqlel AS (SELECT DISTINCT datapoint_id, string_split(lt, '.')[-1] AS element FROM tok WHERE role IN ('table', 'column')),
+refel AS (SELECT datapoint_id, unnest(string_split(referenced, ',')) AS element FROM refs WHERE referenced IS NOT NULL),
+rpct AS (
+  SELECT r.datapoint_id,
+    round(CASE WHEN r.referenced IS NOT NULL AND e.parse_error IS NULL AND coalesce(n.n_sql, 0) > 0
+          THEN 100.0::DOUBLE * coalesce(i.inter, 0) / n.n_sql END, 9) AS pct
+  FROM refs r LEFT JOIN errs e USING (datapoint_id)
+  LEFT JOIN (SELECT datapoint_id, count(*) AS n_sql FROM sqlel GROUP BY datapoint_id) n USING (datapoint_id)
+  LEFT JOIN (SELECT s.datapoint_id, count(*) AS inter FROM sqlel s JOIN refel f USING (datapoint_id, element)
+             WHERE f.element <> '' GROUP BY s.datapoint_id) i USING (datapoint_id)
+),
+qlen AS (SELECT d.dataset, d.split, CAST(len(regexp_extract_all(d.question, {W})) AS BIGINT) AS length FROM datapoints d),
+rp AS (SELECT d.dataset, d.split, r.pct FROM rpct r JOIN datapoints d USING (datapoint_id))""") + f"""
+SELECT * FROM (SELECT DISTINCT dataset, split FROM datapoints) k
+LEFT JOIN (SELECT dataset, split, count(DISTINCT sql_query) AS unique_sql_queries FROM {roots} GROUP BY ALL) USING (dataset, split)
+LEFT JOIN (SELECT dataset, split, count(DISTINCT question) AS unique_questions FROM datapoints GROUP BY ALL) USING (dataset, split)
+LEFT JOIN (SELECT f.dataset, f.split, count(DISTINCT f.sql_query || ' ' || d.question) AS unique_question_sql
+           FROM {roots} f JOIN datapoints d USING (datapoint_id) GROUP BY ALL) USING (dataset, split)
+LEFT JOIN (SELECT dataset, split, count(DISTINCT structural_category_name || operatorTypes_category_name) AS templates_name
+           FROM features GROUP BY ALL) USING (dataset, split)
+LEFT JOIN (SELECT dataset, split, count(DISTINCT structural_category_counter || operatorTypes_category_counter)
+           AS templates_counter FROM features GROUP BY ALL) USING (dataset, split)
+LEFT JOIN (SELECT dataset, split, count(DISTINCT db_id) AS databases FROM datapoints GROUP BY ALL) USING (dataset, split)
+LEFT JOIN {summ(roots, "sql_query_depth", "depth")} USING (dataset, split)
+LEFT JOIN {summ(proots, ops, "operators")} USING (dataset, split)
+LEFT JOIN {summ(roots, "CAST(split_part(operatorTypes_category_counter, '.', 1) AS BIGINT)", "joins")} USING (dataset, split)
+LEFT JOIN {summ(roots, "select_columns", "select_columns")} USING (dataset, split)
+LEFT JOIN {summ(roots, "where_conditions", "where_conditions")} USING (dataset, split)
+LEFT JOIN {summ("qlen", "length", "question_length")} USING (dataset, split)
+LEFT JOIN {summ("rp", "pct", "schema_references")} USING (dataset, split)"""
+    qlen_shares = f"""
+ql AS (SELECT dataset, CAST(len(regexp_extract_all(question, {W})) AS BIGINT) AS length FROM datapoints),
+shares AS (SELECT dataset, length, 100.0::DOUBLE * n / sum(n) OVER (PARTITION BY dataset) AS pct_questions
+           FROM (SELECT dataset, length, count(*) AS n FROM ql WHERE length IS NOT NULL GROUP BY dataset, length)),
+rx AS (SELECT dataset, round(CAST(length AS DOUBLE), 2) AS x, pct_questions AS y FROM shares),
+edges AS (SELECT count(DISTINCT x) AS n_distinct,
+                 quantile_cont(x, [{", ".join(str(i / 10) for i in range(11))}]) AS e FROM rx),
+rb AS (SELECT rx.*, edges.*, greatest(len(list_filter(e, lambda v: v < x)), 1) AS idx FROM rx, edges)"""
+    from .catalog import CATEGORY_COUNTS as CC
+    return {
+        "general_info_report": general,
+        "question_length_chart_bins": base.with_ctes(base.DATAPOINTS, qlen_shares) + """
+SELECT dataset, CASE WHEN n_distinct > 15 THEN e[idx] ELSE x END AS x_lo,
+       CASE WHEN n_distinct > 15 THEN e[idx + 1] ELSE x END AS x_hi, sum(y) AS pct_questions
+FROM rb GROUP BY ALL""",
+        "structural_shares_depth_labels": base.with_ctes(base.DATAPOINTS, base.feature_ctes(),
+                                                         CC.format(col="structural_category_name")) + """
+SELECT s.*, CASE WHEN (SELECT count(DISTINCT depth) FROM cc) > 1
+                 THEN (CASE WHEN depth = -1 THEN 'No depth considered' ELSE 'Subqueries at depth ' || CAST(depth AS VARCHAR) END)
+                 ELSE CAST(depth AS VARCHAR) END AS depth_label
+FROM (SELECT dataset, category, depth, 100.0::DOUBLE * n / depth_total AS pct_queries FROM cc) s""",
+        "structural_category_stack": base.with_ctes(base.DATAPOINTS, base.feature_ctes()) + """
+SELECT structural_category_name, dataset, n, 100.0::DOUBLE * n / sum(n) OVER (PARTITION BY structural_category_name) AS pct
+FROM (SELECT structural_category_name, dataset, count(*) AS n FROM features
+      WHERE current_depth = -1 AND structural_category_name IS NOT NULL GROUP BY ALL)""",
+    }

@@ -597,3 +597,44 @@ def q_rejected(spark, sf):
 def q_rejected_counts(spark, sf):
     """Rejected / total per dataset."""
     return readers.error_log(corpus.features(spark, sf))[1]
+
+
+# --- reports ------------------------------------------------------------------------------------------
+
+from ..operators import reports  # noqa: E402
+from ..session import materialize  # noqa: E402
+
+
+@register("general_info_report")
+def q_general_info(spark, sf):
+    """Corpus counts and statistics per (dataset, split); the queries frame is
+    materialized once and shared by all the report's aggregates."""
+    dp = corpus.datapoints(spark, sf)
+    feats = materialize(corpus.features(spark, sf))
+    qlen = text.length(dp.select(F.col("datapoint_id").alias("text_id"), "dataset", "split",
+                                 F.col("question").alias("text"))).select(F.col("text_id").alias("datapoint_id"),
+                                                                          "length")
+    refs = text.schema_references(dp, _elements(spark, sf))
+    t = sqltokens.token_relation(dp)
+    pct = text.schema_reference_percentage(refs, text.sql_schema_elements(t), sqltokens.parse_errors(dp, t))
+    return reports.general_info(feats, dp, qlen, pct)
+
+
+@register("question_length_chart_bins")
+def q_qlen_bins(spark, sf):
+    """Question-length distribution binned into 10 pooled quantile bins."""
+    shares = stats.attr_percentages(_question_lengths(spark, sf), "length", pct_name="pct_questions")
+    return reports.bin_chart_data(shares, "length", "pct_questions")
+
+
+@register("structural_shares_depth_labels")
+def q_depth_labels(spark, sf):
+    """Structural category shares with depth labels."""
+    return reports.depth_labels(stats.structural_categories(corpus.features(spark, sf)))
+
+
+@register("structural_category_stack")
+def q_stack(spark, sf):
+    """Share of each dataset within each structural category of whole queries."""
+    r = stats.roots(corpus.features(spark, sf)).where(F.col("structural_category_name").isNotNull())
+    return reports.stacked_shares(r, "structural_category_name", "dataset")
