@@ -286,7 +286,8 @@ def feature_ctes(src: str = "datapoints", key: str = "datapoint_id", sql_col: st
         for _, abbr, members in vocab.OPERATOR_TYPES)
     carry_sel = ", ".join(f"m.{c}" for c in carry)
     feat_cols = (["structural_category_name", "operatorTypes_category_name", "structural_category_counter",
-                  "operatorTypes_category_counter", "select_columns", "where_conditions", "sql_query_depth"]
+                  "operatorTypes_category_counter", "select_columns", "where_conditions", "groupby_columns",
+                  "sql_query_depth"]
                  + OP_COLS + CLAUSE_ABBRS + ["columns", "tables", "values", "SO", "N"] + TYPE_ABBRS)
     fsel = ", ".join(f'r."{c}"' for c in feat_cols)
     is33 = in_list(OP_NAMES)
@@ -301,15 +302,17 @@ def feature_ctes(src: str = "datapoints", key: str = "datapoint_id", sql_col: st
     sum(CASE WHEN role = 'value' THEN 1 ELSE 0 END) AS "values",
     sum(CASE WHEN lt = ',' AND clause = 'select' AND p = base_p AND branch = 0 THEN 1 ELSE 0 END) + 1 AS select_items,
     sum(CASE WHEN op IN {is33} AND clause = 'where' THEN 1 ELSE 0 END) AS where_ops,
+    sum(CASE WHEN lt = ',' AND clause = 'groupby' AND p = base_p AND branch = 0 THEN 1 ELSE 0 END) + 1 AS groupby_items,
     max(depth) AS depth, max(pos) AS hi
   FROM {P}tok GROUP BY {K}, scope
 ),
 {P}deep AS (
   SELECT a.{K}, a.scope, a.depth, a.SO AS sh_SO, a.select_items AS sh_select_items, a.where_ops AS sh_where_ops, a.W AS sh_W,
+    a.groupby_items AS sh_groupby_items, a.G AS sh_G,
     {deep_sums},
     count(*) - 1 AS N, max(d.depth) - a.depth AS sql_query_depth
   FROM {P}sstats a JOIN {P}sstats d ON a.{K} = d.{K} AND d.scope >= a.scope AND d.scope <= a.hi
-  GROUP BY a.{K}, a.scope, a.depth, a.SO, a.select_items, a.where_ops, a.W, a.hi
+  GROUP BY a.{K}, a.scope, a.depth, a.SO, a.select_items, a.where_ops, a.W, a.hi, a.groupby_items, a.G
 ),
 {P}deep2 AS (
   SELECT *, {types}, row_number() OVER (PARTITION BY {K}, depth ORDER BY scope) - 1 AS subquery_no FROM {P}deep
@@ -322,6 +325,7 @@ def feature_ctes(src: str = "datapoints", key: str = "datapoint_id", sql_col: st
     {_counter_cat(TYPE_ABBRS)} AS operatorTypes_category_counter,
     CAST(CASE WHEN sh_SO = 0 THEN sh_select_items END AS BIGINT) AS select_columns,
     CAST(CASE WHEN sh_SO = 0 AND sh_W > 0 THEN sh_where_ops END AS BIGINT) AS where_conditions,
+    CAST(CASE WHEN sh_SO = 0 AND sh_G > 0 THEN sh_groupby_items END AS BIGINT) AS groupby_columns,
     CAST(sql_query_depth AS BIGINT) AS sql_query_depth,
     {", ".join(f'CAST("{c}" AS BIGINT) AS "{c}"' for c in OP_COLS + CLAUSE_ABBRS)},
     CAST(columns AS BIGINT) AS columns, CAST(tables AS BIGINT) AS tables, CAST("values" AS BIGINT) AS "values",

@@ -182,3 +182,9 @@ FROM features WHERE current_depth = -1 GROUP BY dataset"""),
 })
 
 ORACLES.update(text_oracle.report_oracles())
+
+ORACLES.update({
+    "query_hardness": match_oracle.hardness_sql(),
+    "component_accuracy": match_oracle.component_accuracy_sql(),
+    "metric_error_records": match_oracle.error_records_sql(),
+})

@@ -157,18 +157,17 @@ def component_rows(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "family string, component string")
 
 
-def component_scores(gold: DataFrame, predictions: DataFrame, key: str = "datapoint_id",
-                     gold_col: str = "sql_query", pred_col: str = "predicted") -> DataFrame:
-    """M1-M3: (key, model, family, component, score) with score = mean over depths of the mean
-    Jaccard over aligned subqueries; also the pair's parse_error (either side)."""
-    spark = gold.sparkSession
+def element_presence(gold: DataFrame, predictions: DataFrame, key: str = "datapoint_id",
+                     gold_col: str = "sql_query", pred_col: str = "predicted"):
+    """(per_el, scopes, pairs): for every (datapoint, model, depth, i, family, component, element)
+    whether the gold (g) and the prediction (p) hold it; the scope table of all queries; the
+    (datapoint, model) pairs. Gold elements are replicated per model by a join on the key."""
     sides = sql_sides(gold, predictions, key, gold_col, pred_col)
     keys = [key, "model"]
     t = materialize(sqltokens.token_relation(sides, keys, "sql", repartition=False))
     scopes = materialize(sqlfeatures.scope_table(t, keys))
     el = _elements(t, scopes, keys).join(scopes.select(*keys, "scope", "depth", "subquery_no"), keys + ["scope"])
     el = el.select(key, "model", "depth", F.col("subquery_no").alias("i"), "family", "component", "element")
-
     pairs = predictions.select(key, "model").distinct()
     g_el = el.where(F.col("model") == GOLD).drop("model").join(pairs, key)  # gold replicated per model
     p_el = el.where(F.col("model") != GOLD)
@@ -176,6 +175,15 @@ def component_scores(gold: DataFrame, predictions: DataFrame, key: str = "datapo
             .unionByName(p_el.select("*", F.lit(0).alias("in_g"), F.lit(1).alias("in_p"))))
     per_el = both.groupBy(key, "model", "depth", "i", "family", "component", "element").agg(
         F.max("in_g").alias("g"), F.max("in_p").alias("p"))
+    return per_el, scopes, pairs
+
+
+def component_scores(gold: DataFrame, predictions: DataFrame, key: str = "datapoint_id",
+                     gold_col: str = "sql_query", pred_col: str = "predicted") -> DataFrame:
+    """M1-M3: (key, model, family, component, score) with score = mean over depths of the mean
+    Jaccard over aligned subqueries; also the pair's parse_error (either side)."""
+    spark = gold.sparkSession
+    per_el, scopes, pairs = element_presence(gold, predictions, key, gold_col, pred_col)
     inter = F.sum(F.col("g") * F.col("p"))
     counts = per_el.where(F.col("component").isNotNull()).groupBy(
         key, "model", "depth", "i", "family", "component").agg(inter.alias("inter"), F.count(F.lit(1)).alias("uni"))
@@ -256,3 +264,62 @@ def corpus_partial_match(scores: DataFrame, by=("model",)) -> DataFrame:
     """M9 (aggregated): mean of each metric per model (failures count as 0)."""
     metrics = [c for c in scores.columns if c in ("EM", "PM", "SM", "OM", "VM") or c.endswith("_boolean")]
     return scores.groupBy(*by).agg(*[F.round(F.avg(c), PRECISION).alias(c) for c in metrics])
+
+
+def hardness(features: DataFrame, key: str = "datapoint_id") -> DataFrame:
+    """Hardness (easy / medium / hard / extra) of each query from its whole-query feature row;
+    'NA' when the query fails Q32.
+
+    c1 = [where] + [group by] + [order by] + [limit] + (tables - 1) + #or + #like;
+    c2 = nested queries + set operations; oth = [aggregates > 1] + [select items > 1]
+    + [where conditions > 1] + [group-by columns > 1]. First matching level wins:
+    easy c1<=1, oth=0, c2=0; medium (oth<=2, c1<=1, c2=0) or (c1<=2, oth<2, c2=0);
+    hard (oth>2, c1<=2, c2=0) or (2<c1<=3, oth<=2, c2=0) or (c1<=1, oth=0, c2<=1); else extra.
+    """
+    r = features.where(F.col("current_depth") == -1)
+
+    def flag(c):
+        return F.when(c, 1).otherwise(0)
+
+    c1 = (flag(F.col("W") > 0) + flag(F.col("G") > 0) + flag(F.col("O") > 0) + flag(F.col("L") > 0)
+          + F.greatest(F.col("tables") - 1, F.lit(0)) + F.col("or") + F.col("like") + F.col("not_like"))
+    c2 = F.col("N") + F.col("SO")
+    oth = (flag(F.col("Ag") > 1) + flag(F.coalesce(F.col("select_columns"), F.lit(0)) > 1)
+           + flag(F.coalesce(F.col("where_conditions"), F.lit(0)) > 1)
+           + flag(F.coalesce(F.col("groupby_columns"), F.lit(0)) > 1))
+    level = (F.when(F.col("parse_error").isNotNull(), "NA")
+             .when((c1 <= 1) & (oth == 0) & (c2 == 0), "easy")
+             .when(((oth <= 2) & (c1 <= 1) & (c2 == 0)) | ((c1 <= 2) & (oth < 2) & (c2 == 0)), "medium")
+             .when(((oth > 2) & (c1 <= 2) & (c2 == 0)) | ((c1 > 2) & (c1 <= 3) & (oth <= 2) & (c2 == 0))
+                   | ((c1 <= 1) & (oth == 0) & (c2 <= 1)), "hard")
+             .otherwise("extra"))
+    return r.select(key, level.alias("hardness"))
+
+
+def component_accuracy(gold: DataFrame, predictions: DataFrame, levels: DataFrame, key: str = "datapoint_id",
+                       gold_col: str = "sql_query", pred_col: str = "predicted") -> DataFrame:
+    """Per model, family and component: accuracy (matched / predicted, over pairs that
+    predict something), recall (matched / gold, over pairs whose gold has something) and F1,
+    per hardness level and overall ('all'). Elements are counted over all aligned subqueries."""
+    per_el, _, _ = element_presence(gold, predictions, key, gold_col, pred_col)
+    c = per_el.where(F.col("component").isNotNull()).groupBy(key, "model", "family", "component").agg(
+        F.sum("g").alias("label_total"), F.sum("p").alias("pred_total"), F.sum(F.col("g") * F.col("p")).alias("matched"))
+    c = c.join(levels, key, "left")
+    acc = F.when(F.col("pred_total") > 0, F.col("matched") / F.col("pred_total"))
+    rec = F.when(F.col("label_total") > 0, F.col("matched") / F.col("label_total"))
+    aggs = [F.avg(acc).alias("acc"), F.avg(rec).alias("rec"), F.count(F.lit(1)).alias("pairs")]
+    per_level = c.groupBy("model", "family", "component", "hardness").agg(*aggs)
+    overall = c.groupBy("model", "family", "component").agg(*aggs).withColumn("hardness", F.lit("all"))
+    out = per_level.unionByName(overall)
+    f1 = F.when((F.col("acc") + F.col("rec")) > 0, 2 * F.col("acc") * F.col("rec") / (F.col("acc") + F.col("rec")))
+    return out.select("model", "family", "component", "hardness", F.round("acc", PRECISION).alias("acc"),
+                      F.round("rec", PRECISION).alias("rec"), F.round(f1, PRECISION).alias("f1"), "pairs")
+
+
+def error_records(scores: DataFrame, predictions: DataFrame, key: str = "datapoint_id") -> DataFrame:
+    """One record per failed pair: gold query, prediction, db_path and the error
+    (prefixed 'gold:' or 'predicted:')."""
+    p = predictions.select(key, "model", F.col("gold").alias("query"), F.col("predicted").alias("prediction"),
+                           "db_path")
+    return scores.where(F.col("parse_error").isNotNull()).select(key, "model", F.col("parse_error").alias("error")) \
+        .join(p, [key, "model"]).select(key, "model", "query", "prediction", "db_path", "error")

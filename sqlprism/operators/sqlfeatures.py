@@ -47,6 +47,8 @@ def scope_stats(tokens: DataFrame, key="datapoint_id") -> DataFrame:
         (F.sum(F.when((F.col("lt") == ",") & (F.col("clause") == "select") & (F.col("p") == F.col("base_p"))
                       & (F.col("branch") == 0), 1).otherwise(0)) + 1).alias("select_items"),
         F.sum(F.when(is33 & (F.col("clause") == "where"), 1).otherwise(0)).alias("where_ops"),
+        (F.sum(F.when((F.col("lt") == ",") & (F.col("clause") == "groupby") & (F.col("p") == F.col("base_p"))
+                      & (F.col("branch") == 0), 1).otherwise(0)) + 1).alias("groupby_items"),
         F.max(F.col("depth")).alias("depth"),
         F.max("parent_scope").alias("parent_scope"),
         F.max("parent_branch").alias("parent_branch"),
@@ -68,7 +70,7 @@ def deep_stats(stats: DataFrame, key="datapoint_id") -> DataFrame:
     shallow SO / select_items / where_ops / W as ``sh_*`` columns.
     """
     keys = _keys(key)
-    fields = ["scope"] + SCOPE_FIELDS + ["select_items", "where_ops"]
+    fields = ["scope"] + SCOPE_FIELDS + ["select_items", "where_ops", "groupby_items"]
     per_query = stats.groupBy(*keys).agg(F.collect_list(F.struct(*fields)).alias("scopes"), *_query_signal_aggs())
     per_query = per_query.withColumn("parse_error", sqltokens.parse_error_expr())
     a = F.col("a")
@@ -84,7 +86,8 @@ def deep_stats(stats: DataFrame, key="datapoint_id") -> DataFrame:
     aggs += [F.when(F.count("d") > 0, F.count("d") - 1).alias("N"), F.max(F.col("d")["depth"]).alias("max_depth")]
     g = pairs.groupBy(*keys, "parse_error", a["scope"].alias("scope"), a["depth"].alias("depth"),
                       a["SO"].alias("sh_SO"), a["select_items"].alias("sh_select_items"),
-                      a["where_ops"].alias("sh_where_ops"), a["W"].alias("sh_W")).agg(*aggs)
+                      a["where_ops"].alias("sh_where_ops"), a["W"].alias("sh_W"),
+                      a["groupby_items"].alias("sh_groupby_items"), a["G"].alias("sh_G")).agg(*aggs)
     return g.withColumn("sql_query_depth", F.col("max_depth") - F.col("depth")).drop("max_depth")
 
 
@@ -154,6 +157,7 @@ def feature_rows(datapoints: DataFrame, key: str = "datapoint_id", sql_col: str
         F.when(parsed, category(TYPE_ABBRS, "counter")).alias("operatorTypes_category_counter"),
         F.when(~is_set, F.col("sh_select_items")).cast("long").alias("select_columns"),
         F.when(~is_set & (F.col("sh_W") > 0), F.col("sh_where_ops")).cast("long").alias("where_conditions"),
+        F.when(~is_set & (F.col("sh_G") > 0), F.col("sh_groupby_items")).cast("long").alias("groupby_columns"),
         F.col("sql_query_depth").cast("long").alias("sql_query_depth"),
         *[F.col(c).cast("long").alias(c) for c in OP_COLS + CLAUSE_ABBRS],
         *[F.col(c).cast("long").alias(c) for c in ("columns", "tables", "values", "SO", "N")],

@@ -638,3 +638,24 @@ def q_stack(spark, sf):
     """Share of each dataset within each structural category of whole queries."""
     r = stats.roots(corpus.features(spark, sf)).where(F.col("structural_category_name").isNotNull())
     return reports.stacked_shares(r, "structural_category_name", "dataset")
+
+
+# --- scoring details ------------------------------------------------------------------------------------
+
+@register("query_hardness")
+def q_hardness(spark, sf):
+    """Hardness level of every gold query."""
+    return match.hardness(corpus.features(spark, sf))
+
+
+@register("component_accuracy")
+def q_component_accuracy(spark, sf):
+    """Accuracy / recall / F1 per component, per hardness level and overall."""
+    levels = match.hardness(corpus.features(spark, sf))
+    return match.component_accuracy(corpus.datapoints(spark, sf), corpus.predictions(spark, sf), levels)
+
+
+@register("metric_error_records")
+def q_error_records(spark, sf):
+    """Error records of the pairs that could not be scored."""
+    return match.error_records(_pm(spark, sf), corpus.predictions(spark, sf))
