@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab
-from ..session import materialize
+from ..session import key_partitions, materialize
 from . import sqlfeatures, sqltokens
 
 GOLD = "__gold__"
@@ -45,7 +45,7 @@ def sql_sides(gold: DataFrame, predictions: DataFrame, key: str = "datapoint_id"
     """(key, model, sql) for gold (model = __gold__) and every prediction, partitioned by key."""
     g = gold.select(key, F.lit(GOLD).alias("model"), F.col(gold_col).alias("sql"))
     p = predictions.select(key, "model", F.col(pred_col).alias("sql"))
-    return g.unionByName(p).repartition(key)
+    return g.unionByName(p).repartition(key_partitions(gold.sparkSession), key)
 
 
 def _elements(tokens: DataFrame, scopes: DataFrame, keys: list[str]) -> DataFrame:

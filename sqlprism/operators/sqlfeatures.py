@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab
 from ..functions.columns import category
+from ..session import key_partitions
 from . import sqltokens
 
 OP_NAMES = vocab.operator_names()
@@ -137,7 +138,7 @@ def feature_rows(datapoints: DataFrame, key: str = "datapoint_id", sql_col: str
     aggregates and generates that all keep that partitioning.
     """
     keys = _keys(key)
-    dp = datapoints.select(*keys, sql_col, *carry).repartition(*keys)
+    dp = datapoints.select(*keys, sql_col, *carry).repartition(key_partitions(datapoints.sparkSession), *keys)
     t = tokens if tokens is not None else sqltokens.token_relation(dp, keys, sql_col, repartition=False)
     deep = deep_stats(scope_stats(t, keys), keys)
     deep = deep.withColumn("subquery_no", F.row_number().over(

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab
+from ..session import key_partitions
 
 CLAUSE_KEYWORDS = {"select": "select", "from": "from", "where": "where", "having": "having",
                    "limit": "limit", "group": "groupby", "order": "orderby"}
@@ -43,7 +44,7 @@ def tokenize(df: DataFrame, key: str | list[str] = "datapoint_id", sql_col: str
     keys = [key] if isinstance(key, str) else list(key)
     src = df.select(*keys, sql_col)
     if repartition:
-        src = src.repartition(*keys)
+        src = src.repartition(key_partitions(df.sparkSession), *keys)
     nq = F.length(sql_col) - F.length(F.regexp_replace(sql_col, "'", ""))
     toks = src.select(*keys, nq.alias("nq"),
                       F.posexplode(F.regexp_extract_all(F.col(sql_col), F.lit(vocab.TOKEN_PATTERN), 0))

@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import key_partitions
+
 WORD = r"\p{L}+"
 SENTENCE_END = r"[.!?\n]+"
 # --- fixed values: vowel letters for syllable counting (one syllable per vowel group) ---
@@ -64,7 +66,7 @@ def word_frequencies(texts: DataFrame) -> DataFrame:
     Texts are hash-partitioned by text_id once; the explode keeps that partitioning,
     so the (text_id, word) aggregate needs no second exchange.
     """
-    t = texts.select("text_id", "dataset", "split", "text").repartition("text_id")
+    t = texts.select("text_id", "dataset", "split", "text").repartition(key_partitions(texts.sparkSession), "text_id")
     toks = t.select("text_id", "dataset", "split", F.posexplode(words(F.lower("text"))).alias("pos", "word"))
     return toks.groupBy("text_id", "dataset", "split", "word").agg(F.count(F.lit(1)).alias("f"))
 
