@@ -188,3 +188,5 @@ ORACLES.update({
     "component_accuracy": match_oracle.component_accuracy_sql(),
     "metric_error_records": match_oracle.error_records_sql(),
 })
+
+ORACLES["text_dispersion"] = text_oracle.dispersion_sql()

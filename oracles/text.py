@@ -379,3 +379,22 @@ SELECT structural_category_name, dataset, n, 100.0::DOUBLE * n / sum(n) OVER (PA
 FROM (SELECT structural_category_name, dataset, count(*) AS n FROM features
       WHERE current_depth = -1 AND structural_category_name IS NOT NULL GROUP BY ALL)""",
     }
+
+
+def dispersion_sql() -> str:
+    return t(f"""
+SELECT x.text_id, x.dataset, x.split, d.gini_dispersion, d.evenness_dispersion FROM texts x LEFT JOIN (
+  SELECT text_id, round(avg(1 - (2 * kg / (f * N) - (f + 1) / f)), 9) AS gini_dispersion,
+         round(avg(ent / log2(f)), 9) AS evenness_dispersion
+  FROM (SELECT text_id, word, f, N, sum(k * gap) AS kg, sum(-(gap / N) * log2(gap / N)) AS ent
+        FROM (SELECT *, row_number() OVER (PARTITION BY text_id, word ORDER BY gap) AS k FROM (
+          SELECT text_id, word, N,
+                 coalesce(lead(pos) OVER (PARTITION BY text_id, word ORDER BY pos) - pos,
+                          N - pos + min(pos) OVER (PARTITION BY text_id, word)) AS gap,
+                 count(*) OVER (PARTITION BY text_id, word) AS f
+          FROM (SELECT *, count(*) OVER (PARTITION BY text_id) AS N FROM (
+                  SELECT text_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos
+                  FROM (SELECT text_id, regexp_extract_all(lower(text), {W}) AS w FROM texts))))
+          WHERE f >= 2)
+        GROUP BY text_id, word, f, N)
+  GROUP BY text_id) d USING (text_id)""")

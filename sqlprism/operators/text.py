@@ -288,3 +288,39 @@ def schema_reference_percentage(refs: DataFrame, sql_elements: DataFrame, parse_
     ok = F.col("referenced").isNotNull() & F.col("parse_error").isNull() & (F.coalesce("n_sql", F.lit(0)) > 0)
     pct = F.when(ok, 100.0 * F.coalesce("inter", F.lit(0)) / F.col("n_sql"))
     return base.select(key, F.round(pct, PRECISION).alias("referenced_schema_elements_percentage"))
+
+
+def dispersion(texts: DataFrame) -> DataFrame:
+    """Gini-based and evenness-based dispersion per text, hapaxes excluded.
+
+    For a type seen f >= 2 times at token positions p1 < ... < pf of a text of N tokens, the
+    circular gaps are p(i+1) - p(i) and N - pf + p1 (they sum to N). Gini-based dispersion is
+    the mean over types of 1 - Gini(gaps), with Gini = 2 sum(k g(k)) / (f N) - (f + 1) / f over
+    the gaps sorted ascending; evenness-based dispersion is the mean over types of
+    entropy(gaps / N) / log2 f. Null for a text without repeated types.
+
+    The windows are keyed by (text_id, word) after one exchange by text_id.
+    """
+    t = texts.select("text_id", "dataset", "split", "text").repartition(key_partitions(texts.sparkSession),
+                                                                         "text_id")
+    toks = t.select("text_id", "dataset", "split", F.posexplode(words(F.lower("text"))).alias("pos", "word"))
+    toks = toks.withColumn("N", F.count(F.lit(1)).over(Window.partitionBy("text_id")))
+    w = Window.partitionBy("text_id", "word").orderBy("pos")
+    wall = Window.partitionBy("text_id", "word")
+    g = toks.select("text_id", "dataset", "split", "word", "N",
+                    F.coalesce(F.lead("pos").over(w) - F.col("pos"),
+                               F.col("N") - F.col("pos") + F.min("pos").over(wall)).alias("gap"),
+                    F.count(F.lit(1)).over(wall).alias("f"))
+    g = g.where(F.col("f") >= 2)
+    k = F.row_number().over(Window.partitionBy("text_id", "word").orderBy("gap"))
+    g = g.withColumn("k", k)
+    share = F.col("gap") / F.col("N")
+    per_type = g.groupBy("text_id", "dataset", "split", "word", "f", "N").agg(
+        F.sum(F.col("k") * F.col("gap")).alias("kg"), F.sum(-share * F.log2(share)).alias("ent"))
+    gini = 2 * F.col("kg") / (F.col("f") * F.col("N")) - (F.col("f") + 1) / F.col("f")
+    per_type = per_type.select("text_id", "dataset", "split", (1 - gini).alias("gini_disp"),
+                               (F.col("ent") / F.log2("f")).alias("even_disp"))
+    out = per_type.groupBy("text_id", "dataset", "split").agg(
+        F.round(F.avg("gini_disp"), PRECISION).alias("gini_dispersion"),
+        F.round(F.avg("even_disp"), PRECISION).alias("evenness_dispersion"))
+    return texts.select("text_id", "dataset", "split").join(out, ["text_id", "dataset", "split"], "left")

@@ -659,3 +659,9 @@ def q_component_accuracy(spark, sf):
 def q_error_records(spark, sf):
     """Error records of the pairs that could not be scored."""
     return match.error_records(_pm(spark, sf), corpus.predictions(spark, sf))
+
+
+@register("text_dispersion")
+def q_dispersion(spark, sf):
+    """Gini-based and evenness-based dispersion per text."""
+    return text.dispersion(_texts(spark, sf))

@@ -62,3 +62,24 @@ def test_heap_tree_depth(spark):
     assert r.leaves == 13 - 6  # nodes 1..6 have children
     depths = [int(math.log2(k)) for k in range(1, 14)]
     assert abs(r.closeness_centrality - round(12 / sum(depths), 9)) < 1e-9
+
+
+def test_dispersion_brute_force(spark):
+    rows = ["a b a c a b d", "x y z"]
+    got = {r.text_id: r for r in text.dispersion(texts(spark, rows)).collect()}
+    w = rows[0].split()
+    n = len(w)
+    ginis, evens = [], []
+    for word in set(w):
+        pos = [i for i, x in enumerate(w) if x == word]
+        f = len(pos)
+        if f < 2:
+            continue
+        gaps = [pos[i + 1] - pos[i] for i in range(f - 1)] + [n - pos[-1] + pos[0]]
+        g = sorted(gaps)
+        gini = 2 * sum((k + 1) * v for k, v in enumerate(g)) / (f * n) - (f + 1) / f
+        ginis.append(1 - gini)
+        evens.append(-sum(v / n * math.log2(v / n) for v in gaps) / math.log2(f))
+    assert abs(got["t0"].gini_dispersion - sum(ginis) / len(ginis)) < 1e-8
+    assert abs(got["t0"].evenness_dispersion - sum(evens) / len(evens)) < 1e-8
+    assert got["t1"].gini_dispersion is None
