@@ -195,7 +195,10 @@ def component_scores(gold: DataFrame, predictions: DataFrame, key: str = "datapo
     g_sc = sc.where(F.col("model") == GOLD).drop("model").join(pairs, key)
     p_sc = sc.where(F.col("model") != GOLD)
     aligned = g_sc.join(p_sc, [key, "model", "depth", "i"], "full_outer")
-    grid = aligned.crossJoin(F.broadcast(component_rows(spark)))  # 47 static components
+    comps = F.array(*[F.struct(F.lit(f).alias("family"), F.lit(c).alias("component"))
+                      for f, cs in FAMILIES.items() for c in ["total"] + cs])
+    grid = aligned.select("*", F.explode(comps).alias("fc")).select(
+        *aligned.columns, "fc.family", "fc.component")  # 47 static components per aligned pair
     j = grid.join(counts, [key, "model", "depth", "i", "family", "component"], "left")
     jac = F.when(F.coalesce(F.col("uni"), F.lit(0)) == 0, F.lit(1.0)).otherwise(F.col("inter") / F.col("uni"))
     per_depth = j.groupBy(key, "model", "family", "component", "depth").agg(F.avg(jac).alias("d"))

@@ -104,8 +104,8 @@ def datapoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
     q = user_questions(spark, sf_dir)
-    n_conv = q.agg((F.max("conv_id") + 1).alias("n_conv"))
-    dp = o.crossJoin(F.broadcast(n_conv)).select(  # one-row scalar, broadcast
+    n_conv = q.agg((F.max("conv_id") + 1).alias("n_conv")).first()[0]  # one scalar
+    dp = o.withColumn("n_conv", F.lit(n_conv)).select(
         F.col("o_orderkey").alias("datapoint_id"),
         F.col("o_orderstatus").alias("dataset"),
         F.when(F.col("o_orderkey") % 10 == 0, "test").when(F.col("o_orderkey") % 10 == 1, "dev")
@@ -136,8 +136,8 @@ def predicted_sql(g, key, m):
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """datapoints x models: (datapoint_id, dataset, split, db_id, model, m, gold, predicted)."""
     dp = datapoints(spark, sf_dir)
-    models = spark.createDataFrame([(m,) for m in MODELS], "m int")
-    return dp.crossJoin(F.broadcast(models)).select(  # 3-row model list
+    dp = dp.withColumn("m", F.explode(F.array(*[F.lit(m) for m in MODELS])))  # 3 models per datapoint
+    return dp.select(
         "datapoint_id", "dataset", "split", "db_id", "db_path", "question",
         F.concat(F.lit("m"), F.col("m").cast("string")).alias("model"), "m",
         F.col("sql_query").alias("gold"),
