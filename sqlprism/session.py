@@ -63,9 +63,3 @@ def materialize(df):
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
-
-def key_partitions(spark) -> int:
-    """Partition count for a keyed repartition whose *output* is much larger than its input
-    (SQL strings -> tokens, texts -> words). An explicit count keeps AQE from coalescing the
-    small input shuffle into a few tasks that would then run all the downstream work."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
