@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -227,7 +228,7 @@ def _keep(batch: pa.RecordBatch):
     for row, last, data, offsets in text_blocks(batch.column("text")):
         words = find_words(data, offsets)
         spans = batch.column("gone").slice(row, last - row)
-        per_doc = pa.compute.fill_null(spans.value_lengths(), 0).to_numpy(zero_copy_only=False)
+        per_doc = pc.fill_null(spans.value_lengths(), 0).to_numpy(zero_copy_only=False)
         flat = spans.flatten()
         begin = words.first[np.repeat(np.arange(last - row), per_doc)] + flat.field(0).to_numpy(zero_copy_only=False)
         depth = np.zeros(len(words.starts) + 1, np.int64)
