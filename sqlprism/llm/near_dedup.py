@@ -79,7 +79,7 @@ def superminhash(elements: np.ndarray, doc: np.ndarray, documents: int, places:
     return sig.reshape(documents, places)
 
 
-_SIG_SCHEMA = "doc_id long, n_shingles long, set_a long, set_b long, sig binary"
+_SIG_SCHEMA = "doc_id long, row long, n_shingles long, set_a long, set_b long, sig binary"
 
 
 def _sign(batch: pa.RecordBatch):
@@ -95,14 +95,14 @@ def _sign(batch: pa.RecordBatch):
             total = np.concatenate([[U64(0)], np.cumsum(mix(elements ^ salt))])
             prints.append((total[at + sizes] - total[at]).view(np.int64))
         yield pa.RecordBatch.from_arrays(
-            [ids.slice(row, last - row), pa.array(sizes, pa.int64()), pa.array(prints[0]), pa.array(prints[1]),
+            [ids.slice(row, last - row), batch.column("row").slice(row, last - row), pa.array(sizes, pa.int64()), pa.array(prints[0]), pa.array(prints[1]),
              pa.array([s.tobytes() for s in sig], pa.binary())],
-            names=["doc_id", "n_shingles", "set_a", "set_b", "sig"])
+            names=["doc_id", "row", "n_shingles", "set_a", "set_b", "sig"])
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, sig) per row of ``docs``."""
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), _sign, _SIG_SCHEMA)
+    """(doc_id, row, n_shingles, set_a, set_b, sig) per row of ``docs``; row is the hash of the text."""
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), "text"), _sign, _SIG_SCHEMA)
 
 
 def _agree(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -144,7 +144,8 @@ def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) per row of ``docs`` (columns doc_id and text are read)."""
+    """(doc_id, row, n_shingles, component_id, kept) per row of ``docs`` (columns doc_id and text are read);
+    row is xxhash64 of the text."""
     signed = cut(signatures(docs))
     classes = (signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_a", "set_b", "n_shingles")
                .agg(F.min(F.struct("doc_id", "sig")).alias("m"))
@@ -181,12 +182,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         taken, pivots_a_round = taken + pivots_a_round, 2 * pivots_a_round
     label = classes.join(group.withColumnRenamed("node", "rep"), "rep", "left") \
                    .select("set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("linked"))
-    out = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(label, ["set_a", "set_b", "n_shingles"], "left")
-    return out.select("doc_id", "n_shingles",
+    out = signed.select("doc_id", "row", "n_shingles", "set_a", "set_b").join(label, ["set_a", "set_b", "n_shingles"], "left")
+    return out.select("doc_id", "row", "n_shingles",
                       F.when(F.col("doc_id").isNotNull(), F.coalesce("linked", "doc_id")).alias("component_id")) \
               .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def op4_superminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of near-duplicates of every document."""
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("row")
