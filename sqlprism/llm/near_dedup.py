@@ -15,11 +15,12 @@ union-find grouping (``op4_superminhash_near_dedup``).
    its places hold less than the next rank (early stopping).
 4. Bands of 4 places each: 31 bands of the 127 places find a pair of similarity 0.75 but for a chance of
    (1 - 0.75^4)^31 < 1e-5. In a bucket every member meets the bucket's smallest member (the pivot), a
-   number of pairs linear in the bucket. Buckets whose members are then still in several components
-   go through further rounds with twice as many pivots each, until every two members are in one
-   component or have met. No bucket is capped.
-5. A pair whose signatures agree in under half of the places (0.75 is six standard deviations
-   off) is no candidate; every other pair is confirmed on the full sets: 100 * |A n B| >= 75 * |A u B|.
+   number of pairs linear in the bucket; those whose signatures agree in 58 percent of the places (4.5
+   standard deviations below 0.75) tie the members into clusters. No bucket is capped.
+5. Clusters go to tasks in blocks of about 256 members, every two blocks of a cluster meeting in a task of their own.
+   There pairs that agree in 58 percent of the places are confirmed on the full sets, 100 * |A n B| >= 75 *
+   |A u B|, best first; pairs that other links of the task have already joined need no test. Members of one
+   bucket in different clusters are compared by signature in blocks of 1024, and the pairs found are confirmed too.
 6. Links between representatives are grouped by ``components`` and given back to all copies.
 
 Repeated rows: rows of one ``doc_id`` are separate members; each gets the component of its own set.
@@ -30,7 +31,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sqlprism.llm.blocks import U64, find_words, mix, sequence_hashes, stream, text_blocks, word_hashes
@@ -41,7 +42,8 @@ PLACES = 127
 BAND = 4
 BANDS = PLACES // BAND
 PERCENT = 75
-AGREE = PLACES // 2
+AGREE = PLACES * 29 // 50
+SIG_ROWS, SET_ROWS = 1024, 256
 
 
 def shingle_sets(column: pa.Array, size: int = SHINGLE):
@@ -105,81 +107,141 @@ def signatures(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), "text"), _sign, _SIG_SCHEMA)
 
 
+def _agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Number of equal places of every row of ``x`` with every row of ``y``."""
+    return np.stack([(row == y).sum(axis=1) for row in x]) if len(x) else np.zeros((0, len(y)), int)
+
+
+def _signatures_of(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, PLACES)
+
+
 def _agree(batch: pa.RecordBatch) -> pa.RecordBatch:
-    a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, PLACES) for c in ("sig_a", "sig_b"))
-    keep = pa.array((a == b).sum(axis=1) >= AGREE)
-    return batch.select(["a", "b"]).filter(keep)
+    a, b = (_signatures_of(batch.column(c)) for c in ("sig_a", "sig_b"))
+    return batch.select(["a", "b"]).filter(pa.array((a == b).sum(axis=1) >= AGREE))
+
+
+def _cross(group: pa.Table) -> pa.Table:
+    """Pairs of members of one bucket that lie in different clusters and may be similar."""
+    rep, cluster, block, band = (group.column(c).to_numpy() for c in ("rep", "cluster", "block", "band"))
+    lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
+    sig = _signatures_of(group.column("sig"))
+    order = np.argsort(band, kind="stable")
+    found = set()
+    for members in np.split(order, np.flatnonzero(np.diff(band[order])) + 1):
+        one, two = members[block[members] == lo], members[block[members] == hi]
+        r, c = np.nonzero((cluster[one][:, None] != cluster[two]) & (_agreement(sig[one], sig[two]) >= AGREE))
+        a, b = rep[one[r]], rep[two[c]]
+        found.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
+    return pa.table({n: pa.array([f[k] for f in sorted(found)], pa.int64()) for k, n in enumerate(("a", "b"))})
+
+
+def _similar(x: np.ndarray, y: np.ndarray) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= PERCENT * (len(x) + len(y) - both)
+
+
+def _links(group: pa.Table) -> pa.Table:
+    """Links that join the members of each cluster of the group, confirmed on full sets. Pairs are tried by
+    descending agreement, those already joined by other links of this group are passed over."""
+    rep, cluster, block = (group.column(c).to_numpy() for c in ("rep", "cluster", "block"))
+    lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
+    sig = _signatures_of(group.column("sig"))
+    sets = [np.frombuffer(s.as_buffer(), U64) for s in group.column("shingles")]
+    order = np.lexsort((rep, cluster))
+    found = []
+    for members in np.split(order, np.flatnonzero(np.diff(cluster[order])) + 1):
+        one, two = members[block[members] == lo], members[block[members] == hi]
+        agree = _agreement(sig[one], sig[two])
+        if lo == hi:
+            agree[np.tril_indices(len(one))] = 0
+        r, c = np.nonzero(agree >= AGREE)
+        first = np.argsort(-agree[r, c], kind="stable")
+        root = {i: i for i in members.tolist()}
+
+        def find(i, root=root):
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        for i, j in zip(one[r[first]].tolist(), two[c[first]].tolist(), strict=True):
+            a, b = find(i), find(j)
+            if a != b and _similar(sets[i], sets[j]):
+                root[a] = b
+                found.append((rep[i], rep[j]))
+    return pa.table({n: pa.array([f[k] for f in found], pa.int64()) for k, n in enumerate(("a", "b"))})
 
 
 def _sets(batch: pa.RecordBatch):
     ids = batch.column("doc_id")
     for row, last, sets in shingle_sets(batch.column("text")):
         yield pa.RecordBatch.from_arrays([ids.slice(row, last - row), pa.array([s.tobytes() for s in sets], pa.binary())],
-                                         names=["doc_id", "shingles"])
+                                         names=["rep", "shingles"])
 
 
 def _verify(batch: pa.RecordBatch) -> pa.RecordBatch:
-    keep = []
-    for x, y in zip(batch.column("set_x"), batch.column("set_y"), strict=True):
-        x, y = (np.frombuffer(s.as_buffer(), U64) for s in (x, y))
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+    keep = [_similar(*(np.frombuffer(s.as_buffer(), U64) for s in pair))
+            for pair in zip(batch.column("set_x"), batch.column("set_y"), strict=True)]
     return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of representatives whose full shingle sets reach the similarity."""
+def _tiles(rows: DataFrame, key: str, block_rows: int) -> DataFrame:
+    """Members of each ``key`` in hash blocks of about ``block_rows``, copied to every pair (lo, hi) of blocks."""
+    size = rows.groupBy(key).agg((1 + F.floor((F.count(F.lit(1)) - 1) / block_rows)).alias("blocks"))
+    return rows.join(size, key).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))) \
+        .withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))) \
+        .withColumn("lo", F.least("block", "j")).withColumn("hi", F.greatest("block", "j")).drop("j")
+
+
+def _bundled(tiles: DataFrame, key: str, block_rows: int) -> DataFrame:
+    """Keys of one block share groups (``bundle``), many to each; larger ones have groups of their ``own``."""
+    small = F.col("blocks") == 1
+    bundles = 1 + tiles.where(small).count() // block_rows
+    return tiles.withColumn("bundle", F.when(small, F.pmod(F.xxhash64(key), F.lit(bundles))).otherwise(-1)) \
+                .withColumn("own", F.when(~small, F.col(key)).otherwise(-1))
+
+
+def links_of(reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b): links between representatives (rep, sig) that join whatever similar ones can be joined."""
+    bands = reps.select("rep", F.explode(F.expr(
+        f"transform(sequence(0, {BANDS - 1}), k -> xxhash64(k, substring(sig, 1 + k * {2 * BAND}, {2 * BAND})))")).alias("band"))
+    pivots = bands.groupBy("band").agg(F.min("rep").alias("pivot"), F.max("rep").alias("other"), F.count(F.lit(1)).alias("n")) \
+                  .where("pivot <> other").drop("other")
+    members = cut(bands.join(pivots, "band"))
     sig = reps.select("rep", "sig")
-    near = pairs.join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a") \
-                .join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
-    near = cut(map_arrow(near.select("a", "b", "sig_a", "sig_b"), _agree, "a long, b long"))
-    needed = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(needed, "doc_id", "left_semi")
-    # a doc_id of several rows: the representative is the row whose set is the class's
-    sets = map_arrow(texts, _sets, "doc_id long, shingles binary").dropDuplicates(["doc_id", "shingles"])
-    sets = sets.where(F.octet_length("shingles") > 0)
-    full = near.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_x")), "a") \
-               .join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_y")), "b")
-    return map_arrow(full.select("a", "b", "set_x", "set_y"), _verify, "a long, b long").distinct()
+    stars = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    stars = stars.join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a") \
+                 .join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
+    near = map_arrow(stars.select("a", "b", "sig_a", "sig_b"), _agree, "a long, b long")
+    clusters = cut(components(near, "a", "b").withColumnRenamed("node", "rep").withColumnRenamed("component", "cluster"))
+
+    # similar members of one bucket in different clusters: looked for in buckets of three and more
+    marked = members.where("n > 2").select("band", "rep").join(clusters, "rep", "left") \
+                    .select("band", "rep", F.coalesce("cluster", "rep").alias("cluster"))
+    mixed = marked.groupBy("band").agg(F.min("cluster").alias("x"), F.max("cluster").alias("y")).where("x <> y").select("band")
+    tiles = _bundled(_tiles(cut(marked.join(mixed, "band")), "band", SIG_ROWS), "band", SIG_ROWS).join(sig, "rep")
+    cross = cut(tiles.groupBy("bundle", "own", "lo", "hi").applyInArrow(_cross, "a long, b long").distinct())
+
+    needed = clusters.select("rep").unionByName(cross.select(F.col("a").alias("rep"))).unionByName(cross.select(F.col("b").alias("rep"))).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(needed.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
+    sets = cut(map_arrow(texts, _sets, "rep long, shingles binary").where(F.octet_length("shingles") > 0).dropDuplicates(["rep", "shingles"]))
+
+    tiles = _bundled(_tiles(clusters, "cluster", SET_ROWS), "cluster", SET_ROWS).join(sig, "rep").join(sets, "rep")
+    within = tiles.groupBy("bundle", "own", "lo", "hi").applyInArrow(_links, "a long, b long")
+    full = cross.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("set_x")), "a") \
+                .join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("set_y")), "b")
+    return within.unionByName(map_arrow(full.select("a", "b", "set_x", "set_y"), _verify, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, row, n_shingles, component_id, kept) per row of ``docs`` (columns doc_id and text are read);
     row is xxhash64 of the text."""
     signed = cut(signatures(docs))
-    classes = (signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_a", "set_b", "n_shingles")
-               .agg(F.min(F.struct("doc_id", "sig")).alias("m"))
-               .select("set_a", "set_b", "n_shingles", F.col("m.doc_id").alias("rep"), F.col("m.sig").alias("sig")))
-    classes = cut(classes)
-    reps = classes.select("rep", "sig")
-    bands = reps.select("rep", F.explode(F.expr(
-        f"transform(sequence(0, {BANDS - 1}), k -> xxhash64(k, substring(sig, 1 + k * {2 * BAND}, {2 * BAND})))")).alias("band"))
-    pivots = bands.groupBy("band").agg(F.min("rep").alias("pivot"), F.max("rep").alias("other")).where("pivot <> other")
-    members = cut(bands.join(pivots.select("band", "pivot"), "band"))
-    pairs = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    links = cut(confirmed(pairs, reps, docs))
-    group = components(links, "a", "b")
-    taken, pivots_a_round = 1, 2
-    while True:
-        # members of buckets that still hold several components, ranked in their bucket
-        marked = members.join(group.withColumnRenamed("node", "rep"), "rep", "left") \
-                        .withColumn("component", F.coalesce("component", "rep"))
-        mixed = marked.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
-                                           F.count(F.lit(1)).alias("n")).where(f"lo <> hi AND n > {taken + 1}")
-        open_members = cut(marked.join(mixed.select("band", "n"), "band").withColumn(
-            "place", F.row_number().over(Window.partitionBy("band").orderBy("rep"))))
-        if open_members.isEmpty():
-            break
-        heads = open_members.where(f"place > {taken} AND place <= {taken + pivots_a_round}") \
-                            .select("band", F.col("rep").alias("a"), F.col("component").alias("ca"))
-        pairs = open_members.where("place > 1").select("band", F.col("rep").alias("b"), F.col("component").alias("cb")) \
-                            .join(heads, "band").where("a <> b AND ca <> cb") \
-                            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = cut(confirmed(pairs, reps, docs))
-        if not found.isEmpty():
-            links = links.unionByName(found).distinct()
-            group = components(links, "a", "b")
-        taken, pivots_a_round = taken + pivots_a_round, 2 * pivots_a_round
+    classes = cut(signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_a", "set_b", "n_shingles")
+                  .agg(F.min(F.struct("doc_id", "sig")).alias("m"))
+                  .select("set_a", "set_b", "n_shingles", F.col("m.doc_id").alias("rep"), F.col("m.sig").alias("sig")))
+    group = components(links_of(classes.select("rep", "sig"), docs), "a", "b")
     label = classes.join(group.withColumnRenamed("node", "rep"), "rep", "left") \
                    .select("set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("linked"))
     out = signed.select("doc_id", "row", "n_shingles", "set_a", "set_b").join(label, ["set_a", "set_b", "n_shingles"], "left")
