@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from sqlprism.session import ensure_checkpoint_dir
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -24,9 +27,17 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once, without its lineage: written as Parquet below the folder of
     ``spark.checkpoint.dir`` (columnar and compressed, unlike ``checkpoint()``) and read back."""
-    path = shared_folder(df.sparkSession, "cut")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, shared_folder(df.sparkSession, "cut")
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")  # the shuffle files behind a finished table are of no more use
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN)
+        else:
+            spark.conf.set(_CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def remainder(column: str, modulus: int):

@@ -11,15 +11,15 @@ words that decided it (its own and those of neighbours that were looked at) are
 where that interval lies inside a window, every copy of the window holds the same symbol at the same
 place. Where a document's edge decided, the interval counts as outside every window.
 
-1. Round one over Spark: every window is keyed by one symbol: of the highest level that has a decided
-   symbol inside the window, the one of least hash. Only a key that occurs twice in the corpus can
-   stand for a repeated window; words themselves are level 0, so every window has a key. One row per
-   symbol occurrence goes to the shuffle, with the range of windows that it keys.
-2. Round two: occurrences of shared keys meet their texts again. Occurrences with the same key, the
-   same place in their windows and the same words (two independent 64-bit hashes) form a class; all
-   windows of members but the earliest are repeats. Windows of the earliest members, of which there
-   is one row per class, are then compared word sequence by word sequence (128 bits of hash).
-3. The removed ranges join their documents, where the words that remain are written out.
+1. Round one over Spark: every window is keyed by two neighbouring symbols of the highest level that are decided
+   inside the window, those of least hash (by one symbol, or one of a lower level, where there is no such pair;
+   words themselves are level 0, so every window has a key). Only a key that occurs twice in the corpus can stand for
+   a repeated window. One row per key occurrence goes to the shuffle, with the range of windows that it keys.
+2. Occurrences of a shared key with the same place in their windows and the same words (64-bit hashes of key and
+   of words) form a class; all windows of members but the earliest are repeats.
+3. Round two: where a key has several classes, the windows of the classes' earliest members are read from their
+   texts and compared one by one, by the hash of their words together with the key and its place.
+4. The removed ranges join their documents, where the words that remain are written out.
 
 Groups are only ever aggregated and joined back, never gathered, so a passage in a third of all
 documents costs one slim row per occurrence.
@@ -41,8 +41,9 @@ from sqlprism.llm.blocks import U64, find_words, mix, sequence_hashes, stream, t
 from sqlprism.llm.common import cut, map_arrow, table
 
 WINDOW = 20
-ROUNDS = 6
-RUN_ROUNDS = (0, 2)
+ROUNDS = 3
+RUN_ROUNDS = (0,)
+GRAMS = 2
 _LAST = (1 << 63) - 1
 
 
@@ -101,12 +102,16 @@ def recompress(sym: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS):
         yield sym, lo, hi
 
 
-def window_keys(hashes: np.ndarray, first: np.ndarray, width: int = WINDOW, rounds: int = ROUNDS):
+def window_keys(hashes: np.ndarray, first: np.ndarray, width: int = WINDOW, rounds: int = ROUNDS, grams: int = GRAMS):
     """Runs of consecutive windows keyed by one symbol occurrence: arrays (key, doc, first start, windows,
     offset of the key's interval in the first window), starts counted in the document."""
     counts = np.diff(first)
     doc = np.repeat(np.arange(len(counts)), counts)
     levels = list(recompress(hashes, doc, rounds))
+    sym, lo, hi = levels[-1]
+    for k in range(2, grams + 1):  # neighbouring symbols of the highest level together say more than one
+        if len(sym) >= k:
+            levels.append((sequence_hashes(sym, k, 70 + k), lo[:len(lo) - k + 1], hi[k - 1:]))
     n_windows = np.maximum(counts - width + 1, 0)
     total = int(n_windows.sum())
     wdoc = np.repeat(np.arange(len(counts)), n_windows)
@@ -136,91 +141,79 @@ def window_keys(hashes: np.ndarray, first: np.ndarray, width: int = WINDOW, roun
     return key[at], wdoc[at], start[at], np.diff(np.append(at, total)), (where - coordinate)[at]
 
 
+def _ragged(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[i], first[i] + 1, .. (count[i] of them) for all i in a row."""
+    at = np.cumsum(count) - count
+    return np.arange(int(count.sum())) - np.repeat(at, count) + np.repeat(first, count)
+
+
+def _span_hashes(hashes: np.ndarray, begin: np.ndarray, wide: np.ndarray) -> np.ndarray:
+    """Hash of the words begin[i] .. begin[i] + wide[i] - 1 for all i."""
+    if not len(begin):
+        return np.zeros(0, U64)
+    power = np.cumprod(np.full(int(wide.max()), stream(51, 1)[0] | U64(1)))
+    at = np.cumsum(wide) - wide
+    return mix(np.add.reduceat(hashes[_ragged(begin, wide)] * power[_ragged(np.zeros(len(wide), np.int64), wide)], at))
+
+
 def _occurrences(batch: pa.RecordBatch):
     ids, rows = batch.column("doc_id"), batch.column("row")
     for row, last, data, offsets in text_blocks(batch.column("text")):
         words = find_words(data, offsets)
-        key, doc, start, n, offset = window_keys(word_hashes(words), words.first)
+        key, doc, start, n, place = window_keys(word_hashes(words), words.first)
+        covered = _span_hashes(word_hashes(words, 2), words.first[doc] + start, n + WINDOW - 1)
         take = pa.array(doc + row)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(key.view(np.int64)), ids.take(take), rows.take(take), pa.array(start, pa.int32()),
-             pa.array(n, pa.int32()), pa.array(offset, pa.int32())],
-            names=["key", "doc_id", "row", "start", "n", "place"])
+            [pa.array(key.view(np.int64)), pa.array(covered.view(np.int64)), ids.take(take), rows.take(take), pa.array(start, pa.int32()),
+             pa.array(n, pa.int16()), pa.array(place, pa.int16())],
+            names=["key", "covered", "doc_id", "row", "start", "n", "place"])
+
 
+_OCCURRENCE = "key long, covered long, doc_id long, row int, start int, n short, place short"
 
-def _spans(batch: pa.RecordBatch):
-    """One row per occurrence of a shared key, with the hashes of all words that its windows cover, and of
-    each window."""
+
+def _windows(batch: pa.RecordBatch):
+    """One row per window of the ranges ``found`` in each text: the key and its place in the window, the window's hash."""
     ids, rows, found = batch.column("doc_id"), batch.column("row"), batch.column("found")
     for row, last, data, offsets in text_blocks(batch.column("text")):
         words = find_words(data, offsets)
-        spans = found.slice(row, last - row)
-        per_doc = spans.value_lengths().to_numpy()
-        flat = spans.flatten()
-        key, start, n, place = (flat.field(k).to_numpy() for k in range(4))
-        doc = np.repeat(np.arange(last - row), per_doc)
-        begin = words.first[doc] + start
-        wide = n + WINDOW - 1
-        prints, windows = [], []
-        for seed in (1, 2):
-            hashes = word_hashes(words, seed)
-            power = np.cumprod(np.full(int(wide.max(initial=0)), stream(50 + seed, 1)[0] | U64(1)))
-            at = np.cumsum(wide) - wide
-            within = np.arange(int(wide.sum())) - np.repeat(at, wide)
-            terms = hashes[within + np.repeat(begin, wide)] * power[within]
-            prints.append(mix(np.add.reduceat(terms, at)).view(np.int64) if len(at) else np.zeros(0, np.int64))
-            grams = sequence_hashes(hashes, WINDOW, 60 + seed)
-            at = np.cumsum(n) - n
-            within = np.arange(int(n.sum())) - np.repeat(at, n)
-            windows.append(grams[within + np.repeat(begin, n)])
-        blob = np.stack(windows, axis=1).astype("<u8").tobytes() if len(n) else b""
-        cuts = np.append(0, np.cumsum(n)) * 16
-        take = pa.array(doc + row)
+        ranges = found.slice(row, last - row)
+        doc = np.repeat(np.arange(last - row), ranges.value_lengths().to_numpy())
+        key, start, n, place = (ranges.flatten().field(k).to_numpy() for k in range(4))
+        n = n.astype(np.int64)
+        step = _ragged(np.zeros(len(n), np.int64), n)
+        grams = sequence_hashes(word_hashes(words, 2), WINDOW, 60)
+        begin = _ragged(words.first[doc] + start, n)
+        take = pa.array(np.repeat(doc + row, n))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(key), ids.take(take), rows.take(take), pa.array(start, pa.int32()), pa.array(n, pa.int32()),
-             pa.array(place, pa.int32()), pa.array(prints[0]), pa.array(prints[1]),
-             pa.array([blob[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())],
-            names=["key", "doc_id", "row", "start", "n", "place", "words_a", "words_b", "windows"])
-
-
-def _windows(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """One row per window of the given occurrences."""
-    n = batch.column("n").to_numpy()
-    hashes = np.frombuffer(b"".join(batch.column("windows").to_pylist()), np.int64).reshape(-1, 2)
-    take = np.repeat(np.arange(len(n)), n)
-    step = np.arange(len(take)) - np.repeat(np.cumsum(n) - n, n)
-    index = pa.array(take)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(hashes[:, 0]), pa.array(hashes[:, 1]), batch.column("doc_id").take(index),
-         batch.column("row").take(index), pa.array(batch.column("start").to_numpy()[take] + step, pa.int32())],
-        names=["a", "b", "doc_id", "row", "start"])
+            [pa.array(np.repeat(key, n)), pa.array((np.repeat(place, n) - step).astype(np.int32)), pa.array(grams[begin].view(np.int64)),
+             ids.take(take), rows.take(take), pa.array((np.repeat(start, n) + step).astype(np.int32))],
+            names=["key", "place", "window", "doc_id", "row", "start"])
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """(doc_id, row, start, n): ``n`` consecutive windows from ``start`` on that start earlier too, of the
     rows (doc_id, row, text) of ``docs``; null ids as the largest long."""
-    found = cut(map_arrow(docs.where("text IS NOT NULL"), _occurrences,
-                          "key long, doc_id long, row long, start int, n int, place int"))
-    shared = found.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("key")
-    by_doc = found.join(shared, "key").groupBy("doc_id", "row").agg(
-        F.array_distinct(F.collect_list(F.struct("key", "start", "n", "place"))).alias("found"))
-    spans = cut(map_arrow(docs.join(by_doc, ["doc_id", "row"]).select("doc_id", "row", "text", "found"), _spans,
-                          "key long, doc_id long, row long, start int, n int, place int, words_a long, words_b long, windows binary"))
-    same = ["key", "n", "place", "words_a", "words_b"]
-    slim = spans.select(*same, "doc_id", "row", "start")
-    earliest = slim.groupBy(*same).agg(F.min(F.struct("doc_id", "start")).alias("e")) \
-                   .select(*same, F.col("e.doc_id").alias("e_doc"), F.col("e.start").alias("e_start"))
-    later = slim.join(earliest, same).where("doc_id <> e_doc OR start <> e_start").select("doc_id", "row", "start", "n")
-    heads = spans.join(earliest.select(*same, F.col("e_doc").alias("doc_id"), F.col("e_start").alias("start")),
-                       [*same, "doc_id", "start"], "left_semi").select("doc_id", "row", "start", "n", "windows")
-    # distinct: rows of one doc_id and text have the same windows
-    windows = map_arrow(heads, _windows, "a long, b long, doc_id long, row long, start int")
-    windows = cut(windows)
-    first = windows.groupBy("a", "b").agg(F.min(F.struct("doc_id", "start")).alias("e"), F.max(F.struct("doc_id", "start")).alias("l")) \
-                   .where("e <> l").select("a", "b", F.col("e.doc_id").alias("e_doc"), F.col("e.start").alias("e_start"))
-    again = windows.join(first, ["a", "b"]).where("doc_id <> e_doc OR start <> e_start") \
-                   .select("doc_id", "row", "start", F.lit(1).alias("n"))
-    return later.unionByName(again)
+    found = cut(map_arrow(docs.where("text IS NOT NULL"), _occurrences, _OCCURRENCE))
+    keys = found.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("key")
+    shared = cut(found.join(keys, "key"))
+    same = ["key", "covered", "n", "place"]
+    classes = cut(shared.groupBy(*same).agg(F.min(F.struct("doc_id", "start")).alias("e"), F.count(F.lit(1)).alias("times")))
+    earliest = classes.where("times > 1").select(*same, F.col("e.doc_id").alias("e_doc"), F.col("e.start").alias("e_start"))
+    later = cut(shared.join(earliest, same).where("doc_id <> e_doc OR start <> e_start").select("doc_id", "row", "start", "n"))
+    # keys with several classes: windows of the classes' earliest members, compared one by one
+    mixed = classes.groupBy("key").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1").select("key")
+    heads = shared.join(classes.join(mixed, "key").select(*same, F.col("e.doc_id").alias("doc_id"), F.col("e.start").alias("start")),
+                        [*same, "doc_id", "start"], "left_semi")
+    by_doc = heads.groupBy("doc_id", "row").agg(F.array_distinct(F.collect_list(F.struct("key", "start", "n", "place"))).alias("found"))
+    windows = cut(map_arrow(docs.join(by_doc, ["doc_id", "row"]).select("doc_id", "row", "text", "found"), _windows,
+                            "key long, place int, window long, doc_id long, row int, start int"))
+    same = ["key", "place", "window"]
+    first = windows.groupBy(*same).agg(F.min(F.struct("doc_id", "start")).alias("e"), F.max(F.struct("doc_id", "start")).alias("l")) \
+                   .where("e <> l").select(*same, F.col("e.doc_id").alias("e_doc"), F.col("e.start").alias("e_start"))
+    again = windows.join(first, same).where("doc_id <> e_doc OR start <> e_start") \
+                   .select("doc_id", "row", "start", F.lit(1).cast("short").alias("n"))
+    return later.unionByName(cut(again))
 
 
 def _keep(batch: pa.RecordBatch):
@@ -251,7 +244,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """(whole, kept, n_words, n_removed) per row of ``docs``: the row as a struct, its remaining text, counts."""
     keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("whole")).select(
         F.coalesce(F.col("whole.doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"),
-        F.xxhash64("whole.text").alias("row"), F.col("whole.text").alias("text"), "whole")
+        F.hash("whole.text").alias("row"), F.col("whole.text").alias("text"), "whole")
     gone = repeated_windows(keyed.select("doc_id", "row", "text")) \
         .groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "n")).alias("gone"))
     out = keyed.join(gone, ["doc_id", "row"], "left").select("whole", "text", "gone")
