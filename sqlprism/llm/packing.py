@@ -13,7 +13,8 @@ power-of-two lengths, which need no padding. Tasks pack on their own, without a
 numbers carry the task's partition number in the high bits, and a task that runs again after a loss
 packs the same rows in the same order.
 
-Words between ASCII white space are encoded once per worker and kept in a table of bounded size: white
+Words between ASCII white space are told apart by hash within a block of texts, encoded once per worker and kept
+(by their bytes) in a table of bounded size: white
 space is dropped before words are split off, so a text's ids are its words' ids in a row (A-Z are
 lower-cased first, as the tokenizer does, unless the text holds the opening of a special token).
 
@@ -26,6 +27,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +35,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sqlprism.llm.blocks import find_words, text_blocks, word_hashes
 from sqlprism.llm.common import table
 
 WINDOW = 4096
 END_ID = 2
 TABLE_WORDS = 400_000
+ENCODE_BYTES = 4 << 20
 
 _TAIL = re.compile(rb"(.*[A-Za-z0-9])([.,;:!?*$%#&|]+)\Z", re.S)
 
@@ -76,35 +80,47 @@ class WordTable:
         out.update((i, ids.tobytes()) for i, ids in zip(rest, self._ids([texts[i] for i in rest]), strict=True))
         return [out[i] for i in range(len(words))]
 
-    def learn(self, texts: list[list[bytes]]) -> dict[bytes, bytes]:
-        """A table that holds every word of ``texts``."""
+    def of(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each of some distinct words."""
         known = self.known
         if len(known) > TABLE_WORDS:
             known.clear()
-        new = set().union(*texts).difference(known)
+        new = {w for w in words if w not in known}
         # letters or digits and the ASCII marks behind them never share a token: encode the parts
         parts = {w: m.groups() for w in new if not w.isalnum() and (m := _TAIL.match(w))}
-        pieces = {p for ps in parts.values() for p in ps}
-        missing = list((pieces | new).difference(known, parts))
+        missing = list(new.union(*parts.values()).difference(known, parts))
         ids = dict(zip(missing, self._encode(missing), strict=True))
-        table = {**ids, **{w: b"".join([ids[p] if p in ids else known[p] for p in ps]) for w, ps in parts.items()}}
-        known.update((w, v) for w, v in table.items() if len(w) <= 64)
-        return known if all(len(w) <= 64 for w in table) else {**known, **table}
+        ids.update({w: b"".join([ids[p] if p in ids else known[p] for p in ps]) for w, ps in parts.items()})
+        known.update((w, v) for w, v in ids.items() if len(w) <= 64)
+        return [known[w] if w in known else ids[w] for w in words]
 
 
 _TABLES: dict[str, WordTable] = {}
 
 
-def encoded(texts: list[str | None], path: str) -> list[bytes]:
-    """Ids of each text, without special tokens and without the end id."""
+def encoded(column: pa.Array, path: str) -> Iterator[np.ndarray]:
+    """Ids of each text of a column, without special tokens and without the end id."""
     if path not in _TABLES:
         _TABLES[path] = WordTable(path)
-    split = []
-    for text in texts:
-        raw = (text or "").encode()
-        split.append((raw if b"<|" in raw else raw.lower()).split())
-    known = _TABLES[path].learn(split)
-    return [b"".join([known[w] for w in words]) for words in split]
+    for _, _, data, offsets in text_blocks(column, ENCODE_BYTES):
+        plain = find_words(data, offsets, lower=True)
+        raw = data.tobytes()
+        if b"<|" in raw:  # these texts keep their case
+            lowered = plain.data
+            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                if b"<|" in raw[a:b]:
+                    lowered[a:b] = data[a:b]
+        raw = plain.data.tobytes()
+        _, at, which = np.unique(word_hashes(plain), return_index=True, return_inverse=True)
+        ids = _TABLES[path].of([raw[a:b] for a, b in zip(plain.starts[at].tolist(), plain.ends[at].tolist(), strict=True)])
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        begin, count = (np.cumsum(size) - size)[which], size[which]
+        place = np.cumsum(count) - count
+        joined = flat[np.arange(int(count.sum())) + np.repeat(begin - place, count)]
+        first = np.append(0, np.cumsum(count))[plain.first]
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            yield joined[a:b]
 
 
 class SumOfSquares:
@@ -185,7 +201,7 @@ class SumOfSquares:
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, keep_ids: bool = True) -> DataFrame:
     """One row per piece: its document, the piece's ids (little-endian 32-bit), and its sequence and offset there."""
 
     def run(batches):
@@ -202,22 +218,23 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
         def piece_rows(placed):
             for (doc_id, ids), start, length, sequence, offset in placed:
                 raw = ids[4 * start:4 * (start + length)]
-                yield doc_id, start, length, zlib.crc32(raw), len(ids) // 4, sequence, offset, raw
+                yield doc_id, start, length, zlib.crc32(raw), len(ids) // 4, sequence, offset, raw if keep_ids else None
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                rows = []
-                for doc_id, ids in zip(some.column(0).to_pylist(), encoded(some.column(1).to_pylist(), tokenizer), strict=True):
-                    ids += end
-                    size = len(ids) // 4
-                    whole = size - size % window
-                    for start in range(0, whole, window):
-                        rows += piece_rows(packer.sequence([((doc_id, ids), start, window)]))
-                    if size > whole:
-                        rows += piece_rows(packer.place((doc_id, ids), whole, size - whole))
-                if rows:
+            rows = []
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoded(batch.column(1), tokenizer), strict=True):
+                ids = ids.tobytes() + end
+                size = len(ids) // 4
+                whole = size - size % window
+                for start in range(0, whole, window):
+                    rows += piece_rows(packer.sequence([((doc_id, ids), start, window)]))
+                if size > whole:
+                    rows += piece_rows(packer.place((doc_id, ids), whole, size - whole))
+                if len(rows) >= 512:
                     yield batch_of(rows)
+                    rows = []
+            if rows:
+                yield batch_of(rows)
         yield batch_of(list(piece_rows(packer.close())))
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
@@ -228,4 +245,4 @@ def op1_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents")
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), keep_ids=False).drop("ids")
