@@ -71,8 +71,9 @@ def text_blocks(column: pa.Array, block_bytes: int = BLOCK_BYTES) -> Iterator[tu
         row = last
 
 
-def find_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
-    """Words of the documents ``data[offsets[d]:offsets[d+1]]``; ``lower`` maps A-Z to a-z."""
+def find_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, cuts: np.ndarray | None = None) -> Words:
+    """Words of the documents ``data[offsets[d]:offsets[d+1]]``; ``lower`` maps A-Z to a-z, ``cuts`` marks bytes in
+    front of which a word is cut in two."""
     n = len(data)
     if lower:
         data = _LOWER[data]
@@ -81,6 +82,8 @@ def find_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Wo
     np.logical_not(_SPACE[data], out=solid[1:-1])
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
+    if cuts is not None:
+        edge[:-1] |= cuts
     starts = np.flatnonzero(solid[1:-1] & (~solid[:-2] | edge[:-1]))
     ends = np.flatnonzero(solid[1:-1] & (~solid[2:] | edge[1:])) + 1
     return Words(data, starts, ends, np.searchsorted(starts, offsets))

@@ -25,7 +25,6 @@ empty table gives no rows. Columns other than doc_id and text are not read.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -43,7 +42,9 @@ END_ID = 2
 TABLE_WORDS = 400_000
 ENCODE_BYTES = 4 << 20
 
-_TAIL = re.compile(rb"(.*[A-Za-z0-9])([.,;:!?*$%#&|]+)\Z", re.S)
+_MARK, _ALNUM = np.zeros(256, bool), np.zeros(256, bool)
+_MARK[list(b".,;:!?*$%#&")] = True
+_ALNUM[[c for c in range(128) if chr(c).isalnum()]] = True
 
 
 class WordTable:
@@ -66,33 +67,34 @@ class WordTable:
     def _encode(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word. Words of letters only end in exactly one word-end piece, so many of them are
         encoded as one text and told apart by those pieces."""
-        out: dict[int, bytes] = {}
         texts = [w.decode() for w in words]
-        plain = [i for i, t in enumerate(texts) if t.isalpha() and max(t) < "\u0250"]
-        for at in range(0, len(plain), 500):
-            some = plain[at:at + 500]
+        letters = [w.isalpha() or (t.isalpha() and max(t) < "\u0250") for w, t in zip(words, texts, strict=True)]
+        out: list[bytes | None] = [None] * len(words)
+        plain = [i for i, x in enumerate(letters) if x]
+        for at in range(0, len(plain), 1000):
+            some = plain[at:at + 1000]
             ids = self._ids([" ".join([texts[i] for i in some])])[0]
-            ends = np.flatnonzero(self.is_end[ids]) + 1
+            ends = (4 * (np.flatnonzero(self.is_end[ids]) + 1)).tolist()
             if len(ends) == len(some):
-                raw, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
-                out.update((i, raw[a:b]) for i, a, b in zip(some, cuts[:-1], cuts[1:], strict=True))
-        rest = [i for i in range(len(words)) if i not in out]
-        out.update((i, ids.tobytes()) for i, ids in zip(rest, self._ids([texts[i] for i in rest]), strict=True))
-        return [out[i] for i in range(len(words))]
+                raw, begin = ids.tobytes(), 0
+                for i, end in zip(some, ends, strict=True):
+                    out[i] = raw[begin:end]
+                    begin = end
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(rest, self._ids([texts[i] for i in rest]), strict=True):
+            out[i] = ids.tobytes()
+        return out
 
     def of(self, words: list[bytes]) -> list[bytes]:
         """Ids of each of some distinct words."""
         known = self.known
         if len(known) > TABLE_WORDS:
             known.clear()
-        new = {w for w in words if w not in known}
-        # letters or digits and the ASCII marks behind them never share a token: encode the parts
-        parts = {w: m.groups() for w in new if not w.isalnum() and (m := _TAIL.match(w))}
-        missing = list(new.union(*parts.values()).difference(known, parts))
-        ids = dict(zip(missing, self._encode(missing), strict=True))
-        ids.update({w: b"".join([ids[p] if p in ids else known[p] for p in ps]) for w, ps in parts.items()})
-        known.update((w, v) for w, v in ids.items() if len(w) <= 64)
-        return [known[w] if w in known else ids[w] for w in words]
+        new = [w for w in words if w not in known]
+        ids = dict(zip(new, self._encode(new), strict=True))
+        out = [ids[w] if w in ids else known[w] for w in words]
+        known.update(ids if all(len(w) <= 64 for w in new) else {w: i for w, i in ids.items() if len(w) <= 64})
+        return out
 
 
 _TABLES: dict[str, WordTable] = {}
@@ -103,7 +105,10 @@ def encoded(column: pa.Array, path: str) -> Iterator[np.ndarray]:
     if path not in _TABLES:
         _TABLES[path] = WordTable(path)
     for _, _, data, offsets in text_blocks(column, ENCODE_BYTES):
-        plain = find_words(data, offsets, lower=True)
+        # in front of ASCII marks behind an ASCII letter or digit there is always a split: fewer distinct words
+        cuts = np.zeros(len(data), bool)
+        cuts[1:] = _MARK[data[1:]] & _ALNUM[data[:-1]]
+        plain = find_words(data, offsets, lower=True, cuts=cuts)
         raw = data.tobytes()
         if b"<|" in raw:  # these texts keep their case
             lowered = plain.data
