@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from sqlprism.llm.common import table
 from sqlprism.llm.vectors import best, kth, search, usable
 
-ERROR = 2.5
+ERROR = 1.9
 NEAREST = 20
 
 
