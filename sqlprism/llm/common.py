@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +41,15 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by ``cut`` that nothing reads any more."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/cut-" in path:
+                fs, name = pafs.FileSystem.from_uri(path)
+                fs.delete_dir(name)
+
+
 def remainder(column: str, modulus: int):
     """crc32 of an id written as text, modulo ``modulus`` (null ids: crc32 of the empty text)."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % modulus
@@ -67,7 +77,7 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     the smallest node it knows, until the forest no longer changes (a number of rounds that
     grows with the logarithm of the longest path). Minima are aggregated before the shuffle and
     joined back, so that a node with very many links isn't gathered in one group. Each round's
-    links are checkpointed; nothing but their count and checksum reaches the driver. Null ends
+    links are written out, the last round's deleted; nothing but their count and checksum reaches the driver. Null ends
     are ignored.
     """
     links = (edges.select(F.col(left).alias("u"), F.col(right).alias("v"))
@@ -87,7 +97,8 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
         large = hook(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
-        links = cut(hook(small.select(F.col("v").alias("u"), F.col("m").alias("v"))
-                         .unionByName(least.select("u", F.col("m").alias("v")))))
+        old, links = links, cut(hook(small.select(F.col("v").alias("u"), F.col("m").alias("v"))
+                                     .unionByName(least.select("u", F.col("m").alias("v")))))
+        discard(old)
     return (links.select(F.col("u").alias("node"), F.col("v").alias("component"))
             .unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()))

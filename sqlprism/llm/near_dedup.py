@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sqlprism.llm.blocks import U64, find_words, mix, sequence_hashes, stream, text_blocks, word_hashes
-from sqlprism.llm.common import components, cut, map_arrow, table
+from sqlprism.llm.common import components, cut, discard, map_arrow, table
 
 SHINGLE = 5
 PLACES = 127
@@ -223,6 +223,7 @@ def links_of(reps: DataFrame, docs: DataFrame) -> DataFrame:
     tiles = _bundled(_tiles(cut(marked.join(mixed, "band")), "band", SIG_ROWS), "band", SIG_ROWS).join(sig, "rep")
     cross = cut(tiles.groupBy("bundle", "own", "lo", "hi").applyInArrow(_cross, "a long, b long").distinct())
 
+    discard(members)
     needed = clusters.select("rep").unionByName(cross.select(F.col("a").alias("rep"))).unionByName(cross.select(F.col("b").alias("rep"))).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(needed.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
     sets = cut(map_arrow(texts, _sets, "rep long, shingles binary").where(F.octet_length("shingles") > 0).dropDuplicates(["rep", "shingles"]))

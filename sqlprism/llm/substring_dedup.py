@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sqlprism.llm.blocks import U64, find_words, mix, sequence_hashes, stream, text_blocks, word_hashes
-from sqlprism.llm.common import cut, map_arrow, table
+from sqlprism.llm.common import cut, discard, map_arrow, table
 
 WINDOW = 20
 ROUNDS = 3
@@ -197,6 +197,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     found = cut(map_arrow(docs.where("text IS NOT NULL"), _occurrences, _OCCURRENCE))
     keys = found.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("key")
     shared = cut(found.join(keys, "key"))
+    discard(found)
     same = ["key", "covered", "n", "place"]
     classes = cut(shared.groupBy(*same).agg(F.min(F.struct("doc_id", "start")).alias("e"), F.count(F.lit(1)).alias("times")))
     earliest = classes.where("times > 1").select(*same, F.col("e.doc_id").alias("e_doc"), F.col("e.start").alias("e_start"))
@@ -208,12 +209,15 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     by_doc = heads.groupBy("doc_id", "row").agg(F.array_distinct(F.collect_list(F.struct("key", "start", "n", "place"))).alias("found"))
     windows = cut(map_arrow(docs.join(by_doc, ["doc_id", "row"]).select("doc_id", "row", "text", "found"), _windows,
                             "key long, place int, window long, doc_id long, row int, start int"))
+    discard(shared, classes)
     same = ["key", "place", "window"]
     first = windows.groupBy(*same).agg(F.min(F.struct("doc_id", "start")).alias("e"), F.max(F.struct("doc_id", "start")).alias("l")) \
                    .where("e <> l").select(*same, F.col("e.doc_id").alias("e_doc"), F.col("e.start").alias("e_start"))
     again = windows.join(first, same).where("doc_id <> e_doc OR start <> e_start") \
                    .select("doc_id", "row", "start", F.lit(1).cast("short").alias("n"))
-    return later.unionByName(cut(again))
+    again = cut(again)
+    discard(windows)
+    return later.unionByName(again)
 
 
 def _keep(batch: pa.RecordBatch):
