@@ -98,8 +98,9 @@ def word_hashes(words: Words, seed: int = 1) -> np.ndarray:
     within = np.arange(int(lengths.sum())) - np.repeat(at, lengths)
     values = _BYTE[seed][words.data[within + np.repeat(words.starts, lengths)]]
     values *= _POW[within & ((1 << _POW_BITS) - 1)]
-    if lengths.max() > 1 << _POW_BITS:  # longer words: a second power for the higher bits of the place
-        values = mix(values + (within >> _POW_BITS).astype(U64))
+    far = np.flatnonzero(within >> _POW_BITS)  # bytes deep in a long word: mixed with the higher bits of the place
+    if len(far):
+        values[far] = mix(values[far] + (within[far] >> _POW_BITS).astype(U64))
     return mix(np.add.reduceat(values, at) + lengths.astype(U64))
 
 
