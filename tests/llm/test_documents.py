@@ -197,7 +197,7 @@ def test_pipeline_stages(spark, docs, no_docs, texts, sf_dir):
 def test_pipeline_run(spark, sf_dir):
     import corpus_pipeline as cp
 
-    good = cp.good_quality(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf)
+    good = cp.good_quality(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     assert good.join(labels, "doc_id").where("quality = 0").count() <= 2
     assert labels.where("quality = 1").join(good, "doc_id", "left_anti").count() <= 2
