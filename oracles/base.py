@@ -1,7 +1,7 @@
 """Shared CTE text for the DuckDB oracles (fixtures, token relation, feature rows)."""
 
 from sqlprism.functions import vocab
-from sqlprism.sources.fixtures import DICTIONARY_EXTRA, N_DATABASES, SCHEMA_FKS, SCHEMA_TABLES
+from sqlprism.sources.fixtures import DICTIONARY_EXTRA, N_DATABASES, SCHEMA_TABLES
 
 
 def q(s: str) -> str:
@@ -15,14 +15,16 @@ def in_list(values) -> str:
 
 DATAPOINTS = """
 uq AS (
-  SELECT conv_id, arg_min(text, turn) AS question FROM conversations WHERE role = 'user' GROUP BY conv_id
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS turn_no,
+         count(*) OVER (PARTITION BY conv_id) AS turns, text AS question
+  FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL
 ),
 nconv AS (SELECT max(conv_id) + 1 AS n_conv FROM uq),
 dp0 AS (
   SELECT o_orderkey AS datapoint_id, o_orderstatus AS dataset,
          CASE WHEN o_orderkey % 10 = 0 THEN 'test' WHEN o_orderkey % 10 = 1 THEN 'dev' ELSE 'train' END AS split,
          concat('db_', CAST(o_custkey % 5 AS VARCHAR)) AS db_id,
-         o_orderkey % n_conv AS conv_id,
+         o_orderkey % n_conv AS conv_id, o_orderkey // n_conv AS pass_no,
          CASE o_orderkey % 12
          WHEN 0 THEN concat('select count(*) from orders where o_custkey = ', o_custkey)
          WHEN 1 THEN concat('select o_orderkey, o_totalprice from orders where o_totalprice > ', cast(floor(o_totalprice) as bigint), ' and o_orderstatus = ''', o_orderstatus, ''' order by o_totalprice desc limit 5')
@@ -41,7 +43,7 @@ dp0 AS (
 datapoints AS (
   SELECT d.datapoint_id, d.dataset, d.split, d.db_id, concat('databases/', d.db_id, '.json') AS db_path,
          uq.question, d.sql_query
-  FROM dp0 d LEFT JOIN uq ON d.conv_id = uq.conv_id
+  FROM dp0 d LEFT JOIN uq ON d.conv_id = uq.conv_id AND d.pass_no % uq.turns = uq.turn_no
 )"""
 
 PREDICTIONS = """
@@ -59,33 +61,28 @@ predictions AS (
 )"""
 
 
-def _schema_values():
-    tables, columns, fks = [], [], []
-    for k in range(N_DATABASES):
-        db = f"db_{k}"
-        kept = SCHEMA_TABLES[: len(SCHEMA_TABLES) - k]
-        columns.append(f"({q(db)}, 0, -1, '*', 'text')")
-        ci = 1
-        for ti, (tname, cols) in enumerate(kept):
-            tables.append(f"({q(db)}, {ti}, {q(tname)})")
-            for cname, ctype in cols:
-                columns.append(f"({q(db)}, {ci}, {ti}, {q(cname)}, {q(ctype)})")
-                ci += 1
-        for fk in SCHEMA_FKS:
-            fks.append("(" + ", ".join(q(x) for x in (db,) + fk) + ")")
-    return tables, columns, fks
-
-
 def schema_ctes() -> str:
-    tables, columns, fks = _schema_values()
-    counts = " UNION ALL ".join(f"SELECT {q(t)} AS table_name, count(*) AS n_rows FROM {t}" for t, _ in SCHEMA_TABLES)
+    counts = " UNION ALL ".join(f"SELECT {q(t)} AS table_name, {i} AS table_idx, count(*) AS n_rows FROM {t}" for i, t in enumerate(SCHEMA_TABLES))
     extra = ", ".join(f"({q(w)})" for w in DICTIONARY_EXTRA)
+    n = len(SCHEMA_TABLES)
     return f"""
-st0 AS (SELECT * FROM (VALUES {', '.join(tables)}) v(db_id, table_idx, table_name)),
 tcounts AS ({counts}),
-schema_tables AS (SELECT st0.db_id, st0.table_idx, st0.table_name, tcounts.n_rows FROM st0 LEFT JOIN tcounts USING (table_name)),
-schema_columns AS (SELECT * FROM (VALUES {', '.join(columns)}) v(db_id, col_idx, table_idx, column_name, column_type)),
-schema_fk_names AS (SELECT * FROM (VALUES {', '.join(fks)}) v(db_id, fk_table, fk_column, pk_table, pk_column)),
+dbs AS (SELECT k, 'db_' || k AS db_id FROM range({N_DATABASES}) r(k)),
+schema_tables AS (SELECT db_id, table_idx, table_name, n_rows FROM tcounts, dbs WHERE table_idx < {n} - k),
+dbcols AS (
+  SELECT c.table_name, t.table_idx, c.column_name, row_number() OVER (ORDER BY t.table_idx, c.ordinal_position) AS col_idx,
+         CASE c.data_type WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' ELSE lower(c.data_type) END AS column_type
+  FROM information_schema.columns c JOIN tcounts t USING (table_name)
+),
+schema_columns AS (
+  SELECT db_id, 0 AS col_idx, -1 AS table_idx, '*' AS column_name, 'text' AS column_type FROM dbs
+  UNION ALL SELECT db_id, col_idx, table_idx, column_name, column_type FROM dbcols, dbs WHERE table_idx < {n} - k
+),
+keycols AS (SELECT table_name, column_name, regexp_extract(column_name, '_([a-z]+)key$', 1) AS stem FROM dbcols),
+schema_fk_names AS (
+  SELECT db_id, f.table_name AS fk_table, f.column_name AS fk_column, p.table_name AS pk_table, p.column_name AS pk_column
+  FROM keycols f JOIN keycols p ON f.stem = p.stem AND f.stem <> '' AND starts_with(p.table_name, p.stem) AND f.table_name <> p.table_name, dbs
+),
 dict_words AS (
   SELECT DISTINCT word FROM (
     SELECT unnest(regexp_extract_all(lower(r_name), '\\p{{L}}+')) AS word FROM region

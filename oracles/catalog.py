@@ -125,8 +125,9 @@ SELECT b2.dataset, mean, med, q1, q3, iqr,
        min(CASE WHEN v >= q1 - 1.5 * iqr THEN v END) AS whislo, max(CASE WHEN v <= q3 + 1.5 * iqr THEN v END) AS whishi,
        med - 1.57 * iqr / sqrt(n) AS cilo, med + 1.57 * iqr / sqrt(n) AS cihi,
        sum(CASE WHEN v < q1 - 1.5 * iqr OR v > q3 + 1.5 * iqr THEN 1 ELSE 0 END) AS n_fliers,
-       coalesce(array_to_string(list_transform(list_sort(list_distinct(list(v) FILTER (WHERE v < q1 - 1.5 * iqr
-                OR v > q3 + 1.5 * iqr))), lambda x: CAST(x AS VARCHAR)), ','), '') AS flier_values
+       (SELECT coalesce(string_agg(CAST(x.v AS VARCHAR) || 'x' || CAST(x.c AS VARCHAR), ',' ORDER BY x.v), '')
+        FROM (SELECT dataset, v, count(*) AS c FROM d GROUP BY dataset, v) x
+        WHERE x.dataset = b2.dataset AND (x.v < b2.q1 - 1.5 * b2.iqr OR x.v > b2.q3 + 1.5 * b2.iqr)) AS fliers
 FROM d JOIN b2 USING (dataset) GROUP BY b2.dataset, mean, n, q1, med, q3, iqr"""),
     "structural_variety": _variety("structural_category_name", "structural_variety"),
     "operator_variety": _variety("operatorTypes_category_name", "operator_variety"),

@@ -1,6 +1,7 @@
 """DuckDB oracles for the question / text features and the schema profile."""
 
 from sqlprism.operators.text import HDD_SAMPLE, VOWELS
+from sqlprism.sources.fixtures import CLOSED_CLASS
 
 from . import base
 from .base import q
@@ -14,15 +15,8 @@ texts AS (
   FROM conversations WHERE role = 'user'
 )"""
 ANN = f"""
-closed AS (
-  SELECT form FROM (SELECT form, count(*) AS freq FROM (SELECT unnest(regexp_extract_all(lower(text), {W})) AS form
-                                                        FROM benchmark) GROUP BY form)
-  ORDER BY freq DESC, form ASC LIMIT 50
-),
 ref_words AS (
-  SELECT form, freq FROM (SELECT form, count(*) AS freq FROM (SELECT unnest(regexp_extract_all(lower(text), {W})) AS form
-                                                              FROM documents) GROUP BY form)
-  ORDER BY freq DESC, form ASC LIMIT 200
+  SELECT form, count(*) AS freq FROM (SELECT unnest(regexp_extract_all(lower(text), {W})) AS form FROM documents) GROUP BY form
 ),
 sents AS (
   SELECT text_id, unnest(s) AS sent, generate_subscripts(s, 1) - 1 AS sent_id
@@ -34,8 +28,8 @@ ann0 AS (
 ),
 ann AS (
   SELECT a.text_id, a.sent_id, a.p + 1 AS tok_id, a.form, lower(a.form) AS lemma,
-         CASE WHEN c.form IS NOT NULL THEN 'CLOSED' ELSE 'OPEN' END AS upos, CAST(floor((a.p + 1) / 2) AS INTEGER) AS head
-  FROM ann0 a LEFT JOIN closed c ON lower(a.form) = c.form
+         CASE WHEN lower(a.form) IN {base.in_list(CLOSED_CLASS)} THEN 'CLOSED' ELSE 'OPEN' END AS upos, CAST(floor((a.p + 1) / 2) AS INTEGER) AS head
+  FROM ann0 a
 )"""
 
 
@@ -153,9 +147,9 @@ dep AS (
 
 RAR = """
 rar AS (
-  SELECT a.text_id, round(avg(CASE WHEN r.form IS NULL THEN 1.0 ELSE 0.0 END), 9) AS rarity,
-         CAST(sum(CASE WHEN r.form IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS rare_words
-  FROM ann a LEFT JOIN ref_words r ON lower(a.form) = r.form WHERE a.upos = 'OPEN' GROUP BY a.text_id
+  SELECT a.text_id, round(avg(CASE WHEN a.upos <> 'OPEN' THEN NULL WHEN r.form IS NULL THEN 1.0 ELSE 0.0 END), 9) AS rarity,
+         CAST(sum(CASE WHEN a.upos = 'OPEN' AND r.form IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS rare_words
+  FROM ann a LEFT JOIN ref_words r ON lower(a.form) = r.form GROUP BY a.text_id
 ),
 dens AS (SELECT text_id, round(avg(CASE WHEN upos = 'OPEN' THEN 1.0 ELSE 0.0 END), 9) AS lexical_density
          FROM ann GROUP BY text_id)"""
@@ -222,18 +216,20 @@ def pct(src: str, col: str, pct_name: str) -> str:
 FROM (SELECT dataset, {col}, count(*) AS n FROM {src} WHERE {col} IS NOT NULL GROUP BY dataset, {col})"""
 
 
+E = r"'[\p{L}\p{N}]+'"
 REFS = f"""
-r_q AS (SELECT datapoint_id, db_id, ' ' || array_to_string(regexp_extract_all(lower(question), {W}), ' ') || ' ' AS qtext
+r_q AS (SELECT datapoint_id, db_id, ' ' || array_to_string(regexp_extract_all(lower(replace(question, '_', ' ')), {E}), ' ') || ' ' AS qtext
         FROM datapoints),
-r_el AS (SELECT DISTINCT db_id, element, ' ' || lower(replace(element, '_', ' ')) || ' ' AS pat FROM s_elements),
-r_hits AS (SELECT q.datapoint_id, list_sort(list_distinct(list(lower(e.element)))) AS refs
-           FROM r_q q JOIN r_el e USING (db_id) WHERE contains(q.qtext, e.pat) GROUP BY q.datapoint_id),
+r_el AS (SELECT DISTINCT db_id, lower(element) AS element,
+                ' ' || array_to_string(regexp_extract_all(lower(replace(element, '_', ' ')), {E}), ' ') || ' ' AS pat FROM s_elements),
+r_hits AS (SELECT q.datapoint_id, list_sort(list_distinct(list(e.element))) AS refs
+           FROM r_q q JOIN r_el e USING (db_id) WHERE e.pat <> '  ' AND contains(q.qtext, e.pat) GROUP BY q.datapoint_id),
 refs AS (
   SELECT d.datapoint_id,
     CAST(CASE WHEN s.db_id IS NOT NULL THEN len(coalesce(h.refs, [])) END AS BIGINT) AS referenced_schema_elements,
-    CASE WHEN s.db_id IS NOT NULL THEN array_to_string(coalesce(h.refs, []), ',') END AS referenced
+    CASE WHEN s.db_id IS NOT NULL THEN coalesce(h.refs, []) END AS referenced
   FROM datapoints d LEFT JOIN r_hits h USING (datapoint_id)
-  LEFT JOIN (SELECT DISTINCT db_id FROM r_el) s USING (db_id)
+  LEFT JOIN (SELECT DISTINCT db_id FROM s_elements) s USING (db_id)
 )"""
 
 
@@ -247,8 +243,8 @@ def oracles() -> dict:
         "text_lexical_density": t("SELECT * FROM dens", ANN, RAR),
         "text_rarity": t("SELECT * FROM rar", ANN, RAR),
         "text_word_frequency": t("""
-SELECT a.text_id, round(avg(CAST(coalesce(r.freq, 0) AS DOUBLE)), 9) AS words_freq
-FROM ann a LEFT JOIN ref_words r ON lower(a.form) = r.form WHERE a.upos = 'OPEN' GROUP BY a.text_id""", ANN),
+SELECT a.text_id, round(avg(CASE WHEN a.upos = 'OPEN' THEN CAST(coalesce(r.freq, 0) AS DOUBLE) END), 9) AS words_freq
+FROM ann a LEFT JOIN ref_words r ON lower(a.form) = r.form GROUP BY a.text_id""", ANN),
         "text_dependency_metrics": rec(t("SELECT * FROM dep", ANN, DEP)),
         "text_variability": t(f"""
 SELECT dataset, round(count(DISTINCT w) / count(*), 9) AS variability
@@ -275,12 +271,13 @@ SELECT * FROM ({summary("dd", "avg_dependency_distance", "add")}) a
 JOIN ({summary("dd", "depth", "depth")}) b USING (dataset)
 JOIN ({summary("dd", "dependencies_num", "dependencies")}) c USING (dataset)""", ANN, DEP,
                                             "dd AS (SELECT d.*, x.dataset FROM dep d JOIN texts x USING (text_id))")),
-        "question_schema_references": sch("SELECT * FROM refs", REFS),
+        "question_schema_references": sch(
+            "SELECT datapoint_id, referenced_schema_elements, array_to_string(referenced, ',') AS referenced FROM refs", REFS),
         "question_schema_reference_pct": base.with_ctes(
             base.DATAPOINTS, base.schema_ctes(), SCHEMA_EL, REFS, base.token_ctes("datapoints"),
             base.parse_error_ctes("datapoints"), """
 sqlel AS (SELECT DISTINCT datapoint_id, string_split(lt, '.')[-1] AS element FROM tok WHERE role IN ('table', 'column')),
-refel AS (SELECT datapoint_id, unnest(string_split(referenced, ',')) AS element FROM refs WHERE referenced IS NOT NULL)""")
+refel AS (SELECT datapoint_id, unnest(referenced) AS element FROM refs WHERE referenced IS NOT NULL)""")
         + """
 SELECT r.datapoint_id,
   round(CASE WHEN r.referenced IS NOT NULL AND e.parse_error IS NULL AND coalesce(n.n_sql, 0) > 0
@@ -289,6 +286,13 @@ FROM refs r LEFT JOIN errs e USING (datapoint_id)
 LEFT JOIN (SELECT datapoint_id, count(*) AS n_sql FROM sqlel GROUP BY datapoint_id) n USING (datapoint_id)
 LEFT JOIN (SELECT s.datapoint_id, count(*) AS inter FROM sqlel s JOIN refel f USING (datapoint_id, element)
            WHERE f.element <> '' GROUP BY s.datapoint_id) i USING (datapoint_id)""",
+        "schema_json": sch("""
+SELECT t.db_id, CAST(to_json({'db_id': t.db_id, 'table_names': t.names, 'column_names': c.names, 'column_types': c.types,
+                              'foreign_keys': coalesce(f.keys, [])}) AS VARCHAR) AS schema_json
+FROM (SELECT db_id, list(table_name ORDER BY table_idx) AS names FROM schema_tables GROUP BY db_id) t
+LEFT JOIN (SELECT db_id, list([CAST(table_idx AS VARCHAR), column_name] ORDER BY col_idx) AS names, list(column_type ORDER BY col_idx) AS types
+           FROM schema_columns GROUP BY db_id) c USING (db_id)
+LEFT JOIN (SELECT db_id, list([fk_col_idx, pk_col_idx] ORDER BY fk_col_idx, pk_col_idx) AS keys FROM s_fks GROUP BY db_id) f USING (db_id)"""),
         "schema_foreign_keys": sch("SELECT * FROM s_fks"),
         "schema_columns_per_table": sch("""
 SELECT t.db_id, lower(t.table_name) AS table_name, c.columns FROM schema_tables t
@@ -324,7 +328,7 @@ def report_oracles() -> dict:
     general = base.with_ctes(
         base.DATAPOINTS, base.feature_ctes(), base.schema_ctes(), SCHEMA_EL, REFS, f"""
 sqlel AS (SELECT DISTINCT datapoint_id, string_split(lt, '.')[-1] AS element FROM tok WHERE role IN ('table', 'column')),
-refel AS (SELECT datapoint_id, unnest(string_split(referenced, ',')) AS element FROM refs WHERE referenced IS NOT NULL),
+refel AS (SELECT datapoint_id, unnest(referenced) AS element FROM refs WHERE referenced IS NOT NULL),
 rpct AS (
   SELECT r.datapoint_id,
     round(CASE WHEN r.referenced IS NOT NULL AND e.parse_error IS NULL AND coalesce(n.n_sql, 0) > 0

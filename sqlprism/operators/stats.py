@@ -83,15 +83,14 @@ def databases_num(datapoints: DataFrame, by=BY) -> DataFrame:
 
 # --- A24: summary statistics -------------------------------------------------------------------
 
-def summary(df: DataFrame, value: Column | str, by=BY, extended: bool = False, approx: bool = False,
+def summary(df: DataFrame, value: Column | str, by=BY, extended: bool = False,
             name: str = "value") -> DataFrame:
     """(mean to 2 places, min, max) or the box-plot record, nulls dropped.
 
     The box-plot record is mean, median, q1, q3, iqr, whislo, whishi (furthest values
     within 1.5 IQR), cilo/cihi (notch: median -/+ 1.57 IQR / sqrt(n)), the number of
-    fliers and their distinct values. Quantiles are exact with linear interpolation
-    (``percentile`` keeps a value -> count map, bounded by distinct values, not rows);
-    ``approx=True`` switches to ``percentile_approx`` for continuous values at scale.
+    fliers and every flier value with its count. Quantiles are exact with linear interpolation; rows are
+    counted per value before anything else, so a dataset's rows never meet in one task, its distinct values do.
     """
     v = value if isinstance(value, Column) else F.col(value)
     keys = _by(by)
@@ -99,27 +98,33 @@ def summary(df: DataFrame, value: Column | str, by=BY, extended: bool = False, a
     if not extended:
         return d.groupBy(*keys).agg(bround2(F.avg("v")).alias(f"{name}_mean"), F.min("v").alias(f"{name}_min"),
                                     F.max("v").alias(f"{name}_max"))
-    if approx:
-        qs = F.percentile_approx("v", [0.25, 0.5, 0.75], 10000)
-    else:
-        qs = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    base = d.groupBy(*keys).agg(F.avg("v").alias("mean"), qs.alias("qs"), F.count("v").alias("n"))
-    base = base.select(*keys, "mean", "n", F.col("qs")[0].alias("q1"), F.col("qs")[1].alias("med"),
-                       F.col("qs")[2].alias("q3")).withColumn("iqr", F.col("q3") - F.col("q1"))
-    j = d.join(base, keys)
+    # everything from the counts of distinct values: quantiles by running sums, fliers with their counts
+    g = d.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c"), F.sum("v").alias("s"))
+    w = Window.partitionBy(*keys)
+    g = g.withColumn("cum", F.sum("c").over(w.orderBy("v"))).withColumn("n", F.sum("c").over(w))
+
+    def quantile(p):
+        at = (F.col("n") - 1) * F.lit(p)
+        low, high = (F.min(F.when(F.col("cum") > i, F.col("v"))) for i in (F.floor(at), F.ceil(at)))
+        return low + (high - low) * (F.max(at) - F.floor(F.max(at)))
+
+    base = g.groupBy(*keys).agg((F.sum("s") / F.sum("c")).alias("mean"), F.max("n").alias("total"),
+                                quantile(0.25).alias("q1"), quantile(0.5).alias("med"), quantile(0.75).alias("q3")) \
+            .withColumn("iqr", F.col("q3") - F.col("q1"))
+    j = g.select(*keys, "v", "c").join(base, keys)
     lo = F.col("q1") - 1.5 * F.col("iqr")
     hi = F.col("q3") + 1.5 * F.col("iqr")
     flier = (F.col("v") < lo) | (F.col("v") > hi)
-    out = j.groupBy(*keys, "mean", "n", "q1", "med", "q3", "iqr").agg(
+    out = j.groupBy(*keys, "mean", F.col("total").alias("n"), "q1", "med", "q3", "iqr").agg(
         F.min(F.when(F.col("v") >= lo, F.col("v"))).alias("whislo"),
         F.max(F.when(F.col("v") <= hi, F.col("v"))).alias("whishi"),
-        F.sum(F.when(flier, 1).otherwise(0)).alias("n_fliers"),
-        F.array_sort(F.collect_set(F.when(flier, F.col("v")))).alias("flier_values"),
+        F.sum(F.when(flier, F.col("c")).otherwise(0)).alias("n_fliers"),
+        F.array_sort(F.collect_list(F.when(flier, F.struct(F.col("v").alias("value"), F.col("c").alias("times"))))).alias("fliers"),
     )
     notch = 1.57 * F.col("iqr") / F.sqrt("n")
     return out.select(*keys, "mean", "med", "q1", "q3", "iqr", "whislo", "whishi",
                       (F.col("med") - notch).alias("cilo"), (F.col("med") + notch).alias("cihi"),
-                      "n_fliers", "flier_values")
+                      "n_fliers", "fliers")
 
 
 def depth_statistics(features: DataFrame, by=BY) -> DataFrame:

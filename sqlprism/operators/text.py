@@ -144,27 +144,28 @@ def lexical_density(tokens: DataFrame) -> DataFrame:
         F.round(F.avg((F.col("upos") == "OPEN").cast("double")), PRECISION).alias("lexical_density"))
 
 
-def rarity(tokens: DataFrame, reference_words: DataFrame) -> DataFrame:
-    """Content words missing from the reference word list / content words, and their count.
+def _content_frequencies(tokens: DataFrame, reference_words: DataFrame) -> DataFrame:
+    """(text_id, n, freq): content-word forms of each text with their count there and their frequency in the reference
+    list (null if absent); a text without content words keeps one row with n = 0. Tokens are counted per text
+    and form before they meet the list, which is as large as its corpus and is never broadcast."""
+    forms = tokens.groupBy("text_id", F.lower("form").alias("form")).agg(
+        F.sum((F.col("upos") == "OPEN").cast("long")).alias("n"))
+    return forms.join(reference_words.select("form", "freq"), "form", "left").select("text_id", "n", "freq")
 
-    ``reference_words`` (form) is a bounded word list (hundreds of rows), broadcast.
-    """
-    ref = reference_words.select(F.col("form").alias("ref_form"), F.lit(True).alias("known"))
-    content = tokens.where(F.col("upos") == "OPEN")
-    j = content.join(F.broadcast(ref), F.lower(content.form) == ref.ref_form, "left")
-    rare = F.col("known").isNull()
-    return j.groupBy("text_id").agg(
-        F.round(F.avg(rare.cast("double")), PRECISION).alias("rarity"),
-        F.sum(rare.cast("int")).cast("long").alias("rare_words"))
+
+def rarity(tokens: DataFrame, reference_words: DataFrame) -> DataFrame:
+    """Content words missing from the reference word list / content words (null without content words), and
+    their count. ``reference_words``: (form, freq)."""
+    rare = F.sum(F.when(F.col("freq").isNull(), F.col("n")).otherwise(0))
+    return _content_frequencies(tokens, reference_words).groupBy("text_id").agg(
+        F.round(rare / F.nullif(F.sum("n"), F.lit(0)), PRECISION).alias("rarity"), rare.cast("long").alias("rare_words"))
 
 
 def word_frequency_mean(tokens: DataFrame, reference_words: DataFrame) -> DataFrame:
-    """T5: mean corpus frequency (0 when unlisted) of the content words of each text."""
-    ref = reference_words.select(F.col("form").alias("ref_form"), F.col("freq"))
-    content = tokens.where(F.col("upos") == "OPEN")
-    j = content.join(F.broadcast(ref), F.lower(content.form) == ref.ref_form, "left")
-    return j.groupBy("text_id").agg(F.round(F.avg(F.coalesce("freq", F.lit(0)).cast("double")), PRECISION)
-                                    .alias("words_freq"))
+    """T5: mean corpus frequency (0 when unlisted) of the content words of each text (null without any)."""
+    total = F.sum(F.coalesce("freq", F.lit(0)) * F.col("n"))
+    return _content_frequencies(tokens, reference_words).groupBy("text_id").agg(
+        F.round(total / F.nullif(F.sum("n"), F.lit(0)), PRECISION).alias("words_freq"))
 
 
 def sentence_trees(tokens: DataFrame) -> DataFrame:
@@ -175,14 +176,17 @@ def sentence_trees(tokens: DataFrame) -> DataFrame:
     node's ancestor a by a's ancestor and adds its distance, so ceil(log2(n + 1))
     rounds reach the root. Tree depth = max distance from the root (the root is 0).
     """
-    kids = tokens.groupBy("text_id", "sent_id", "head").agg(F.count(F.lit(1)).alias("outdeg"))
     per_sent = tokens.groupBy("text_id", "sent_id").agg(
         F.array_sort(F.collect_list(F.struct("tok_id", "head"))).alias("nodes"),
         F.sum(F.when(F.col("head") != 0, F.abs(F.col("tok_id") - F.col("head"))).otherwise(0)).alias("add_sum"),
         F.sum(F.when(F.col("head") != 0, 1).otherwise(0)).alias("edges"))
+    # heads as places in the sorted sentence (0: root, or a head that the sentence lacks); ids may have gaps
+    per_sent = per_sent.withColumn("places", F.map_from_arrays(
+        F.transform("nodes", lambda x: x["tok_id"]), F.sequence(F.lit(1), F.size("nodes"))))
+    per_sent = per_sent.withColumn("heads", F.transform("nodes", lambda x: F.coalesce(F.col("places")[x["head"]], F.lit(0))))
     n = F.size("nodes")
     # index 0 is a virtual parent of the root; node i (1..n) sits at index i
-    anc0 = F.concat(F.array(F.lit(0)), F.transform("nodes", lambda x: x["head"]))
+    anc0 = F.concat(F.array(F.lit(0)), F.col("heads"))
     dist0 = F.concat(F.array(F.lit(0)), F.transform("nodes", lambda x: F.lit(1)))
     rounds = F.sequence(F.lit(1), F.greatest(F.ceil(F.log2(n + 1)).cast("int"), F.lit(1)))
     jumped = F.aggregate(
@@ -190,19 +194,18 @@ def sentence_trees(tokens: DataFrame) -> DataFrame:
         lambda acc, _: F.struct(
             F.transform(acc["anc"], lambda a: acc["anc"][a]).alias("anc"),
             F.transform(acc["dist"], lambda d, i: d + acc["dist"][acc["anc"][i]]).alias("dist")))
+    kids = F.array_sort(F.filter("heads", lambda h: h > 0))
+    runs = F.aggregate(kids, F.struct(F.lit(0).alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most"), F.lit(0).alias("internal")),
+                       lambda acc, h: F.struct(
+                           h.cast("int").alias("last"), F.when(h == acc["last"], acc["run"] + 1).otherwise(1).alias("run"),
+                           F.greatest(acc["most"], F.when(h == acc["last"], acc["run"] + 1).otherwise(1)).alias("most"),
+                           (acc["internal"] + F.when(h == acc["last"], 0).otherwise(1)).alias("internal")))
     t = per_sent.select("text_id", "sent_id", n.alias("n"), "add_sum", "edges",
-                        F.slice(jumped["dist"], 2, n).alias("dist"))
-    t = t.select("text_id", "sent_id", "n", "add_sum", "edges",
-                 (F.array_max("dist") - 1).alias("depth"),
-                 F.aggregate("dist", F.lit(0), lambda a, d: a + d - 1).alias("dist_sum"))
-    od = kids.where(F.col("head") != 0).groupBy("text_id", "sent_id").agg(
-        F.count(F.lit(1)).alias("internal"), F.max("outdeg").alias("max_outdeg"),
-        F.sum("outdeg").alias("outdeg_sum"))
-    t = t.join(od, ["text_id", "sent_id"], "left")
-    return t.select("text_id", "sent_id", "n", "depth", "edges", "add_sum", "dist_sum",
-                    (F.col("n") - F.coalesce("internal", F.lit(0))).alias("leaves"),
-                    F.coalesce("max_outdeg", F.lit(0)).alias("max_outdeg"),
-                    F.coalesce("outdeg_sum", F.lit(0)).alias("outdeg_sum"))
+                        F.slice(jumped["dist"], 2, n).alias("dist"), runs.alias("runs"), F.size(kids).alias("outdeg_sum"))
+    return t.select("text_id", "sent_id", "n", (F.array_max("dist") - 1).alias("depth"), "edges", "add_sum",
+                    F.aggregate("dist", F.lit(0), lambda a, d: a + d - 1).alias("dist_sum"),
+                    (F.col("n") - F.col("runs.internal")).alias("leaves"), F.col("runs.most").alias("max_outdeg"),
+                    F.col("outdeg_sum").cast("long").alias("outdeg_sum"))
 
 
 def dependency_metrics(tokens: DataFrame) -> DataFrame:
@@ -241,31 +244,32 @@ def complexity(texts: DataFrame, tokens: DataFrame, reference_words: DataFrame)
                   "text_id", "left"))
 
 
-def schema_references(questions: DataFrame, elements: DataFrame, key: str = "datapoint_id",
-                      broadcast_max_rows: int = 2_000_000) -> DataFrame:
-    """Schema elements mentioned in each question: (key, referenced_schema_elements, referenced).
+SCHEMA_WORD = r"[\p{L}\p{N}]+"
+
+
+def schema_references(questions: DataFrame, elements: DataFrame, key: str = "datapoint_id") -> DataFrame:
+    """Schema elements mentioned in each question: (key, referenced_schema_elements, references array<string>).
 
-    An element matches when its words ('_' -> space, lower-cased) appear as a whole-word
-    run in the question's lower-cased words (both sides padded with spaces). Questions
-    join the elements of their database; the element table (one row per schema element
-    of each database) is broadcast only when its row count is under ``broadcast_max_rows``,
-    otherwise it is a shuffled equi-join on db_id (AQE splits hot databases).
+    Question and element are cut into lower-cased words of letters and digits by one rule ('_' separates
+    words). Every run of words of a question whose length occurs among its database's elements meets them by an
+    equi-join on (db_id, run), so a question is never compared with all elements of its database. A question
+    without a schema has null references.
     """
-    q = questions.select(key, "db_id", F.concat(F.lit(" "), F.array_join(words(F.lower("question")), " "),
-                                                F.lit(" ")).alias("qtext"))
-    el = elements.select("db_id", "element", F.concat(F.lit(" "), F.lower(F.regexp_replace("element", "_", " ")),
-                                                      F.lit(" ")).alias("pat")).distinct()
-    n_el = el.count()  # size check for the broadcast decision (schema tables are small)
-    el_side = F.broadcast(el) if n_el <= broadcast_max_rows else el
-    hits = q.join(el_side, "db_id").where(F.col("qtext").contains(F.col("pat")))
-    refs = hits.groupBy(key).agg(F.array_sort(F.collect_set(F.lower("element"))).alias("refs"))
-    out = questions.select(key, "db_id").join(refs, key, "left")
-    has_schema = el.select("db_id").distinct().withColumn("has_schema", F.lit(True))
-    out = out.join(F.broadcast(has_schema) if n_el <= broadcast_max_rows else has_schema, "db_id", "left")
-    refs_col = F.when(F.col("has_schema"), F.coalesce("refs", F.array().cast("array<string>")))
-    return out.select(key, F.size(refs_col).alias("n"), F.array_join(refs_col, ",").alias("referenced")).select(
-        key, F.when(F.col("referenced").isNotNull(), F.col("n")).cast("long").alias("referenced_schema_elements"),
-        "referenced")
+    def run(c):
+        return F.array_join(F.regexp_extract_all(F.lower(c), F.lit(SCHEMA_WORD), 0), " ")
+
+    el = elements.select("db_id", F.lower("element").alias("element"), run(F.regexp_replace("element", "_", " ")).alias("run")) \
+                 .where("run <> ''").distinct()
+    widths = el.select("db_id", F.size(F.split("run", " ")).alias("width")).distinct()
+    q = questions.select(key, "db_id", F.regexp_extract_all(F.lower(F.regexp_replace("question", "_", " ")), F.lit(SCHEMA_WORD), 0).alias("w"))
+    grams = q.join(widths, "db_id").where(F.col("width") <= F.size("w")).select(
+        key, "db_id", F.explode(F.array_distinct(F.transform(
+            F.sequence(F.lit(1), F.size("w") - F.col("width") + 1), lambda i: F.array_join(F.slice("w", i, F.col("width")), " ")))).alias("run"))
+    refs = grams.join(el, ["db_id", "run"]).groupBy(key).agg(F.array_sort(F.collect_set("element")).alias("refs"))
+    has_schema = elements.select("db_id").distinct().withColumn("has_schema", F.lit(True))
+    out = questions.select(key, "db_id").join(refs, key, "left").join(has_schema, "db_id", "left")
+    return out.select(key, F.when(F.col("has_schema"), F.coalesce("refs", F.array().cast("array<string>"))).alias("references")).select(
+        key, F.when(F.col("references").isNotNull(), F.size("references")).cast("long").alias("referenced_schema_elements"), "references")
 
 
 def sql_schema_elements(tokens: DataFrame, key: str = "datapoint_id") -> DataFrame:
@@ -279,12 +283,11 @@ def schema_reference_percentage(refs: DataFrame, sql_elements: DataFrame, parse_
                                 key: str = "datapoint_id") -> DataFrame:
     """% of the query's schema elements mentioned in the question; null when the question has
     no schema (no references) or the query has no elements or fails Q32."""
-    r = refs.where(F.col("referenced").isNotNull()).select(key, F.explode(F.split("referenced", ",")).alias("element"))
-    r = r.where(F.col("element") != "")
+    r = refs.select(key, F.explode("references").alias("element"))
     inter = sql_elements.join(r, [key, "element"]).groupBy(key).agg(F.count(F.lit(1)).alias("inter"))
     n = sql_elements.groupBy(key).agg(F.count(F.lit(1)).alias("n_sql"))
-    base = refs.select(key, "referenced").join(parse_errors, key, "left").join(n, key, "left").join(inter, key, "left")
-    ok = F.col("referenced").isNotNull() & F.col("parse_error").isNull() & (F.coalesce("n_sql", F.lit(0)) > 0)
+    base = refs.select(key, "references").join(parse_errors, key, "left").join(n, key, "left").join(inter, key, "left")
+    ok = F.col("references").isNotNull() & F.col("parse_error").isNull() & (F.coalesce("n_sql", F.lit(0)) > 0)
     pct = F.when(ok, 100.0 * F.coalesce("inter", F.lit(0)) / F.col("n_sql"))
     return base.select(key, F.round(pct, PRECISION).alias("referenced_schema_elements_percentage"))
 

@@ -198,7 +198,8 @@ def q_columns_stats(spark, sf):
 def q_columns_boxplot(spark, sf):
     """A24 extended: box-plot record of the column count per query."""
     s = stats.columns_num_statistics(corpus.features(spark, sf), extended=True)
-    return s.withColumn("flier_values", F.array_join(F.transform("flier_values", lambda x: x.cast("string")), ","))
+    return s.withColumn("fliers", F.array_join(F.transform(
+        "fliers", lambda x: F.concat(x["value"].cast("string"), F.lit("x"), x["times"].cast("string"))), ","))
 
 
 @register("structural_variety")
@@ -368,7 +369,8 @@ def _elements(spark, sf):
 @register("question_schema_references")
 def q_schema_refs(spark, sf):
     """Schema elements of the datapoint's database mentioned in its question."""
-    return text.schema_references(corpus.datapoints(spark, sf), _elements(spark, sf))
+    refs = text.schema_references(corpus.datapoints(spark, sf), _elements(spark, sf))
+    return refs.select("datapoint_id", "referenced_schema_elements", F.array_join("references", ",").alias("referenced"))
 
 
 @register("question_schema_reference_pct")
@@ -475,7 +477,7 @@ def q_explainable(spark, sf):
 
 @register("schema_json")
 def q_schema_json(spark, sf):
-    """D9 (JSON text; rows-only check)."""
+    """D9."""
     return schema_profile.schema_as_json(*_schema(spark, sf))
 
 

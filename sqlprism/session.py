@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -37,11 +38,11 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint dir, setting a scratch one only when unset.
+    """The session's checkpoint dir.
 
-    Clusters name a shared folder in ``spark.checkpoint.dir``; that setting is
-    always respected. Only local runs (tests, bench) fall back to a fresh
-    directory under the system temp folder.
+    Clusters name a shared folder in ``spark.checkpoint.dir``; that setting always holds. Only a
+    session with a local master (tests, bench) gets a fresh folder below the system's temporary one where nothing
+    is set; on a cluster that would be a different disk for every executor, so it is an error there.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -50,7 +51,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    path = tempfile.mkdtemp(prefix="sqlprism-ckpt-")
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = tempfile.mkdtemp(prefix="sqlprism-checkpoint-")
     spark.sparkContext.setCheckpointDir(path)
     return path
 

@@ -9,41 +9,27 @@ feature is computed by the operators from the text alone.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# --- fixed values: tables of the stand-in databases, in schema order ---
-SCHEMA_TABLES = [
-    ("region", [("r_regionkey", "int"), ("r_name", "string")]),
-    ("nation", [("n_nationkey", "int"), ("n_name", "string"), ("n_regionkey", "int")]),
-    ("customer", [("c_custkey", "long"), ("c_name", "string"), ("c_nationkey", "int"),
-                  ("c_acctbal", "double"), ("c_mktsegment", "string")]),
-    ("supplier", [("s_suppkey", "long"), ("s_name", "string"), ("s_nationkey", "int"),
-                  ("s_acctbal", "double")]),
-    ("part", [("p_partkey", "long"), ("p_name", "string"), ("p_brand", "string"),
-              ("p_type", "string"), ("p_size", "int"), ("p_retailprice", "double")]),
-    ("orders", [("o_orderkey", "long"), ("o_custkey", "long"), ("o_orderstatus", "string"),
-                ("o_totalprice", "double"), ("o_orderdate", "timestamp"),
-                ("o_orderpriority", "string")]),
-    ("lineitem", [("l_orderkey", "long"), ("l_partkey", "long"), ("l_suppkey", "long"),
-                  ("l_linenumber", "int"), ("l_quantity", "double"), ("l_extendedprice", "double"),
-                  ("l_discount", "double"), ("l_tax", "double"), ("l_returnflag", "string"),
-                  ("l_linestatus", "string"), ("l_shipdate", "timestamp")]),
-]
-# --- fixed values: foreign keys (fk table, fk column, pk table, pk column) ---
-SCHEMA_FKS = [
-    ("nation", "n_regionkey", "region", "r_regionkey"),
-    ("customer", "c_nationkey", "nation", "n_nationkey"),
-    ("supplier", "s_nationkey", "nation", "n_nationkey"),
-    ("orders", "o_custkey", "customer", "c_custkey"),
-    ("lineitem", "l_orderkey", "orders", "o_orderkey"),
-    ("lineitem", "l_partkey", "part", "p_partkey"),
-    ("lineitem", "l_suppkey", "supplier", "s_suppkey"),
-]
+from ..operators.schema_profile import schema_from_dataframes
+
+# --- fixed values: tables of the stand-in databases, in order (columns come from the tables themselves) ---
+SCHEMA_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
 N_DATABASES = 5
 # --- fixed values: extra dictionary words for schema explainability ---
 DICTIONARY_EXTRA = ["name", "key", "size", "type", "brand", "date", "status", "total",
                     "price", "order", "line", "tax", "discount", "quantity"]
+# --- fixed values: closed-class words (articles, prepositions, pronouns, conjunctions, auxiliaries) ---
+CLOSED_CLASS = [
+    "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "from", "had", "has", "have", "he", "her", "his", "i", "in",
+    "is", "it", "its", "not", "of", "on", "or", "she", "that", "the", "their", "they", "this", "to", "was", "we", "were",
+    "which", "with", "you",
+    "au", "aux", "avec", "ce", "dans", "de", "des", "du", "elle", "en", "est", "et", "il", "la", "le", "les", "ou", "par",
+    "pas", "pour", "que", "qui", "sur", "un", "une",
+    "auf", "das", "dem", "den", "der", "die", "ein", "eine", "er", "ich", "ist", "mit", "nicht", "sie", "und", "von", "zu",
+    "como", "con", "del", "el", "los", "las", "no", "para", "por", "se", "su", "y",
+]
 MODELS = [0, 1, 2]
 
 
@@ -90,31 +76,37 @@ def _gold_sql(o) -> "F.Column":
 
 
 def user_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First user turn of every conversation: (conv_id, question)."""
-    conv = table(spark, sf_dir, "conversations").where(F.col("role") == "user")
-    return conv.groupBy("conv_id").agg(F.min_by("text", "turn").alias("question"))
+    """Every user turn: (conv_id, turn_no, turns, question), numbered from 0 within its conversation."""
+    conv = table(spark, sf_dir, "conversations").where((F.col("role") == "user") & F.col("conv_id").isNotNull())
+    w = Window.partitionBy("conv_id")
+    return conv.select("conv_id", (F.row_number().over(w.orderBy("turn", "text")) - 1).cast("long").alias("turn_no"),
+                       F.count(F.lit(1)).over(w).alias("turns"), F.col("text").alias("question"))
 
 
 def datapoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One datapoint per order (FIXTURES B1).
 
     Columns: datapoint_id, dataset, split, db_id, db_path, question, sql_query.
-    The question is the first user turn of conversation ``o_orderkey % (max conv_id + 1)``;
-    the small conversation side is joined by key, no global ordering is needed.
+    Order k asks the question of conversation ``k % n`` (n = max conv_id + 1, a scalar subquery), user turn
+    ``floor(k / n) % turns``: a key join, no global ordering, and all user turns come up.
     """
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+    conv = table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    o = o.withColumn("n_conv", conv.agg(F.max("conv_id") + 1).scalar())
     q = user_questions(spark, sf_dir)
-    n_conv = q.agg((F.max("conv_id") + 1).alias("n_conv")).first()[0]  # one scalar
-    dp = o.withColumn("n_conv", F.lit(n_conv)).select(
+    turns = q.where("turn_no = 0").select("conv_id", "turns")
+    dp = o.select(
         F.col("o_orderkey").alias("datapoint_id"),
         F.col("o_orderstatus").alias("dataset"),
         F.when(F.col("o_orderkey") % 10 == 0, "test").when(F.col("o_orderkey") % 10 == 1, "dev")
         .otherwise("train").alias("split"),
         F.concat(F.lit("db_"), (F.col("o_custkey") % N_DATABASES).cast("string")).alias("db_id"),
         (F.col("o_orderkey") % F.col("n_conv")).alias("conv_id"),
+        F.floor(F.col("o_orderkey") / F.col("n_conv")).alias("pass_no"),
         _gold_sql(F.col).alias("sql_query"),
     )
-    dp = dp.join(q, "conv_id", "left").drop("conv_id")
+    dp = dp.join(turns, "conv_id", "left").withColumn("turn_no", F.col("pass_no") % F.col("turns")).drop("turns")
+    dp = dp.join(q.drop("turns"), ["conv_id", "turn_no"], "left")
     return dp.withColumn("db_path", F.concat(F.lit("databases/"), F.col("db_id"), F.lit(".json"))).select(
         "datapoint_id", "dataset", "split", "db_id", "db_path", "question", "sql_query")
 
@@ -145,42 +137,30 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _db_rows():
-    """Literal rows of the stand-in databases: db_k leaves out the last k tables."""
-    tables, columns, fks = [], [], []
-    for k in range(N_DATABASES):
-        db = f"db_{k}"
-        kept = SCHEMA_TABLES[: len(SCHEMA_TABLES) - k]
-        col_idx = 1
-        columns.append((db, 0, -1, "*", "text"))
-        for t_idx, (tname, cols) in enumerate(kept):
-            tables.append((db, t_idx, tname))
-            for cname, ctype in cols:
-                columns.append((db, col_idx, t_idx, cname, ctype))
-                col_idx += 1
-        for fk in SCHEMA_FKS:
-            fks.append((db,) + fk)
-    return tables, columns, fks
+def foreign_keys(tables: DataFrame, columns: DataFrame) -> DataFrame:
+    """Named foreign keys of the stand-in databases: column ``x_<stem>key`` refers to the ``<stem>key`` column of
+    the other table whose name starts with the stem."""
+    c = columns.where("table_idx >= 0").join(tables.select("db_id", "table_idx", "table_name"), ["db_id", "table_idx"]) \
+        .select("db_id", "table_name", "column_name", F.regexp_extract("column_name", "_([a-z]+)key$", 1).alias("stem")).where("stem <> ''")
+    pk = c.where(F.col("table_name").startswith(F.col("stem"))).select("db_id", "stem", F.col("table_name").alias("pk_table"), F.col("column_name").alias("pk_column"))
+    return c.join(pk, ["db_id", "stem"]).where("table_name <> pk_table") \
+        .select("db_id", F.col("table_name").alias("fk_table"), F.col("column_name").alias("fk_column"), "pk_table", "pk_column")
 
 
 def schema_relations(spark: SparkSession, sf_dir: str):
-    """(schema_tables, schema_columns, schema_fk_names) for the five stand-in databases (FIXTURES B3).
+    """(schema_tables, schema_columns, schema_fk_names) of five stand-in databases (FIXTURES B3): db_k holds the given
+    tables but the last k, read through D2 from the tables' own schemas; rows per table are ``count(*)``. Foreign
+    keys are named on the columns of the whole database, so some lead to tables that db_k lacks."""
+    frames = {t: table(spark, sf_dir, t) for t in SCHEMA_TABLES}
+    tables, columns = schema_from_dataframes(spark, "db", frames)
+    databases = F.explode(F.array(*[F.lit(k) for k in range(N_DATABASES)]))
+    fks = foreign_keys(tables, columns)
 
-    Rows per table are ``count(*)`` of the driver tables, one small aggregate each.
-    """
-    tables, columns, fks = _db_rows()
-    counts = None
-    for tname, _ in SCHEMA_TABLES:
-        c = table(spark, sf_dir, tname).agg(F.count(F.lit(1)).alias("n_rows")).select(
-            F.lit(tname).alias("table_name"), "n_rows")
-        counts = c if counts is None else counts.unionByName(c)
-    st = spark.createDataFrame(tables, "db_id string, table_idx int, table_name string")
-    st = st.join(F.broadcast(counts), "table_name", "left").select("db_id", "table_idx", "table_name", "n_rows")
-    sc = spark.createDataFrame(columns, "db_id string, col_idx int, table_idx int, column_name string, "
-                                        "column_type string")
-    sf = spark.createDataFrame(fks, "db_id string, fk_table string, fk_column string, pk_table string, "
-                                    "pk_column string")
-    return st, sc, sf
+    def spread(df):
+        return df.withColumn("k", databases).withColumn("db_id", F.concat(F.lit("db_"), F.col("k").cast("string")))
+
+    st, sc = (spread(df).where(F.col("table_idx") < len(SCHEMA_TABLES) - F.col("k")).drop("k") for df in (tables, columns))
+    return st, sc, spread(fks).drop("k")
 
 
 def text_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,24 +177,11 @@ def text_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.unionByName(conv)
 
 
-def closed_class_forms(spark: SparkSession, sf_dir: str, k: int = 50) -> DataFrame:
-    """The k most frequent lower-cased forms of ``benchmark`` (count desc, form asc): (form)."""
-    forms = table(spark, sf_dir, "benchmark").select(
-        F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0)).alias("form"))
-    return top_forms(forms, k)
-
-
-def top_forms(forms: DataFrame, k: int) -> DataFrame:
-    """Top-k forms by frequency; the limit is the feature (a top-k list)."""
-    return (forms.groupBy("form").agg(F.count(F.lit(1)).alias("freq"))
-            .orderBy(F.col("freq").desc(), F.col("form").asc()).limit(k))
-
-
-def reference_frequency_list(spark: SparkSession, sf_dir: str, k: int = 200) -> DataFrame:
-    """Reference word list (FIXTURES B6): top-k forms of ``documents`` with their frequency."""
-    forms = table(spark, sf_dir, "documents").select(
-        F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0)).alias("form"))
-    return top_forms(forms, k)
+def reference_frequency_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reference word list (FIXTURES B6): all lower-cased forms of ``documents`` with their frequency."""
+    return table(spark, sf_dir, "documents").select(
+        F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0)).alias("form")) \
+        .groupBy("form").agg(F.count(F.lit(1)).alias("freq"))
 
 
 def dictionary_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,15 +200,13 @@ def annotated_tokens(spark: SparkSession, sf_dir: str, texts: DataFrame | None =
 
     (text_id, sent_id, tok_id, form, lemma, upos, head): sentences end at . ! ? or a line
     break, tok_id is 1-based in the sentence, head = floor(tok_id / 2) (0 = root), upos is
-    CLOSED for the 50 most frequent benchmark forms, else OPEN.
+    CLOSED for the words of ``CLOSED_CLASS``, else OPEN.
     """
     texts = texts if texts is not None else text_inputs(spark, sf_dir)
     sents = texts.select("text_id", F.posexplode(F.split("text", r"[.!?\n]+")).alias("sent_id", "sent"))
     toks = sents.select("text_id", "sent_id",
                         F.posexplode(F.regexp_extract_all("sent", F.lit(r"\p{L}+"), 0)).alias("p", "form"))
-    closed = closed_class_forms(spark, sf_dir).select(F.col("form").alias("cform"), F.lit("CLOSED").alias("ctag"))
-    toks = toks.join(F.broadcast(closed), F.lower(toks.form) == closed.cform, "left")  # 50 rows
     return toks.select(
         "text_id", "sent_id", (F.col("p") + 1).alias("tok_id"), "form",
-        F.lower("form").alias("lemma"), F.coalesce("ctag", F.lit("OPEN")).alias("upos"),
+        F.lower("form").alias("lemma"), F.when(F.lower("form").isin(CLOSED_CLASS), "CLOSED").otherwise("OPEN").alias("upos"),
         F.floor((F.col("p") + 1) / 2).cast("int").alias("head"))

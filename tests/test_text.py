@@ -83,3 +83,22 @@ def test_dispersion_brute_force(spark):
     assert abs(got["t0"].gini_dispersion - sum(ginis) / len(ginis)) < 1e-8
     assert abs(got["t0"].evenness_dispersion - sum(evens) / len(evens)) < 1e-8
     assert got["t1"].gini_dispersion is None
+
+
+def test_heads_with_gaps_and_elements_with_digits(spark):
+    toks = spark.createDataFrame([("a", 0, 1, "x", "x", "OPEN", 0), ("a", 0, 3, "y", "y", "OPEN", 1), ("a", 0, 4, "z", "z", "OPEN", 3)],
+                                 "text_id string, sent_id int, tok_id int, form string, lemma string, upos string, head int")
+    r = text.dependency_metrics(toks).first()
+    assert (r.depth, r.dependencies_num, r.leaves) == (2, 2, 1)
+    q = spark.createDataFrame([(1, "d", "show Address line 1, of all"), (2, "d", None), (3, "e", "x")], "datapoint_id long, db_id string, question string")
+    el = spark.createDataFrame([("d", "address_line_1"), ("d", "a,b"), ("d", "line")], "db_id string, element string")
+    got = {r.datapoint_id: r.references for r in text.schema_references(q, el).collect()}
+    assert got == {1: ["address_line_1", "line"], 2: [], 3: None}
+
+
+def test_texts_without_content_words_are_kept(spark):
+    toks = spark.createDataFrame([("a", 0, 1, "the", "the", "CLOSED", 0), ("b", 0, 1, "Cat", "cat", "OPEN", 0)],
+                                 "text_id string, sent_id int, tok_id int, form string, lemma string, upos string, head int")
+    words = spark.createDataFrame([("cat", 5)], "form string, freq long")
+    assert sorted((r.text_id, r.rarity, r.rare_words) for r in text.rarity(toks, words).collect()) == [("a", None, 0), ("b", 0.0, 0)]
+    assert sorted((r.text_id, r.words_freq) for r in text.word_frequency_mean(toks, words).collect()) == [("a", None), ("b", 5.0)]
