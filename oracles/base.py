@@ -71,7 +71,7 @@ dbs AS (SELECT k, 'db_' || k AS db_id FROM range({N_DATABASES}) r(k)),
 schema_tables AS (SELECT db_id, table_idx, table_name, n_rows FROM tcounts, dbs WHERE table_idx < {n} - k),
 dbcols AS (
   SELECT c.table_name, t.table_idx, c.column_name, row_number() OVER (ORDER BY t.table_idx, c.ordinal_position) AS col_idx,
-         CASE c.data_type WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' ELSE lower(c.data_type) END AS column_type
+         CASE c.data_type WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(c.data_type) END AS column_type
   FROM information_schema.columns c JOIN tcounts t USING (table_name)
 ),
 schema_columns AS (

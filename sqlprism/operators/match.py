@@ -1,4 +1,4 @@
-"""Partial match of predicted SQL against gold SQL.
+"""Partial and exact match of predicted SQL against gold SQL.
 
 Both sides go through the same token relation. Each (sub)query becomes a set of
 *elements* per family:
@@ -12,14 +12,19 @@ Both sides go through the same token relation. Each (sub)query becomes a set of
   Columns carry their real table (aliases resolved in the scope, a lone FROM table
   filled in); a repeated column (k >= 1) that appears in a column = column
   condition is replaced by the smallest member of its equality pair.
+* EM (exact match only): per clause, columns with the aggregate around them (and their
+  position in ORDER BY), and conditions as (operator, column before it, column after it
+  or ``value``, ``or`` if an OR comes before), each with its occurrence number.
 
 The i-th subquery at each depth of the gold query is aligned with the i-th of the
 prediction (a missing one meets the empty set); per aligned pair the Jaccard of
 the element sets is taken per family and per component (both empty -> 1); a
 family's score is the mean over depths of the mean over aligned pairs.
 
-Everything is keyed by the datapoint id: gold and predictions of a datapoint are
-hash-partitioned together once, so the joins and windows below do not shuffle.
+Gold and predictions of a datapoint are hash-partitioned together once. Every token gets
+its elements by windows, scopes and queries are gathered by aggregates, and gold meets
+predictions inside one row per datapoint, so nothing is shuffled again and no
+intermediate table is written. A datapoint's own SQL strings bound every group.
 """
 
 from __future__ import annotations
@@ -28,8 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab
-from ..session import materialize
-from . import sqlfeatures, sqltokens
+from . import sqltokens
 
 GOLD = "__gold__"
 SM_COMPONENTS = [c for c, _ in vocab.CLAUSES] + ["set_operator"]
@@ -37,6 +41,8 @@ OM_COMPONENTS = vocab.operator_names()
 VM_COMPONENTS = ["columns", "tables", "values"]
 FAMILIES = {"SM": SM_COMPONENTS, "OM": OM_COMPONENTS, "VM": VM_COMPONENTS}
 JOIN_OPS = vocab.OPERATOR_TYPES[0][2]
+AGGREGATES = vocab.AGGREGATE_NAMES
+CONDITIONS = [op for i in (2, 4, 6) for op in vocab.OPERATOR_TYPES[i][2]]
 PRECISION = 9  # reported scores are rounded to 9 decimals
 
 
@@ -48,170 +54,181 @@ def sql_sides(gold: DataFrame, predictions: DataFrame, key: str = "datapoint_id"
     return g.unionByName(p).repartition(key)
 
 
-def _elements(tokens: DataFrame, scopes: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, scope, family, component, element) for every scope of every query."""
-    kc = [F.col(k) for k in keys]
-    # --- SM: clause keywords, set-operator keywords, nested queries
-    ob = (tokens.where((F.col("clause") == "orderby") & (F.col("p") == F.col("base_p"))
-                       & ~F.col("lt").isin("order", "by", ","))
-          .groupBy(*keys, "scope", "branch", "ob_item")
-          .agg(F.max((F.col("lt") == "desc").cast("int")).alias("is_desc"))
-          .groupBy(*keys, "scope", "branch")
-          .agg(F.array_sort(F.collect_list(F.struct("ob_item", "is_desc"))).alias("items"))
-          .select(*keys, "scope", "branch",
-                  F.concat_ws("_", F.transform("items", lambda x: F.when(x["is_desc"] == 1, "desc")
-                                               .otherwise("asc"))).alias("dirs")))
-    clauses = tokens.where(F.col("clause_kw").isNotNull()).select(
-        *keys, "scope", "branch", F.col("clause_kw").alias("name"), F.col("clause_kw").alias("component"))
-    clauses = clauses.join(ob, keys + ["scope", "branch"], "left").withColumn(
-        "name", F.when((F.col("name") == "orderby") & F.col("dirs").isNotNull(),
-                       F.concat(F.lit("orderby_"), F.col("dirs"))).otherwise(F.col("name"))).drop("dirs")
-    setops = tokens.where(F.col("is_setop")).select(*keys, "scope", F.lit(0).alias("branch"),
-                                                      F.col("lt").alias("name"),
-                                                      F.lit("set_operator").alias("component"))
-    nests = scopes.where(F.col("parent_scope").isNotNull()).select(
-        *keys, F.col("parent_scope").alias("scope"), F.col("parent_branch").alias("branch"),
-        F.when(F.col("sh_SO") > 0, "set_operator").otherwise("nesting").alias("name"),
-        F.lit(None).cast("string").alias("component"))
-    sm = clauses.unionByName(setops).unionByName(nests).select(
-        *keys, "scope", F.lit("SM").alias("family"), "component",
-        F.when(F.col("branch") >= 1, F.concat(F.col("name"), F.lit("_"), F.col("branch").cast("string")))
-        .otherwise(F.col("name")).alias("element"))
-
-    # --- OM: operator occurrences per clause
-    set_scope = scopes.select(*keys, "scope", (F.col("sh_SO") > 0).alias("is_set"))
-    ops = tokens.where(F.col("op").isin(OM_COMPONENTS)).join(set_scope, keys + ["scope"])
-    ops = ops.withColumn("oclause", F.when(F.col("is_set"), "set_operator")
-                         .otherwise(F.coalesce(F.col("clause"), F.lit("none"))))
-    k_op = F.row_number().over(Window.partitionBy(*kc, "scope", "op", "oclause").orderBy("pos")) - 1
-    om = ops.select(*keys, "scope", F.lit("OM").alias("family"), F.col("op").alias("component"),
-                    F.concat_ws("_", "op", "oclause", k_op.cast("string")).alias("element"))
-
-    # --- VM: tables, values, columns (aliases resolved, implicit table filled, equalities applied)
-    tables = tokens.where(F.col("role") == "table").select(*keys, "scope", "pos", F.lit("tables").alias("vtype"),
-                                                            F.col("lt").alias("name"))
-    values = tokens.where(F.col("role") == "value").select(
-        *keys, "scope", "pos", F.lit("values").alias("vtype"),
-        F.when(F.col("kind") == "str", F.expr("substring(lt, 2, length(lt) - 2)")).otherwise(F.col("lt"))
-        .alias("name"))
-    cols = resolved_columns(tokens, keys)
-    cols = _apply_equalities(tokens, cols, keys)
-    variables = tables.unionByName(values).unionByName(cols)
-    k_var = F.row_number().over(Window.partitionBy(*kc, "scope", "vtype", "name").orderBy("pos")) - 1
-    vm = variables.select(*keys, "scope", F.lit("VM").alias("family"), F.col("vtype").alias("component"),
-                          F.concat_ws("/", "vtype", "name", k_var.cast("string")).alias("element"))
-    return sm.unionByName(om).unionByName(vm)
-
-
-def resolved_columns(tokens: DataFrame, keys: list[str]) -> DataFrame:
-    """Q22/Q25/Q26: (keys, scope, pos, vtype='columns', name) with the real table of each column.
-
-    A qualifier that is a table alias of the scope becomes the table; an unqualified
-    column takes the table when the scope's FROM holds exactly one table (or one
-    subquery, by its alias) and no join.
-    """
-    aliases = tokens.where(F.col("role") == "table_alias").groupBy(*keys, "scope", F.col("lt").alias("qual")).agg(
-        F.min("alias_of").alias("alias_of"))
-    single = tokens.groupBy(*keys, "scope").agg(
-        F.sum(F.when(F.col("role") == "table", 1).otherwise(0)).alias("n_tab"),
-        F.sum(F.when(F.col("role") == "query_alias", 1).otherwise(0)).alias("n_qal"),
-        F.sum(F.when(F.col("op").isin(JOIN_OPS), 1).otherwise(0)).alias("n_join"),
-        F.max(F.when(F.col("role") == "table", F.col("lt"))).alias("tab"),
-        F.max(F.when(F.col("role") == "query_alias", F.col("lt"))).alias("qal"))
-    implicit = single.select(*keys, "scope", F.when((F.col("n_tab") + F.col("n_qal") == 1) & (F.col("n_join") == 0),
-                                                    F.coalesce("tab", "qal")).alias("implicit"))
-    c = tokens.where(F.col("role") == "column").select(
-        *keys, "scope", "pos", F.when(F.col("lt").contains("."), F.substring_index("lt", ".", 1)).alias("qual"),
-        F.substring_index("lt", ".", -1).alias("cname"))
-    c = c.join(aliases, keys + ["scope", "qual"], "left").join(implicit, keys + ["scope"], "left")
-    table = F.when(F.col("qual").isNotNull(), F.coalesce("alias_of", "qual")).otherwise(F.col("implicit"))
-    name = F.when(table.isNotNull(), F.concat(table, F.lit("."), F.col("cname"))).otherwise(F.col("cname"))
-    return c.select(*keys, "scope", "pos", F.lit("columns").alias("vtype"), name.alias("name"))
-
-
-def column_equivalences(tokens: DataFrame, cols: DataFrame, keys: list[str]) -> DataFrame:
-    """Q27: (keys, scope, col, other) for every ``column = column`` condition, both directions."""
-    eq = tokens.where(F.col("op") == "eq").select(*keys, "scope", "pos")
-    left = cols.select(*keys, "scope", (F.col("pos") + 1).alias("pos"), F.col("name").alias("a"))
-    right = cols.select(*keys, "scope", (F.col("pos") - 1).alias("pos"), F.col("name").alias("b"))
-    pairs = eq.join(left, keys + ["scope", "pos"]).join(right, keys + ["scope", "pos"])
-    both = pairs.select(*keys, "scope", F.col("a").alias("col"), F.col("b").alias("other")).unionByName(
-        pairs.select(*keys, "scope", F.col("b").alias("col"), F.col("a").alias("other")))
-    return both.distinct()
-
-
-def _apply_equalities(tokens: DataFrame, cols: DataFrame, keys: list[str]) -> DataFrame:
-    """M7: a repeated column (occurrence >= 1) with an equality partner becomes the smallest
-    member of {column, partners} (one pass, in place of the reference's swap loop)."""
-    kc = [F.col(k) for k in keys]
-    eqv = column_equivalences(tokens, cols, keys).groupBy(*keys, "scope", "col").agg(F.min("other").alias("m"))
-    occ = F.row_number().over(Window.partitionBy(*kc, "scope", "name").orderBy("pos")) - 1
-    c = cols.withColumn("occ", occ).join(eqv.withColumnRenamed("col", "name"), keys + ["scope", "name"], "left")
-    rep = F.when((F.col("occ") >= 1) & F.col("m").isNotNull(), F.least("name", "m")).otherwise(F.col("name"))
-    return c.select(*keys, "scope", "pos", "vtype", rep.alias("name"))
-
-
-def component_rows(spark: SparkSession) -> DataFrame:
-    """Static (family, component) list; component 'total' stands for the whole family."""
-    rows = [(fam, comp) for fam, comps in FAMILIES.items() for comp in ["total"] + comps]
-    return spark.createDataFrame(rows, "family string, component string")
-
-
-def element_presence(gold: DataFrame, predictions: DataFrame, key: str = "datapoint_id",
-                     gold_col: str = "sql_query", pred_col: str = "predicted"):
-    """(per_el, scopes, pairs): for every (datapoint, model, depth, i, family, component, element)
-    whether the gold (g) and the prediction (p) hold it; the scope table of all queries; the
-    (datapoint, model) pairs. Gold elements are replicated per model by a join on the key."""
+def token_elements(tokens: DataFrame, keys: list[str]) -> DataFrame:
+    """The token relation with the element that each token stands for: sm, om, vm, em (each
+    struct(component, element) or null). Windows by ``keys`` and the scope only."""
+    k = [F.col(c) for c in keys]
+    scope = Window.partitionBy(*k, "scope")
+    query = Window.partitionBy(*k).orderBy("pos")
+    before = Window.partitionBy(*k, "scope").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+
+    # SM: clause keywords with the directions of their ORDER BY, set-operator keywords
+    ordering = (F.col("clause") == "orderby") & (F.col("p") == F.col("base_p")) & ~F.col("lt").isin("order", "by", ",")
+    items = F.collect_list(F.when(ordering, F.struct(F.col("ob_item"), (F.col("lt") == "desc").alias("is_desc")))).over(
+        Window.partitionBy(*k, "scope", "branch"))
+    t = tokens.withColumn("_items", items)
+    dirs = F.concat_ws("_", F.transform(
+        F.array_sort(F.array_distinct(F.transform("_items", lambda x: x["ob_item"]))),
+        lambda i: F.when(F.exists("_items", lambda x: (x["ob_item"] == i) & x["is_desc"]), "desc").otherwise("asc")))
+    name = F.when((F.col("clause_kw") == "orderby") & (F.size("_items") > 0), F.concat(F.lit("orderby_"), dirs)) \
+            .otherwise(F.col("clause_kw"))
+    t = t.withColumn("_sm", F.when(F.col("clause_kw").isNotNull(), F.struct(
+        F.col("clause_kw").alias("component"), _branched(name, F.col("branch")).alias("element"))))
+    t = t.withColumn("_so", F.when(F.col("is_setop"), F.struct(F.lit("set_operator").alias("component"), F.col("lt").alias("element"))))
+
+    # OM: operator occurrences per clause
+    is_op = F.col("op").isin(OM_COMPONENTS)
+    t = t.withColumn("_oc", F.when(F.max(F.col("is_setop").cast("int")).over(scope) == 1, F.lit("set_operator"))
+                     .otherwise(F.coalesce("clause", F.lit("none"))))
+    k_op = F.row_number().over(Window.partitionBy(*k, "scope", "op", "_oc").orderBy("pos")) - 1
+    t = t.withColumn("_om", F.when(is_op, F.struct(F.col("op").alias("component"),
+                                                   F.concat_ws("_", "op", "_oc", k_op.cast("string")).alias("element"))))
+
+    # VM: tables, values, columns (aliases resolved, the lone table filled in, equalities applied)
+    t = t.withColumn("_column", _resolved_column(scope))
+    eq_left, eq_right = (F.when(F.lag("scope", d).over(query) == F.col("scope"), F.lag("_column", d).over(query)) for d in (1, -1))
+    t = t.withColumn("_pair", F.when((F.col("op") == "eq") & eq_left.isNotNull() & eq_right.isNotNull(),
+                                     F.struct(eq_left.alias("a"), eq_right.alias("b"))))
+    t = t.withColumn("_pairs", F.collect_list("_pair").over(scope))
+    other = F.array_min(F.concat(
+        F.transform(F.filter("_pairs", lambda x: x["a"] == F.col("_column")), lambda x: x["b"]),
+        F.transform(F.filter("_pairs", lambda x: x["b"] == F.col("_column")), lambda x: x["a"])))
+    occurrence = F.row_number().over(Window.partitionBy(*k, "scope", "_column").orderBy("pos")) - 1
+    t = t.withColumn("_name", F.when(F.col("role") == "column", F.when((occurrence >= 1) & other.isNotNull(), F.least("_column", other)).otherwise(F.col("_column")))
+                     .when(F.col("role") == "table", F.col("lt"))
+                     .when(F.col("role") == "value", F.when(F.col("kind") == "str", F.expr("substring(lt, 2, length(lt) - 2)")).otherwise(F.col("lt"))))
+    t = t.withColumn("_vtype", F.when(F.col("_name").isNotNull(), F.concat("role", F.lit("s"))))
+    k_var = F.row_number().over(Window.partitionBy(*k, "scope", "_vtype", "_name").orderBy("pos")) - 1
+    t = t.withColumn("_vm", F.when(F.col("_name").isNotNull(), F.struct(
+        F.col("_vtype").alias("component"), F.concat_ws("/", "_vtype", "_name", k_var.cast("string")).alias("element"))))
+
+    # EM: columns with their aggregate, conditions with their sides
+    aggregate = F.when((F.col("prev1") == "(") & F.lag("op", 2).over(query).isin(AGGREGATES), F.lag("op", 2).over(query)) \
+                 .when((F.col("prev1") == "distinct") & (F.col("prev2") == "(") & F.lag("op", 3).over(query).isin(AGGREGATES), F.lag("op", 3).over(query))
+    column = F.when(F.col("role") == "column", F.col("_name"))
+    place = F.when(F.col("clause") == "orderby", F.col("ob_item").cast("string"))
+    t = t.withColumn("_side", column).withColumn("_agg", aggregate)
+    connective = F.last(F.when(F.col("op").isin("and", "or"), F.col("op")), ignorenulls=True).over(
+        Window.partitionBy(*k, "scope", "branch", "clause").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
+    parts = F.when(F.col("role") == "column", F.concat_ws("|", F.lit("column"), F.coalesce("clause", F.lit("none")), F.col("branch").cast("string"),
+                                                          F.coalesce(place, F.lit("")), F.coalesce("_agg", F.lit("")), "_name")) \
+             .when(F.col("op").isin(CONDITIONS), F.concat_ws(
+                 "|", F.lit("condition"), F.coalesce("clause", F.lit("none")), F.col("branch").cast("string"), "op",
+                 F.coalesce(F.last("_side", ignorenulls=True).over(before), F.lit("")),
+                 F.coalesce(F.lead("_side").over(Window.partitionBy(*k, "scope").orderBy("pos")), F.lit("value")),
+                 F.when(connective == "or", "or").otherwise("")))
+    t = t.withColumn("_part", parts)
+    k_em = F.row_number().over(Window.partitionBy(*k, "scope", "_part").orderBy("pos")) - 1
+    return t.withColumn("_em", F.when(F.col("_part").isNotNull(), F.struct(
+        F.lit("exact").alias("component"), F.concat_ws("|", "_part", k_em.cast("string")).alias("element"))))
+
+
+def _branched(name: Column, branch: Column) -> Column:
+    return F.when(branch >= 1, F.concat(name, F.lit("_"), branch.cast("string"))).otherwise(name)
+
+
+def _resolved_column(scope) -> Column:
+    """Q22/Q25/Q26: name of a column token with its real table. A qualifier that is a table alias of the scope
+    becomes the table; an unqualified column takes the table when the scope's FROM holds exactly one
+    table (or one subquery, by its alias) and no join."""
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0)).over(scope)
+    role = F.col("role")
+    aliases = F.collect_list(F.when(role == "table_alias", F.struct(F.col("lt").alias("alias"), F.col("alias_of")))).over(scope)
+    lone = (count(role == "table") + count(role == "query_alias") == 1) & (count(F.col("op").isin(JOIN_OPS)) == 0)
+    implicit = F.when(lone, F.coalesce(F.max(F.when(role == "table", F.col("lt"))).over(scope), F.max(F.when(role == "query_alias", F.col("lt"))).over(scope)))
+    qualifier = F.when(F.col("lt").contains("."), F.substring_index("lt", ".", 1))
+    real = F.array_min(F.transform(F.filter(aliases, lambda x: x["alias"] == qualifier), lambda x: x["alias_of"]))
+    table = F.when(qualifier.isNotNull(), F.coalesce(real, qualifier)).otherwise(implicit)
+    name = F.substring_index("lt", ".", -1)
+    return F.when(role == "column", F.when(table.isNotNull(), F.concat(table, F.lit("."), name)).otherwise(name))
+
+
+def query_scopes(sides: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, parse_error, scopes): per query the array of its (sub)queries as struct(depth, i, SM, OM, VM, EM), i counting
+    the subqueries of one depth in order; every family is an array of struct(component, element)."""
+    t = token_elements(sqltokens.token_relation(sides, keys, "sql", repartition=False), keys)
+    per_scope = t.groupBy(*keys, "scope").agg(
+        *sqltokens.signal_aggs(), F.max("depth").alias("depth"), F.max("parent_scope").alias("parent_scope"),
+        F.max("parent_branch").alias("parent_branch"), F.max(F.col("is_setop").cast("int")).alias("is_set"),
+        F.concat(F.collect_list("_sm"), F.collect_list("_so")).alias("SM"), F.collect_list("_om").alias("OM"),
+        F.collect_list("_vm").alias("VM"), F.collect_list("_em").alias("EM"))
+    q = per_scope.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("scope", "depth", "parent_scope", "parent_branch", "is_set", "SM", "OM", "VM", "EM"))).alias("all"),
+        F.min("min_p").alias("min_p"), F.max_by("last_p", "hi").alias("last_p"), F.max("has_select").alias("has_select"),
+        F.max("dup_distinct").alias("dup_distinct"), F.max("dup_clause").alias("dup_clause"), F.max("nq").alias("nq"))
+
+    def nested(x):
+        return F.transform(F.filter("all", lambda c: c["parent_scope"] == x["scope"]), lambda c: F.struct(
+            F.lit(None).cast("string").alias("component"),
+            _branched(F.when(c["is_set"] == 1, F.lit("set_operator")).otherwise(F.lit("nesting")), c["parent_branch"]).alias("element")))
+
+    scopes = F.transform("all", lambda x: F.struct(
+        x["depth"].alias("depth"),
+        F.size(F.filter("all", lambda c: (c["depth"] == x["depth"]) & (c["scope"] < x["scope"]))).alias("i"),
+        F.concat(x["SM"], nested(x)).alias("SM"), x["OM"].alias("OM"), x["VM"].alias("VM"), x["EM"].alias("EM")))
+    return q.select(*keys, sqltokens.parse_error_expr().alias("parse_error"), scopes.alias("scopes"))
+
+
+def aligned_scopes(gold: DataFrame, predictions: DataFrame, key: str = "datapoint_id",
+                   gold_col: str = "sql_query", pred_col: str = "predicted") -> DataFrame:
+    """(key, model, parse_error, depth, i, g, p): the aligned subqueries of every (datapoint, model) pair, g and p struct of
+    element arrays (null where a side lacks the subquery). A pair without any subquery keeps one row with a
+    null depth. One exchange of the SQL strings by the key."""
     sides = sql_sides(gold, predictions, key, gold_col, pred_col)
-    keys = [key, "model"]
-    t = materialize(sqltokens.token_relation(sides, keys, "sql", repartition=False))
-    scopes = materialize(sqlfeatures.scope_table(t, keys))
-    el = _elements(t, scopes, keys).join(scopes.select(*keys, "scope", "depth", "subquery_no"), keys + ["scope"])
-    el = el.select(key, "model", "depth", F.col("subquery_no").alias("i"), "family", "component", "element")
-    pairs = predictions.select(key, "model").distinct()
-    g_el = el.where(F.col("model") == GOLD).drop("model").join(pairs, key)  # gold replicated per model
-    p_el = el.where(F.col("model") != GOLD)
-    both = (g_el.select("*", F.lit(1).alias("in_g"), F.lit(0).alias("in_p"))
-            .unionByName(p_el.select("*", F.lit(0).alias("in_g"), F.lit(1).alias("in_p"))))
-    per_el = both.groupBy(key, "model", "depth", "i", "family", "component", "element").agg(
-        F.max("in_g").alias("g"), F.max("in_p").alias("p"))
-    return per_el, scopes, pairs
+    queries = query_scopes(sides, [key, "model"])
+    per_key = queries.groupBy(key).agg(F.collect_list(F.struct("model", "parse_error", "scopes")).alias("q"))
+    rows = sides.groupBy(key).agg(F.collect_set("model").alias("models")).join(per_key, key, "left")
+    rows = rows.select(key, "q", F.explode(F.filter("models", lambda m: m != GOLD)).alias("model"))
+
+    def side(m):
+        return F.get(F.filter("q", lambda x: x["model"] == m), F.lit(0))
+
+    rows = rows.select(key, "model", side(F.lit(GOLD)).alias("g"), side(F.col("model")).alias("p"))
+    error = F.coalesce(F.concat(F.lit("gold: "), "g.parse_error"), F.concat(F.lit("predicted: "), "p.parse_error"))
+    empty = F.array().cast("array<struct<depth:int,i:int>>")
+    places = [F.coalesce(F.transform(f"{x}.scopes", lambda s: F.struct(s["depth"].cast("int").alias("depth"), s["i"].cast("int").alias("i"))), empty) for x in "gp"]
+    rows = rows.select(key, "model", error.alias("parse_error"), "g", "p", F.explode_outer(F.array_union(*places)).alias("at"))
+
+    def scope(x):
+        return F.get(F.filter(f"{x}.scopes", lambda s: (s["depth"] == F.col("at.depth")) & (s["i"] == F.col("at.i"))), F.lit(0))
+
+    return rows.select(key, "model", "parse_error", "at.depth", "at.i", scope("g").alias("g"), scope("p").alias("p"))
+
+
+def _names(side: str, family: str, component: str = "total") -> Column:
+    """Distinct elements of one side's family (or of one of its components)."""
+    c = F.col(f"{side}.{family}")
+    if component != "total":
+        c = F.filter(c, lambda x: x["component"] == component)
+    return F.coalesce(F.transform(c, lambda x: x["element"]), F.array().cast("array<string>"))
+
+
+def _jaccard(family: str, component: str = "total") -> Column:
+    g, p = _names("g", family, component), _names("p", family, component)
+    union = F.size(F.array_union(g, p))
+    return F.when(F.col("depth").isNotNull(), F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(g, p)) / union))
+
+
+def _scores(aligned: DataFrame, components: list[tuple[str, str]], key: str) -> DataFrame:
+    """(key, model, parse_error, exact, one column per (family, component)): means over depths of the means over
+    aligned subqueries; exact is 1 where all exact-match parts agree everywhere."""
+    same = F.when(F.col("depth").isNotNull(), F.least(*[(_jaccard(f, c) == 1).cast("int") for f, c in EM_COMPONENTS]))
+    names = [f"{f}_{c}" for f, c in components]
+    per_depth = aligned.select(key, "model", "parse_error", "depth", same.alias("exact"), *[_jaccard(f, c).alias(n) for (f, c), n in zip(components, names)]) \
+        .groupBy(key, "model", "parse_error", "depth").agg(F.min("exact").alias("exact"), *[F.avg(n).alias(n) for n in names])
+    return per_depth.groupBy(key, "model", "parse_error").agg(F.min("exact").alias("exact"), *[F.avg(n).alias(n) for n in names])
 
 
 def component_scores(gold: DataFrame, predictions: DataFrame, key: str = "datapoint_id",
                      gold_col: str = "sql_query", pred_col: str = "predicted") -> DataFrame:
-    """M1-M3: (key, model, family, component, score) with score = mean over depths of the mean
-    Jaccard over aligned subqueries; also the pair's parse_error (either side)."""
-    spark = gold.sparkSession
-    per_el, scopes, pairs = element_presence(gold, predictions, key, gold_col, pred_col)
-    inter = F.sum(F.col("g") * F.col("p"))
-    counts = per_el.where(F.col("component").isNotNull()).groupBy(
-        key, "model", "depth", "i", "family", "component").agg(inter.alias("inter"), F.count(F.lit(1)).alias("uni"))
-    totals = per_el.groupBy(key, "model", "depth", "i", "family").agg(
-        inter.alias("inter"), F.count(F.lit(1)).alias("uni")).withColumn("component", F.lit("total"))
-    counts = counts.unionByName(totals)
-
-    sc = scopes.select(key, "model", "depth", F.col("subquery_no").alias("i"))
-    g_sc = sc.where(F.col("model") == GOLD).drop("model").join(pairs, key)
-    p_sc = sc.where(F.col("model") != GOLD)
-    aligned = g_sc.join(p_sc, [key, "model", "depth", "i"], "full_outer")
-    comps = F.array(*[F.struct(F.lit(f).alias("family"), F.lit(c).alias("component"))
-                      for f, cs in FAMILIES.items() for c in ["total"] + cs])
-    grid = aligned.select("*", F.explode(comps).alias("fc")).select(
-        *aligned.columns, "fc.family", "fc.component")  # 47 static components per aligned pair
-    j = grid.join(counts, [key, "model", "depth", "i", "family", "component"], "left")
-    jac = F.when(F.coalesce(F.col("uni"), F.lit(0)) == 0, F.lit(1.0)).otherwise(F.col("inter") / F.col("uni"))
-    per_depth = j.groupBy(key, "model", "family", "component", "depth").agg(F.avg(jac).alias("d"))
-    scores = per_depth.groupBy(key, "model", "family", "component").agg(F.avg("d").alias("score"))
-
-    errs = scopes.select(key, "model", "parse_error").where(F.col("parse_error").isNotNull()).distinct()
-    g_err = errs.where(F.col("model") == GOLD).select(key, F.col("parse_error").alias("g_err"))
-    p_err = errs.where(F.col("model") != GOLD).select(key, "model", F.col("parse_error").alias("p_err"))
-    out = pairs.join(g_err, key, "left").join(p_err, [key, "model"], "left")
-    out = out.withColumn("parse_error", F.coalesce(F.concat(F.lit("gold: "), "g_err"),
-                                                   F.concat(F.lit("predicted: "), "p_err")))
-    out = out.select(key, "model", "parse_error").join(scores, [key, "model"], "left")
-    return out
+    """M1-M3: (key, model, parse_error, family, component, score) for every component, 'total' for a whole family."""
+    components = [(f, c) for f, cs in FAMILIES.items() for c in ["total", *cs]]
+    wide = _scores(aligned_scopes(gold, predictions, key, gold_col, pred_col), components, key)
+    long = F.array(*[F.struct(F.lit(f).alias("family"), F.lit(c).alias("component"), F.col(f"`{f}_{c}`").alias("score")) for f, c in components])
+    return wide.select(key, "model", "parse_error", F.explode(long).alias("s")).select(key, "model", "parse_error", "s.*")
+
+
+EM_COMPONENTS = [("SM", "total"), ("OM", "total"), ("VM", "tables"), ("EM", "total")]
 
 
 def partial_match(gold: DataFrame, predictions: DataFrame, key: str = "datapoint_id",
@@ -222,47 +239,27 @@ def partial_match(gold: DataFrame, predictions: DataFrame, key: str = "datapoint
     A pair where either side fails Q32 scores 0 on every metric (M9). ``boolean``
     adds ``*_boolean`` columns: 1 when the score is 1, else 0.
     """
-    cs = component_scores(gold, predictions, key, gold_col, pred_col)
-    fam = cs.where(F.col("component") == "total").groupBy(key, "model", "parse_error").pivot(
-        "family", list(FAMILIES)).agg(F.first("score"))
-    em = exact_match(cs, key)
-    failed = F.col("parse_error").isNotNull()
-    cols = [F.when(failed, 0.0).otherwise(F.coalesce(F.col(f), F.lit(0.0))).alias(f) for f in FAMILIES]
-    out = fam.select(key, "model", "parse_error", *cols)
-    out = out.withColumn("PM", (F.col("SM") + F.col("OM") + F.col("VM")) / 3).join(em, [key, "model"], "left")
-    out = out.withColumn("EM", F.when(failed, 0).otherwise(F.coalesce("EM", F.lit(0))))
-    metric_cols = ["PM", "SM", "OM", "VM"]
+    components = [(f, "total") for f in FAMILIES]
     if report_components:
-        comp = cs.where(F.col("component") != "total").withColumn(
-            "name", F.concat_ws("_", "family", "component")).groupBy(key, "model").pivot(
-            "name", [f"{f}_{c}" for f, comps in FAMILIES.items() for c in comps]).agg(F.first("score"))
-        out = out.join(comp, [key, "model"], "left")
-        names = [f"{f}_{c}" for f, comps in FAMILIES.items() for c in comps]
-        out = out.select(key, "model", "parse_error", *metric_cols,
-                         *[F.when(failed, 0.0).otherwise(F.col(n)).alias(n) for n in names])
-        metric_cols = metric_cols + names
-    out = out.select(key, "model", "parse_error", "EM", *[F.round(c, PRECISION).alias(c) for c in metric_cols])
+        components += [(f, c) for f, cs in FAMILIES.items() for c in cs]
+    sc = _scores(aligned_scopes(gold, predictions, key, gold_col, pred_col), components, key)
+    failed = F.col("parse_error").isNotNull()
+
+    def scored(name):
+        return F.when(failed, 0.0).otherwise(F.coalesce(F.col(f"`{name}`"), F.lit(0.0)))
+
+    # Exact where structure, operators per clause, tables and the parts of every clause agree; values don't count
+    out = sc.select(key, "model", "parse_error", F.when(failed, 0).otherwise(F.coalesce("exact", F.lit(0))).alias("EM"),
+                    *[scored(f"{f}_total").alias(f) for f in FAMILIES], *[scored(f"{f}_{c}").alias(f"{f}_{c}") for f, c in components if c != "total"])
+    out = out.withColumn("PM", (F.col("SM") + F.col("OM") + F.col("VM")) / 3)
+    metric_cols = ["PM", "SM", "OM", "VM"] + [f"{f}_{c}" for f, c in components if c != "total"]
+    out = out.select(key, "model", "parse_error", "EM", *[F.round(F.col(f"`{c}`"), PRECISION).alias(c) for c in metric_cols])
     if boolean:
         out = out.select("*", *[F.when(F.col(c) == 1, 1).otherwise(0).alias(f"{c}_boolean")
                                 for c in ["PM", "SM", "OM", "VM"]])
     return out
 
 
-EM_COMPONENTS = [("SM", "total"), ("OM", "total"), ("VM", "columns"), ("VM", "tables")]
-
-
-def exact_match(component_scores_df: DataFrame, key: str = "datapoint_id") -> DataFrame:
-    """EM = 1 when, at every aligned subquery, the structural elements, the operators per
-    clause and the (alias-free) columns and tables coincide; literal values are ignored.
-    (Our set-based definition; failures are handled by the caller.)"""
-    cond = None
-    for fam, comp in EM_COMPONENTS:
-        c = (F.col("family") == fam) & (F.col("component") == comp)
-        cond = c if cond is None else cond | c
-    return component_scores_df.where(cond).groupBy(key, "model").agg(
-        F.min(F.when(F.col("score") == 1.0, 1).otherwise(0)).alias("EM"))
-
-
 def corpus_partial_match(scores: DataFrame, by=("model",)) -> DataFrame:
     """M9 (aggregated): mean of each metric per model (failures count as 0)."""
     metrics = [c for c in scores.columns if c in ("EM", "PM", "SM", "OM", "VM") or c.endswith("_boolean")]
@@ -303,9 +300,15 @@ def component_accuracy(gold: DataFrame, predictions: DataFrame, levels: DataFram
                        gold_col: str = "sql_query", pred_col: str = "predicted") -> DataFrame:
     """Per model, family and component: accuracy (matched / predicted, over pairs that
     predict something), recall (matched / gold, over pairs whose gold has something) and F1,
-    per hardness level and overall ('all'). Elements are counted over all aligned subqueries."""
-    per_el, _, _ = element_presence(gold, predictions, key, gold_col, pred_col)
-    c = per_el.where(F.col("component").isNotNull()).groupBy(key, "model", "family", "component").agg(
+    per hardness level and overall ('all'). Elements are counted over all aligned subqueries of pairs of
+    which both sides can be represented (Q32)."""
+    aligned = aligned_scopes(gold, predictions, key, gold_col, pred_col).where("parse_error IS NULL AND depth IS NOT NULL")
+    empty = F.array().cast("array<struct<component:string,element:string>>")
+    both = F.array(*[F.struct(F.lit(f).alias("family"), *[F.coalesce(F.array_distinct(f"{x}.{f}"), empty).alias(x) for x in "gp"]) for f in FAMILIES])
+    el = aligned.select(key, "model", F.explode(both).alias("b")).select(key, "model", "b.*")
+    el = el.select(key, "model", "family", "g", "p", F.explode(F.array_union("g", "p")).alias("e")).where("e.component IS NOT NULL")
+    el = el.select(key, "model", "family", "e.component", *[F.array_contains(x, F.col("e")).cast("int").alias(x) for x in "gp"])
+    c = el.groupBy(key, "model", "family", "component").agg(
         F.sum("g").alias("label_total"), F.sum("p").alias("pred_total"), F.sum(F.col("g") * F.col("p")).alias("matched"))
     c = c.join(levels, key, "left")
     acc = F.when(F.col("pred_total") > 0, F.col("matched") / F.col("pred_total"))

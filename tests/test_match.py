@@ -56,3 +56,32 @@ def test_hardness_levels(spark):
                        (5, "select count( from t")])
     h = {r.datapoint_id: r.hardness for r in match.hardness(sqlfeatures.feature_rows(df)).collect()}
     assert h == {1: "easy", 2: "medium", 3: "hard", 4: "extra", 5: "NA"}
+
+
+def test_exact_match_tells_clauses_apart(spark):
+    pairs = [("select a from t where b = 1", "select b from t where a = 1"),
+             ("select count(a), max(b) from t", "select max(a), count(b) from t"),
+             ("select c from t where a = 1 or b = 2", "select c from t where b = 1 or a = 2"),
+             ("select a from t order by a, b", "select a from t order by b, a"),
+             ("select a from t where a = 1 and b = 2", "select a from t where b = 2 and a = 1"),
+             ("select a, b from t", "select b, a from t"), ("select a from t", None)]
+    r = pm(spark, pairs)
+    assert [r[i].EM for i in range(7)] == [0, 0, 0, 0, 1, 1, 0]
+
+
+def test_component_accuracy_leaves_rejected_pairs_out(spark):
+    gold = frame(spark, [(0, "select a from t where b = 1"), (1, "select a from t where b = 1")])
+    preds = spark.createDataFrame([(0, "m", "select a from t where ("), (1, "m", "select a from t")], "datapoint_id long, model string, predicted string")
+    levels = match.hardness(sqlfeatures.feature_rows(gold))
+    rows = {(r.family, r.component): r for r in match.component_accuracy(gold, preds, levels).where("hardness = 'all'").collect()}
+    assert all(r.pairs == 1 for r in rows.values())
+    assert rows["SM", "where"].rec == 0.0 and rows["SM", "where"].acc is None and rows["SM", "select"].f1 == 1.0
+    long = match.component_scores(gold, preds).where("datapoint_id = 1 and component = 'total'").collect()
+    assert {r.family: round(r.score, 6) for r in long} == {"SM": round(2 / 3, 6), "OM": 0.0, "VM": 0.5}
+
+
+def test_one_exchange(spark, sf_dir):
+    from sqlprism.plans.catalog import QUERIES
+
+    plan = QUERIES["partial_match"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(datapoint_id") <= 2
