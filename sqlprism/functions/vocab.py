@@ -68,12 +68,3 @@ def operator_names():
 def operator_column(name):
     """Column name used for an operator count (spaces become underscores)."""
     return name.replace(" ", "_")
-
-
-def operator_type_rows():
-    """(operator, type name, type abbreviation, type order) rows for a lookup table."""
-    rows = []
-    for order, (tname, abbr, members) in enumerate(OPERATOR_TYPES):
-        for m in members:
-            rows.append((m, tname, abbr, order))
-    return rows

@@ -312,7 +312,3 @@ def structural_variety(features: DataFrame, by=BY) -> DataFrame:
 
 def operator_variety(features: DataFrame, by=BY) -> DataFrame:
     return variety(features, "operatorTypes_category_name", by).withColumnRenamed("variety", "operator_variety")
-
-
-def operator_names():
-    return vocab.operator_names()

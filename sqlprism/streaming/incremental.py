@@ -1,8 +1,8 @@
 """Incremental profiling of arriving datapoint files with Structured Streaming.
 
 A query's features depend on that query alone, so each micro-batch of new
-datapoints is profiled with the batch pipeline (``foreachBatch``) and appended to
-the queries frame; corpus statistics are then read from that table. The stream's
+datapoints is profiled with the batch pipeline (``foreachBatch``) and written to its own
+folder ``batch_id=n`` of the queries frame, which makes a retried batch harmless; corpus statistics are then read from that table. The stream's
 progress lives in ``checkpoint_location`` (a shared folder on a cluster), so a
 restarted or failed job resumes without reprocessing or losing files.
 """
@@ -30,7 +30,8 @@ def profile_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoi
     stream = spark.readStream.schema(schema).format(fmt).load(source_dir)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        sqlfeatures.feature_rows(batch).write.mode("append").parquet(sink_dir)
+        # a folder per batch, overwritten: a batch that is tried again leaves its rows once
+        sqlfeatures.feature_rows(batch).write.mode("overwrite").parquet(f"{sink_dir}/batch_id={batch_id}")
 
     writer = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_location)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")

@@ -17,6 +17,7 @@ def test_stream_appends_feature_rows(spark, tmp_path):
     q = profile_stream(spark, str(src), str(tmp_path / "out"), str(tmp_path / "ckpt"), available_now=True)
     q.awaitTermination(300)
     out = spark.read.parquet(str(tmp_path / "out")).where("current_depth = -1")
+    assert "batch_id" in out.columns
     assert out.count() == 5 and {r.where_conditions for r in out.collect()} == {1}
 
 
