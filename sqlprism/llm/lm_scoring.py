@@ -39,7 +39,7 @@ from sqlprism.llm.common import cut, remainder, table
 
 ORDER = 2
 PRIOR = 50.0
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 6 << 20
 HELD_OUT = 10
 _START, _END = stream(30, 2)
 
