@@ -39,7 +39,7 @@ from sqlprism.llm.common import table
 
 WINDOW = 4096
 END_ID = 2
-TABLE_WORDS = 400_000
+TABLE_WORDS = 250_000
 ENCODE_BYTES = 4 << 20
 
 _MARK, _ALNUM = np.zeros(256, bool), np.zeros(256, bool)
