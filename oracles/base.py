@@ -25,7 +25,7 @@ dp0 AS (
          CASE WHEN o_orderkey % 10 = 0 THEN 'test' WHEN o_orderkey % 10 = 1 THEN 'dev' ELSE 'train' END AS split,
          concat('db_', CAST(o_custkey % 5 AS VARCHAR)) AS db_id,
          o_orderkey % n_conv AS conv_id, o_orderkey // n_conv AS pass_no,
-         CASE o_orderkey % 12
+         CASE o_orderkey % 20
          WHEN 0 THEN concat('select count(*) from orders where o_custkey = ', o_custkey)
          WHEN 1 THEN concat('select o_orderkey, o_totalprice from orders where o_totalprice > ', cast(floor(o_totalprice) as bigint), ' and o_orderstatus = ''', o_orderstatus, ''' order by o_totalprice desc limit 5')
          WHEN 2 THEN concat('select c.c_name, sum(o.o_totalprice) from customer as c join orders as o on c.c_custkey = o.o_custkey where c.c_custkey = ', o_custkey, ' group by c.c_name')
@@ -37,7 +37,15 @@ dp0 AS (
          WHEN 8 THEN concat('select p_name from part where p_name like ''%ring%'' and p_size <> ', o_custkey % 50)
          WHEN 9 THEN concat('select l.l_orderkey from lineitem l left join orders o on l.l_orderkey = o.o_orderkey where o.o_orderkey is null or l.l_quantity * l.l_extendedprice > ', cast(floor(o_totalprice) as bigint))
          WHEN 10 THEN 'select o_orderkey from orders where o_custkey not in (select c_custkey from customer where c_acctbal > (select avg(c_acctbal) from customer)) order by o_orderdate asc limit 3'
-         ELSE 'select count( from orders where' END AS sql_query
+         WHEN 11 THEN 'select count( from orders where'
+         WHEN 12 THEN concat('with big as (select o_custkey from orders where o_totalprice > ', cast(floor(o_totalprice) as bigint), ') select c.c_name from customer c inner join big b on c.c_custkey = b.o_custkey where c.c_acctbal < ', o_custkey)
+         WHEN 13 THEN concat('select p_name from part where p_size <= ', o_custkey % 50, ' and not (p_retailprice not between 10 and ', o_custkey, ') and p_brand ilike ''b%'' intersect select p_name from part where p_type not like ''%''''s%'' or p_retailprice / 2 > ', o_custkey)
+         WHEN 14 THEN 'select "c"."c_name", min(c.c_acctbal - 1.5e1), max(c.c_acctbal + .5) from customer "c" cross join region r group by "c"."c_name" order by "c"."c_name" desc, c.c_acctbal'
+         WHEN 15 THEN concat('select s_name from supplier where s_name is not null except select s_name from supplier where exists (select n_nationkey from nation where n_name = " RUSSIA " -- isn''t read', chr(10), ')')
+         WHEN 16 THEN concat('select o_orderkey, case when o_totalprice > ', cast(floor(o_totalprice) as bigint), ' then ''big'' else ''small'' end as größe from orders o left outer join customer c on o.o_custkey = c.c_custkey group by o_orderkey, c.c_name')
+         WHEN 17 THEN 'select count(distinct o_custkey) from orders /* all''s well */ union all select upper(c_name) from customer'
+         WHEN 18 THEN 'select count(*) from customer group by c_nationkey + 1'
+         ELSE 'select c_name from customer where c_custkey = ?' END AS sql_query
   FROM orders, nconv
 ),
 datapoints AS (
@@ -99,7 +107,7 @@ def token_ctes(src: str, key: str = "datapoint_id", sql_col: str = "sql_query",
     """CTEs ``{prefix}tok`` (token relation with roles and operators) over relation ``src``."""
     P = prefix
     kw = in_list(vocab.KEYWORDS)
-    pat = q(vocab.TOKEN_PATTERN)
+    pat, sym = q(vocab.TOKEN_PATTERN), q(vocab.SYMBOL_PATTERN)
     K = key
     w = f"PARTITION BY {K} ORDER BY pos"
     run = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
@@ -109,27 +117,34 @@ def token_ctes(src: str, key: str = "datapoint_id", sql_col: str = "sql_query",
     return f"""
 {P}t0 AS (
   SELECT {K}, unnest(toks) AS tok, generate_subscripts(toks, 1) - 1 AS pos
-  FROM (SELECT {K}, regexp_extract_all({sql_col}, {pat}) AS toks FROM {src})
+  FROM (SELECT {K}, list_filter(regexp_extract_all({sql_col}, {pat}),
+                                lambda x: NOT starts_with(x, '--') AND NOT starts_with(x, '/*')) AS toks FROM {src})
 ),
 {P}t1 AS (
   SELECT {K}, pos, tok,
-    CASE WHEN left(tok, 1) = '''' THEN tok
-         WHEN left(tok, 1) IN ('"', '`') THEN lower(substr(tok, 2, length(tok) - 2))
+    CASE WHEN tok IN ('''', '"', '`') OR left(tok, 1) = '''' THEN tok
+         WHEN regexp_matches(tok, '^["`\\p{{L}}_]') THEN replace(replace(lower(tok), '"', ''), '`', '')
          ELSE lower(tok) END AS lt,
-    CASE WHEN left(tok, 1) = '''' THEN 'str'
+    CASE WHEN tok IN ('''', '"', '`') THEN 'quote'
+         WHEN left(tok, 1) = '''' THEN 'str'
          WHEN left(tok, 1) IN ('"', '`') THEN 'ident'
-         WHEN regexp_matches(tok, '^[0-9]') THEN 'num'
-         WHEN regexp_matches(tok, '^[A-Za-z_]') THEN (CASE WHEN lower(tok) IN {kw} THEN 'kw' ELSE 'ident' END)
-         ELSE 'sym' END AS kind
+         WHEN regexp_matches(tok, '^\\.?[0-9]') THEN 'num'
+         WHEN regexp_matches(tok, '^[\\p{{L}}_]') THEN (CASE WHEN lower(tok) IN {kw} THEN 'kw' ELSE 'ident' END)
+         WHEN regexp_full_match(tok, {sym}) THEN 'sym' ELSE 'other' END AS kind
   FROM {P}t0
 ),
-{P}t2 AS (
+{P}t2a AS (
   SELECT *,
     lag(lt, 1) OVER ({w}) AS prev1, lag(lt, 2) OVER ({w}) AS prev2, lag(kind, 1) OVER ({w}) AS prev_kind,
-    lead(lt, 1) OVER ({w}) AS next1, lead(lt, 2) OVER ({w}) AS next2,
+    lead(lt, 1) OVER ({w}) AS next1, lead(lt, 2) OVER ({w}) AS next2, lead(kind, 1) OVER ({w}) AS next_kind,
     sum(CASE WHEN lt = '(' THEN 1 WHEN lt = ')' THEN -1 ELSE 0 END) OVER ({w} {run}) AS p
   FROM {P}t1
 ),
+{P}t2 AS (
+  SELECT * REPLACE (CASE WHEN dq THEN 'str' ELSE kind END AS kind, CASE WHEN dq THEN replace(tok, '"', chr(39)) ELSE lt END AS lt)
+  FROM (SELECT *, tok LIKE '"%"' AND length(tok) > 1 AND NOT contains(tok[2:-2], '"')
+        AND coalesce(prev1 IN ('=', '!=', '<>', '<', '>', '<=', '>=', 'like', 'ilike', 'between'), false) AS dq FROM {P}t2a)
+),
 {P}t3 AS (
   SELECT *, CASE WHEN lt = ')' THEN p + 1 ELSE p END AS lvl,
          (lt = '(' AND coalesce(next1 = 'select', false)) AS sub_open
@@ -214,7 +229,8 @@ def token_ctes(src: str, key: str = "datapoint_id", sql_col: str = "sql_query",
       WHEN kind = 'ident' AND clause = 'from' AND (coalesce(lag(is_table, 1) OVER ({w}), false)
            OR (prev1 = 'as' AND coalesce(lag(is_table, 2) OVER ({w}), false))) THEN 'table_alias'
       WHEN kind = 'ident' AND (coalesce(lag(sub_close, 1) OVER ({w}), false)
-           OR (prev1 = 'as' AND coalesce(lag(sub_close, 2) OVER ({w}), false))) THEN 'query_alias'
+           OR (prev1 = 'as' AND coalesce(lag(sub_close, 2) OVER ({w}), false))
+           OR (next1 = 'as' AND next2 = '(' AND clause IS NULL)) THEN 'query_alias'
       WHEN kind = 'ident' AND prev1 = 'as' AND NOT coalesce(lag(is_table, 2) OVER ({w}), false)
            AND NOT coalesce(lag(sub_close, 2) OVER ({w}), false) THEN 'column_alias'
       WHEN kind = 'ident' AND next1 = '(' THEN 'function'
@@ -236,7 +252,12 @@ def parse_error_ctes(src: str, key: str = "datapoint_id", sql_col: str = "sql_qu
     return f"""
 {P}pq AS (
   SELECT {K}, min(p) AS min_p, arg_max(p, pos) AS last_p, max(CASE WHEN lt = 'select' THEN 1 ELSE 0 END) AS has_select,
-         max(CASE WHEN lt = 'distinct' AND next1 = 'distinct' THEN 1 ELSE 0 END) AS dup_distinct
+         max(CASE WHEN lt = 'distinct' AND next1 = 'distinct' THEN 1 ELSE 0 END) AS dup_distinct,
+         bool_or(kind = 'quote') AS lone_quote, bool_or(kind = 'other') AS unknown,
+         bool_or(coalesce(clause = 'groupby', false) AND clause_kw IS NULL AND (sub_close OR NOT (
+           lt IN ('by', ',', ';', '(', ')') OR coalesce(role = 'column', false)))) AS group_expr,
+         bool_or(lt = 'distinct' AND coalesce(prev1 = '(' AND prev2 IN ('count', 'min', 'max', 'sum', 'avg'), false)
+           AND NOT coalesce(next_kind = 'ident' AND next2 IN (')', ','), false)) AS distinct_expr
   FROM {P}tok GROUP BY {K}
 ),
 {P}rep AS (
@@ -246,10 +267,11 @@ def parse_error_ctes(src: str, key: str = "datapoint_id", sql_col: str = "sql_qu
 {P}errs AS (
   SELECT s.{K},
     CASE WHEN coalesce(min_p < 0, false) OR coalesce(last_p <> 0, false) THEN 'unbalanced parentheses'
-         WHEN (length(s.{sql_col}) - length(replace(s.{sql_col}, '''', ''))) % 2 = 1 THEN 'unbalanced quotes'
+         WHEN lone_quote THEN 'unbalanced quotes' WHEN unknown THEN 'unknown token'
          WHEN coalesce(has_select, 0) = 0 THEN 'no select'
          WHEN dup_distinct = 1 THEN 'repeated distinct'
-         WHEN dup_clause = 1 THEN 'repeated clause' END AS parse_error
+         WHEN dup_clause = 1 THEN 'repeated clause' WHEN group_expr THEN 'group by on an expression'
+         WHEN distinct_expr THEN 'distinct on an expression' END AS parse_error
   FROM {src} s LEFT JOIN {P}pq USING ({K}) LEFT JOIN {P}rep USING ({K})
 )"""
 

@@ -191,3 +191,7 @@ ORACLES.update({
 })
 
 ORACLES["text_dispersion"] = text_oracle.dispersion_sql()
+
+from . import lists as lists_oracle  # noqa: E402
+
+ORACLES.update(lists_oracle.oracles())

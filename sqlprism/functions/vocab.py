@@ -43,20 +43,23 @@ KEYWORDS = [
     "asc", "desc", "and", "or", "not", "in", "like", "ilike", "between", "is", "null",
     "exists", "join", "left", "right", "inner", "outer", "cross", "full", "natural",
     "on", "using", "as", "distinct", "all", "union", "intersect", "except", "case",
-    "when", "then", "else", "end", "true", "false", "count", "min", "max", "sum", "avg",
+    "when", "then", "else", "end", "true", "false", "count", "min", "max", "sum", "avg", "with", "recursive",
 ]
 
-# Token pattern shared by Spark (Java regex) and the DuckDB oracle (RE2): quoted
-# strings first so nothing inside a literal is ever a keyword, then quoted
-# identifiers, numbers, (qualified) words, two-char operators, one-char symbols.
+# Token pattern shared by Spark (Java regex) and the DuckDB oracle (RE2): comments first, then quoted strings so that
+# nothing inside a literal is ever a keyword ('' is an escaped quote), numbers, (qualified, quoted) names, two-char
+# operators, one-char symbols, and last any other character, which rejects the query (Q32).
+_NUMBER = r"(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
+_NAME = r'(?:[\p{L}_][\p{L}\p{N}_$]*|"[^"]*"|`[^`]*`)'
+SYMBOL_PATTERN = r"<>|!=|>=|<=|\|\||[(),;*+/=<>%-]"
 TOKEN_PATTERN = (
-    r"'[^']*'"
-    r'|"[^"]*"'
-    r"|`[^`]*`"
-    r"|[0-9]+(?:\.[0-9]+)?"
-    r"|[A-Za-z_][A-Za-z0-9_$]*(?:\.(?:[A-Za-z_][A-Za-z0-9_$]*|\*))?"
-    r"|<>|!=|>=|<=|\|\|"
-    r"|[(),;*+/=<>%-]"
+    r"--[^\n]*"
+    r"|/\*[^*]*\*+(?:[^/*][^*]*\*+)*/"
+    r"|'[^']*(?:''[^']*)*'"
+    rf"|{_NUMBER}"
+    rf"|{_NAME}(?:\.(?:{_NAME}|\*))*"
+    rf"|{SYMBOL_PATTERN}"
+    r"|[^ \t\n\x0B\f\r]"
 )
 
 

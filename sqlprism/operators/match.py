@@ -143,6 +143,11 @@ def _resolved_column(scope) -> Column:
     return F.when(role == "column", F.when(table.isNotNull(), F.concat(table, F.lit("."), name)).otherwise(name))
 
 
+def with_complete_names(tokens: DataFrame, keys: list[str]) -> DataFrame:
+    """The token relation with ``complete_name``: of a column token, its name with the real table."""
+    return tokens.withColumn("complete_name", _resolved_column(Window.partitionBy(*[F.col(c) for c in keys], "scope")))
+
+
 def query_scopes(sides: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, parse_error, scopes): per query the array of its (sub)queries as struct(depth, i, SM, OM, VM, EM), i counting
     the subqueries of one depth in order; every family is an array of struct(component, element)."""
@@ -154,8 +159,7 @@ def query_scopes(sides: DataFrame, keys: list[str]) -> DataFrame:
         F.collect_list("_vm").alias("VM"), F.collect_list("_em").alias("EM"))
     q = per_scope.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("scope", "depth", "parent_scope", "parent_branch", "is_set", "SM", "OM", "VM", "EM"))).alias("all"),
-        F.min("min_p").alias("min_p"), F.max_by("last_p", "hi").alias("last_p"), F.max("has_select").alias("has_select"),
-        F.max("dup_distinct").alias("dup_distinct"), F.max("dup_clause").alias("dup_clause"), F.max("nq").alias("nq"))
+        *sqltokens.query_signal_aggs())
 
     def nested(x):
         return F.transform(F.filter("all", lambda c: c["parent_scope"] == x["scope"]), lambda c: F.struct(

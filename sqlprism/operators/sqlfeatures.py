@@ -71,7 +71,7 @@ def deep_stats(stats: DataFrame, key="datapoint_id") -> DataFrame:
     """
     keys = _keys(key)
     fields = ["scope"] + SCOPE_FIELDS + ["select_items", "where_ops", "groupby_items"]
-    per_query = stats.groupBy(*keys).agg(F.collect_list(F.struct(*fields)).alias("scopes"), *_query_signal_aggs())
+    per_query = stats.groupBy(*keys).agg(F.collect_list(F.struct(*fields)).alias("scopes"), *sqltokens.query_signal_aggs())
     per_query = per_query.withColumn("parse_error", sqltokens.parse_error_expr())
     a = F.col("a")
     # a query failing Q32 explodes no scope: its single row aggregates nulls, so every
@@ -91,30 +91,6 @@ def deep_stats(stats: DataFrame, key="datapoint_id") -> DataFrame:
     return g.withColumn("sql_query_depth", F.col("max_depth") - F.col("depth")).drop("max_depth")
 
 
-def _query_signal_aggs():
-    return [F.min("min_p").alias("min_p"), F.max_by("last_p", "hi").alias("last_p"),
-            F.max("has_select").alias("has_select"), F.max("dup_distinct").alias("dup_distinct"),
-            F.max("dup_clause").alias("dup_clause"), F.max("nq").alias("nq")]
-
-
-def scope_table(tokens: DataFrame, key="datapoint_id") -> DataFrame:
-    """Per (query, scope): depth, subquery_no (order within its depth), shallow set-operator
-    count, parent scope/branch and the query's parse_error. Windows by the query key only."""
-    keys = _keys(key)
-    st = scope_stats(tokens, keys)
-    wq = Window.partitionBy(*[F.col(k) for k in keys])
-    sig = st.select(
-        *keys, "scope", "depth", F.col("SO").alias("sh_SO"), "parent_scope", "parent_branch",
-        F.min("min_p").over(wq).alias("min_p"), F.max_by("last_p", "hi").over(wq).alias("last_p"),
-        F.max("has_select").over(wq).alias("has_select"), F.max("dup_distinct").over(wq).alias("dup_distinct"),
-        F.max("dup_clause").over(wq).alias("dup_clause"), F.max("nq").over(wq).alias("nq"))
-    sig = sig.withColumn("parse_error", sqltokens.parse_error_expr())
-    sig = sig.withColumn("subquery_no", F.row_number().over(
-        Window.partitionBy(*[F.col(k) for k in keys], "depth").orderBy("scope")) - 1)
-    return sig.select(*keys, "scope", "depth", "subquery_no", "sh_SO", "parent_scope", "parent_branch",
-                      "parse_error")
-
-
 def type_counts(df: DataFrame) -> list[Column]:
     """Operator-type counts (J, Ag, C, Lo, Li, Ar, Me, Nu) from the 33 operator columns."""
     out = []

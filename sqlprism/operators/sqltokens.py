@@ -26,6 +26,7 @@ from ..functions import vocab
 
 CLAUSE_KEYWORDS = {"select": "select", "from": "from", "where": "where", "having": "having",
                    "limit": "limit", "group": "groupby", "order": "orderby"}
+QUOTED_VALUE_AFTER = [*vocab.COMPARISON_SYMBOLS, "like", "ilike", "between"]
 
 
 def _isin(c: Column, values) -> Column:
@@ -38,27 +39,29 @@ def tokenize(df: DataFrame, key: str | list[str] = "datapoint_id", sql_col: str
 
     The input is hash-partitioned by the key *before* the explode, so the raw
     strings (not the ~30x more tokens) cross the network, and the tokens of a
-    query stay in one partition for all later windows.
+    query stay in one partition for all later windows. Comments are no tokens. A quote
+    without its partner has kind ``quote``, any other unknown character ``other``.
     """
     keys = [key] if isinstance(key, str) else list(key)
     src = df.select(*keys, sql_col)
     if repartition:
         src = src.repartition(*keys)
-    nq = F.length(sql_col) - F.length(F.regexp_replace(sql_col, "'", ""))
-    toks = src.select(*keys, nq.alias("nq"),
-                      F.posexplode(F.regexp_extract_all(F.col(sql_col), F.lit(vocab.TOKEN_PATTERN), 0))
-                      .alias("pos", "tok"))
+    pieces = F.filter(F.regexp_extract_all(F.col(sql_col), F.lit(vocab.TOKEN_PATTERN), 0),
+                      lambda x: ~x.startswith("--") & ~x.startswith("/*"))
+    toks = src.select(*keys, F.posexplode(pieces).alias("pos", "tok"))
     first = F.substring("tok", 1, 1)
-    kind = (F.when(first == "'", "str")
+    kind = (F.when(_isin(F.col("tok"), ["'", '"', "`"]), "quote")
+            .when(first == "'", "str")
             .when(_isin(first, ['"', "`"]), "ident")
-            .when(F.col("tok").rlike("^[0-9]"), "num")
-            .when(F.col("tok").rlike("^[A-Za-z_]"),
+            .when(F.col("tok").rlike(r"^\.?[0-9]"), "num")
+            .when(F.col("tok").rlike(r"^[\p{L}_]"),
                   F.when(_isin(F.lower("tok"), vocab.KEYWORDS), "kw").otherwise("ident"))
-            .otherwise("sym"))
+            .when(F.col("tok").rlike(f"^(?:{vocab.SYMBOL_PATTERN})$"), "sym")
+            .otherwise("other"))
     lt = (F.when(first == "'", F.col("tok"))
-          .when(_isin(first, ['"', "`"]), F.lower(F.expr("substring(tok, 2, length(tok) - 2)")))
+          .when(kind == "ident", F.regexp_replace(F.lower("tok"), '["`]', ""))
           .otherwise(F.lower("tok")))
-    return toks.select(*keys, "pos", "tok", lt.alias("lt"), kind.alias("kind"), "nq")
+    return toks.select(*keys, "pos", "tok", lt.alias("lt"), kind.alias("kind"))
 
 
 def structure(tokens: DataFrame, key: str | list[str] = "datapoint_id") -> DataFrame:
@@ -75,8 +78,14 @@ def structure(tokens: DataFrame, key: str | list[str] = "datapoint_id") -> DataF
         F.lag("kind", 1).over(w).alias("prev_kind"),
         F.lead("lt", 1).over(w).alias("next1"),
         F.lead("lt", 2).over(w).alias("next2"),
+        F.lead("kind", 1).over(w).alias("next_kind"),
         F.sum(F.when(F.col("lt") == "(", 1).when(F.col("lt") == ")", -1).otherwise(0)).over(run).alias("p"),
     )
+    # a double-quoted name right after a comparison, LIKE or BETWEEN is a string
+    quoted = F.col("tok").rlike('^"[^"]*"$') & _isin(F.col("prev1"), QUOTED_VALUE_AFTER)
+    t = t.withColumn("kind", F.when(quoted, "str").otherwise(F.col("kind")))
+    t = t.withColumn("lt", F.when(quoted, F.concat(F.lit("'"), F.expr("substring(tok, 2, length(tok) - 2)"), F.lit("'")))
+                     .otherwise(F.col("lt")))
     t = t.withColumn("lvl", F.when(F.col("lt") == ")", F.col("p") + 1).otherwise(F.col("p")))
     t = t.withColumn("sub_open", (F.col("lt") == "(") & (F.col("next1") == "select"))
     wl = Window.partitionBy(*kc, "lvl").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -173,13 +182,15 @@ def _roles(t: DataFrame, kc) -> DataFrame:
     table_alias = is_ident & in_from & (prev_table | ((prev1 == "as") & prev2_table))
     sub_alias = is_ident & (prev_sub_close | ((prev1 == "as") & prev2_sub_close))
     col_alias = is_ident & (prev1 == "as") & ~prev2_table & ~prev2_sub_close
+    # ``with x as (select``: x names a subquery
+    cte = is_ident & (F.col("next1") == "as") & (F.col("next2") == "(") & F.col("clause").isNull()
     function = is_ident & (F.col("next1") == "(")
     # the opener of a scope records the scope and branch it is nested in
     t = t.withColumn("parent_scope", F.when(F.col("sub_open"), F.lag("scope", 1).over(w)))
     t = t.withColumn("parent_branch", F.when(F.col("sub_open"), F.lag("branch", 1).over(w)))
     role = (F.when(F.col("is_table"), "table")
             .when(table_alias, "table_alias")
-            .when(sub_alias, "query_alias")
+            .when(sub_alias | cte, "query_alias")
             .when(col_alias, "column_alias")
             .when(function, "function")
             .when(is_ident, "column")
@@ -211,35 +222,52 @@ def query_signals(tokens: DataFrame, key: str | list[str] = "datapoint_id") -> D
     return tokens.groupBy(*keys).agg(*signal_aggs())
 
 
-def signal_aggs(prefix: str = "") -> list[Column]:
-    """Aggregates of the Q32 signals over tokens (or, with ``prefix``, over per-scope rows)."""
-    if prefix:
-        return [F.min(f"{prefix}min_p").alias("min_p"), F.max_by(f"{prefix}last_p", f"{prefix}hi").alias("last_p"),
-                F.max(f"{prefix}has_select").alias("has_select"),
-                F.max(f"{prefix}dup_distinct").alias("dup_distinct"),
-                F.max(f"{prefix}dup_clause").alias("dup_clause"), F.max(f"{prefix}nq").alias("nq")]
+SIGNALS = ["has_select", "dup_distinct", "dup_clause", "lone_quote", "unknown", "group_expr", "distinct_expr"]
+
+
+def signal_aggs() -> list[Column]:
+    """Aggregates of the Q32 signals over tokens."""
+    lt = F.col("lt")
+    in_aggregate = (F.col("prev1") == "(") & _isin(F.col("prev2"), vocab.AGGREGATE_NAMES)
+    column_follows = (F.col("next_kind") == "ident") & _isin(F.col("next2"), [")", ","])
+    allowed = _isin(lt, ["by", ",", ";", "(", ")"]) | F.coalesce(F.col("role") == "column", F.lit(False))
+    rules = {
+        "has_select": lt == "select",
+        "dup_distinct": (lt == "distinct") & (F.col("next1") == "distinct"),
+        "dup_clause": F.col("dup_clause"),
+        "lone_quote": F.col("kind") == "quote",
+        "unknown": F.col("kind") == "other",
+        "group_expr": (F.col("clause") == "groupby") & F.col("clause_kw").isNull() & (~allowed | F.col("sub_close")),
+        "distinct_expr": (lt == "distinct") & in_aggregate & ~column_follows,
+    }
     return [F.min("p").alias("min_p"), F.max_by("p", "pos").alias("last_p"), F.max("pos").alias("hi"),
-            F.max((F.col("lt") == "select").cast("int")).alias("has_select"),
-            F.max(F.coalesce((F.col("lt") == "distinct") & (F.col("next1") == "distinct"), F.lit(False))
-                  .cast("int")).alias("dup_distinct"),
-            F.max(F.col("dup_clause").cast("int")).alias("dup_clause"), F.max("nq").alias("nq")]
+            *[F.max(F.coalesce(rules[s], F.lit(False)).cast("int")).alias(s) for s in SIGNALS]]
+
+
+def query_signal_aggs() -> list[Column]:
+    """The same signals of a query over its per-scope rows."""
+    return [F.min("min_p").alias("min_p"), F.max_by("last_p", "hi").alias("last_p"), *[F.max(s).alias(s) for s in SIGNALS]]
 
 
 def parse_error_expr() -> Column:
     """Q32 rule over the signal columns; first match wins. No tokens at all -> 'no select'."""
     return (F.when(F.coalesce(F.col("min_p") < 0, F.lit(False)) | F.coalesce(F.col("last_p") != 0, F.lit(False)),
                    "unbalanced parentheses")
-            .when(F.coalesce(F.col("nq"), F.lit(0)) % 2 == 1, "unbalanced quotes")
+            .when(F.col("lone_quote") == 1, "unbalanced quotes")
+            .when(F.col("unknown") == 1, "unknown token")
             .when(F.coalesce(F.col("has_select"), F.lit(0)) == 0, "no select")
             .when(F.col("dup_distinct") == 1, "repeated distinct")
-            .when(F.col("dup_clause") == 1, "repeated clause"))
+            .when(F.col("dup_clause") == 1, "repeated clause")
+            .when(F.col("group_expr") == 1, "group by on an expression")
+            .when(F.col("distinct_expr") == 1, "distinct on an expression"))
 
 
 def parse_errors(df: DataFrame, tokens: DataFrame, key: str | list[str] = "datapoint_id") -> DataFrame:
     """Q32: (key..., parse_error) for every query; null when the feature model can represent it.
 
-    Rules, first match wins: unbalanced parentheses, unbalanced quotes, no SELECT,
-    repeated DISTINCT, a clause repeated within one (scope, branch).
+    Rules, first match wins: unbalanced parentheses, unbalanced quotes, an unknown token, no SELECT,
+    repeated DISTINCT, a clause repeated within one (scope, branch), GROUP BY on something else than
+    columns, DISTINCT inside an aggregate on something else than one or more columns.
     """
     keys = [key] if isinstance(key, str) else list(key)
     sig = query_signals(tokens, keys)

@@ -667,3 +667,127 @@ def q_error_records(spark, sf):
 def q_dispersion(spark, sf):
     """Gini-based and evenness-based dispersion per text."""
     return text.dispersion(_texts(spark, sf))
+
+
+# --- lists of query parts -------------------------------------------------------------------------------
+
+from ..operators import sqlfeatures, sqllists  # noqa: E402
+
+
+def _tokens(spark, sf):
+    return sqltokens.token_relation(corpus.datapoints(spark, sf))
+
+
+def _joined(df, *names):
+    """Array columns as text, for reports."""
+    return df.select(*[F.array_join(c, ",").alias(c) if c in names else c for c in df.columns])
+
+
+@register("sql_operator_lists")
+def q_operator_lists(spark, sf):
+    """Q8 + Q9 + Q20 (shallow): operators, their types and conditions per scope and clause."""
+    return _joined(sqllists.operator_lists(_tokens(spark, sf)), "operators", "operator_types", "conditions")
+
+
+@register("sql_operator_lists_deep")
+def q_operator_lists_deep(spark, sf):
+    """Q8 + Q9 (deep): operators and their types per clause of whole queries."""
+    return _joined(sqllists.deep_operator_lists(_tokens(spark, sf)), "operators", "operator_types")
+
+
+@register("sql_variables")
+def q_variables(spark, sf):
+    """Q21-Q24: tables, columns, values and aliases with their names."""
+    return sqllists.variable_rows(_tokens(spark, sf))
+
+
+@register("sql_query_flags")
+def q_flags(spark, sf):
+    """Q18 + Q30: DISTINCT, UNION ALL, unlisted-function and LIMIT flags, ORDER BY directions, GROUP BY columns."""
+    return _joined(sqllists.query_flags(_tokens(spark, sf)), "orderby_directions", "groupby_columns")
+
+
+@register("sql_normalized")
+def q_normalized(spark, sf):
+    """Q33: SQL text normalised for exact-match parsers."""
+    return sqllists.normalized_sql(_tokens(spark, sf))
+
+
+@register("sql_shallow_counts")
+def q_shallow_counts(spark, sf):
+    """Q3-Q31, shallow: the counts of every scope without the scopes nested in it."""
+    st = sqlfeatures.scope_stats(_tokens(spark, sf))
+    return st.select("datapoint_id", "scope", "depth", *[F.col(c).cast("long").alias(c) for c in sqlfeatures.COUNT_COLS])
+
+
+# --- distributions of text features (A23.2-A23.8) --------------------------------------------------------
+
+def _reference_pct(spark, sf):
+    return q_schema_ref_pct(spark, sf).join(corpus.datapoints(spark, sf).select("datapoint_id", "dataset"), "datapoint_id")
+
+
+@register("question_schema_reference_shares")
+def q_schema_ref_shares(spark, sf):
+    """A23.2 (distribution)."""
+    return stats.attr_percentages(_reference_pct(spark, sf), "referenced_schema_elements_percentage", pct_name="pct_questions")
+
+
+@register("question_schema_reference_statistics")
+def q_schema_ref_stats(spark, sf):
+    """A23.2 (statistics)."""
+    return stats.summary(_reference_pct(spark, sf), "referenced_schema_elements_percentage", name="schema_reference")
+
+
+@register("text_flesch_shares")
+def q_flesch_shares(spark, sf):
+    """A23.3 (distribution, Flesch)."""
+    return stats.attr_percentages(text.readability(_texts(spark, sf)), "flesch_reading_ease", pct_name="pct_texts")
+
+
+@register("text_eflaw_shares")
+def q_eflaw_shares(spark, sf):
+    """A23.3 (distribution, EFLAW)."""
+    return stats.attr_percentages(text.readability(_texts(spark, sf)), "mcalpine_eflaw", pct_name="pct_texts")
+
+
+@register("text_eflaw_statistics")
+def q_eflaw_stats(spark, sf):
+    """A23.3 (statistics, EFLAW)."""
+    return stats.summary(text.readability(_texts(spark, sf)), "mcalpine_eflaw", name="eflaw")
+
+
+@register("text_rarity_shares")
+def q_rarity_shares(spark, sf):
+    """A23.4 (distribution)."""
+    r = text.rarity(_ann(spark, sf), _ref(spark, sf)).join(_text_meta(spark, sf), "text_id")
+    return stats.attr_percentages(r, "rarity", pct_name="pct_texts")
+
+
+@register("text_lexical_density_shares")
+def q_density_shares(spark, sf):
+    """A23.5 (distribution)."""
+    r = text.lexical_density(_ann(spark, sf)).join(_text_meta(spark, sf), "text_id")
+    return stats.attr_percentages(r, "lexical_density", pct_name="pct_texts")
+
+
+def _dependency_shares(spark, sf, attr):
+    d = text.dependency_metrics(_ann(spark, sf)).join(_text_meta(spark, sf), "text_id")
+    return stats.attr_percentages(d, attr, pct_name="pct_texts")
+
+
+@register("text_dependency_distance_shares")
+def q_dep_distance_shares(spark, sf):
+    """A23.6 (distribution)."""
+    return _dependency_shares(spark, sf, "avg_dependency_distance")
+
+
+@register("text_dependency_depth_shares")
+def q_dep_depth_shares(spark, sf):
+    """A23.7 (distribution)."""
+    return _dependency_shares(spark, sf, "depth")
+
+
+@register("text_dependencies_num_shares")
+def q_dep_num_shares(spark, sf):
+    """A23.8 (distribution)."""
+    return _dependency_shares(spark, sf, "dependencies_num")

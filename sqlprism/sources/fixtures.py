@@ -38,11 +38,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _gold_sql(o) -> "F.Column":
-    """SQL text of one datapoint, chosen by o_orderkey % 12 (template 11 is malformed)."""
+    """SQL text of one datapoint, chosen by o_orderkey % 20 (templates 11, 18 and 19 are rejected)."""
     key, cust, price, status = o("o_orderkey"), o("o_custkey"), o("o_totalprice"), o("o_orderstatus")
     fprice = F.floor(price).cast("bigint").cast("string")
     c = cust.cast("string")
-    t = key % 12
+    t = key % 20
     return (
         F.when(t == 0, F.concat(F.lit("select count(*) from orders where o_custkey = "), c))
         .when(t == 1, F.concat(F.lit("select o_orderkey, o_totalprice from orders where o_totalprice > "), fprice,
@@ -71,7 +71,25 @@ def _gold_sql(o) -> "F.Column":
         .when(t == 10, F.lit("select o_orderkey from orders where o_custkey not in (select c_custkey from customer "
                              "where c_acctbal > (select avg(c_acctbal) from customer)) order by o_orderdate asc "
                              "limit 3"))
-        .otherwise(F.lit("select count( from orders where"))
+        .when(t == 11, F.lit("select count( from orders where"))
+        .when(t == 12, F.concat(F.lit("with big as (select o_custkey from orders where o_totalprice > "), fprice,
+                                F.lit(") select c.c_name from customer c inner join big b on c.c_custkey = b.o_custkey "
+                                      "where c.c_acctbal < "), c))
+        .when(t == 13, F.concat(F.lit("select p_name from part where p_size <= "), (cust % 50).cast("string"),
+                                F.lit(" and not (p_retailprice not between 10 and "), c,
+                                F.lit(") and p_brand ilike 'b%' intersect select p_name from part where p_type not like "
+                                      "'%''s%' or p_retailprice / 2 > "), c))
+        .when(t == 14, F.lit('select "c"."c_name", min(c.c_acctbal - 1.5e1), max(c.c_acctbal + .5) from customer "c" '
+                             'cross join region r group by "c"."c_name" order by "c"."c_name" desc, c.c_acctbal'))
+        .when(t == 15, F.lit("select s_name from supplier where s_name is not null except select s_name from supplier "
+                             "where exists (select n_nationkey from nation where n_name = \" RUSSIA \" -- isn't read\n)"))
+        .when(t == 16, F.concat(F.lit("select o_orderkey, case when o_totalprice > "), fprice,
+                                F.lit(" then 'big' else 'small' end as größe from orders o left outer join customer c "
+                                      "on o.o_custkey = c.c_custkey group by o_orderkey, c.c_name")))
+        .when(t == 17, F.lit("select count(distinct o_custkey) from orders /* all's well */ union all "
+                             "select upper(c_name) from customer"))
+        .when(t == 18, F.lit("select count(*) from customer group by c_nationkey + 1"))
+        .otherwise(F.lit("select c_name from customer where c_custkey = ?"))
     )
 
 

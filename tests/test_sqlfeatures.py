@@ -33,6 +33,16 @@ CASES = {
     13: ("select a from t where s = 'from where (' and b = 1", dict(eq=2, values=2, W=1, F=1)),
     14: ("select a from t where not exists (select 1 from u where u.k = t.k)",
          dict(**{"not": 1}, exists=1, eq=1, N=1)),
+    15: ("select a from t where n = 'it''s' and b = 1e5 and c > .5", dict(values=3, columns=4, parse_error=None)),
+    16: ('select "t"."c" from t where n = "Bob Smith"', dict(columns=2, values=1, tables=1)),
+    17: ("select größe from t", dict(columns=1, parse_error=None)),
+    18: ("with x as (select a from t) select b from x", dict(columns=2, tables=2, N=1, S=2)),
+    19: ("select a from t -- don't\nwhere b = 1 /* it's */", dict(eq=1, columns=2, parse_error=None)),
+    20: ("select a from t where b = ?", dict(parse_error="unknown token", columns=None)),
+    21: ("select count(*) from t group by a + 1", dict(parse_error="group by on an expression")),
+    22: ("select count(distinct a + b) from t", dict(parse_error="distinct on an expression")),
+    23: ("select count(distinct t.a) from t group by (b), c", dict(parse_error=None, count=1, groupby_columns=2)),
+    24: ("select a from t where s = 'open", dict(parse_error="unbalanced quotes")),
 }
 
 
