@@ -27,6 +27,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -214,33 +215,28 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
         packer = SumOfSquares(window, part << 40)
         end = np.array([end_id], "<u4").tobytes()
 
-        def batch_of(rows):
-            out = list(zip(*rows, strict=True)) if rows else [()] * 8
-            kinds = [pa.int64()] * 7 + [pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)],
-                                              names=[f.split()[0] for f in SCHEMA.split(", ")])
-
         def piece_rows(placed):
-            for (doc_id, ids), start, length, sequence, offset in placed:
-                raw = ids[4 * start:4 * (start + length)]
-                yield doc_id, start, length, zlib.crc32(raw), len(ids) // 4, sequence, offset, raw if keep_ids else None
-
-        for batch in batches:
-            rows = []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoded(batch.column(1), tokenizer), strict=True):
-                ids = ids.tobytes() + end
-                size = len(ids) // 4
-                whole = size - size % window
-                for start in range(0, whole, window):
-                    rows += piece_rows(packer.sequence([((doc_id, ids), start, window)]))
-                if size > whole:
-                    rows += piece_rows(packer.place((doc_id, ids), whole, size - whole))
-                if len(rows) >= 512:
-                    yield batch_of(rows)
-                    rows = []
-            if rows:
-                yield batch_of(rows)
-        yield batch_of(list(piece_rows(packer.close())))
+            for (doc_id, size, first, ids), start, length, sequence, offset in placed:  # ids: those from ``first`` on
+                raw = ids[4 * (start - first):4 * (start - first + length)]
+                yield doc_id, start, length, zlib.crc32(raw), size, sequence, offset, raw if keep_ids else None
+
+        def rows():
+            for batch in batches:
+                for doc_id, ids in zip(batch.column(0).to_pylist(), encoded(batch.column(1), tokenizer), strict=True):
+                    ids = ids.tobytes() + end
+                    size = len(ids) // 4
+                    whole = size - size % window
+                    for start in range(0, whole, window):
+                        yield from piece_rows(packer.sequence([((doc_id, size, 0, ids), start, window)]))
+                    if size > whole:  # an open window keeps the last ids of a document, not all of them
+                        yield from piece_rows(packer.place((doc_id, size, whole, ids[4 * whole:]), whole, size - whole))
+            yield from piece_rows(packer.close())
+
+        kinds = [pa.int64()] * 7 + [pa.binary()]
+        names = [f.split()[0] for f in SCHEMA.split(", ")]
+        for some in batched(rows(), 512):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some, strict=True), kinds, strict=True)],
+                                             names=names)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
 
