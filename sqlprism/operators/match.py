@@ -10,8 +10,9 @@ Both sides go through the same token relation. Each (sub)query becomes a set of
   subquery; the clause of every operator of a set operation is ``set_operator``.
 * VM (variables): ``columns/{name}/{k}``, ``tables/{name}/{k}``, ``values/{v}/{k}``.
   Columns carry their real table (aliases resolved in the scope, a lone FROM table
-  filled in); a repeated column (k >= 1) that appears in a column = column
-  condition is replaced by the smallest member of its equality pair.
+  filled in). The column = column conditions of both sides of an aligned pair, taken
+  together, put columns into classes; on either side a repeated column (k >= 1) is
+  replaced by the smallest member of its class.
 * EM (exact match only): per clause, columns with the aggregate around them (and their
   position in ORDER BY), and conditions as (operator, column before it, column after it
   or ``value``, ``or`` if an OR comes before), each with its occurrence number.
@@ -55,8 +56,11 @@ def sql_sides(gold: DataFrame, predictions: DataFrame, key: str = "datapoint_id"
 
 
 def token_elements(tokens: DataFrame, keys: list[str]) -> DataFrame:
-    """The token relation with the element that each token stands for: sm, om, vm, em (each
-    struct(component, element) or null). Windows by ``keys`` and the scope only."""
+    """The token relation with the element that each token stands for: _sm, _om, _vm (tables and values), each
+    struct(component, element) or null. What depends on the equalities of the other side stays open until gold
+    meets the prediction (``_finished``): _col, a column as struct(pos, name, again), again if it is repeated in its
+    scope; _pair, an equality of two columns; _part, an EM part with the columns on its sides. Windows by ``keys``
+    and the scope only."""
     k = [F.col(c) for c in keys]
     scope = Window.partitionBy(*k, "scope")
     query = Window.partitionBy(*k).orderBy("pos")
@@ -84,18 +88,14 @@ def token_elements(tokens: DataFrame, keys: list[str]) -> DataFrame:
     t = t.withColumn("_om", F.when(is_op, F.struct(F.col("op").alias("component"),
                                                    F.concat_ws("_", "op", "_oc", k_op.cast("string")).alias("element"))))
 
-    # VM: tables, values, columns (aliases resolved, the lone table filled in, equalities applied)
+    # VM: tables, values, columns (aliases resolved, the lone table filled in), equalities of columns
     t = t.withColumn("_column", _resolved_column(scope))
     eq_left, eq_right = (F.when(F.lag("scope", d).over(query) == F.col("scope"), F.lag("_column", d).over(query)) for d in (1, -1))
-    t = t.withColumn("_pair", F.when((F.col("op") == "eq") & eq_left.isNotNull() & eq_right.isNotNull(),
-                                     F.struct(eq_left.alias("a"), eq_right.alias("b"))))
-    t = t.withColumn("_pairs", F.collect_list("_pair").over(scope))
-    other = F.array_min(F.concat(
-        F.transform(F.filter("_pairs", lambda x: x["a"] == F.col("_column")), lambda x: x["b"]),
-        F.transform(F.filter("_pairs", lambda x: x["b"] == F.col("_column")), lambda x: x["a"])))
-    occurrence = F.row_number().over(Window.partitionBy(*k, "scope", "_column").orderBy("pos")) - 1
-    t = t.withColumn("_name", F.when(F.col("role") == "column", F.when((occurrence >= 1) & other.isNotNull(), F.least("_column", other)).otherwise(F.col("_column")))
-                     .when(F.col("role") == "table", F.col("lt"))
+    t = t.withColumn("_pair", F.when((F.col("op") == "eq") & eq_left.isNotNull() & eq_right.isNotNull(), F.array(eq_left, eq_right)))
+    again = F.row_number().over(Window.partitionBy(*k, "scope", "_column").orderBy("pos")) > 1
+    t = t.withColumn("_side", F.when(F.col("role") == "column", F.struct(F.col("_column").alias("name"), again.alias("again"))))
+    t = t.withColumn("_col", F.when(F.col("_side").isNotNull(), F.struct("pos", "_side.name", "_side.again")))
+    t = t.withColumn("_name", F.when(F.col("role") == "table", F.col("lt"))
                      .when(F.col("role") == "value", F.when(F.col("kind") == "str", F.expr("substring(lt, 2, length(lt) - 2)")).otherwise(F.col("lt"))))
     t = t.withColumn("_vtype", F.when(F.col("_name").isNotNull(), F.concat("role", F.lit("s"))))
     k_var = F.row_number().over(Window.partitionBy(*k, "scope", "_vtype", "_name").orderBy("pos")) - 1
@@ -105,22 +105,57 @@ def token_elements(tokens: DataFrame, keys: list[str]) -> DataFrame:
     # EM: columns with their aggregate, conditions with their sides
     aggregate = F.when((F.col("prev1") == "(") & F.lag("op", 2).over(query).isin(AGGREGATES), F.lag("op", 2).over(query)) \
                  .when((F.col("prev1") == "distinct") & (F.col("prev2") == "(") & F.lag("op", 3).over(query).isin(AGGREGATES), F.lag("op", 3).over(query))
-    column = F.when(F.col("role") == "column", F.col("_name"))
     place = F.when(F.col("clause") == "orderby", F.col("ob_item").cast("string"))
-    t = t.withColumn("_side", column).withColumn("_agg", aggregate)
+    t = t.withColumn("_agg", aggregate)
     connective = F.last(F.when(F.col("op").isin("and", "or"), F.col("op")), ignorenulls=True).over(
         Window.partitionBy(*k, "scope", "branch", "clause").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
-    parts = F.when(F.col("role") == "column", F.concat_ws("|", F.lit("column"), F.coalesce("clause", F.lit("none")), F.col("branch").cast("string"),
-                                                          F.coalesce(place, F.lit("")), F.coalesce("_agg", F.lit("")), "_name")) \
-             .when(F.col("op").isin(CONDITIONS), F.concat_ws(
-                 "|", F.lit("condition"), F.coalesce("clause", F.lit("none")), F.col("branch").cast("string"), "op",
-                 F.coalesce(F.last("_side", ignorenulls=True).over(before), F.lit("")),
-                 F.coalesce(F.lead("_side").over(Window.partitionBy(*k, "scope").orderBy("pos")), F.lit("value")),
-                 F.when(connective == "or", "or").otherwise("")))
-    t = t.withColumn("_part", parts)
-    k_em = F.row_number().over(Window.partitionBy(*k, "scope", "_part").orderBy("pos")) - 1
-    return t.withColumn("_em", F.when(F.col("_part").isNotNull(), F.struct(
-        F.lit("exact").alias("component"), F.concat_ws("|", "_part", k_em.cast("string")).alias("element"))))
+    is_column, where = F.col("role") == "column", [F.coalesce("clause", F.lit("none")), F.col("branch").cast("string")]
+    head = F.when(is_column, F.concat_ws("|", F.lit("column"), *where, F.coalesce(place, F.lit("")), F.coalesce("_agg", F.lit("")))) \
+            .when(F.col("op").isin(CONDITIONS), F.concat_ws("|", F.lit("condition"), *where, "op"))
+    t = t.withColumn("_head", head).withColumn("_left", F.last("_side", ignorenulls=True).over(before)) \
+         .withColumn("_right", F.lead("_side").over(Window.partitionBy(*k, "scope").orderBy("pos"))).withColumn("_conn", connective)
+    return t.withColumn("_part", F.when(F.col("_head").isNotNull(), F.struct(
+        "pos", F.col("_head").alias("head"), is_column.alias("is_column"), F.when(is_column, F.col("_side")).otherwise(F.col("_left")).alias("left"),
+        F.col("_right").alias("right"), F.when(F.col("_conn") == "or", "or").otherwise("").alias("tail"))))
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _classes(pairs: Column) -> Column:
+    """Connected classes of equal columns, each an array of names."""
+    def join(classes, pair):
+        met = lambda c: F.arrays_overlap(c, pair)
+        return F.concat(F.filter(classes, lambda c: ~met(c)), F.array(F.array_distinct(F.flatten(F.concat(F.filter(classes, met), F.array(pair))))))
+
+    return F.aggregate(F.array_distinct(pairs), F.array().cast("array<array<string>>"), join)
+
+
+def _numbered(names: Column, sep: str) -> Column:
+    """Every name with its occurrence number from 0 on."""
+    return _let(F.array_sort(names), lambda xs: F.transform(xs, lambda x, i: F.concat_ws(sep, x, (i + 1 - F.array_position(xs, x)).cast("string"))))
+
+
+def _finished(scope: str, classes: Column) -> Column:
+    """One side's subquery with VM and EM whole: repeated columns replaced by the smallest member of their class, then
+    numbered. Null where the side lacks the subquery."""
+    def name(c):
+        own = F.get(F.filter(classes, lambda m: F.array_contains(m, c["name"])), F.lit(0))
+        return F.when(c["again"], F.coalesce(F.array_min(own), c["name"])).otherwise(c["name"])
+
+    def part(x):
+        return F.when(x["is_column"], F.concat_ws("|", x["head"], name(x["left"]))).otherwise(F.concat_ws(
+            "|", x["head"], F.coalesce(name(x["left"]), F.lit("")), F.coalesce(name(x["right"]), F.lit("value")), x["tail"]))
+
+    def elements(component, names, sep):
+        return F.transform(_numbered(names, sep), lambda e: F.struct(F.lit(component).alias("component"), e.alias("element")))
+
+    columns = F.transform(f"{scope}.cols", lambda c: F.concat_ws("/", F.lit("columns"), name(c)))
+    return F.when(F.col(scope).isNotNull(), F.struct(
+        f"{scope}.SM", f"{scope}.OM", F.concat(f"{scope}.VM", elements("columns", columns, "/")).alias("VM"),
+        elements("exact", F.transform(f"{scope}.parts", part), "|").alias("EM")))
 
 
 def _branched(name: Column, branch: Column) -> Column:
@@ -149,16 +184,18 @@ def with_complete_names(tokens: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def query_scopes(sides: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, parse_error, scopes): per query the array of its (sub)queries as struct(depth, i, SM, OM, VM, EM), i counting
-    the subqueries of one depth in order; every family is an array of struct(component, element)."""
+    """(keys, parse_error, scopes): per query the array of its (sub)queries as struct(depth, i, SM, OM, VM, ...), i counting
+    the subqueries of one depth in order; every family is an array of struct(component, element), and what ``_finished``
+    needs follows as pairs, cols and parts."""
     t = token_elements(sqltokens.token_relation(sides, keys, "sql", repartition=False), keys)
     per_scope = t.groupBy(*keys, "scope").agg(
         *sqltokens.signal_aggs(), F.max("depth").alias("depth"), F.max("parent_scope").alias("parent_scope"),
         F.max("parent_branch").alias("parent_branch"), F.max(F.col("is_setop").cast("int")).alias("is_set"),
         F.concat(F.collect_list("_sm"), F.collect_list("_so")).alias("SM"), F.collect_list("_om").alias("OM"),
-        F.collect_list("_vm").alias("VM"), F.collect_list("_em").alias("EM"))
+        F.collect_list("_vm").alias("VM"), F.collect_list("_pair").alias("pairs"), F.collect_list("_col").alias("cols"),
+        F.collect_list("_part").alias("parts"))
     q = per_scope.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("scope", "depth", "parent_scope", "parent_branch", "is_set", "SM", "OM", "VM", "EM"))).alias("all"),
+        F.array_sort(F.collect_list(F.struct("scope", "depth", "parent_scope", "parent_branch", "is_set", "SM", "OM", "VM", "pairs", "cols", "parts"))).alias("all"),
         *sqltokens.query_signal_aggs())
 
     def nested(x):
@@ -169,7 +206,8 @@ def query_scopes(sides: DataFrame, keys: list[str]) -> DataFrame:
     scopes = F.transform("all", lambda x: F.struct(
         x["depth"].alias("depth"),
         F.size(F.filter("all", lambda c: (c["depth"] == x["depth"]) & (c["scope"] < x["scope"]))).alias("i"),
-        F.concat(x["SM"], nested(x)).alias("SM"), x["OM"].alias("OM"), x["VM"].alias("VM"), x["EM"].alias("EM")))
+        F.concat(x["SM"], nested(x)).alias("SM"), x["OM"].alias("OM"), x["VM"].alias("VM"),
+        *[x[c].alias(c) for c in ("pairs", "cols", "parts")]))
     return q.select(*keys, sqltokens.parse_error_expr().alias("parse_error"), scopes.alias("scopes"))
 
 
@@ -196,7 +234,10 @@ def aligned_scopes(gold: DataFrame, predictions: DataFrame, key: str = "datapoin
     def scope(x):
         return F.get(F.filter(f"{x}.scopes", lambda s: (s["depth"] == F.col("at.depth")) & (s["i"] == F.col("at.i"))), F.lit(0))
 
-    return rows.select(key, "model", "parse_error", "at.depth", "at.i", scope("g").alias("g"), scope("p").alias("p"))
+    rows = rows.select(key, "model", "parse_error", "at.depth", "at.i", scope("g").alias("g"), scope("p").alias("p"))
+    pairs = [F.coalesce(f"{x}.pairs", F.array().cast("array<array<string>>")) for x in "gp"]
+    rows = rows.withColumn("classes", _classes(F.concat(*pairs)))
+    return rows.select(key, "model", "parse_error", "depth", "i", *[_finished(x, F.col("classes")).alias(x) for x in "gp"])
 
 
 def _names(side: str, family: str, component: str = "total") -> Column:

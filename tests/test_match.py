@@ -42,6 +42,27 @@ def test_alias_and_equivalence_resolution(spark):
     assert r[0].VM == 1.0 and r[0].PM == 1.0
 
 
+def test_equalities_of_both_sides_and_chains(spark):
+    chain = "select t.a from a as t join b as u on t.x = u.x join c as v on u.x = v.x where {}.x > 1"
+    r = pm(spark, [
+        # only the gold side writes the condition; the prediction's repeated u.k becomes t.k: {a, k, u.k, k/1, k/2} against {a, u.k, k}
+        ("select t.a from t join u on t.k = u.k where t.k > 1 and u.k < 9", "select t.a from t, u where u.k > 1 and u.k < 9"),
+        ("select t.a from t, u where u.k > 1 and u.k < 9", "select t.a from t join u on t.k = u.k where t.k > 1 and u.k < 9"),
+        # a.x = b.x = c.x: the smallest of the class is two conditions away
+        (chain.format("v"), chain.format("t")), (chain.format("v"), chain.format("u")),
+        # aligned subqueries share their equalities, other subqueries don't
+        ("select a from w where b in (select t.a from t join u on t.k = u.k where u.k > 1)",
+         "select a from w where b in (select t.a from t join u on t.k = u.k where t.k > 1)")])
+    columns = {x.datapoint_id: x.score for x in match.component_scores(*sides(spark, 0)).where("component = 'columns'").collect()}
+    assert abs(columns[0] - 3 / 5) < 1e-9 and r[0].VM == r[1].VM
+    assert [(r[i].VM, r[i].PM, r[i].EM) for i in (2, 3, 4)] == [(1.0, 1.0, 1)] * 3
+
+
+def sides(spark, i):
+    gold = frame(spark, [(i, "select t.a from t join u on t.k = u.k where t.k > 1 and u.k < 9")])
+    return gold, spark.createDataFrame([(i, "m", "select t.a from t, u where u.k > 1 and u.k < 9")], "datapoint_id long, model string, predicted string")
+
+
 def test_jaccard_edge_cases(spark):
     df = spark.createDataFrame([(["a", "b"], ["b", "c"]), ([], []), (["a"], [])], "a array<string>, b array<string>")
     assert [r.j for r in df.select(jaccard(F.col("a"), F.col("b")).alias("j")).collect()] == [1 / 3, 1.0, 0.0]
