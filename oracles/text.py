@@ -246,6 +246,8 @@ def oracles() -> dict:
 SELECT a.text_id, round(avg(CASE WHEN a.upos = 'OPEN' THEN CAST(coalesce(r.freq, 0) AS DOUBLE) END), 9) AS words_freq
 FROM ann a LEFT JOIN ref_words r ON lower(a.form) = r.form GROUP BY a.text_id""", ANN),
         "text_dependency_metrics": rec(t("SELECT * FROM dep", ANN, DEP)),
+        "text_longest_shortest_path": rec(t(
+            "SELECT text_id, round(avg(depth), 9) AS longest_shortest_path FROM sent_tree GROUP BY text_id", ANN, DEP)),
         "text_variability": t(f"""
 SELECT dataset, round(count(DISTINCT w) / count(*), 9) AS variability
 FROM (SELECT dataset, unnest(regexp_extract_all(lower(text), {W})) AS w FROM texts) GROUP BY dataset"""),

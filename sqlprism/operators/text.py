@@ -26,6 +26,9 @@ SENTENCE_END = r"[.!?\n]+"
 # --- fixed values: vowel letters for syllable counting (one syllable per vowel group) ---
 VOWELS = "[aeiouyáéíóúàèìòùâêîôûäëïöüåæøœ]+"
 HDD_SAMPLE = 42
+# --- fixed values: open word classes (OPEN: a tagger that tells open from closed only) and, of them, proper names ---
+OPEN_CLASSES = ["OPEN", "ADJ", "ADV", "INTJ", "NOUN", "PROPN", "VERB"]
+PROPER_NAMES = ["PROPN"]
 PRECISION = 9
 
 
@@ -141,30 +144,36 @@ def lexical_richness(texts: DataFrame) -> DataFrame:
 def lexical_density(tokens: DataFrame) -> DataFrame:
     """Content (open-class) words / words per text."""
     return tokens.groupBy("text_id").agg(
-        F.round(F.avg((F.col("upos") == "OPEN").cast("double")), PRECISION).alias("lexical_density"))
+        F.round(F.avg(F.col("upos").isin(OPEN_CLASSES).cast("double")), PRECISION).alias("lexical_density"))
 
 
-def _content_frequencies(tokens: DataFrame, reference_words: DataFrame) -> DataFrame:
-    """(text_id, n, freq): content-word forms of each text with their count there and their frequency in the reference
-    list (null if absent); a text without content words keeps one row with n = 0. Tokens are counted per text
-    and form before they meet the list, which is as large as its corpus and is never broadcast."""
-    forms = tokens.groupBy("text_id", F.lower("form").alias("form")).agg(
-        F.sum((F.col("upos") == "OPEN").cast("long")).alias("n"))
-    return forms.join(reference_words.select("form", "freq"), "form", "left").select("text_id", "n", "freq")
+def _content_frequencies(tokens: DataFrame, reference_words: DataFrame, by: list[str], classes: list[str]) -> DataFrame:
+    """(text_id, n, freq): words of the given classes of each text, told apart by ``by`` (form, or form and upos), with
+    their count there and their frequency in the reference list (null if absent); a text without such words keeps
+    rows with n = 0. Tokens are counted per text and word before they meet the list, which is as large as its
+    corpus and is never broadcast."""
+    words = tokens.withColumn("form", F.lower("form")).groupBy("text_id", *by).agg(
+        F.sum(F.col("upos").isin(classes).cast("long")).alias("n"))
+    listed = reference_words.groupBy(*by).agg(F.sum("freq").alias("freq")) if set(reference_words.columns) > {*by, "freq"} \
+        else reference_words.select(*by, "freq")
+    return words.join(listed, by, "left").select("text_id", "n", "freq")
 
 
 def rarity(tokens: DataFrame, reference_words: DataFrame) -> DataFrame:
     """Content words missing from the reference word list / content words (null without content words), and
-    their count. ``reference_words``: (form, freq)."""
+    their count. Proper names are no content words here. ``reference_words``: (form, upos, freq); words meet it by
+    form and tag, by the form alone if the list has no tags."""
+    by = ["form", "upos"] if "upos" in reference_words.columns else ["form"]
+    classes = [c for c in OPEN_CLASSES if c not in PROPER_NAMES]
     rare = F.sum(F.when(F.col("freq").isNull(), F.col("n")).otherwise(0))
-    return _content_frequencies(tokens, reference_words).groupBy("text_id").agg(
+    return _content_frequencies(tokens, reference_words, by, classes).groupBy("text_id").agg(
         F.round(rare / F.nullif(F.sum("n"), F.lit(0)), PRECISION).alias("rarity"), rare.cast("long").alias("rare_words"))
 
 
 def word_frequency_mean(tokens: DataFrame, reference_words: DataFrame) -> DataFrame:
     """T5: mean corpus frequency (0 when unlisted) of the content words of each text (null without any)."""
     total = F.sum(F.coalesce("freq", F.lit(0)) * F.col("n"))
-    return _content_frequencies(tokens, reference_words).groupBy("text_id").agg(
+    return _content_frequencies(tokens, reference_words, ["form"], OPEN_CLASSES).groupBy("text_id").agg(
         F.round(total / F.nullif(F.sum("n"), F.lit(0)), PRECISION).alias("words_freq"))
 
 
@@ -228,6 +237,11 @@ def dependency_metrics(tokens: DataFrame) -> DataFrame:
                                    for c in out.columns if c != "text_id"])
 
 
+def longest_shortest_path(tokens: DataFrame) -> DataFrame:
+    """Longest of the shortest paths from the root of a sentence's tree, mean over the sentences of each text."""
+    return sentence_trees(tokens).groupBy("text_id").agg(F.round(F.avg("depth"), PRECISION).alias("longest_shortest_path"))
+
+
 def variability(texts: DataFrame, by=("dataset",)) -> DataFrame:
     """Type-token ratio of all texts of a group taken together."""
     toks = texts.select(*by, F.explode(words(F.lower("text"))).alias("w"))
@@ -247,21 +261,30 @@ def complexity(texts: DataFrame, tokens: DataFrame, reference_words: DataFrame)
 SCHEMA_WORD = r"[\p{L}\p{N}]+"
 
 
-def schema_references(questions: DataFrame, elements: DataFrame, key: str = "datapoint_id") -> DataFrame:
+def schema_references(questions: DataFrame, elements: DataFrame, key: str = "datapoint_id", tokens: DataFrame | None = None) -> DataFrame:
     """Schema elements mentioned in each question: (key, referenced_schema_elements, references array<string>).
 
     Question and element are cut into lower-cased words of letters and digits by one rule ('_' separates
     words). Every run of words of a question whose length occurs among its database's elements meets them by an
     equi-join on (db_id, run), so a question is never compared with all elements of its database. A question
     without a schema has null references.
+
+    ``tokens``, the annotated tokens of the questions (text_id = key), adds the runs of the question's lemmas, so that
+    'singers' refers to ``singer``. An optional column ``lemma`` of ``elements`` adds an element's lemmas.
     """
-    def run(c):
-        return F.array_join(F.regexp_extract_all(F.lower(c), F.lit(SCHEMA_WORD), 0), " ")
+    def cut(c):
+        return F.regexp_extract_all(F.lower(F.regexp_replace(c, "_", " ")), F.lit(SCHEMA_WORD), 0)
 
-    el = elements.select("db_id", F.lower("element").alias("element"), run(F.regexp_replace("element", "_", " ")).alias("run")) \
+    spellings = [c for c in ("element", "lemma") if c in elements.columns]
+    el = elements.select("db_id", F.lower("element").alias("element"), F.explode(F.array(*[F.array_join(cut(F.col(c)), " ") for c in spellings])).alias("run")) \
                  .where("run <> ''").distinct()
     widths = el.select("db_id", F.size(F.split("run", " ")).alias("width")).distinct()
-    q = questions.select(key, "db_id", F.regexp_extract_all(F.lower(F.regexp_replace("question", "_", " ")), F.lit(SCHEMA_WORD), 0).alias("w"))
+    q = questions.select(key, "db_id", cut(F.col("question")).alias("w"))
+    if tokens is not None:
+        lemmas = tokens.groupBy(F.col("text_id").alias(key)).agg(
+            F.array_sort(F.collect_list(F.struct("sent_id", "tok_id", F.coalesce("lemma", "form", F.lit("")).alias("lemma")))).alias("t"))
+        lemmas = lemmas.select(key, F.flatten(F.transform("t", lambda x: cut(x["lemma"]))).alias("w"))
+        q = q.unionByName(questions.select(key, "db_id").join(lemmas, key))
     grams = q.join(widths, "db_id").where(F.col("width") <= F.size("w")).select(
         key, "db_id", F.explode(F.array_distinct(F.transform(
             F.sequence(F.lit(1), F.size("w") - F.col("width") + 1), lambda i: F.array_join(F.slice("w", i, F.col("width")), " ")))).alias("run"))

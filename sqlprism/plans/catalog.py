@@ -349,6 +349,12 @@ def q_dependency(spark, sf):
     return text.dependency_metrics(_ann(spark, sf))
 
 
+@register("text_longest_shortest_path")
+def q_longest_path(spark, sf):
+    """T10."""
+    return text.longest_shortest_path(_ann(spark, sf))
+
+
 @register("text_variability")
 def q_variability(spark, sf):
     """T17."""
@@ -366,10 +372,15 @@ def _elements(spark, sf):
     return schema_profile.schema_elements(st, sc)
 
 
+def _question_tokens(spark, sf):
+    return fixtures.annotated_tokens(spark, sf, corpus.datapoints(spark, sf).select(
+        F.col("datapoint_id").alias("text_id"), F.col("question").alias("text")))
+
+
 @register("question_schema_references")
 def q_schema_refs(spark, sf):
     """Schema elements of the datapoint's database mentioned in its question."""
-    refs = text.schema_references(corpus.datapoints(spark, sf), _elements(spark, sf))
+    refs = text.schema_references(corpus.datapoints(spark, sf), _elements(spark, sf), tokens=_question_tokens(spark, sf))
     return refs.select("datapoint_id", "referenced_schema_elements", F.array_join("references", ",").alias("referenced"))
 
 
@@ -377,7 +388,7 @@ def q_schema_refs(spark, sf):
 def q_schema_ref_pct(spark, sf):
     """T3."""
     dp = corpus.datapoints(spark, sf)
-    refs = text.schema_references(dp, _elements(spark, sf))
+    refs = text.schema_references(dp, _elements(spark, sf), tokens=_question_tokens(spark, sf))
     t = sqltokens.token_relation(dp)
     return text.schema_reference_percentage(refs, text.sql_schema_elements(t), sqltokens.parse_errors(dp, t))
 
@@ -616,7 +627,7 @@ def q_general_info(spark, sf):
     qlen = text.length(dp.select(F.col("datapoint_id").alias("text_id"), "dataset", "split",
                                  F.col("question").alias("text"))).select(F.col("text_id").alias("datapoint_id"),
                                                                           "length")
-    refs = text.schema_references(dp, _elements(spark, sf))
+    refs = text.schema_references(dp, _elements(spark, sf), tokens=_question_tokens(spark, sf))
     t = sqltokens.token_relation(dp)
     pct = text.schema_reference_percentage(refs, text.sql_schema_elements(t), sqltokens.parse_errors(dp, t))
     return reports.general_info(feats, dp, qlen, pct)

@@ -196,10 +196,11 @@ def text_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reference_frequency_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reference word list (FIXTURES B6): all lower-cased forms of ``documents`` with their frequency."""
+    """Reference word list (FIXTURES B6): all lower-cased forms of ``documents`` with their tag (as in B5) and frequency."""
     return table(spark, sf_dir, "documents").select(
         F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0)).alias("form")) \
-        .groupBy("form").agg(F.count(F.lit(1)).alias("freq"))
+        .groupBy("form").agg(F.count(F.lit(1)).alias("freq")) \
+        .select("form", F.when(F.col("form").isin(CLOSED_CLASS), "CLOSED").otherwise("OPEN").alias("upos"), "freq")
 
 
 def dictionary_words(spark: SparkSession, sf_dir: str) -> DataFrame:

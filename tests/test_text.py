@@ -102,3 +102,31 @@ def test_texts_without_content_words_are_kept(spark):
     words = spark.createDataFrame([("cat", 5)], "form string, freq long")
     assert sorted((r.text_id, r.rarity, r.rare_words) for r in text.rarity(toks, words).collect()) == [("a", None, 0), ("b", 0.0, 0)]
     assert sorted((r.text_id, r.words_freq) for r in text.word_frequency_mean(toks, words).collect()) == [("a", None), ("b", 5.0)]
+
+
+TOKENS = "text_id long, sent_id int, tok_id int, form string, lemma string, upos string, head int"
+
+
+def test_lemmas_refer_to_elements(spark):
+    q = spark.createDataFrame([(1, "d", "Names of the singers?"), (2, "d", "all concerts"), (3, "e", "singers")], "datapoint_id long, db_id string, question string")
+    toks = spark.createDataFrame([(1, 0, 1, "Names", "name", "NOUN", 0), (1, 0, 2, "of", "of", "ADP", 1), (1, 0, 3, "the", "the", "DET", 1),
+                                  (1, 0, 4, "singers", "singer", "NOUN", 1), (2, 0, 1, "all", None, "DET", 2), (2, 0, 2, "concerts", "concert", "NOUN", 0)], TOKENS)
+    el = spark.createDataFrame([("d", "singer", "singer"), ("d", "concerts", "concert"), ("d", "names_of", "name of"), ("d", "singer_id", "singer id")],
+                               "db_id string, element string, lemma string")
+    got = {r.datapoint_id: r.references for r in text.schema_references(q, el, tokens=toks).collect()}
+    assert got == {1: ["names_of", "singer"], 2: ["concerts"], 3: None}
+    assert {r.datapoint_id: r.references for r in text.schema_references(q, el.drop("lemma"), tokens=toks).collect()} == got
+
+
+def test_rarity_by_form_and_tag_without_names(spark):
+    toks = spark.createDataFrame([(1, 0, 1, "Run", "run", "NOUN", 0), (1, 0, 2, "run", "run", "VERB", 1), (1, 0, 3, "Oslo", "Oslo", "PROPN", 1),
+                                  (1, 0, 4, "the", "the", "DET", 1), (2, 0, 1, "Oslo", "Oslo", "PROPN", 0)], TOKENS)
+    words = spark.createDataFrame([("run", "VERB", 5), ("run", "X", 2), ("the", "DET", 9)], "form string, upos string, freq long")
+    assert sorted((r.text_id, r.rarity, r.rare_words) for r in text.rarity(toks, words).collect()) == [(1, 0.5, 1), (2, None, 0)]
+    freq = {r.text_id: r.words_freq for r in text.word_frequency_mean(toks, words).collect()}
+    assert freq == {1: round(14 / 3, 9), 2: 0.0}  # by form, names among the content words
+
+
+def test_longest_path_is_the_mean_of_sentence_depths(spark):
+    toks = spark.createDataFrame([(1, 0, k, "w", "w", "NOUN", k - 1) for k in range(1, 5)] + [(1, 1, 1, "w", "w", "NOUN", 0)], TOKENS)
+    assert text.longest_shortest_path(toks).first().longest_shortest_path == 1.5
