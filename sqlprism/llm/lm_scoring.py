@@ -11,7 +11,8 @@ a proper distribution at every order (Dirichlet smoothing with prior mass m). As
 h is a state; a counted continuation is an arc with weight log10 p(w | h); the failure arc to h' has weight
 log10 (m / (c(h) + m)); the root's arcs are log10 p(w), one of them for unknown words. The walk goes
 left to right and carries the state of the last order-1 tokens; a token with no arc from its state pays the
-failure arcs down to the state that has one.
+failure arcs down to the state that has one. States and arcs are not built as a graph: they are count arrays, and the
+walk looks up the n-gram of every order that ends at each token, which gives the weight of the same path.
 
 Distribution. Documents are hashed into shards of about ``SHARD_BYTES`` of text; a shard needs the arcs of its
 own n-grams only. Each shard sends its distinct n-grams (64-bit hashes, sorted, delta coded, cut by hash
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from sqlprism.llm.blocks import U64, find_words, mix, stream, text_blocks, word_hashes
 from sqlprism.llm.common import cut, remainder, table
 
-ORDER = 2
+ORDER = 3
 PRIOR = 50.0
 SHARD_BYTES = 6 << 20
 HELD_OUT = 10
@@ -131,7 +132,7 @@ def _answer(group: pa.Table) -> pa.Table:
 
 
 class Automaton:
-    """Slice of the backoff automaton for one shard's n-grams: arcs by order, and failure arcs of histories."""
+    """Slice of the backoff automaton for one shard's n-grams, as counts by order; arcs and failure arcs are read off them."""
 
     def __init__(self, counts: list[np.ndarray], total: int, distinct: int, prior: float):
         self.counts, self.total, self.distinct, self.prior = counts, total, distinct, prior

@@ -174,6 +174,12 @@ def test_scores(docs, no_docs, texts, order, shard_bytes):
     assert lm_scoring.score_documents(no_docs, remainder("doc_id", 10) != 0).count() == 0
 
 
+def test_contexts_of_two_words_count(spark):
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(["x a c", "y a d"] * 20)], "doc_id long, text string")
+    two, three, built_in = (sum(r.score for r in lm_scoring.score_documents(docs, F.lit(True), **o).collect()) for o in ({"order": 2}, {"order": 3}, {}))
+    assert abs(built_in - three) < 1e-9 and three > two + 1
+
+
 def test_scores_without_training_rows(docs, texts):
     got = lm_scoring.score_documents(docs, F.lit(False)).collect()
     assert len(got) == len(texts) and all(r.train_tokens == 0 and r.n_known == 0 and abs(r.score - r.base_score) < 1e-9 for r in got)
