@@ -2,6 +2,7 @@
 
 from sqlprism.llm import url_filter, warc
 from sqlprism.llm.ann import op8_one_bit_codes
+from sqlprism.llm.conversations import op13_four_russians_repair
 from sqlprism.llm.lm_scoring import op10_backoff_automaton_scores
 from sqlprism.llm.near_dedup import op4_superminhash_near_dedup
 from sqlprism.llm.packing import op1_sum_of_squares_packing
@@ -15,7 +16,7 @@ from sqlprism.llm.warc import op9_splittable_warc
 QUERIES = {f.__name__: f for f in (
     op1_sum_of_squares_packing, op2_sentencepiece_chunks, op3_recompression_substring_dedup, op4_superminhash_near_dedup,
     op5_boosted_tree_quality, op6_impact_ordered_topk, op7_temporal_url_filter, op8_one_bit_codes, op9_splittable_warc,
-    op10_backoff_automaton_scores)}
+    op10_backoff_automaton_scores, op13_four_russians_repair)}
 
 ORACLES = {
     "op6_impact_ordered_topk": """
