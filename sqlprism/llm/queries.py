@@ -1,7 +1,8 @@
 """Registered queries of this subpackage and their DuckDB SQL."""
 
-from sqlprism.llm import url_filter, warc
+from sqlprism.llm import collocations, url_filter, warc
 from sqlprism.llm.ann import op8_one_bit_codes
+from sqlprism.llm.collocations import op11_son_collocations
 from sqlprism.llm.conversations import op13_four_russians_repair
 from sqlprism.llm.lm_scoring import op10_backoff_automaton_scores
 from sqlprism.llm.near_dedup import op4_superminhash_near_dedup
@@ -16,7 +17,7 @@ from sqlprism.llm.warc import op9_splittable_warc
 QUERIES = {f.__name__: f for f in (
     op1_sum_of_squares_packing, op2_sentencepiece_chunks, op3_recompression_substring_dedup, op4_superminhash_near_dedup,
     op5_boosted_tree_quality, op6_impact_ordered_topk, op7_temporal_url_filter, op8_one_bit_codes, op9_splittable_warc,
-    op10_backoff_automaton_scores, op13_four_russians_repair)}
+    op10_backoff_automaton_scores, op11_son_collocations, op13_four_russians_repair)}
 
 ORACLES = {
     "op6_impact_ordered_topk": """
@@ -27,6 +28,7 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """,
+    **collocations.ORACLES,
     **url_filter.ORACLES,
     **warc.ORACLES,
 }
