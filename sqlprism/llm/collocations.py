@@ -259,26 +259,27 @@ def op11_son_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES = {
     "op11_son_collocations": """
-WITH p AS (SELECT coalesce(lang, 'und') AS lang,
-                  unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
-           FROM documents),
-w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM p),
-o AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
-g AS (SELECT lang, k, array_to_string(list_slice(ws, i, i + k - 1), ' ') AS phrase, list_slice(ws, i, i + k - 1) AS ws
-      FROM o, (VALUES (1), (2), (3)) AS sizes(k) WHERE i + k - 1 <= len(ws)),
-f AS (SELECT lang, k, phrase, any_value(ws) AS ws, count(*)::BIGINT AS a FROM g GROUP BY lang, k, phrase),
-n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
-s AS (SELECT c.lang, c.phrase, c.a, x.a AS l, y.a AS r, cut.at,
-             (1000000::HUGEINT * c.a * c.a // (x.a::HUGEINT * y.a))::BIGINT AS score
-      FROM f c JOIN (VALUES (1), (2)) AS cut(at) ON cut.at < c.k
-      JOIN f x ON x.lang = c.lang AND x.k = cut.at AND x.phrase = array_to_string(list_slice(c.ws, 1, cut.at), ' ')
-      JOIN f y ON y.lang = c.lang AND y.k = c.k - cut.at AND y.phrase = array_to_string(list_slice(c.ws, cut.at + 1, c.k), ' ')
-      WHERE c.k > 1 AND c.a >= 10),
-least AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, at) = 1),
-inner_phrase AS (SELECT lang, a, array_to_string(list_slice(ws, j, j + 1), ' ') AS phrase FROM f, (VALUES (1), (2)) AS starts(j) WHERE k = 3 AND a >= 10),
-covered AS (SELECT DISTINCT c.lang, c.phrase FROM f c JOIN inner_phrase i ON i.lang = c.lang AND i.phrase = c.phrase AND 100 * i.a >= 50 * c.a WHERE c.k = 2),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
-           FROM least ANTI JOIN covered USING (lang, phrase))
+WITH p AS (SELECT row_number() OVER () AS piece, lang, text FROM (
+             SELECT coalesce(lang, 'und') AS lang,
+                    unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS text
+             FROM documents)),
+w AS (SELECT piece, lang, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT piece, lang, regexp_extract_all(text, '[^\\x20\\x09]+') AS ws FROM p)),
+o AS (SELECT lang, w AS w1, lead(w) OVER here AS w2, lead(w, 2) OVER here AS w3 FROM w WINDOW here AS (PARTITION BY piece ORDER BY i)),
+one AS (SELECT lang, w1, count(*)::BIGINT AS f FROM o GROUP BY ALL),
+two AS (SELECT lang, w1, w2, count(*)::BIGINT AS f FROM o WHERE w2 IS NOT NULL GROUP BY ALL),
+three AS (SELECT lang, w1, w2, w3, count(*)::BIGINT AS f FROM o WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM one GROUP BY lang),
+s AS (SELECT c.lang, c.w1 || ' ' || c.w2 AS phrase, c.f AS a, x.f AS l, y.f AS r, 1 AS head
+      FROM two c JOIN one x ON (x.lang, x.w1) = (c.lang, c.w1) JOIN one y ON (y.lang, y.w1) = (c.lang, c.w2)
+      WHERE c.f >= 10 AND NOT EXISTS (FROM three t WHERE (t.lang, t.w1, t.w2) = (c.lang, c.w1, c.w2) AND 100 * t.f >= 50 * c.f)
+        AND NOT EXISTS (FROM three t WHERE (t.lang, t.w2, t.w3) = (c.lang, c.w1, c.w2) AND 100 * t.f >= 50 * c.f)
+      UNION ALL SELECT c.lang, c.w1 || ' ' || c.w2 || ' ' || c.w3, c.f, x.f, y.f, 1
+      FROM three c JOIN one x ON (x.lang, x.w1) = (c.lang, c.w1) JOIN two y ON (y.lang, y.w1, y.w2) = (c.lang, c.w2, c.w3)
+      UNION ALL SELECT c.lang, c.w1 || ' ' || c.w2 || ' ' || c.w3, c.f, x.f, y.f, 2
+      FROM three c JOIN two x ON (x.lang, x.w1, x.w2) = (c.lang, c.w1, c.w2) JOIN one y ON (y.lang, y.w1) = (c.lang, c.w3)),
+scored AS (SELECT *, (1000000::HUGEINT * a * a // (l::HUGEINT * r))::BIGINT AS score FROM s),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, head) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest)
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
 """,
 }
