@@ -35,7 +35,7 @@ from sqlprism.llm.shards import blocked, by_range, keys_of, planes, unplanes
 
 SUPPORT, TOP, LONGEST = 10, 2000, 3
 SHARDS = 5
-BLOCK_BYTES, RANGE_BYTES = 4 << 20, 8 << 20
+BLOCK_BYTES, RANGE_BYTES = 2 << 20, 6 << 20
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
@@ -100,17 +100,17 @@ def _langs(column: pa.Array) -> list[str]:
 
 
 def _ask(ranges: int):
+    """A row per block and hash range: distinct phrases and counts of every length."""
+    binaries = pa.list_(pa.binary())
+
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 found = grams(_langs(batch.column("lang")[i].values), batch.column("text")[i].values)
-                block = batch.column("block")[i].as_py()
-                for k, keys in enumerate(found.keys, 1):
-                    distinct, counts = np.unique(keys, return_counts=True)
-                    rows = list(by_range(distinct, counts, ranges))
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array([k] * len(rows), pa.int32()),
-                                                      pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())],
-                                                     names=["part", "block", "k", "keys", "counts"])
+                coded = [list(by_range(*np.unique(keys, return_counts=True), ranges)) for keys in found.keys]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(range(ranges), pa.int32()), pa.array([batch.column("block")[i].as_py()] * ranges, pa.int64()),
+                     *(pa.array([[c[r][x] for c in coded] for r in range(ranges)], binaries) for x in (0, 1))], names=["part", "block", "keys", "counts"])
     return run
 
 
@@ -140,25 +140,27 @@ def frequent(lists: list[tuple[int, np.ndarray, np.ndarray]], local: list[int],
 
 
 def _answer(local: list[int], support: int):
+    """Exact counts of a hash range, for every block in the order it asked."""
     def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("k", "ascending"), ("block", "ascending")])
-        out = []
-        for k in range(1, LONGEST + 1):
-            some = group.filter(pc.equal(group.column("k"), k))
-            lists = [(shard, keys_of(ks), unplanes(cs)) for shard, ks, cs in zip(*(some.column(n).to_pylist() for n in ("shard", "keys", "counts")), strict=True)]
+        group = group.sort_by("block")
+        blocks, shards = group.column("block").to_pylist(), group.column("shard").to_pylist()
+        out = [[] for _ in blocks]
+        for k in range(LONGEST):
+            keys, counts = (pc.list_element(group.column(n), k).to_pylist() for n in ("keys", "counts"))
+            lists = [(shard, keys_of(ks), unplanes(cs)) for shard, ks, cs in zip(shards, keys, counts, strict=True)]
+            del keys, counts
             phrases, totals = frequent(lists, local, support)
             unseen = np.ones(len(phrases), bool)
-            for block, (_, keys, _) in zip(some.column("block").to_pylist(), lists, strict=True):
-                value = np.zeros(len(keys), U64)
-                place = np.searchsorted(phrases, keys)
+            for row, (_, asked, _) in zip(out, lists, strict=True):
+                value = np.zeros(len(asked), U64)
+                place = np.searchsorted(phrases, asked)
                 hit = place < len(phrases)
-                hit[hit] = phrases[place[hit]] == keys[hit]
+                hit[hit] = phrases[place[hit]] == asked[hit]
                 place = place[hit]
                 value[hit] = totals[place] * U64(2) + unseen[place]  # the lowest bit: the first block that holds the phrase
                 unseen[place] = False
-                out.append((block, k, group.column("part")[0].as_py(), planes(value)))
-        kinds = {"block": pa.int64(), "k": pa.int32(), "part": pa.int32(), "totals": pa.binary()}
-        return pa.table({n: pa.array([x[i] for x in out], t) for i, (n, t) in enumerate(kinds.items())})
+                row.append(planes(value))
+        return pa.table({"block": pa.array(blocks, pa.int64()), "part": group.column("part"), "totals": pa.array(out, pa.list_(pa.binary()))})
     return run
 
 
@@ -182,6 +184,7 @@ def _resolve(docs: pa.Table, answers: pa.Table) -> pa.Table:
     kinds = dict(zip(out, (pa.int32(), pa.string(), pa.int64(), pa.string(), *[pa.int64()] * 4), strict=True))
     if docs.num_rows:
         langs, texts = _langs(docs.column("lang")[0].values), docs.column("text")[0].values
+        answers = answers.sort_by("part")
         found = grams(langs, texts)
         raw, starts, ends = [], [], []
         for w in found.words:
@@ -205,8 +208,7 @@ def _resolve(docs: pa.Table, answers: pa.Table) -> pa.Table:
         count, own, first, key_at = [], [], [], []
         for k, (keys, at) in enumerate(zip(found.keys, found.at, strict=True), 1):
             _, index, inverse = np.unique(keys, return_index=True, return_inverse=True)
-            some = answers.filter(pc.equal(answers.column("k"), k)).sort_by("part")
-            value = np.concatenate([np.zeros(0, U64), *map(unplanes, some.column("totals").to_pylist())])
+            value = np.concatenate([np.zeros(0, U64), *map(unplanes, pc.list_element(answers.column("totals"), k - 1).to_pylist())])
             total = np.zeros(len(starts) + LONGEST, np.int64)  # by first word
             total[at] = (value >> U64(1)).astype(np.int64)[inverse]
             key = np.zeros(len(starts) + LONGEST, U64)
@@ -240,8 +242,8 @@ def collocations(docs: DataFrame, support: int = SUPPORT, top: int = TOP, shards
     size = sum(sizes.values())
     local = [max(1, -(-support * sizes.get(s, 0) // max(size, 1))) for s in range(shards)]  # a share of the support, rounded up
     ranges = 1 + size // RANGE_BYTES
-    asked = blocks.select("block", "lang", "text").mapInArrow(_ask(ranges), "part int, block long, k int, keys binary, counts binary")
-    answers = cut(asked.withColumn("shard", mixed).groupBy("part").applyInArrow(_answer(local, support), "block long, k int, part int, totals binary"))
+    asked = blocks.select("block", "lang", "text").mapInArrow(_ask(ranges), "part int, block long, keys array<binary>, counts array<binary>")
+    answers = cut(asked.withColumn("shard", mixed).groupBy("part").applyInArrow(_answer(local, support), "block long, part int, totals array<binary>"))
     found = cut(blocks.select("block", "lang", "text").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_resolve, _FOUND))
     discard(blocks, answers)
     covered = found.where("kind = 0").select("key").distinct()

@@ -63,12 +63,11 @@ def unplanes(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1).astype(U64)
 
 
-def by_range(keys: np.ndarray, values: np.ndarray, ranges: int) -> Iterator[tuple[int, bytes, bytes]]:
-    """(range, keys, values) of the non-empty hash ranges of sorted distinct 64-bit keys, coded for the exchange."""
+def by_range(keys: np.ndarray, values: np.ndarray, ranges: int) -> Iterator[tuple[bytes, bytes]]:
+    """Keys and values of every hash range of sorted distinct 64-bit keys, coded for the exchange."""
     cuts = np.searchsorted(keys, np.array([(r << 64) // ranges for r in range(1, ranges)], U64))
-    for r, (k, v) in enumerate(zip(np.split(keys, cuts), np.split(values, cuts), strict=True)):
-        if len(k):
-            yield r, planes(np.diff(k, prepend=U64(0))), planes(v)
+    for k, v in zip(np.split(keys, cuts), np.split(values, cuts), strict=True):
+        yield (planes(np.diff(k, prepend=U64(0))), planes(v)) if len(k) else (b"", b"")
 
 
 def keys_of(raw: bytes) -> np.ndarray:
