@@ -11,13 +11,14 @@ from sqlprism.llm.pieces import op2_sentencepiece_chunks
 from sqlprism.llm.quality import op5_boosted_tree_quality
 from sqlprism.llm.substring_dedup import op3_recompression_substring_dedup
 from sqlprism.llm.topk import op6_impact_ordered_topk
+from sqlprism.llm.toxicity import op12_noisy_channel_toxicity
 from sqlprism.llm.url_filter import op7_temporal_url_filter
 from sqlprism.llm.warc import op9_splittable_warc
 
 QUERIES = {f.__name__: f for f in (
     op1_sum_of_squares_packing, op2_sentencepiece_chunks, op3_recompression_substring_dedup, op4_superminhash_near_dedup,
     op5_boosted_tree_quality, op6_impact_ordered_topk, op7_temporal_url_filter, op8_one_bit_codes, op9_splittable_warc,
-    op10_backoff_automaton_scores, op11_son_collocations, op13_four_russians_repair)}
+    op10_backoff_automaton_scores, op11_son_collocations, op12_noisy_channel_toxicity, op13_four_russians_repair)}
 
 ORACLES = {
     "op6_impact_ordered_topk": """

@@ -205,9 +205,9 @@ class Memo:
 
 
 def _inputs(weights: list[float], words: int) -> tuple[float, ...]:
-    """What the logistic model sees of a document: largest log-odds of its words, and its size."""
+    """What the logistic model sees of a document: largest log-odds of its words, and its size (short texts alike)."""
     top = sorted(weights, reverse=True)[:5] + [0.0] * 5
-    return top[0], top[1], sum(top[:5]) / 5, math.log1p(words)
+    return top[0], top[1], sum(top[:5]) / 5, math.log1p(max(words, 50))
 
 
 class Model(NamedTuple):
