@@ -35,7 +35,7 @@ from sqlprism.llm.shards import blocked, by_range, keys_of, planes, unplanes
 
 SUPPORT, TOP, LONGEST = 10, 2000, 3
 SHARDS = 5
-BLOCK_BYTES, RANGE_BYTES = 2 << 20, 6 << 20
+BLOCK_BYTES, RANGE_BYTES = 2 << 20, 3 << 20
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
@@ -139,15 +139,16 @@ def frequent(lists: list[tuple[int, np.ndarray, np.ndarray]], local: list[int],
     return candidates[keep], totals[keep]
 
 
-def _answer(local: list[int], support: int):
+def _answer(local: list[int], support: int, ranges: int):
     """Exact counts of a hash range, for every block in the order it asked."""
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by("block")
+        part = group.column("part")[0].as_py()
         blocks, shards = group.column("block").to_pylist(), group.column("shard").to_pylist()
         out = [[] for _ in blocks]
         for k in range(LONGEST):
             keys, counts = (pc.list_element(group.column(n), k).to_pylist() for n in ("keys", "counts"))
-            lists = [(shard, keys_of(ks), unplanes(cs)) for shard, ks, cs in zip(shards, keys, counts, strict=True)]
+            lists = [(shard, keys_of(ks, part, ranges), unplanes(cs)) for shard, ks, cs in zip(shards, keys, counts, strict=True)]
             del keys, counts
             phrases, totals = frequent(lists, local, support)
             unseen = np.ones(len(phrases), bool)
@@ -243,7 +244,7 @@ def collocations(docs: DataFrame, support: int = SUPPORT, top: int = TOP, shards
     local = [max(1, -(-support * sizes.get(s, 0) // max(size, 1))) for s in range(shards)]  # a share of the support, rounded up
     ranges = 1 + size // RANGE_BYTES
     asked = blocks.select("block", "lang", "text").mapInArrow(_ask(ranges), "part int, block long, keys array<binary>, counts array<binary>")
-    answers = cut(asked.withColumn("shard", mixed).groupBy("part").applyInArrow(_answer(local, support), "block long, part int, totals array<binary>"))
+    answers = cut(asked.withColumn("shard", mixed).groupBy("part").applyInArrow(_answer(local, support, ranges), "block long, part int, totals array<binary>"))
     found = cut(blocks.select("block", "lang", "text").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_resolve, _FOUND))
     discard(blocks, answers)
     covered = found.where("kind = 0").select("key").distinct()

@@ -55,21 +55,26 @@ def blocked(rows: DataFrame, block_bytes: int) -> DataFrame:
 
 
 def planes(values: np.ndarray) -> bytes:
-    """Integers as byte planes: the zero high bytes of small values lie together and compress away."""
-    return np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Integers as byte planes, as many as the largest needs (their number goes first): equal high bytes lie together."""
+    width = (int(values.max()).bit_length() + 7) // 8 if len(values) else 0
+    return bytes([width]) + np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8).T[:width].tobytes() + len(values).to_bytes(4, "little")
 
 
 def unplanes(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1).astype(U64)
+    out = np.zeros((int.from_bytes(raw[-4:], "little"), 8), np.uint8)
+    out[:, :raw[0]] = np.frombuffer(raw, np.uint8, offset=1, count=len(raw) - 5).reshape(raw[0], -1).T if raw[0] else 0
+    return out.view("<u8").reshape(-1).astype(U64)
 
 
 def by_range(keys: np.ndarray, values: np.ndarray, ranges: int) -> Iterator[tuple[bytes, bytes]]:
     """Keys and values of every hash range of sorted distinct 64-bit keys, coded for the exchange."""
-    cuts = np.searchsorted(keys, np.array([(r << 64) // ranges for r in range(1, ranges)], U64))
-    for k, v in zip(np.split(keys, cuts), np.split(values, cuts), strict=True):
-        yield (planes(np.diff(k, prepend=U64(0))), planes(v)) if len(k) else (b"", b"")
+    starts = np.array([-(-(r << 64) // ranges) for r in range(ranges)], U64)
+    cuts = np.searchsorted(keys, starts[1:])
+    for start, k, v in zip(starts, np.split(keys, cuts), np.split(values, cuts), strict=True):
+        yield planes(np.diff(k, prepend=start)), planes(v)
 
 
-def keys_of(raw: bytes) -> np.ndarray:
-    """Sorted keys that ``by_range`` coded."""
-    return np.cumsum(unplanes(raw), dtype=U64)
+def keys_of(raw: bytes, part: int, ranges: int) -> np.ndarray:
+    """Sorted keys that ``by_range`` coded for a range."""
+    deltas = unplanes(raw)
+    return np.cumsum(deltas, dtype=U64) + U64(-(-(part << 64) // ranges))

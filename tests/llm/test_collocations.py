@@ -92,9 +92,9 @@ def test_ranges_keep_keys_and_order(keys, ranges):
     values = np.arange(len(keys)).astype(np.uint64)
     parts = list(shards.by_range(keys, values, ranges))
     assert len(parts) == ranges
-    assert [int(k) for raw, _ in parts for k in shards.keys_of(raw)] == keys.tolist()
+    assert [int(k) for r, (raw, _) in enumerate(parts) for k in shards.keys_of(raw, r, ranges)] == keys.tolist()
     assert [int(v) for _, raw in parts for v in shards.unplanes(raw)] == values.tolist()
-    assert all(r == int(k) * ranges >> 64 for r, (raw, _) in enumerate(parts) for k in shards.keys_of(raw))
+    assert all(r == int(k) * ranges >> 64 for r, (raw, _) in enumerate(parts) for k in shards.keys_of(raw, r, ranges))
 
 
 def test_blocks_hold_every_row_once(docs):
