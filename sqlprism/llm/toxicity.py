@@ -11,7 +11,7 @@ Language model. Character trigrams with backoff to bigrams and letters over an a
 Latin-1 letters, one symbol each for other letters, digits, signs, and the word boundary), counted over all
 documents; its size is bounded by the alphabet, so it is collected and sent to the tasks.
 
-Score. Features are the restored words and their first ``PREFIX`` letters (from ``PREFIX + 1`` letters on), as 64-bit hashes. Their
+Score. Features are the restored words and their first ``PREFIX`` letters (from ``PREFIX + 1`` letters on). Their
 log-odds come from at most ``SAMPLE_ROWS`` labelled rows whose crc32(doc_id as text) mod 5 isn't 0, those of least hash
 of doc_id (a documented bound, put on labelled ids that have a document), one row per id; of rows that share a
 minimum hash of their word triples (copies, near copies) one counts. Features of ``FEATURE_ROWS`` rows and more are
@@ -26,9 +26,9 @@ characters are read in chunks of that length. Other columns are not read.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
+import uuid
 from typing import NamedTuple
 
 import numpy as np
@@ -36,11 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sqlprism.llm.blocks import find_words, mix, sequence_hashes, stream, text_blocks, word_hashes
 from sqlprism.llm.common import cut, map_arrow, remainder, table
 
 SAMPLE_ROWS, FEATURES, FEATURE_ROWS = 20_000, 50_000, 4
 HELD_OUT, THRESHOLD = 5, 0.5
-PREFIX, CHUNK, MEMO = 5, 64, 300_000
+PREFIX, CHUNK, MEMO = 5, 64, 600_000
 
 #: Letters that digits and signs stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
@@ -112,8 +113,10 @@ class Decoder:
 
     def __init__(self, model: np.ndarray):
         self.model = [[row.tolist() for row in plane] for plane in model]
+        self.known = {}
 
-    def _arcs(self, char: str, times: int) -> list[tuple[str, float]]:
+    def arcs(self, char: str, times: int) -> list[tuple[str, float]]:
+        """(emitted text, cost) of the readings of a run of one character."""
         ways = []
         for c, cost in ((char, 0.0), *((c, COSTS["leet"]) for c in LEET.get(char, ""))):
             if c.isalpha():
@@ -127,24 +130,27 @@ class Decoder:
             ways.append(("", COSTS["drop"]))
         return ways
 
+    def _steps(self, char: str, times: int) -> list[tuple]:
+        """The arcs with the symbols they emit; a space is a boundary of two."""
+        steps = self.known.get((char, times))
+        if steps is None:
+            steps = [(text, cost, tuple(s for c in text for s in ((0, 0) if c == " " else (symbol(c),)))) for text, cost in self.arcs(char, times)]
+            if len(self.known) < MEMO:
+                self.known[char, times] = steps
+        return steps
+
     def decode(self, written: str) -> str:
         """Likeliest reading of a lower-cased token, or of tokens between single spaces."""
-        model = self.model
-        runs, paths = re.finditer(r"(.)\1*", written, re.S), {(0, 0): (0.0, None)}
-        for run in runs:
+        model, paths = self.model, {(0, 0): (0.0, None)}
+        for run in re.finditer(r"(.)\1*", written, re.S):
             new: dict = {}
-            arcs = self._arcs(run.group(1), len(run.group()))
+            steps = self._steps(run.group(1), run.end() - run.start())
             for (a, b), (score, path) in paths.items():
-                for text, cost in arcs:
+                for text, cost, symbols in steps:
                     s, x, y = score - cost, a, b
-                    for c in text:
-                        if c == " ":
-                            s += model[x][y][0] + model[y][0][0]
-                            x = y = 0
-                        else:
-                            z = symbol(c)
-                            s += model[x][y][z]
-                            x, y = y, z
+                    for z in symbols:
+                        s += model[x][y][z]
+                        x, y = y, z
                     old = new.get((x, y))
                     if old is None or s > old[0]:
                         new[x, y] = (s, (path, text) if text else path)
@@ -168,7 +174,7 @@ class Decoder:
         return "".join(out).split()
 
     def text(self, text: str | None) -> tuple[set[str], list[str]]:
-        """(tokens to restore alone, runs of single characters) of a text."""
+        """(distinct tokens to restore alone, runs of single characters) of a text."""
         lowered = (text or "").lower()
         runs = []
 
@@ -179,12 +185,9 @@ class Decoder:
         return set(_SPACED.sub(take, lowered).split()), runs
 
 
-def _hash(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
-
-
-def features(words: list[str]) -> list[int]:
-    return [_hash("w" + w) for w in words] + [_hash("p" + w[:PREFIX]) for w in words if len(w) > PREFIX]
+def features(words: list[str]) -> list[str]:
+    """Features of restored words: the words, and the first letters of long ones."""
+    return words + [w[:PREFIX] + "*" for w in words if len(w) > PREFIX]
 
 
 class Memo:
@@ -194,16 +197,43 @@ class Memo:
         self.function, self.size, self.known = function, size, {}
 
     def __call__(self, token: str):
-        known = self.known
-        value = known.get(token)
+        value = self.known.get(token)
         if value is None:
             value = self.function(token)
-            if len(known) >= self.size:
-                known.clear()
-            known[token] = value
+            if len(self.known) >= self.size:
+                self.known.clear()
+            self.known[token] = value
         return value
 
 
+_MEMOS: dict[str, Memo] = {}
+
+
+def _memo(name: str, function) -> Memo:
+    """The worker's table of that name (tasks of one stage share it); other tables are given up."""
+    if name not in _MEMOS:
+        _MEMOS.clear()
+        _MEMOS[name] = Memo(function)
+    return _MEMOS[name]
+
+
+def signatures(texts: pa.Array) -> np.ndarray:
+    """Three minimum hashes of the word triples of every text (of the whole text, where it has fewer words)."""
+    out = np.empty((len(texts), 3), np.uint64)
+    for row, last, data, offsets in text_blocks(texts):
+        words = find_words(data, offsets, lower=True)
+        hashes = word_hashes(words)
+        triples = sequence_hashes(hashes, 3)
+        for d in range(last - row):
+            a, b = words.first[d], words.first[d + 1]
+            own = triples[a:b - 2] if b - a > 2 else mix(np.array([hashes[a:b].sum()], np.uint64))
+            out[row + d] = [mix(own ^ key).min() for key in _KEYS]
+    return out.view(np.int64)
+
+
+_KEYS = stream(50, 3)
+
+
 def _inputs(weights: list[float], words: int) -> tuple[float, ...]:
     """What the logistic model sees of a document: largest log-odds of its words, and its size (short texts alike)."""
     top = sorted(weights, reverse=True)[:5] + [0.0] * 5
@@ -211,7 +241,7 @@ def _inputs(weights: list[float], words: int) -> tuple[float, ...]:
 
 
 class Model(NamedTuple):
-    weights: dict[int, float]
+    weights: dict[str, float]
     mean: np.ndarray
     scale: np.ndarray
     coefficients: np.ndarray
@@ -253,20 +283,20 @@ def _sample(docs: DataFrame, labels: DataFrame, sample_rows: int) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, decoder: Decoder, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Weights of features and the logistic model, from the labelled training rows."""
 
+    name = uuid.uuid4().hex
+
     def read(batch: pa.RecordBatch) -> pa.RecordBatch:
-        restore = Memo(lambda t: (features(decoder.restore(t)),))
-        signs, found = [], []
+        restore = _memo(name, lambda t: tuple(features(decoder.restore(t))))
+        found, sizes = [], []
         for text in batch.column("text").to_pylist():
             tokens, runs = decoder.text(text)
-            found.append(sorted({f for t in (*tokens, *runs) for f in restore(t)[0]}))
-            words = (text or "").lower().split()
-            triples = np.array([_hash(" ".join(words[i:i + 3])) for i in range(max(len(words) - 2, 1))], np.int64).view(np.uint64)
-            signs.append([int((triples * np.uint64(k)).min().view(np.int64)) for k in (1, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9)])
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(signs, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.int64()))],
-                                          names=["doc_id", "label", "signs", "features"])
+            found.append(sorted({f for t in (*tokens, *runs) for f in restore(t)}))
+            sizes.append(len(tokens))
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(list(signatures(batch.column("text"))), pa.list_(pa.int64())),
+                                           pa.array(found, pa.list_(pa.string())), pa.array(sizes, pa.int64())], names=["doc_id", "label", "signs", "features", "size"])
 
     spread = _sample(docs, labels, sample_rows).select("doc_id", "label", "text")
-    sample = cut(map_arrow(spread, read, "doc_id long, label int, signs array<long>, features array<long>"))
+    sample = cut(map_arrow(spread, read, "doc_id long, label int, signs array<long>, features array<string>, size long"))
     copies = sample.select("doc_id", F.posexplode("signs").alias("k", "sign")).groupBy("k", "sign").agg(F.min("doc_id").alias("least"), F.collect_list("doc_id").alias("ids")) \
         .select("least", F.explode("ids").alias("doc_id")).where("doc_id <> least").select("doc_id").distinct()
     rows = sample.join(copies, "doc_id", "left_anti").withColumn("half", (F.crc32(F.concat(F.lit("half"), F.col("doc_id").cast("string"))) % 2).cast("int"))
@@ -289,11 +319,11 @@ def train(docs: DataFrame, labels: DataFrame, decoder: Decoder, sample_rows: int
 
     def weigh(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = []
-        for half, found in zip(batch.column("half").to_pylist(), batch.column("features").to_pylist(), strict=True):
-            x.append(list(_inputs([w for w in map(other[half].get, found) if w is not None and w > 0], len(found))))
+        for half, size, found in zip(*(batch.column(c).to_pylist() for c in ("half", "size", "features")), strict=True):
+            x.append(list(_inputs([w for w in map(other[half].get, found) if w is not None and w > 0], size)))
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
 
-    seen = map_arrow(rows.select("doc_id", "label", "half", "features"), weigh, "doc_id long, label int, x array<double>").toArrow().sort_by("doc_id")
+    seen = map_arrow(rows.select("doc_id", "label", "half", "size", "features"), weigh, "doc_id long, label int, x array<double>").toArrow().sort_by("doc_id")
     x = seen.column("x").combine_chunks().flatten().to_numpy().reshape(-1, 4)
     return Model(table_of(0, 1), *logistic(x, seen.column("label").to_numpy().astype(float)))
 
@@ -301,18 +331,20 @@ def train(docs: DataFrame, labels: DataFrame, decoder: Decoder, sample_rows: int
 def score(docs: DataFrame, decoder: Decoder, model: Model) -> DataFrame:
     """(doc_id, score) per row of ``docs``."""
 
-    def run(batches):
-        def weight(token: str) -> tuple[float, int]:
-            found = features(decoder.restore(token))
-            return tuple(w for w in map(model.weights.get, found) if w is not None and w > 0), len(found)
+    name = uuid.uuid4().hex
+
+    def weight(token: str) -> tuple[tuple[str, float], ...]:
+        some = ((f, model.weights.get(f, 0.0)) for f in features(decoder.restore(token)))
+        return tuple(x for x in some if x[1] > 0)
 
-        memo = Memo(weight)
+    def run(batches):
+        memo = _memo(name, weight)
         for batch in batches:
             x = []
             for text in batch.column("text").to_pylist():
                 tokens, runs = decoder.text(text)
-                found = [memo(t) for t in (*tokens, *runs)]
-                x.append(_inputs([w for ws, _ in found for w in set(ws)], sum(n for _, n in found)))
+                found = dict(w for t in (*tokens, *runs) for w in memo(t))  # a feature counts once
+                x.append(_inputs(list(found.values()), len(tokens)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(np.array(x).reshape(-1, 4)))], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
