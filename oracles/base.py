@@ -365,4 +365,4 @@ def feature_ctes(src: str = "datapoints", key: str = "datapoint_id", sql_col: st
 
 
 def with_ctes(*parts: str) -> str:
-    return "WITH " + ",".join(p.strip().rstrip(",") for p in parts if p.strip())
+    return "WITH RECURSIVE " + ",".join(p.strip().rstrip(",") for p in parts if p.strip())

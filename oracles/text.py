@@ -156,7 +156,7 @@ dens AS (SELECT text_id, round(avg(CASE WHEN upos = 'OPEN' THEN 1.0 ELSE 0.0 END
 
 
 def rec(sql: str) -> str:
-    return "WITH RECURSIVE " + sql[len("WITH "):]
+    return "WITH RECURSIVE " + sql[len("WITH RECURSIVE "):]
 
 
 def summary(src: str, col: str, name: str) -> str:
