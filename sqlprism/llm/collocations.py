@@ -31,11 +31,11 @@ from pyspark.sql import functions as F
 
 from sqlprism.llm.blocks import _LOWER, U64, Words, mix, stream, text_blocks, word_hashes
 from sqlprism.llm.common import cut, discard, table
-from sqlprism.llm.shards import blocked, by_range, keys_of, planes, unplanes
+from sqlprism.llm.shards import blocked, by_range, keys_of, planes, rows_of, unplanes
 
 SUPPORT, TOP, LONGEST = 10, 2000, 3
 SHARDS = 5
-BLOCK_BYTES, RANGE_BYTES = 2 << 20, 3 << 20
+BLOCK_BYTES, RANGE_BYTES = 2 << 20, 5 << 20
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
@@ -106,7 +106,8 @@ def _ask(ranges: int):
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                found = grams(_langs(batch.column("lang")[i].values), batch.column("text")[i].values)
+                docs = rows_of(batch.column("data")[i])
+                found = grams(_langs(docs.column("lang")), docs.column("text"))
                 coded = [list(by_range(*np.unique(keys, return_counts=True), ranges)) for keys in found.keys]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(range(ranges), pa.int32()), pa.array([batch.column("block")[i].as_py()] * ranges, pa.int64()),
@@ -178,13 +179,14 @@ def _score(a: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
 _FOUND = "kind int, lang string, key long, phrase string, a long, l long, r long, score long"
 
 
-def _resolve(docs: pa.Table, answers: pa.Table) -> pa.Table:
+def _resolve(blocks: pa.Table, answers: pa.Table) -> pa.Table:
     """Of one block: words by language (kind 1), candidates it is the first to hold (kind: their words), and keys of
     phrases that one of these covers (kind 0)."""
     out = {f.split()[0]: [] for f in _FOUND.split(", ")}
     kinds = dict(zip(out, (pa.int32(), pa.string(), pa.int64(), pa.string(), *[pa.int64()] * 4), strict=True))
-    if docs.num_rows:
-        langs, texts = _langs(docs.column("lang")[0].values), docs.column("text")[0].values
+    if blocks.num_rows:
+        docs = rows_of(blocks.column("data")[0])
+        langs, texts = _langs(docs.column("lang")), docs.column("text")
         answers = answers.sort_by("part")
         found = grams(langs, texts)
         raw, starts, ends = [], [], []
@@ -243,9 +245,9 @@ def collocations(docs: DataFrame, support: int = SUPPORT, top: int = TOP, shards
     size = sum(sizes.values())
     local = [max(1, -(-support * sizes.get(s, 0) // max(size, 1))) for s in range(shards)]  # a share of the support, rounded up
     ranges = 1 + size // RANGE_BYTES
-    asked = blocks.select("block", "lang", "text").mapInArrow(_ask(ranges), "part int, block long, keys array<binary>, counts array<binary>")
+    asked = blocks.select("block", "data").mapInArrow(_ask(ranges), "part int, block long, keys array<binary>, counts array<binary>")
     answers = cut(asked.withColumn("shard", mixed).groupBy("part").applyInArrow(_answer(local, support, ranges), "block long, part int, totals array<binary>"))
-    found = cut(blocks.select("block", "lang", "text").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_resolve, _FOUND))
+    found = cut(blocks.select("block", "data").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_resolve, _FOUND))
     discard(blocks, answers)
     covered = found.where("kind = 0").select("key").distinct()
     kept = found.where("kind = 2").join(covered, "key", "left_anti").unionByName(found.where("kind = 3"))

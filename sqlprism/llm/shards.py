@@ -20,20 +20,19 @@ from sqlprism.llm.common import cut
 
 
 def blocked(rows: DataFrame, block_bytes: int) -> DataFrame:
-    """Table (block, bytes, and every column of ``rows`` as a list): rows in blocks of about ``block_bytes`` bytes of their
-    column ``text``; a larger text is a block of its own. ``block`` is unique and fixed, as the table is written out."""
-    names = rows.columns
-    kinds = ", ".join(f"{f.name} array<{f.dataType.simpleString()}>" for f in rows.schema)
-
+    """Table (block, bytes, data): the rows of ``rows`` in blocks of about ``block_bytes`` bytes of their column ``text``, each
+    packed and compressed (``rows_of``); a larger text is a block of its own. ``block`` is unique and fixed, as the table is
+    written out."""
     def run(batches):
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
         part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def block() -> pa.RecordBatch:
-            lists = []
-            for n in names:
-                values = pa.concat_arrays([h.column(n) for h in held])
-                lists.append(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values))
-            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + number]), pa.array([size], pa.int64()), *lists], names=["block", "bytes", *names])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=options) as writer:
+                writer.write_table(pa.Table.from_batches(held).combine_chunks())
+            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + number]), pa.array([size], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
+                                              names=["block", "bytes", "data"])
 
         for batch in batches:
             sizes = pc.binary_length(batch.column("text")).fill_null(0).to_numpy().astype(np.int64)
@@ -51,7 +50,13 @@ def blocked(rows: DataFrame, block_bytes: int) -> DataFrame:
         if held:
             yield block()
 
-    return cut(rows.mapInArrow(run, f"block long, bytes long, {kinds}"))
+    return cut(rows.mapInArrow(run, "block long, bytes long, data binary"))
+
+
+def rows_of(data: pa.BinaryScalar) -> pa.RecordBatch:
+    """The rows of a block."""
+    table = pa.ipc.open_stream(data.as_buffer()).read_all().combine_chunks()
+    return table.to_batches()[0] if table.num_rows else pa.RecordBatch.from_pylist([], table.schema)
 
 
 def planes(values: np.ndarray) -> bytes:

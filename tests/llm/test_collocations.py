@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -100,6 +101,8 @@ def test_ranges_keep_keys_and_order(keys, ranges):
 def test_blocks_hold_every_row_once(docs):
     rows = docs.select("lang", "text")
     blocks = shards.blocked(rows, 700).collect()
-    assert sorted((x, y) for b in blocks for x, y in zip(map(str, b.lang), map(str, b.text))) == sorted((str(x), str(y)) for x, y in _rows())
+    held = [shards.rows_of(pa.scalar(b.data, pa.binary())).to_pylist() for b in blocks]
+    assert sorted((str(r["lang"]), str(r["text"])) for some in held for r in some) == sorted((str(x), str(y)) for x, y in _rows())
     assert len({b.block for b in blocks}) == len(blocks)
-    assert all(len(b.text) == 1 or sum(len((t or "").encode()) for t in b.text) <= 700 for b in blocks)
+    sizes = [sum(len((r["text"] or "").encode()) for r in some) for some in held]
+    assert sizes == [b.bytes for b in blocks] and all(len(some) == 1 or n <= 700 for n, some in zip(sizes, held))
