@@ -11,14 +11,14 @@ a proper distribution at every order (Dirichlet smoothing with prior mass m). As
 h is a state; a counted continuation is an arc with weight log10 p(w | h); the failure arc to h' has weight
 log10 (m / (c(h) + m)); the root's arcs are log10 p(w), one of them for unknown words. The walk goes
 left to right and carries the state of the last order-1 tokens; a token with no arc from its state pays the
-failure arcs down to the state that has one. States and arcs are not built as a graph: they are count arrays, and the
-walk looks up the n-gram of every order that ends at each token, which gives the weight of the same path.
-
-Distribution. Documents are hashed into shards of about ``SHARD_BYTES`` of text; a shard needs the arcs of its
-own n-grams only. Each shard sends its distinct n-grams (64-bit hashes, sorted, delta coded, cut by hash
-range) with its own training counts; the task of a hash range adds the counts up and answers every shard
-with one total per n-gram sent, in the order sent. An n-gram that is frequent everywhere costs one entry
-per shard, so no key is hot. Then every shard builds its slice of the automaton and walks its texts. Only N and V
+failure arcs down to the state that has one. The state behind a token is the longest counted history that ends there.
+
+Distribution. Documents lie in blocks of about ``BLOCK_BYTES`` of text; a block needs the states and arcs of its own
+n-grams only. For one group of orders after the other (``EXCHANGES``) every block sends its distinct n-grams (64-bit hashes, sorted, delta coded, cut by hash
+range) with its own training counts; the task of a hash range adds the counts up and answers every block
+with one total per n-gram sent, in the order sent. A group's answers are written before the next group is asked, so only one
+exchange lies on disk at a time. An n-gram that is frequent everywhere costs one entry
+per block, so no key is hot. Then every block builds its slice of the automaton (``Automaton``) and walks its texts. Only N and V
 reach the driver. What is gathered grows with the distinct n-grams of all training rows; nothing is pruned.
 
 Defined cases: null texts are empty and hold the end only; without training rows every token has the base of
@@ -37,37 +37,24 @@ from pyspark.sql import functions as F
 
 from sqlprism.llm.blocks import U64, find_words, mix, stream, text_blocks, word_hashes
 from sqlprism.llm.common import cut, remainder, table
+from sqlprism.llm.shards import blocked, by_range, keys_of, planes, rows_of, unplanes
 
 ORDER = 3
 PRIOR = 50.0
-SHARD_BYTES = 6 << 20
+BLOCK_BYTES, RANGE_BYTES = 2 << 20, 8 << 20
+EXCHANGES = ((1, 2), (3,))  # orders that travel together; higher ones one by one
 HELD_OUT = 10
 _START, _END = stream(30, 2)
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """Integers as byte planes: the zero high bytes of small values lie together and compress away."""
-    return np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8).T.tobytes()
-
-
-def _unplanes(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1).astype(U64)
-
-
 class Grams(NamedTuple):
     """Per token: hash of the n-gram of order k that ends there (``keys[k - 1]``); ``first`` by document."""
 
     keys: list[np.ndarray]
     first: np.ndarray
 
-    @property
-    def is_first(self) -> np.ndarray:
-        out = np.zeros(len(self.keys[0]), bool)
-        out[self.first[:-1]] = True
-        return out
 
-
-def grams(texts: pa.ChunkedArray, order: int = ORDER) -> Grams:
+def grams(texts: pa.Array, order: int = ORDER) -> Grams:
     tokens, sizes = [], []
     for _, _, data, offsets in text_blocks(texts):
         words = find_words(data, offsets, lower=True)
@@ -92,108 +79,156 @@ def grams(texts: pa.ChunkedArray, order: int = ORDER) -> Grams:
     return Grams(keys, first)
 
 
-def _ask(group: pa.Table, order: int, ranges: int) -> pa.Table:
-    """The shard's distinct n-grams with its training counts, a row per order and hash range."""
-    shard = group.column("shard")[0].as_py()
-    found = grams(group.column("text"), order)
-    train = np.repeat(group.column("train").to_numpy(), np.diff(found.first))
-    rows = []
-    for k, keys in enumerate(found.keys):
-        distinct, inverse = np.unique(keys, return_inverse=True)
-        counts = np.bincount(inverse, weights=train, minlength=len(distinct)).astype(U64)
-        cuts = np.searchsorted(distinct, [U64((r << 64) // ranges) for r in range(1, ranges)])
-        for r, (ks, cs) in enumerate(zip(np.split(distinct, cuts), np.split(counts, cuts), strict=True)):
-            if len(ks):
-                rows.append((r, shard, k + 1, _planes(np.diff(ks, prepend=U64(0))), _planes(cs)))
-    return pa.table({n: pa.array([x[i] for x in rows], t) for i, (n, t) in enumerate(
-        [("part", pa.int32()), ("shard", pa.int32()), ("k", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])})
-
-
-_ANSWER = "shard int, k int, part int, counts binary, total long, distinct_tokens long"
-
-
-def _answer(group: pa.Table) -> pa.Table:
-    """Totals of a hash range, for every shard in the order it asked; one row (shard -1) with N and V of the range."""
-    part = group.column("part")[0].as_py()
-    out = []
-    for k in sorted(set(group.column("k").to_pylist())):
-        some = group.filter(pc.equal(group.column("k"), k))
-        keys = [np.cumsum(_unplanes(x), dtype=U64) for x in some.column("keys").to_pylist()]
-        _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        own = np.concatenate([_unplanes(x) for x in some.column("counts").to_pylist()])
-        totals = np.bincount(inverse, weights=own.astype(np.float64)).astype(U64)
-        if k == 1:
-            out.append((-1, 1, part, None, int(totals.sum()), int((totals > 0).sum())))
-        cuts = np.cumsum([len(x) for x in keys])[:-1]
-        for shard, counts in zip(some.column("shard").to_pylist(), np.split(totals[inverse], cuts), strict=True):
-            out.append((shard, k, part, _planes(counts), None, None))
-    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
-    return pa.table({f.split()[0]: pa.array([x[i] for x in out], kinds[i]) for i, f in enumerate(_ANSWER.split(", "))})
-
-
-class Automaton:
-    """Slice of the backoff automaton for one shard's n-grams, as counts by order; arcs and failure arcs are read off them."""
-
-    def __init__(self, counts: list[np.ndarray], total: int, distinct: int, prior: float):
-        self.counts, self.total, self.distinct, self.prior = counts, total, distinct, prior
-
-    def root(self, count: np.ndarray) -> np.ndarray:
-        return np.log10((count + 0.1) / (self.total + 0.1 * (self.distinct + 1)))
-
-    def walk(self, places: list[np.ndarray], is_first: np.ndarray, documents: int) -> tuple[np.ndarray, np.ndarray]:
-        """log10 weight of every token under the root and along the automaton. ``places[k - 1]`` has the number of the
-        k-gram that ends at each token; ``documents`` is the count of the state before a text's first token."""
-        weight = base = self.root(self.counts[0][places[0]])
-        for k in range(1, len(places)):
-            # the state carried to a token is that of the (k-gram) history ending at the token before
-            history = np.empty(len(is_first))
-            history[1:] = self.counts[k - 1][places[k - 1]][:-1]
-            history[is_first] = documents
-            fail = np.log10(self.prior / (history + self.prior))
-            count = self.counts[k][places[k]]
-            arc = count > 0
-            lower = weight + fail
-            weight = np.where(arc, np.log10(np.where(arc, count, 1) / (history + self.prior) + 10.0 ** lower), lower)
-        return base, weight
+def _ask(orders: tuple[int, ...], ranges: int):
+    """A row per block and hash range: distinct n-grams of ``orders`` and their training counts."""
+    binaries = pa.list_(pa.binary())
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                docs = rows_of(batch.column("data")[i])
+                found = grams(docs.column("text"), max(orders))
+                train = np.repeat(docs.column("train").to_numpy(zero_copy_only=False), np.diff(found.first))
+                coded = []
+                for k in orders:
+                    distinct, inverse = np.unique(found.keys[k - 1], return_inverse=True)
+                    coded.append(list(by_range(distinct, np.bincount(inverse, weights=train, minlength=len(distinct)).astype(U64), ranges)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(range(ranges), pa.int32()), pa.array([batch.column("block")[i].as_py()] * ranges, pa.int64()),
+                     *(pa.array([[c[r][x] for c in coded] for r in range(ranges)], binaries) for x in (0, 1))], names=["part", "block", "keys", "counts"])
+    return run
+
+
+_ANSWER = "block long, part int, counts array<binary>, total long, distinct_tokens long"
+
+
+def _answer(orders: tuple[int, ...], ranges: int):
+    """Totals of a hash range, for every block in the order it asked; one row without a block with N and V of the range."""
+    def run(group: pa.Table) -> pa.Table:
+        part, blocks = group.column("part")[0].as_py(), group.column("block").to_pylist()
+        out, tokens = [[] for _ in blocks], (None, None)
+        for i, k in enumerate(orders):
+            keys = [keys_of(x, part, ranges) for x in pc.list_element(group.column("keys"), i).to_pylist()]
+            _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+            own = np.concatenate([unplanes(x) for x in pc.list_element(group.column("counts"), i).to_pylist()])
+            totals = np.bincount(inverse, weights=own.astype(np.float64)).astype(U64)
+            if k == 1:
+                tokens = int(totals.sum()), int((totals > 0).sum())
+            for row, counts in zip(out, np.split(totals[inverse], np.cumsum([len(x) for x in keys])[:-1]), strict=True):
+                row.append(planes(counts))
+        rows = [*zip(blocks, out, [None] * len(blocks), [None] * len(blocks), strict=True), *([(None, None, *tokens)] if 1 in orders else [])]
+        return pa.table({"block": pa.array([r[0] for r in rows], pa.int64()), "part": pa.array([part] * len(rows), pa.int32()), "counts": pa.array([r[1] for r in rows], pa.list_(pa.binary())),
+                         "total": pa.array([r[2] for r in rows], pa.int64()), "distinct_tokens": pa.array([r[3] for r in rows], pa.int64())})
+    return run
+
+
+class Automaton(NamedTuple):
+    """Slice of the weighted backoff automaton for the n-grams of one block.
+
+    A state of order k is a counted k-gram (as history), the root has order 0. ``arc[k][i]``: weight of the arc that the
+    (k + 1)-gram i is, from the state of its first k tokens, nan if it isn't counted. ``fail[k][i]``: weight of the failure
+    arc of the state that the k-gram i is, to the state of its last k - 1 tokens; ``unknown``: the root's arc for other tokens."""
+
+    arc: list[np.ndarray]
+    fail: list[np.ndarray]
+    start: float
+    unknown: float
+
+
+def automaton(counts: list[np.ndarray], first: list[np.ndarray], places: list[np.ndarray], begins: np.ndarray, documents: float,
+              total: int, distinct: int, prior: float) -> Automaton:
+    """From the counts of every order's n-grams; ``first[k]`` is the token where each of them ends for the first time, ``places[k]`` the
+    n-gram that ends at each token, ``begins`` whether a text starts there, and ``documents`` the count of the state before any text."""
+    with np.errstate(divide="ignore"):
+        share = [(counts[0] + 0.1) / (total + 0.1 * (distinct + 1))]
+        for k in range(1, len(counts)):
+            at = first[k]
+            lower = share[k - 1][places[k - 1][at]]
+            history = np.where(begins[at], documents, counts[k - 1][places[k - 1][at - 1]] if len(at) else 0.0)
+            share.append((counts[k] + prior * lower) / (history + prior))
+        arc = [np.where(c > 0, np.log10(p), np.nan) for c, p in zip(counts, share, strict=True)]
+        fail = [np.zeros(0), *[np.log10(prior / (c + prior)) for c in counts[:-1]]]
+    return Automaton(arc, fail, float(np.log10(prior / (documents + prior))), float(np.log10(0.1 / (total + 0.1 * (distinct + 1)))))
+
+
+def walk(machine: Automaton, counts: list[np.ndarray], places: list[np.ndarray], begins: np.ndarray) -> np.ndarray:
+    """Weight of every token on the path from left to right: from the state carried to it, along failure arcs down to the
+    first state with an arc for it."""
+    n = len(begins)
+    before = np.arange(n) - 1
+    state = np.zeros(n, np.int64)  # order of the state carried to the token: the longest counted history
+    for k in range(1, len(places)):
+        state[~begins & (counts[k - 1][places[k - 1][before]] > 0 if n else begins)] = k
+    state[begins] = len(places) - 1  # the states before a text
+    weight, done = np.zeros(n), np.zeros(n, bool)
+    for k in range(len(places) - 1, -1, -1):
+        here = ~done & (state >= k)
+        arc = machine.arc[k][places[k][here]]
+        found = ~np.isnan(arc)
+        at = np.flatnonzero(here)
+        weight[at[found]] += arc[found]
+        done[at[found]] = True
+        left = at[~found]
+        if k:
+            weight[left] += np.where(begins[left], machine.start, machine.fail[k][places[k - 1][before[left]]])
+        else:
+            weight[left] += machine.unknown
+    return weight
 
 
 _SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(docs: pa.Table, answers: pa.Table, order: int, total: int, distinct: int, prior: float) -> pa.Table:
-    if not docs.num_rows:
-        docs = docs.slice(0, 0)
+def _score(blocks: pa.Table, answers: pa.Table, order: int, total: int, distinct: int, prior: float) -> pa.Table:
+    names = [f.split()[0] for f in _SCORE.split(", ")]
+    if not blocks.num_rows:
+        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        return pa.table({n: pa.array([], k) for n, k in zip(names, kinds, strict=True)})
+    docs = rows_of(blocks.column("data")[0])
     found = grams(docs.column("text"), order)
-    counts, places = [], []
-    for k, keys in enumerate(found.keys):
-        _, inverse = np.unique(keys, return_inverse=True)
-        own = answers.filter(pc.equal(answers.column("k"), k + 1)).sort_by("part")
-        counts.append(np.concatenate([np.zeros(0, U64), *map(_unplanes, own.column("counts").to_pylist())]).astype(np.float64))
+    answers = answers.sort_by([("least", "ascending"), ("part", "ascending")])
+    counts, first, places = [], [], []
+    for k in range(1, order + 1):
+        _, index, inverse = np.unique(found.keys[k - 1], return_index=True, return_inverse=True)
+        group = next(g for g in _exchanges(order) if k in g)
+        own = answers.filter(pc.equal(answers.column("least"), group[0]))
+        counts.append(np.concatenate([np.zeros(0, U64), *map(unplanes, pc.list_element(own.column("counts"), group.index(k)).to_pylist())]).astype(np.float64))
+        first.append(index)
         places.append(inverse)
-    end = places[0][found.first[1:] - 1]
-    documents = float(counts[0][end[0]]) if len(end) else 0.0  # as many starts as ends
-    base, weight = Automaton(counts, total, distinct, prior).walk(places, found.is_first, documents)
-    known = counts[0][places[0]] > 0
     at = found.first[:-1]
-    add = lambda x: np.add.reduceat(x, at) if len(at) else np.zeros(0, x.dtype)
-    return pa.table({
-        "doc_id": docs.column("doc_id"), "held_out": pa.array(~docs.column("train").to_numpy()),
-        "n_tokens": pa.array(np.diff(found.first), pa.int64()), "n_known": pa.array(add(known.astype(np.int64)), pa.int64()),
-        "train_tokens": pa.array(np.full(len(at), total), pa.int64()), "base_score": pa.array(add(base)), "score": pa.array(add(weight))})
+    begins = np.zeros(len(places[0]), bool)
+    begins[at] = True
+    documents = float(counts[0][places[0][found.first[1] - 1]])  # as many starts as ends
+    weight = walk(automaton(counts, first, places, begins, documents, total, distinct, prior), counts, places, begins)
+    own = counts[0][places[0]]
+    base = np.log10((own + 0.1) / (total + 0.1 * (distinct + 1)))
+    return pa.table(dict(zip(names, [
+        docs.column("doc_id"), pc.invert(docs.column("train")), pa.array(np.diff(found.first), pa.int64()),
+        pa.array(np.add.reduceat((own > 0).astype(np.int64), at)), pa.array(np.full(len(at), total), pa.int64()),
+        pa.array(np.add.reduceat(base, at)), pa.array(np.add.reduceat(weight, at))], strict=True)))
+
+
+def _exchanges(order: int) -> list[tuple[int, ...]]:
+    """The orders up to ``order``, grouped as they travel."""
+    known = [tuple(k for k in g if k <= order) for g in EXCHANGES]
+    return [g for g in known if g] + [(k,) for k in range(max(map(max, EXCHANGES)) + 1, order + 1)]
 
 
-def score_documents(docs: DataFrame, train, order: int = ORDER, prior: float = PRIOR, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def score_documents(docs: DataFrame, train, order: int = ORDER, prior: float = PRIOR, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row of ``docs``; ``train`` is the
     condition of training rows."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(train, F.lit(False)).alias("train"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = 1 + int(size // shard_bytes)
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int"))
-    asked = rows.groupBy("shard").applyInArrow(lambda t: _ask(t, order, shards), "part int, shard int, k int, keys binary, counts binary")
-    answers = cut(asked.groupBy("part").applyInArrow(_answer, _ANSWER))
-    total, distinct = answers.where("shard = -1").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct_tokens"), F.lit(0))).first()
-    back = answers.where("shard >= 0").select("shard", "k", "part", "counts")
-    return rows.groupBy("shard").cogroup(back.groupBy("shard")).applyInArrow(
+    blocks = blocked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), F.col("text").cast("string").alias("text")), block_bytes)
+    ranges = 1 + int((blocks.agg(F.sum("bytes")).first()[0] or 0) // RANGE_BYTES)
+    answers = []
+    for group in _exchanges(order):
+        asked = blocks.select("block", "data").mapInArrow(_ask(group, ranges), "part int, block long, keys array<binary>, counts array<binary>")
+        answers.append(cut(asked.groupBy("part").applyInArrow(_answer(group, ranges), _ANSWER).withColumn("least", F.lit(group[0]))))
+    total, distinct = answers[0].where("block IS NULL").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct_tokens"), F.lit(0))).first()
+    told = answers[0]
+    for more in answers[1:]:
+        told = told.unionByName(more)
+    told = told.where("block IS NOT NULL").select("block", "part", "least", "counts")
+    return blocks.select("block", "data").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(
         lambda d, a: _score(d, a, order, total, distinct, prior), _SCORE)
 
 

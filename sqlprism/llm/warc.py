@@ -166,6 +166,9 @@ _READ = "path string, position long, record_id string, record_type string, targe
 def read_archives(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """One row per record of the archives (path, bytes): its header fields and payload."""
     ranges = files.where("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(range_bytes).cast("long"))).alias("start"))
+    count = files.agg(F.sum(F.ceil(F.col("bytes") / range_bytes))).first()[0] or 1
+    # an explicit number: rows of ranges are so small that adaptive execution would put them all into one task
+    tasks = min(int(count), 8 * files.sparkSession.sparkContext.defaultParallelism)
 
     def run(batch: pa.RecordBatch):
         for path, size, start in zip(*(batch.column(c).to_pylist() for c in ("path", "bytes", "start")), strict=True):
@@ -182,7 +185,7 @@ def read_archives(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame
                         rows, held = [], 0
                 yield _batch(rows)
 
-    return map_arrow(ranges.repartition("path", "start"), run, _READ)
+    return map_arrow(ranges.repartition(tasks), run, _READ)
 
 
 def _batch(rows) -> pa.RecordBatch:
@@ -211,7 +214,12 @@ def round_trip(pages: DataFrame, folder: str) -> DataFrame:
 
 def op9_splittable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as read back from archives."""
-    return round_trip(table(spark, sf_dir, "pages"), shared_folder(spark, "warc"))
+    folder = shared_folder(spark, "warc")
+    result = round_trip(table(spark, sf_dir, "pages"), folder)
+    fs, base = pafs.FileSystem.from_uri(folder)  # what was read back lies in a table of its own by now
+    if fs.get_file_info(base).type == pafs.FileType.Directory:
+        fs.delete_dir(base)
+    return result
 
 
 ORACLES = {"op9_splittable_warc": """

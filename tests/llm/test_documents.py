@@ -143,8 +143,8 @@ def test_held_out_quality(spark, sf_dir):
     assert np.mean([r.predicted == r.quality for r in rows]) > 0.8
 
 
-@pytest.mark.parametrize(("order", "shard_bytes"), [(1, 1 << 20), (2, 20_000), (3, 50_000)])
-def test_scores(docs, no_docs, texts, order, shard_bytes):
+@pytest.mark.parametrize(("order", "block_bytes"), [(1, 1 << 20), (2, 20_000), (3, 50_000)])
+def test_scores(docs, no_docs, texts, order, block_bytes):
     start, prior = "<start>", lm_scoring.PRIOR
     rows = [(i, words_of(t, lower=True) + [None], zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0) for i, t in texts]
     counts = [collections.Counter() for _ in range(order + 1)]
@@ -169,7 +169,7 @@ def test_scores(docs, no_docs, texts, order, shard_bytes):
                 p = (counts[k][gram] + prior * p) / (counts[k - 1][gram[:-1]] + prior)
             score += math.log10(p)
         want.append((i or -1, held, len(t), sum(counts[1][(w,)] > 0 for w in t), train, round(base, 4), round(score, 4)))
-    got = lm_scoring.score_documents(docs, remainder("doc_id", 10) != 0, order=order, shard_bytes=shard_bytes).collect()
+    got = lm_scoring.score_documents(docs, remainder("doc_id", 10) != 0, order=order, block_bytes=block_bytes).collect()
     assert sorted((r[0] or -1, *r[1:5], round(r[5], 4), round(r[6], 4)) for r in got) == sorted(want)
     assert lm_scoring.score_documents(no_docs, remainder("doc_id", 10) != 0).count() == 0
 

@@ -112,6 +112,14 @@ def test_warc_round_trip(spark, tmp_path, monkeypatch):
     assert sum(gzip.decompress(f.read_bytes()).count(b"WARC-Record-ID") for f in files) == len(rows)
 
 
+def test_archives_are_read_in_many_tasks(spark, tmp_path):
+    df, rows = pages_frame(spark)
+    files = warc.write_archives(df, f"file://{tmp_path}/w")
+    for width, least in ((1000, 4), (1 << 30, 1)):
+        read = warc.read_archives(files, width)
+        assert read.count() == len(rows) and read.rdd.getNumPartitions() >= least
+
+
 class Memory:
     def __init__(self, raw):
         self.raw = raw
