@@ -195,3 +195,9 @@ ORACLES["text_dispersion"] = text_oracle.dispersion_sql()
 from . import lists as lists_oracle  # noqa: E402
 
 ORACLES.update(lists_oracle.oracles())
+ORACLES.update(lists_oracle.more())
+
+ORACLES.update({
+    "value_by_depth": match_oracle.value_by_depth_sql(),
+    "partial_scores": match_oracle.partial_scores_sql(),
+})

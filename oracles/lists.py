@@ -94,3 +94,47 @@ SELECT datapoint_id, CAST(scope AS INTEGER) AS scope, CAST(depth AS BIGINT) AS d
             ("text_dependency_distance_shares", "avg_dependency_distance"), ("text_dependency_depth_shares", "depth"),
             ("text_dependencies_num_shares", "dependencies_num"))},
     }
+
+
+def more() -> dict:
+    """Q4, Q27, T10 and D2 as rows of their own."""
+    names = [*[(a, n) for n, a in vocab.CLAUSES], ("SO", "set_operator"), ("N", "nesting")]
+    repeated = ", ".join(f"list_transform(range(coalesce({a}, 0)), lambda i: '{n}')" for a, n in names)
+    types = "CASE data_type WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'TIMESTAMP WITH TIME ZONE' THEN 'timestamp' ELSE lower(data_type) END"
+    tables = ["customer", "lineitem", "nation", "orders", "part", "region", "supplier"]
+    sizes = " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in tables)
+    return {
+        "sql_structural_components": base.with_ctes(base.DATAPOINTS, base.feature_ctes()) + f"""
+SELECT datapoint_id, current_depth, subquery_no,
+       CASE WHEN parse_error IS NULL THEN array_to_string(flatten([{repeated}]), ',') END AS components FROM features""",
+        "sql_column_equivalences": tok("""
+SELECT datapoint_id, CAST(scope AS INTEGER) AS scope, col AS "column", coalesce(string_agg(other, ',' ORDER BY other) FILTER (other <> col), '') AS equals
+FROM reach GROUP BY datapoint_id, scope, col""", """
+al AS (SELECT datapoint_id, scope, lt, min(alias_of) AS real FROM tok WHERE role = 'table_alias' GROUP BY ALL)""", f"""
+lone AS (SELECT datapoint_id, scope, coalesce(max(lt) FILTER (role = 'table'), max(lt) FILTER (role = 'query_alias')) AS lone
+         FROM tok GROUP BY ALL HAVING count(*) FILTER (role IN ('table', 'query_alias')) = 1
+                              AND count(*) FILTER (op IN {base.in_list(JOIN_OPS)}) = 0),
+names AS (SELECT t.datapoint_id, t.scope, t.pos,
+                 CASE WHEN contains(t.lt, '.') THEN coalesce(a.real, split_part(t.lt, '.', 1)) || '.' || string_split(t.lt, '.')[-1] ELSE coalesce(s.lone || '.', '') || t.lt END AS name
+          FROM tok t LEFT JOIN al a ON a.datapoint_id = t.datapoint_id AND a.scope = t.scope AND a.lt = split_part(t.lt, '.', 1)
+          LEFT JOIN lone s ON s.datapoint_id = t.datapoint_id AND s.scope = t.scope WHERE t.role = 'column'),
+equal AS (SELECT DISTINCT e.datapoint_id, e.scope, unnest([l.name, r.name]) AS col, unnest([r.name, l.name]) AS other
+          FROM tok e JOIN names l ON l.datapoint_id = e.datapoint_id AND l.scope = e.scope AND l.pos = e.pos - 1
+          JOIN names r ON r.datapoint_id = e.datapoint_id AND r.scope = e.scope AND r.pos = e.pos + 1 WHERE e.op = 'eq'),
+reach AS (SELECT * FROM equal
+          UNION SELECT r.datapoint_id, r.scope, r.col, e.other FROM reach r JOIN equal e ON e.datapoint_id = r.datapoint_id AND e.scope = r.scope AND e.col = r.other)"""),
+        "text_closeness_centralization": text_oracle.rec(text_oracle.t("""
+SELECT text_id, round(avg(spread / nullif(n - 1, 0)), 9) AS closeness_centralization
+FROM (SELECT s.text_id, s.sent_id, s.n, s.n * coalesce(max(c), 0.0) - coalesce(sum(c), 0.0) AS spread
+      FROM (SELECT text_id, sent_id, count(*) AS n FROM ann GROUP BY ALL) s LEFT JOIN (
+        SELECT text_id, sent_id, node, count(*) / CAST(sum(dist) AS DOUBLE) AS c FROM up WHERE node > 0 GROUP BY ALL) k USING (text_id, sent_id)
+      GROUP BY s.text_id, s.sent_id, s.n)
+GROUP BY text_id""", text_oracle.ANN, """
+up AS (SELECT text_id, sent_id, tok_id, head AS node, 1 AS dist FROM ann
+       UNION ALL SELECT u.text_id, u.sent_id, u.tok_id, a.head, u.dist + 1 FROM up u
+       JOIN ann a ON a.text_id = u.text_id AND a.sent_id = u.sent_id AND a.tok_id = u.node)""")),
+        "schema_from_catalog": f"""
+SELECT 'given' AS db_id, 0 AS col_idx, NULL AS table_name, NULL AS n_rows, '*' AS column_name, 'text' AS column_type
+UNION ALL SELECT 'given', CAST(row_number() OVER (ORDER BY table_name, ordinal_position) AS INTEGER), table_name, n_rows, column_name, {types}
+FROM information_schema.columns JOIN ({sizes}) USING (table_name)""",
+    }

@@ -124,7 +124,7 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _classes(pairs: Column) -> Column:
+def connected_classes(pairs: Column) -> Column:
     """Connected classes of equal columns, each an array of names."""
     def join(classes, pair):
         met = lambda c: F.arrays_overlap(c, pair)
@@ -236,7 +236,7 @@ def aligned_scopes(gold: DataFrame, predictions: DataFrame, key: str = "datapoin
 
     rows = rows.select(key, "model", "parse_error", "at.depth", "at.i", scope("g").alias("g"), scope("p").alias("p"))
     pairs = [F.coalesce(f"{x}.pairs", F.array().cast("array<array<string>>")) for x in "gp"]
-    rows = rows.withColumn("classes", _classes(F.concat(*pairs)))
+    rows = rows.withColumn("classes", connected_classes(F.concat(*pairs)))
     return rows.select(key, "model", "parse_error", "depth", "i", *[_finished(x, F.col("classes")).alias(x) for x in "gp"])
 
 
@@ -273,6 +273,29 @@ def component_scores(gold: DataFrame, predictions: DataFrame, key: str = "datapo
     return wide.select(key, "model", "parse_error", F.explode(long).alias("s")).select(key, "model", "parse_error", "s.*")
 
 
+def value_by_depth(gold: DataFrame, predictions: DataFrame, key: str = "datapoint_id",
+                   gold_col: str = "sql_query", pred_col: str = "predicted") -> DataFrame:
+    """M3: (model, family, component, depth, score, pairs): mean over pairs of a component's value at a depth, and with a null depth
+    of its mean over depths; component ``total`` is a whole family. One pass by grouping sets; pairs of which a side is
+    rejected (Q32) are left out."""
+    components = [(f, c) for f, cs in FAMILIES.items() for c in ["total", *cs]]
+    aligned = aligned_scopes(gold, predictions, key, gold_col, pred_col).where("parse_error IS NULL AND depth IS NOT NULL")
+    values = F.array(*[F.struct(F.lit(f).alias("family"), F.lit(c).alias("component"), _jaccard(f, c).alias("value")) for f, c in components])
+    per_depth = aligned.select(key, "model", "depth", F.explode(values).alias("s")).groupBy(key, "model", "s.family", "s.component", "depth") \
+        .agg(F.avg("s.value").alias("value"))
+    names = ["model", "family", "component"]
+    pair = [F.col(key), *[F.col(c) for c in names]]
+    sets = per_depth.groupingSets([[*pair, F.col("depth")], pair], *pair, F.col("depth")).agg(F.avg("value").alias("value"))
+    return sets.groupBy(*names, "depth").agg(F.round(F.avg("value"), PRECISION).alias("score"), F.count(F.lit(1)).alias("pairs"))
+
+
+def with_execution(scores: DataFrame, executed: DataFrame, key: str = "datapoint_id", not_run: int | None = None) -> DataFrame:
+    """The scores of every pair with EX next to them: ``executed`` is ``execution.execution_match`` of the pairs that were run;
+    others get ``not_run`` (null unless given: an execution that didn't happen isn't a match)."""
+    ex = executed.select(key, "model", F.col("EX").cast("int").alias("EX"))
+    return scores.join(ex, [key, "model"], "left").withColumn("EX", F.coalesce("EX", F.lit(not_run).cast("int")))
+
+
 EM_COMPONENTS = [("SM", "total"), ("OM", "total"), ("VM", "tables"), ("EM", "total")]
 
 
@@ -307,7 +330,7 @@ def partial_match(gold: DataFrame, predictions: DataFrame, key: str = "datapoint
 
 def corpus_partial_match(scores: DataFrame, by=("model",)) -> DataFrame:
     """M9 (aggregated): mean of each metric per model (failures count as 0)."""
-    metrics = [c for c in scores.columns if c in ("EM", "PM", "SM", "OM", "VM") or c.endswith("_boolean")]
+    metrics = [c for c in scores.columns if c in ("EM", "EX", "PM", "SM", "OM", "VM") or c.endswith("_boolean")]
     return scores.groupBy(*by).agg(*[F.round(F.avg(c), PRECISION).alias(c) for c in metrics])
 
 
@@ -367,6 +390,53 @@ def component_accuracy(gold: DataFrame, predictions: DataFrame, levels: DataFram
                       F.round("rec", PRECISION).alias("rec"), F.round(f1, PRECISION).alias("f1"), "pairs")
 
 
+#: Component types of partial scores, in report order (fixed values)
+PARTIAL_TYPES = ["select", "select(no AGG)", "where", "where(no OP)", "group(no Having)", "group", "order", "and/or", "IUEN", "keywords"]
+KEYWORD_OPERATORS = ["or", "not", "in", "nin", "like", "not_like"]
+
+
+def clause_units(side: str) -> Column:
+    """Array of struct(type, units) of one side's outermost (sub)query, from its matching elements: select items with and
+    without their aggregate, conditions with and without their operator, GROUP BY columns without and with the HAVING
+    conditions (one unit), the ORDER BY list with directions and LIMIT (one unit), connectives, set operators, keywords."""
+    texts = lambda family: F.coalesce(F.transform(f"{side}.{family}", lambda x: x["element"]), F.array().cast("array<string>"))
+    em, sm, om = texts("EM"), texts("SM"), texts("OM")
+    part = lambda e, i: F.get(F.split(e, r"\|"), F.lit(i))
+    kind = lambda head, clause: F.filter(em, lambda e: (part(e, 0) == head) & (part(e, 1) == clause))
+    each = lambda xs, *places: F.transform(xs, lambda e: F.concat_ws("|", *[part(e, i) for i in places]))
+    select, where = kind("column", "select"), kind("condition", "where")
+    group, having = each(kind("column", "groupby"), 2, 5), each(kind("condition", "having"), 2, 3, 4, 5)
+    orders = F.filter(sm, lambda e: e.startswith("orderby"))
+    order = F.concat(orders, each(kind("column", "orderby"), 2, 3, 4, 5), F.filter(sm, lambda e: e.startswith("limit")))
+    one = lambda there, xs: F.when(F.size(there) > 0, F.array(F.array_join(F.array_sort(xs), ";"))).otherwise(F.array().cast("array<string>"))
+    connectives = F.array_distinct(F.transform(F.filter(om, lambda e: e.rlike("^(and|or)_where_")), lambda e: F.split(e, "_")[0]))
+    setops = F.transform(F.filter(f"{side}.SM", lambda x: x["component"] == "set_operator"), lambda x: x["element"])
+    clauses = F.filter(F.array_distinct(F.transform(sm, lambda e: F.regexp_extract(e, "^[a-z]+", 0))), lambda e: e.isin("where", "groupby", "having", "orderby", "limit"))
+    directions = F.array_distinct(F.flatten(F.transform(orders, lambda e: F.filter(F.split(e, "_"), lambda d: d.isin("asc", "desc")))))
+    words = F.array_distinct(F.transform(F.filter(f"{side}.OM", lambda x: x["component"].isin(KEYWORD_OPERATORS)), lambda x: x["component"]))
+    units = [each(select, 2, 4, 5), each(select, 2, 5), each(where, 2, 3, 4, 5, 6), each(where, 2, 4), group, one(group, F.concat(group, having)), one(orders, order),
+             connectives, F.coalesce(setops, F.array().cast("array<string>")), F.concat(clauses, directions, words)]
+    return F.array(*[F.struct(F.lit(t).alias("type"), F.array_sort(u).alias("units")) for t, u in zip(PARTIAL_TYPES, units, strict=True)])
+
+
+def partial_scores(gold: DataFrame, predictions: DataFrame, levels: DataFrame, key: str = "datapoint_id",
+                   gold_col: str = "sql_query", pred_col: str = "predicted") -> DataFrame:
+    """(model, type, hardness, acc, rec, f1, acc_pairs, rec_pairs) of the ten component types per hardness level and
+    overall (``all``), by one rollup. A pair's units of a type count as matched when both sides have the same ones;
+    accuracy is the share of matched pairs among those whose prediction has units, recall among those whose gold has."""
+    aligned = aligned_scopes(gold, predictions, key, gold_col, pred_col).where("parse_error IS NULL AND depth = 0 AND i = 0")
+    both = F.explode(F.arrays_zip(clause_units("g").alias("g"), clause_units("p").alias("p"))).alias("u")
+    rows = aligned.select(key, "model", both).select(key, "model", F.col("u.g.type").alias("type"), F.col("u.g.units").alias("g"), F.col("u.p.units").alias("p"))
+    same = (F.col("g") == F.col("p")).cast("int")
+    rows = rows.join(levels, key, "left").withColumn("acc", F.when(F.size("p") > 0, same)).withColumn("rec", F.when(F.size("g") > 0, same))
+    out = rows.withColumn("hardness", F.coalesce("hardness", F.lit("NA"))).groupingSets(
+        [[F.col("model"), F.col("type"), F.col("hardness")], [F.col("model"), F.col("type")]], F.col("model"), F.col("type"), F.col("hardness")).agg(
+        F.avg("acc").alias("acc"), F.avg("rec").alias("rec"), F.count("acc").alias("acc_pairs"), F.count("rec").alias("rec_pairs"))
+    f1 = F.when(F.col("acc") + F.col("rec") > 0, 2 * F.col("acc") * F.col("rec") / (F.col("acc") + F.col("rec")))
+    return out.select("model", "type", F.coalesce("hardness", F.lit("all")).alias("hardness"), F.round("acc", PRECISION).alias("acc"),
+                      F.round("rec", PRECISION).alias("rec"), F.round(f1, PRECISION).alias("f1"), "acc_pairs", "rec_pairs")
+
+
 def error_records(scores: DataFrame, predictions: DataFrame, key: str = "datapoint_id") -> DataFrame:
     """One record per failed pair: gold query, prediction, db_path and the error
     (prefixed 'gold:' or 'predicted:')."""

@@ -11,6 +11,8 @@ ordered lists below hold one database's elements (bounded by its schema size).
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,6 +67,43 @@ def schema_from_dataframes(spark: SparkSession, db_id: str, tables: dict[str, Da
     return st, sc
 
 
+def schema_from_catalog(spark: SparkSession, db_id: str, database: str | None = None, prefix: str = ""):
+    """Schema relations of a database of the session's catalog (of the session's temporary views, where no
+    database is given), of the tables whose names begin with ``prefix``; in name order.
+
+    Names, columns and types are metadata. Rows are counted by one union of ``count(*)`` aggregates; a table that can't be
+    resolved has no columns and a null count, and where one can't be read the counts are taken table by table, null for it."""
+    listed = spark.catalog.listTables(database) if database else [t for t in spark.catalog.listTables() if t.isTemporary]
+    trows, crows, frames, ci = [], [(db_id, 0, -1, "*", "text")], {}, 1
+    for ti, name in enumerate(sorted(t.name for t in listed if t.name.startswith(prefix))):
+        short = name[len(prefix):]
+        trows.append((db_id, ti, short))
+        try:
+            df = spark.table(f"{database}.`{name}`" if database else f"`{name}`")
+            fields = df.schema.fields
+        except Exception:  # noqa: BLE001 - a view on something that is gone
+            continue
+        frames[short] = df
+        for f in fields:
+            crows.append((db_id, ci, ti, f.name, f.dataType.simpleString()))
+            ci += 1
+    counts = [df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows") for name, df in frames.items()]
+    rows = []
+    if counts:
+        try:
+            rows = functools.reduce(DataFrame.unionByName, counts).collect()  # a row per table
+        except Exception:  # noqa: BLE001 - a table that can't be read
+            for c in counts:
+                try:
+                    rows += c.collect()
+                except Exception:  # noqa: BLE001
+                    pass
+    known = {r.table_name: r.n_rows for r in rows}
+    st = spark.createDataFrame([(*t, known.get(t[2])) for t in trows], "db_id string, table_idx int, table_name string, n_rows long")
+    sc = spark.createDataFrame(crows, "db_id string, col_idx int, table_idx int, column_name string, column_type string")
+    return st, sc
+
+
 def resolve_fks(tables: DataFrame, columns: DataFrame, fk_names: DataFrame) -> DataFrame:
     """D3: named foreign keys -> (db_id, fk_col_idx, pk_col_idx); unresolvable ones are dropped."""
     cols = columns.join(tables.select("db_id", "table_idx", "table_name"), ["db_id", "table_idx"])

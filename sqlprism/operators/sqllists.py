@@ -118,3 +118,25 @@ def normalized_sql(tokens: DataFrame, key="datapoint_id") -> DataFrame:
     text = (F.when((F.col("lt") == ",") & (F.col("op") == "join"), "join").when(F.col("lt") == "<>", "!=")
             .when(F.col("kind") == "ident", F.regexp_replace("tok", "`", '"')).otherwise(F.col("tok")))
     return t.groupBy(*keys).agg(F.array_join(ordered(text, ~outer & ~F.coalesce(inner, F.lit(False))), " ").alias("sql"))
+
+
+def structural_components(features: DataFrame, with_names: bool = False) -> DataFrame:
+    """Q4: the queries frame's rows with ``components``: every clause, set operator and nesting as often as it occurs, in
+    category order, as abbreviations or names; null for a rejected query."""
+    names = [*vocab.CLAUSES, vocab.SET_OPERATOR, vocab.NESTING]
+    lists = [F.array_repeat(F.lit(name if with_names else abbr), F.col(abbr).cast("int")) for name, abbr in names]
+    keys = [c for c in ("datapoint_id", "current_depth", "subquery_no") if c in features.columns]
+    return features.select(*keys, F.when(F.col("parse_error").isNull(), F.concat(*lists)).alias("components"))
+
+
+def column_equivalences(tokens: DataFrame, key="datapoint_id") -> DataFrame:
+    """Q27: (key, scope, column, equals) per column of a ``column = column`` condition: ``equals`` are the other members of its
+    connected class within the scope (chains included), sorted; names carry their real tables."""
+    keys = _keys(key)
+    named = match.with_complete_names(tokens, keys)
+    order = Window.partitionBy(*keys).orderBy("pos")
+    sides = [F.when((F.lag("scope", d).over(order) == F.col("scope")) & (F.lag("role", d).over(order) == "column"), F.lag("complete_name", d).over(order)) for d in (1, -1)]
+    pairs = named.withColumn("_l", sides[0]).withColumn("_r", sides[1]).where((F.col("op") == "eq") & F.col("_l").isNotNull() & F.col("_r").isNotNull())
+    classes = pairs.groupBy(*keys, "scope").agg(match.connected_classes(F.collect_list(F.array("_l", "_r"))).alias("classes"))
+    members = classes.select(*keys, "scope", F.explode("classes").alias("members")).select(*keys, "scope", "members", F.explode("members").alias("column"))
+    return members.select(*keys, "scope", "column", F.array_sort(F.filter("members", lambda m: m != F.col("column"))).alias("equals"))

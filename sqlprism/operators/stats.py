@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab
 from ..functions.columns import bround2
+from ..session import materialize
 from .sqlfeatures import OP_COLS, TYPE_ABBRS
 
 BY = ("dataset",)
@@ -90,7 +91,8 @@ def summary(df: DataFrame, value: Column | str, by=BY, extended: bool = False,
     The box-plot record is mean, median, q1, q3, iqr, whislo, whishi (furthest values
     within 1.5 IQR), cilo/cihi (notch: median -/+ 1.57 IQR / sqrt(n)), the number of
     fliers and every flier value with its count. Quantiles are exact with linear interpolation; rows are
-    counted per value before anything else, so a dataset's rows never meet in one task, its distinct values do.
+    counted per value before anything else, and ranks are looked up range by range (``exact_quantiles``), so neither a dataset's
+    rows nor its distinct values meet in one task; only its fliers do, which are the report.
     """
     v = value if isinstance(value, Column) else F.col(value)
     keys = _by(by)
@@ -98,19 +100,11 @@ def summary(df: DataFrame, value: Column | str, by=BY, extended: bool = False,
     if not extended:
         return d.groupBy(*keys).agg(bround2(F.avg("v")).alias(f"{name}_mean"), F.min("v").alias(f"{name}_min"),
                                     F.max("v").alias(f"{name}_max"))
-    # everything from the counts of distinct values: quantiles by running sums, fliers with their counts
-    g = d.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c"), F.sum("v").alias("s"))
-    w = Window.partitionBy(*keys)
-    g = g.withColumn("cum", F.sum("c").over(w.orderBy("v"))).withColumn("n", F.sum("c").over(w))
-
-    def quantile(p):
-        at = (F.col("n") - 1) * F.lit(p)
-        low, high = (F.min(F.when(F.col("cum") > i, F.col("v"))) for i in (F.floor(at), F.ceil(at)))
-        return low + (high - low) * (F.max(at) - F.floor(F.max(at)))
-
-    base = g.groupBy(*keys).agg((F.sum("s") / F.sum("c")).alias("mean"), F.max("n").alias("total"),
-                                quantile(0.25).alias("q1"), quantile(0.5).alias("med"), quantile(0.75).alias("q3")) \
-            .withColumn("iqr", F.col("q3") - F.col("q1"))
+    # everything from the counts of distinct values: quantiles by selection over value ranges, fliers with their counts
+    g = d.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c"))
+    g = materialize(g)  # read many times below: what it is computed from must not run as often
+    base = g.groupBy(*keys).agg((F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"), F.sum("c").alias("total"))
+    base = base.join(exact_quantiles(g, {"q1": 0.25, "med": 0.5, "q3": 0.75}, keys), keys).withColumn("iqr", F.col("q3") - F.col("q1"))
     j = g.select(*keys, "v", "c").join(base, keys)
     lo = F.col("q1") - 1.5 * F.col("iqr")
     hi = F.col("q3") + 1.5 * F.col("iqr")
@@ -127,6 +121,50 @@ def summary(df: DataFrame, value: Column | str, by=BY, extended: bool = False,
                       "n_fliers", "fliers")
 
 
+def _ordered_bits(v: Column) -> Column:
+    """A 64-bit integer that grows with a double: its bits, negative numbers mirrored."""
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), v + F.lit(0.0)).cast("long")
+    return F.when(bits < 0, bits.bitwiseXOR(F.lit(0x7FFFFFFFFFFFFFFF))).otherwise(bits)
+
+
+RADIX_BITS = 16
+
+
+def values_at(counts: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, rank, v): the value of every wanted 0-based rank among ``counts`` (keys, v double, c times).
+
+    Radix selection: values are counted by the upper 16 bits of their order, the range that holds a rank is kept, and
+    only its values are counted by the next 16 bits, four times in all. A key has at most 65,536 ranges in a window; counts are
+    pre-aggregated before every exchange, and exact."""
+    bits = counts.select(*keys, "v", "c", _ordered_bits(F.col("v")).alias("_bits"))
+    state = wanted.select(*keys, "rank", F.lit(0).cast("long").alias("_range"), F.lit(0).cast("long").alias("_below"))
+    for shift in range(64 - RADIX_BITS, -1, -RADIX_BITS):
+        part = F.shiftright("_bits", shift)
+        above = F.lit(0).cast("long") if shift == 64 - RADIX_BITS else F.shiftright("_bits", shift + RADIX_BITS)
+        held = bits.withColumn("_range", above).join(state.select(*keys, "_range").distinct(), [*keys, "_range"])
+        sizes = held.groupBy(*keys, "_range", part.alias("_next")).agg(F.sum("c").alias("_n"), F.min("v").alias("v"))
+        upto = F.sum("_n").over(Window.partitionBy(*keys, "_range").orderBy("_next"))
+        sizes = sizes.withColumn("_lo", upto - F.col("_n")).withColumn("_hi", upto)
+        found = state.join(sizes, [*keys, "_range"]).where((F.col("rank") - F.col("_below") >= F.col("_lo")) & (F.col("rank") - F.col("_below") < F.col("_hi")))
+        state = found.select(*keys, "rank", F.col("_next").alias("_range"), (F.col("_below") + F.col("_lo")).alias("_below"), "v")
+        if shift:
+            state = state.drop("v")
+    return state.select(*keys, "rank", "v")
+
+
+def exact_quantiles(counts: DataFrame, probabilities: dict[str, float], keys: list[str]) -> DataFrame:
+    """(keys, one column per name): quantiles with linear interpolation among ``counts`` (keys, v, c times)."""
+    n = counts.groupBy(*keys).agg(F.sum("c").alias("_total"))
+    at = {name: (F.col("_total") - 1) * F.lit(p) for name, p in probabilities.items()}
+    places = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), x.alias("at")) for name, x in at.items()]))
+    places = n.select(*keys, places.alias("q")).select(*keys, "q.*").withColumn("rank", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))))
+    values = values_at(counts, places.select(*keys, "rank").distinct(), keys)
+    low, high = F.min("v"), F.max("v")
+    each = places.join(values, [*keys, "rank"]).groupBy(*keys, "name").agg((low + (high - low) * (F.max("at") - F.floor(F.max("at")))).alias("v"))
+    pick = [F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in probabilities]
+    return each.groupBy(*keys).agg(*pick)
+
+
 def depth_statistics(features: DataFrame, by=BY) -> DataFrame:
     """A5."""
     return summary(roots(features), "sql_query_depth", by, name="depth")

@@ -237,6 +237,29 @@ def dependency_metrics(tokens: DataFrame) -> DataFrame:
                                    for c in out.columns if c != "text_id"])
 
 
+def closeness_centralization(tokens: DataFrame) -> DataFrame:
+    """Per text, mean over its sentences of sum(max c - c) / (n - 1), where c of a node is the number of its descendants over the
+    sum of their distances (0 for a leaf); null for sentences of one word.
+
+    Every node's list of ancestors doubles from round to round (its own list, then that of the farthest ancestor in it),
+    so a tree of depth d takes log2(d + 1) rounds. (ancestor, distance) rows of a sentence are then summed up per
+    ancestor, in the partitioning that the sentences have already."""
+    s = tokens.groupBy("text_id", "sent_id").agg(F.array_sort(F.collect_list(F.struct("tok_id", "head"))).alias("nodes"))
+    n = F.size("nodes")
+    ids = F.transform("nodes", lambda x: x["tok_id"])
+    s = s.withColumn("heads", F.transform("nodes", lambda x: F.array_position(ids, x["head"]).cast("int")))  # 0: a root
+    first = F.transform("heads", lambda h: F.when(h > 0, F.array(h)).otherwise(F.array().cast("array<int>")))
+    rounds = F.sequence(F.lit(1), F.greatest(F.ceil(F.log2(n + 1)).cast("int"), F.lit(1)))
+    above = F.aggregate(rounds, first, lambda acc, _: F.transform(
+        acc, lambda a: F.when(F.size(a) == 0, a).otherwise(F.concat(a, F.get(acc, F.element_at(a, -1) - 1)))))
+    s = s.select("text_id", "sent_id", n.alias("n"), F.flatten(F.transform(above, lambda a: F.transform(
+        a, lambda x, i: F.struct(x.alias("node"), (i + 1).alias("dist"))))).alias("pairs"))
+    c = s.select("text_id", "sent_id", "n", F.explode_outer("pairs").alias("p")).groupBy("text_id", "sent_id", "n", "p.node") \
+        .agg((F.count("p") / F.nullif(F.sum("p.dist").cast("double"), F.lit(0.0))).alias("c"))
+    per_sentence = c.groupBy("text_id", "sent_id", "n").agg((F.coalesce(F.max("c"), F.lit(0.0)) * F.col("n") - F.coalesce(F.sum("c"), F.lit(0.0))).alias("spread"))
+    return per_sentence.groupBy("text_id").agg(F.round(F.avg(F.col("spread") / F.nullif(F.col("n") - 1, F.lit(0))), PRECISION).alias("closeness_centralization"))
+
+
 def longest_shortest_path(tokens: DataFrame) -> DataFrame:
     """Longest of the shortest paths from the root of a sentence's tree, mean over the sentences of each text."""
     return sentence_trees(tokens).groupBy("text_id").agg(F.round(F.avg("depth"), PRECISION).alias("longest_shortest_path"))

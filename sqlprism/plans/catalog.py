@@ -802,3 +802,61 @@ def q_dep_depth_shares(spark, sf):
 def q_dep_num_shares(spark, sf):
     """A23.8 (distribution)."""
     return _dependency_shares(spark, sf, "dependencies_num")
+
+
+# --- execution match, partial scores, values by depth ------------------------------------------------------
+
+from ..operators import execution  # noqa: E402
+from ..sources import fixtures  # noqa: E402
+
+
+def _executed(spark, sf):
+    """Execution match of all predictions over the given tables, as temporary views."""
+    for name in fixtures.SCHEMA_TABLES:
+        fixtures.table(spark, sf, name).createOrReplaceTempView(name)
+    return execution.execution_match(corpus.predictions(spark, sf))
+
+
+@register("execution_match")
+def q_execution(spark, sf):
+    """M14 + M15: EX of every prediction, with the kind of error of those that don't run."""
+    return _executed(spark, sf).select("datapoint_id", "model", "EX", "error_type")
+
+
+@register("value_by_depth")
+def q_value_by_depth(spark, sf):
+    """M3: value of every component by depth and over depths, per model."""
+    return match.value_by_depth(corpus.datapoints(spark, sf), corpus.predictions(spark, sf))
+
+
+@register("partial_scores")
+def q_partial_scores(spark, sf):
+    """The ten component types per hardness level and overall."""
+    return match.partial_scores(corpus.datapoints(spark, sf), corpus.predictions(spark, sf), match.hardness(corpus.features(spark, sf)))
+
+
+@register("sql_structural_components")
+def q_structural_components(spark, sf):
+    """Q4: structural components of every query and subquery, as names."""
+    return _joined(sqllists.structural_components(corpus.features(spark, sf), with_names=True), "components")
+
+
+@register("sql_column_equivalences")
+def q_column_equivalences(spark, sf):
+    """Q27: columns that a query's conditions make equal, per scope."""
+    return _joined(sqllists.column_equivalences(_tokens(spark, sf)), "equals")
+
+
+@register("text_closeness_centralization")
+def q_closeness_centralization(spark, sf):
+    """Closeness centralization of every text's sentences."""
+    return text.closeness_centralization(_ann(spark, sf))
+
+
+@register("schema_from_catalog")
+def q_schema_from_catalog(spark, sf):
+    """Columns and row counts of the given tables, read through the session's catalog of temporary views."""
+    for name in fixtures.SCHEMA_TABLES:
+        fixtures.table(spark, sf, name).createOrReplaceTempView(f"catalog_{name}")
+    tables, columns = schema_profile.schema_from_catalog(spark, "given", prefix="catalog_")
+    return columns.join(tables.select("table_idx", "table_name", "n_rows"), "table_idx", "left").select("db_id", "col_idx", "table_name", "n_rows", "column_name", "column_type")
