@@ -4,8 +4,9 @@ union-find grouping (``op4_superminhash_near_dedup``).
 1. Words are maximal runs outside ``\\x20`` and ``\\x09-\\x0D`` after lower-casing A-Z; a document's
    set holds its distinct 5-word shingles (64-bit hashes). With 1-4 words the whole sequence is the
    one shingle; null or word-free texts have the empty set and are linked with nothing.
-2. Documents with equal sets form one class (128-bit order-free fingerprint of the set); only the
-   smallest ``doc_id`` of a class goes on, so that thousands of copies cost no more than one.
+2. Documents with equal sets form one class (128-bit order-free fingerprint of the set, hashed to a node number); classes, not
+   documents, are banded, compared and linked, so that thousands of copies cost no more than one, and different texts of one
+   ``doc_id`` stay apart.
 3. SuperMinHash: every shingle gets ranks 0..m-1 over the m signature places by a pseudo-random
    permutation of its own, and place p keeps the least (rank, random fraction). Ranks of one
    shingle at two places differ, which is what lowers the variance below that of independent
@@ -13,15 +14,19 @@ union-find grouping (``op4_superminhash_near_dedup``).
    ranks at two places is uniform over all pairs: the estimator's variance is that of uniformly
    random permutations. Ranks are taken one at a time, and a document drops out as soon as all of
    its places hold less than the next rank (early stopping).
-4. Bands of 4 places each: 31 bands of the 127 places find a pair of similarity 0.75 but for a chance of
-   (1 - 0.75^4)^31 < 1e-5. In a bucket every member meets the bucket's smallest member (the pivot), a
+4. Sets of at most ``SMALL`` shingles are linked exactly, as signatures of so few shingles vary more: similar sets have a
+   common subset that each gets by leaving out at most a quarter of its shingles, so all such subsets are keys. Of two
+   members of a key's bucket only the sizes decide, so the bucket's smallest set is similar to whatever is similar
+   to anything there by that key, and links to it are complete.
+   Bands of 4 places each: 31 bands of the 127 places find a pair of larger sets of similarity 0.75 but for a chance of about
+   (1 - 0.75^4)^31 = 1e-5. In a bucket every member meets the bucket's smallest member (the pivot), a
    number of pairs linear in the bucket; those whose signatures agree in 58 percent of the places (4.5
    standard deviations below 0.75) tie the members into clusters. No bucket is capped.
 5. Clusters go to tasks in blocks of about 256 members, every two blocks of a cluster meeting in a task of their own.
    There pairs that agree in 58 percent of the places are confirmed on the full sets, 100 * |A n B| >= 75 *
    |A u B|, best first; pairs that other links of the task have already joined need no test. Members of one
    bucket in different clusters are compared by signature in blocks of 1024, and the pairs found are confirmed too.
-6. Links between representatives are grouped by ``components`` and given back to all copies.
+6. Links between classes are grouped by ``components``; the smallest ``doc_id`` of a group is given back to all its documents.
 
 Repeated rows: rows of one ``doc_id`` are separate members; each gets the component of its own set.
 A null ``doc_id`` takes part in no grouping: its ``component_id`` is null and ``kept`` is true.
@@ -29,6 +34,8 @@ A null ``doc_id`` takes part in no grouping: its ``component_id`` is null and ``
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +51,7 @@ BANDS = PLACES // BAND
 PERCENT = 75
 AGREE = PLACES * 29 // 50
 SIG_ROWS, SET_ROWS = 1024, 256
+SMALL = 12
 
 
 def shingle_sets(column: pa.Array, size: int = SHINGLE):
@@ -81,7 +89,22 @@ def superminhash(elements: np.ndarray, doc: np.ndarray, documents: int, places:
     return sig.reshape(documents, places)
 
 
-_SIG_SCHEMA = "doc_id long, row long, n_shingles long, set_a long, set_b long, sig binary"
+def subset_keys(shingles: np.ndarray) -> list[tuple[int, int, int]]:
+    """(size, 128-bit fingerprint) of every subset of a small set that leaves out at most a quarter of it."""
+    n = len(shingles)
+    if not 0 < n <= SMALL:
+        return []
+    hashes = [[int(h) for h in mix(shingles ^ salt)] for salt in stream(10, 2)]
+    totals = [sum(h) for h in hashes]
+    word = lambda x: ((x + (1 << 63)) & ((1 << 64) - 1)) - (1 << 63)
+    return [(n - k, *(word(t - sum(h[i] for i in gone)) for t, h in zip(totals, hashes, strict=True)))
+            for k in range(n // 4 + 1) for gone in itertools.combinations(range(n), k)]
+
+
+_SIG_SCHEMA = "doc_id long, row long, n_shingles long, set_a long, set_b long, sig binary, keys array<struct<size:long,x:long,y:long>>"
+
+
+_KEYS = pa.list_(pa.struct([("size", pa.int64()), ("x", pa.int64()), ("y", pa.int64())]))
 
 
 def _sign(batch: pa.RecordBatch):
@@ -98,12 +121,12 @@ def _sign(batch: pa.RecordBatch):
             prints.append((total[at + sizes] - total[at]).view(np.int64))
         yield pa.RecordBatch.from_arrays(
             [ids.slice(row, last - row), batch.column("row").slice(row, last - row), pa.array(sizes, pa.int64()), pa.array(prints[0]), pa.array(prints[1]),
-             pa.array([s.tobytes() for s in sig], pa.binary())],
-            names=["doc_id", "row", "n_shingles", "set_a", "set_b", "sig"])
+             pa.array([s.tobytes() for s in sig], pa.binary()), pa.array([[dict(zip("size x y".split(), k, strict=True)) for k in subset_keys(x)] for x in sets], _KEYS)],
+            names=["doc_id", "row", "n_shingles", "set_a", "set_b", "sig", "keys"])
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, n_shingles, set_a, set_b, sig) per row of ``docs``; row is the hash of the text."""
+    """(doc_id, row, n_shingles, set_a, set_b, sig, keys) per row of ``docs``; row is the hash of the text, keys those of small sets."""
     return map_arrow(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), "text"), _sign, _SIG_SCHEMA)
 
 
@@ -174,7 +197,7 @@ def _links(group: pa.Table) -> pa.Table:
 
 
 def _sets(batch: pa.RecordBatch):
-    ids = batch.column("doc_id")
+    ids = batch.column("rep")
     for row, last, sets in shingle_sets(batch.column("text")):
         yield pa.RecordBatch.from_arrays([ids.slice(row, last - row), pa.array([s.tobytes() for s in sets], pa.binary())],
                                          names=["rep", "shingles"])
@@ -202,8 +225,18 @@ def _bundled(tiles: DataFrame, key: str, block_rows: int) -> DataFrame:
                 .withColumn("own", F.when(~small, F.col(key)).otherwise(-1))
 
 
-def links_of(reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b): links between representatives (rep, sig) that join whatever similar ones can be joined."""
+def small_links(classes: DataFrame) -> DataFrame:
+    """(a, b): links between classes (rep, n_shingles, keys) of small sets that join all similar ones."""
+    members = classes.where(F.size("keys") > 0).select("rep", "n_shingles", F.explode("keys").alias("key")).select("rep", "n_shingles", "key.*")
+    least = members.groupBy("size", "x", "y").agg(F.min(F.struct("n_shingles", "rep")).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    both = members.join(least, ["size", "x", "y"]).where("rep <> least.rep")
+    union = F.col("n_shingles") + F.col("least.n_shingles") - F.col("size")
+    return both.where(100 * F.col("size") >= PERCENT * union).select(F.col("least.rep").alias("a"), F.col("rep").alias("b")).distinct()
+
+
+def links_of(classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b): links between classes (rep, doc_id, row, sig) that join whatever similar ones can be joined."""
+    reps = classes.select("rep", "sig")
     bands = reps.select("rep", F.explode(F.expr(
         f"transform(sequence(0, {BANDS - 1}), k -> xxhash64(k, substring(sig, 1 + k * {2 * BAND}, {2 * BAND})))")).alias("band"))
     pivots = bands.groupBy("band").agg(F.min("rep").alias("pivot"), F.max("rep").alias("other"), F.count(F.lit(1)).alias("n")) \
@@ -225,8 +258,9 @@ def links_of(reps: DataFrame, docs: DataFrame) -> DataFrame:
 
     discard(members)
     needed = clusters.select("rep").unionByName(cross.select(F.col("a").alias("rep"))).unionByName(cross.select(F.col("b").alias("rep"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(needed.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
-    sets = cut(map_arrow(texts, _sets, "rep long, shingles binary").where(F.octet_length("shingles") > 0).dropDuplicates(["rep", "shingles"]))
+    named = classes.join(needed, "rep", "left_semi").select("rep", "doc_id", "row")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text").join(named, ["doc_id", "row"]).select("rep", "text")
+    sets = cut(map_arrow(texts, _sets, "rep long, shingles binary").dropDuplicates(["rep"]))  # repeated rows
 
     tiles = _bundled(_tiles(clusters, "cluster", SET_ROWS), "cluster", SET_ROWS).join(sig, "rep").join(sets, "rep")
     within = tiles.groupBy("bundle", "own", "lo", "hi").applyInArrow(_links, "a long, b long")
@@ -239,12 +273,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, row, n_shingles, component_id, kept) per row of ``docs`` (columns doc_id and text are read);
     row is xxhash64 of the text."""
     signed = cut(signatures(docs))
-    classes = cut(signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_a", "set_b", "n_shingles")
-                  .agg(F.min(F.struct("doc_id", "sig")).alias("m"))
-                  .select("set_a", "set_b", "n_shingles", F.col("m.doc_id").alias("rep"), F.col("m.sig").alias("sig")))
-    group = components(links_of(classes.select("rep", "sig"), docs), "a", "b")
-    label = classes.join(group.withColumnRenamed("node", "rep"), "rep", "left") \
-                   .select("set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("linked"))
+    one = F.struct("doc_id", "row", "sig", "keys")
+    classes = cut(signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_a", "set_b", "n_shingles").agg(F.min_by(one, F.struct("doc_id", "row")).alias("m"))
+                  .select("set_a", "set_b", "n_shingles", F.xxhash64("set_a", "set_b", "n_shingles").alias("rep"), "m.*"))
+    links = links_of(classes, docs).unionByName(small_links(classes))
+    group = components(links, "a", "b").withColumnRenamed("node", "rep")
+    least = group.join(classes.select("rep", "doc_id"), "rep").groupBy("component").agg(F.min("doc_id").alias("least"))
+    label = classes.select("set_a", "set_b", "n_shingles", "rep", "doc_id").join(group, "rep", "left").join(least, "component", "left") \
+                   .select("set_a", "set_b", "n_shingles", F.coalesce("least", "doc_id").alias("linked"))
     out = signed.select("doc_id", "row", "n_shingles", "set_a", "set_b").join(label, ["set_a", "set_b", "n_shingles"], "left")
     return out.select("doc_id", "row", "n_shingles",
                       F.when(F.col("doc_id").isNotNull(), F.coalesce("linked", "doc_id")).alias("component_id")) \

@@ -174,6 +174,30 @@ def test_scores(docs, no_docs, texts, order, block_bytes):
     assert lm_scoring.score_documents(no_docs, remainder("doc_id", 10) != 0).count() == 0
 
 
+def test_different_texts_of_one_id_stay_apart(spark):
+    rng = np.random.default_rng(3)
+    x, y = (" ".join(f"{k}{i}" for i in rng.permutation(40)) for k in "xy")
+    rows = [(2, x), (4, y), (4, x + " more")]
+    got = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(2, 36): (2, True), (4, 36): (4, True), (4, 37): (2, False)}
+
+
+def test_small_sets_lose_no_link(spark):
+    rng = np.random.default_rng(9)
+    rows, sets = [], []
+    for i in range(6000):  # texts of 5 to 16 words, each next to one that adds, drops or changes words at its ends
+        words = [f"w{w}" for w in rng.integers(0, 10 ** 9, rng.integers(5, 15))]
+        other = (words + [f"v{i}"], words[1:], [f"u{i}", *words[1:], "t"], words[:-2] + ["s"])[i % 4]
+        for k, some in enumerate((words, other)):
+            rows.append((2 * i + k, " ".join(some)))
+            sets.append({tuple(some[j:j + 5]) for j in range(max(len(some) - 4, 1))})
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in range(6000):
+        a, b = sets[2 * i], sets[2 * i + 1]
+        assert (got[2 * i + 1] == 2 * i) == (100 * len(a & b) >= 75 * len(a | b)), (a, b)
+    assert all(len(near_dedup.subset_keys(np.arange(n, dtype=np.uint64))) == k for n, k in ((0, 0), (3, 1), (4, 5), (8, 37), (12, 299), (13, 0)))
+
+
 def test_contexts_of_two_words_count(spark):
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(["x a c", "y a d"] * 20)], "doc_id long, text string")
     two, three, built_in = (sum(r.score for r in lm_scoring.score_documents(docs, F.lit(True), **o).collect()) for o in ({"order": 2}, {"order": 3}, {}))
