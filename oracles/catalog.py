@@ -201,3 +201,33 @@ ORACLES.update({
     "value_by_depth": match_oracle.value_by_depth_sql(),
     "partial_scores": match_oracle.partial_scores_sql(),
 })
+
+
+def _rows(report: dict[str, tuple[str, str, str]], depth: bool) -> str:
+    """The tables of a report as one relation, from the SQL of each: name -> (query, what it is about, percentage)."""
+    text = ("category",)
+    return " UNION ALL ".join(f"""
+SELECT '{table}' AS "table", dataset, {"CAST(depth AS INTEGER)" if depth else "CAST(NULL AS INTEGER)"} AS depth, {about if about in text else "CAST(NULL AS VARCHAR)"} AS category,
+       {"CAST(NULL AS DOUBLE)" if about in text else f"CAST({about} AS DOUBLE)"} AS x, {pct} AS pct FROM ({ORACLES[name]})""" for table, (name, about, pct) in report.items())
+
+
+ORACLES.update({
+    "sql_report": _rows({
+        "structural_categories": ("structural_category_shares", "category", "pct_queries"), "operator_type_categories": ("operator_type_category_shares", "category", "pct_queries"),
+        "operators": ("operators_per_query", "operators", "pct_queries"), "unique_operators": ("unique_operators_per_query", "unique_operators", "pct_queries"),
+        "tables": ("tables_per_query", "tables", "pct_queries"), "columns": ("columns_per_query", "columns", "pct_queries"), "values": ("values_per_query", '"values"', "pct_queries")}, True),
+    "questions_report": _rows({
+        "length": ("question_length_shares", "length", "pct_questions"),
+        "schema_references": ("question_schema_reference_shares", "referenced_schema_elements_percentage", "pct_questions")}, False),
+    "databases_report": _rows({
+        "tables": ("databases_by_tables", "tables_num", "pct_databases"), "columns": ("databases_by_columns", "columns_num", "pct_databases"),
+        "fk_relations": ("databases_by_fk_relations", "foreign_primary_key_relations_num", "pct_databases"), "rows": ("databases_by_total_rows", "total_rows", "pct_databases"),
+        "explainable": ("databases_by_explainable_pct", "explainable_schema_elements_percentage", "pct_databases")}, False),
+    "evaluation_report": f"""
+SELECT 'total_errors' AS "table", CAST(NULL AS VARCHAR) AS category, metric, model, errors, round(100.0 - success_pct, 9) AS pct_errors FROM ({ORACLES["success_rates"]})
+UNION ALL SELECT 'structural_category_errors', category, metric, model, errors, round(pct_errors, 9) FROM ({ORACLES["structural_category_errors"]})
+UNION ALL SELECT 'operator_type_category_errors', category, metric, model, errors, round(pct_errors, 9) FROM ({ORACLES["operator_type_category_errors"]})""",
+    "schema_from_descriptors": base.with_ctes(base.schema_ctes()) + """
+SELECT db_id, CAST(col_idx AS INTEGER) AS col_idx, table_idx, column_name, column_type FROM schema_columns""",
+    "question_rows": text_oracle.question_rows_sql(),
+})

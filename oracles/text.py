@@ -404,3 +404,16 @@ SELECT x.text_id, x.dataset, x.split, d.gini_dispersion, d.evenness_dispersion F
           WHERE f >= 2)
         GROUP BY text_id, word, f, N)
   GROUP BY text_id) d USING (text_id)""")
+
+
+def question_rows_sql() -> str:
+    """The questions frame: every part over the questions instead of the texts."""
+    pct_sql = oracles()["question_schema_reference_pct"]
+    return rec(base.with_ctes(base.DATAPOINTS, """
+texts AS (SELECT datapoint_id AS text_id, dataset, split, question AS text FROM datapoints)""", READ, ANN, RAR, DEP, base.schema_ctes(), SCHEMA_EL, REFS) + f"""
+SELECT d.datapoint_id, CAST(len(regexp_extract_all(d.question, {W})) AS BIGINT) AS length, r.flesch_reading_ease, r.mcalpine_eflaw,
+       s.referenced_schema_elements, array_to_string(s.referenced, ',') AS "references", p.referenced_schema_elements_percentage,
+       dens.lexical_density, dep.* EXCLUDE (text_id), l.longest_shortest_path, rar.rarity, rar.rare_words
+FROM datapoints d LEFT JOIN rd2 r ON r.text_id = d.datapoint_id LEFT JOIN refs s USING (datapoint_id) LEFT JOIN ({pct_sql}) p USING (datapoint_id)
+LEFT JOIN dens ON dens.text_id = d.datapoint_id LEFT JOIN dep ON dep.text_id = d.datapoint_id LEFT JOIN rar ON rar.text_id = d.datapoint_id
+LEFT JOIN (SELECT text_id, round(avg(depth), 9) AS longest_shortest_path FROM sent_tree GROUP BY text_id) l ON l.text_id = d.datapoint_id""")

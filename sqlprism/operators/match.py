@@ -328,6 +328,23 @@ def partial_match(gold: DataFrame, predictions: DataFrame, key: str = "datapoint
     return out
 
 
+def over_distinct_pairs(score, gold: DataFrame, predictions: DataFrame, key: str = "datapoint_id", gold_col: str = "sql_query",
+                        pred_col: str = "predicted", **options) -> DataFrame:
+    """``score`` (``partial_match`` and the like) of every (key, model) pair, computed once per distinct (gold text, predicted text).
+
+    A gold text takes the place of the key and a predicted text that of the model (16-byte hashes), so a gold text is
+    analysed once however many datapoints and models share it; the scores, a small row per distinct pair, are joined
+    back. Predictions without a datapoint are scored against a missing gold text."""
+    text = lambda c: F.unhex(F.md5(F.coalesce(F.concat(F.lit("t"), F.col(c)), F.lit(""))))
+    pairs = predictions.select(key, "model", F.col(pred_col).alias("_p")).join(gold.select(key, F.col(gold_col).alias("_g")), key, "left") \
+        .select(F.col(key).alias("_key"), F.col("model").alias("_model"), "_g", "_p", text("_g").alias("g"), F.hex(text("_p")).alias("p"))
+    distinct = pairs.groupBy("g", "p").agg(F.first("_g").alias("_g"), F.first("_p").alias("_p"))
+    scores = score(distinct.groupBy("g").agg(F.first("_g").alias(gold_col)).withColumnRenamed("g", key),
+                   distinct.select(F.col("g").alias(key), F.col("p").alias("model"), F.col("_p").alias(pred_col)), key, gold_col, pred_col, **options)
+    back = scores.withColumnsRenamed({key: "g", "model": "p"})
+    return pairs.select("_key", "_model", "g", "p").join(back, ["g", "p"]).drop("g", "p").withColumnsRenamed({"_key": key, "_model": "model"})
+
+
 def corpus_partial_match(scores: DataFrame, by=("model",)) -> DataFrame:
     """M9 (aggregated): mean of each metric per model (failures count as 0)."""
     metrics = [c for c in scores.columns if c in ("EM", "EX", "PM", "SM", "OM", "VM") or c.endswith("_boolean")]

@@ -108,13 +108,21 @@ def feature_rows(datapoints: DataFrame, key: str = "datapoint_id", sql_col: str
                  ) -> DataFrame:
     """Q31: the queries frame, one row per query (current_depth -1) and per (sub)query at depth 0, 1, ...
 
-    A query that fails Q32 keeps only its -1 row with every feature null. The plan is
-    one exchange (the SQL strings, hash-partitioned by the key) followed by windows,
-    aggregates and generates that all keep that partitioning.
+    A query that fails Q32 keeps only its -1 row with every feature null. Equal SQL strings are one text: every text is
+    tokenised and counted once, keyed by a 128-bit hash (one exchange of the texts, pre-aggregated; windows,
+    aggregates and generates keep its partitioning), and its few rows are joined back to all its datapoints. Where the
+    caller brings ``tokens`` these are counted by ``key`` instead.
     """
-    keys = _keys(key)
-    dp = datapoints.select(*keys, sql_col, *carry).repartition(*keys)
-    t = tokens if tokens is not None else sqltokens.token_relation(dp, keys, sql_col, repartition=False)
+    own = _keys(key)
+    dp = datapoints.select(*own, sql_col, *carry)
+    if tokens is None:
+        keys = ["_text_a", "_text_b"]
+        dp = dp.withColumns(dict(zip(keys, (F.xxhash64(sql_col), F.xxhash64(F.lit("b"), sql_col)))))
+        texts = dp.groupBy(*keys).agg(F.first(sql_col).alias(sql_col))
+        t = sqltokens.token_relation(texts, keys, sql_col, repartition=False)
+    else:
+        keys, t = own, tokens
+        dp = dp.repartition(*keys)
     deep = deep_stats(scope_stats(t, keys), keys)
     deep = deep.withColumn("subquery_no", F.row_number().over(
         Window.partitionBy(*[F.col(k) for k in keys], "depth").orderBy("scope")) - 1)
@@ -140,7 +148,7 @@ def feature_rows(datapoints: DataFrame, key: str = "datapoint_id", sql_col: str
         *[F.col(c).cast("long").alias(c) for c in TYPE_ABBRS],
     )
     feat_cols = [c for c in rows.columns if c not in keys + ["current_depth", "subquery_no", "parse_error"]]
-    out = dp.join(rows, keys, "left")
+    keys, out = own, dp.join(rows, keys, "left")
     no_rows = F.col("current_depth").isNull()  # a query without a single token
     out = out.select(
         *keys, F.coalesce("current_depth", F.lit(-1)).alias("current_depth"),

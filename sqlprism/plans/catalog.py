@@ -217,7 +217,7 @@ def q_operator_variety(spark, sf):
 # --- match metrics ----------------------------------------------------------------------------------
 
 def _pm(spark, sf):
-    return match.partial_match(corpus.datapoints(spark, sf), corpus.predictions(spark, sf), boolean=True)
+    return match.over_distinct_pairs(match.partial_match, corpus.datapoints(spark, sf), corpus.predictions(spark, sf), boolean=True)
 
 
 @register("partial_match")
@@ -860,3 +860,66 @@ def q_schema_from_catalog(spark, sf):
         fixtures.table(spark, sf, name).createOrReplaceTempView(f"catalog_{name}")
     tables, columns = schema_profile.schema_from_catalog(spark, "given", prefix="catalog_")
     return columns.join(tables.select("table_idx", "table_name", "n_rows"), "table_idx", "left").select("db_id", "col_idx", "table_name", "n_rows", "column_name", "column_type")
+
+
+# --- reports and the questions frame as relations --------------------------------------------------------
+
+from .profile import DatasetProfile  # noqa: E402
+
+
+@register("sql_report")
+def q_sql_report(spark, sf):
+    """R2: the seven SQL tables of the report."""
+    return reports.report_rows(reports.sql_report(materialize(corpus.features(spark, sf))))
+
+
+@register("questions_report")
+def q_questions_report(spark, sf):
+    """Question lengths and schema references."""
+    lengths = text.length(corpus.datapoints(spark, sf).select(F.col("datapoint_id").alias("text_id"), "dataset", "split", F.col("question").alias("text")))
+    meta = corpus.datapoints(spark, sf).select("datapoint_id", "dataset")
+    return reports.report_rows(reports.questions_report(lengths.select(F.col("text_id").alias("datapoint_id"), "length"), q_schema_ref_pct(spark, sf), meta))
+
+
+@register("databases_report")
+def q_databases_report(spark, sf):
+    """Databases by tables, columns, foreign keys, rows and explainable names."""
+    return reports.report_rows(reports.databases_report(materialize(_dataset_dbs(spark, sf))))
+
+
+@register("evaluation_report")
+def q_evaluation_report(spark, sf):
+    """Total errors and errors by category, absolute and normalised, of all metrics but EX."""
+    long = materialize(evaluation.evaluation_long(_pm(spark, sf), corpus.predictions(spark, sf)))
+    feats = materialize(corpus.features(spark, sf))
+    labels = [evaluation.category_labels(feats, c, k) for c, k in (("structural_category_name", 5), ("operatorTypes_category_name", 3))]
+    parts = reports.evaluation_report(long, *labels)
+    out = None
+    for name, df in parts.items():
+        rate = F.col("pct_errors") if "pct_errors" in df.columns else 100.0 - F.col("success_pct")
+        rows = df.select(F.lit(name).alias("table"), (F.col("category") if "category" in df.columns else F.lit(None)).cast("string").alias("category"), "metric", "model", "errors",
+                         F.round(rate, 9).alias("pct_errors"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@register("schema_from_descriptors")
+def q_schema_from_descriptors(spark, sf):
+    """Columns of the stand-in databases read back from JSON descriptors, one document per database."""
+    st, sc, _ = fixtures.schema_relations(spark, sf)
+    names = st.groupBy("db_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("table_idx", "table_name"))), lambda x: x["table_name"]).alias("table_names"))
+    cols = sc.groupBy("db_id").agg(F.array_sort(F.collect_list(F.struct("col_idx", "table_idx", "column_name", "column_type"))).alias("c"))
+    document = names.join(cols, "db_id").select(F.to_json(F.struct(
+        "db_id", "table_names", F.transform("c", lambda x: F.array(x["table_idx"].cast("string"), x["column_name"])).alias("column_names"),
+        F.transform("c", lambda x: x["column_type"]).alias("column_types"), F.array().cast("array<array<int>>").alias("foreign_keys"))).alias("doc"))
+    shape = "db_id string, table_names array<string>, column_names array<array<string>>, column_types array<string>, foreign_keys array<array<int>>"
+    _, columns, _ = schema_profile.schema_from_json(document.select(F.from_json("doc", shape).alias("d")).select("d.*"))
+    return columns.select("db_id", "col_idx", "table_idx", "column_name", "column_type")
+
+
+@register("question_rows")
+def q_question_rows(spark, sf):
+    """T18 + A26: the questions frame: lengths, readability, schema references, and what the annotated tokens give."""
+    profile = DatasetProfile(spark, corpus.datapoints(spark, sf), fixtures.schema_relations(spark, sf), annotated_tokens=_question_tokens(spark, sf),
+                             reference_words=_ref(spark, sf), ignore=("sql_queries", "databases"))
+    return _joined(profile.frames()["questions"], "references").drop("question")

@@ -106,3 +106,53 @@ def test_one_exchange(spark, sf_dir):
 
     plan = QUERIES["partial_match"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(datapoint_id") <= 2
+
+
+def _sides(spark, gold, predictions):
+    g = spark.createDataFrame([(i, q) for i, q in enumerate(gold)], "datapoint_id long, sql_query string")
+    p = spark.createDataFrame([(i, m, q) for i, qs in enumerate(predictions) for m, q in enumerate(qs)], "datapoint_id long, m int, predicted string")
+    return g, p.selectExpr("datapoint_id", "concat('m', m) AS model", "predicted")
+
+
+GOLD_SQL = ["select a, count(b) from t where x > 1 and y = 2 group by a having count(*) > 3 order by a desc limit 4", "select a from t", "select a from t", "select broken( from"]
+PRED_SQL = [["select a, count(b) from t where x >= 1 and y = 2 group by a order by a limit 4"], ["select a from t", "select b from t where a in (1, 2)"],
+            ["select a from t", "select a from t union select b from t"], ["select a from t"]]
+
+
+def test_partial_scores_by_hand(spark):
+    g, p = _sides(spark, GOLD_SQL, PRED_SQL)
+    levels = spark.createDataFrame([(0, "hard"), (1, "easy"), (2, "easy")], "datapoint_id long, hardness string")
+    got = {(r.model, r.type, r.hardness): r for r in match.partial_scores(g, p, levels).collect()}
+    assert len(got) == 2 * 10 + 10 * 2 + 10 * 1  # all of m0 and m1, m0 hard and easy, m1 easy
+    for kind, acc, rec in (("select", 1, 1), ("select(no AGG)", 1, 1), ("where", 0, 0), ("where(no OP)", 1, 1), ("group(no Having)", 1, 1), ("group", 0, 0),
+                           ("order", 0, 0), ("and/or", 1, 1), ("IUEN", None, None), ("keywords", 0, 0)):
+        r = got["m0", kind, "hard"]
+        assert (r.acc, r.rec) == (acc, rec), kind
+    assert got["m1", "select", "easy"].acc == 0 and got["m1", "IUEN", "all"].acc == 0 and got["m1", "IUEN", "all"].rec is None
+    assert got["m0", "select", "all"].acc_pairs == 3 and got["m0", "select", "all"].f1 == 1
+
+
+def test_value_by_depth(spark):
+    g, p = _sides(spark, ["select a from t where b in (select c from u)", "select a from t"], [["select a from t where b in (select d from u)"], ["select a from t"]])
+    got = {(r.family, r.component, r.depth): (r.score, r.pairs) for r in match.value_by_depth(g, p).collect()}
+    assert got["VM", "columns", 0] == (1.0, 2) and got["VM", "columns", 1] == (0.0, 1)
+    assert got["VM", "columns", None] == (0.75, 2) and got["SM", "total", 1] == (1.0, 1)
+
+
+def test_distinct_pairs_score_like_all_pairs(spark):
+    g, p = _sides(spark, GOLD_SQL * 3 + [None], PRED_SQL * 3 + [["select a from t", None]])
+    want = sorted(map(str, match.partial_match(g, p, boolean=True).collect()))
+    assert sorted(map(str, match.over_distinct_pairs(match.partial_match, g, p, boolean=True).select(*match.partial_match(g, p, boolean=True).columns).collect())) == want
+
+
+def test_execution_next_to_scores(spark):
+    from sqlprism.operators import evaluation
+    g, p = _sides(spark, GOLD_SQL, PRED_SQL)
+    scores = match.partial_match(g, p)
+    executed = spark.createDataFrame([(1, "m0", 1), (1, "m1", 0)], "datapoint_id long, model string, EX int")
+    got = {(r.datapoint_id, r.model): r.EX for r in match.with_execution(scores, executed).collect()}
+    assert got[1, "m0"] == 1 and got[1, "m1"] == 0 and got[2, "m0"] is None
+    assert {r.EX for r in match.with_execution(scores, executed, not_run=1).collect()} == {0, 1}
+    long = evaluation.evaluation_long(match.with_execution(scores, executed), p)
+    wrong = {(r.metric, r.model): r.errors for r in evaluation.total_errors(long).collect()}
+    assert wrong["EX", "m0"] == 3 and wrong["EX", "m1"] == 2  # one that was not run is no success

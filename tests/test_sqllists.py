@@ -60,3 +60,14 @@ def test_normalized(spark):
 def test_every_operator_occurs_in_the_corpus(spark, sf_dir):
     row = corpus.features(spark, sf_dir).agg(*[F.sum(c).alias(c) for c in sqlfeatures.OP_COLS]).first()
     assert all(row[c] for c in sqlfeatures.OP_COLS), row
+
+
+def test_components_and_equivalences(spark):
+    from conftest import frame
+
+    from sqlprism.operators import sqlfeatures, sqllists, sqltokens
+    df = frame(spark, [(1, "select a from t where b in (select c from u) union select d from v"), (2, "select x.a from x, y, z where x.a = y.b and y.b = z.c and z.d = 1"), (3, "select (")])
+    rows = {(r.datapoint_id, r.current_depth): r.components for r in sqllists.structural_components(sqlfeatures.feature_rows(df)).collect()}
+    assert rows[1, -1] == ["S"] * 3 + ["F"] * 3 + ["W", "SO", "N"] and rows[1, 1] == ["S", "F"] and rows[3, -1] is None
+    equal = {(r.datapoint_id, r.column): r.equals for r in sqllists.column_equivalences(sqltokens.token_relation(df)).collect()}
+    assert equal == {(2, "x.a"): ["y.b", "z.c"], (2, "y.b"): ["x.a", "z.c"], (2, "z.c"): ["x.a", "y.b"]}

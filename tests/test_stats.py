@@ -53,3 +53,32 @@ def test_boxplot_matches_numpy(feats):
     q1, med, q3 = np.percentile(vals, [25, 50, 75])
     assert (b.q1, b.med, b.q3) == (q1, med, q3)
     assert abs(b.mean - np.mean(vals)) < 1e-9
+
+
+def test_exact_quantiles_by_radix_selection(spark):
+    import random
+
+    import numpy as np
+    rng = random.Random(2)
+    groups = {"a": [rng.gauss(0, 1e9) for _ in range(500)], "b": [rng.choice([-0.0, 0.0, 1.5, -3.25, 1e-300, -1e300]) for _ in range(300)], "c": [7.0], "d": [1.0, 2.0],
+              "e": [float(2 ** (i % 60)) * (-1) ** i for i in range(200)]}
+    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "dataset string, v double").repartition(5)
+    counts = df.groupBy("dataset", "v").agg(F.count(F.lit(1)).alias("c"))
+    got = {r.dataset: r for r in stats.exact_quantiles(counts, {"q1": 0.25, "med": 0.5, "hi": 0.97, "max": 1.0}, ["dataset"]).collect()}
+    for k, vs in groups.items():
+        want = np.quantile(np.array(vs), [0.25, 0.5, 0.97, 1.0])
+        assert np.allclose([got[k].q1, got[k].med, got[k].hi, got[k].max], want, rtol=1e-12), k
+    ranks = spark.createDataFrame([("b", i) for i in range(300)], "dataset string, rank long")
+    assert [r.v for r in stats.values_at(counts, ranks, ["dataset"]).orderBy("rank").collect()] == sorted(groups["b"])
+    box = {r.dataset: r for r in stats.summary(df, "v", extended=True).collect()}
+    assert box["e"].med == np.median(groups["e"]) and stats.summary(df.where("1 = 0"), "v", extended=True).count() == 0
+
+
+def test_chart_bins_are_pooled_quantiles(spark):
+    from sqlprism.operators import reports
+    rows = [(d, float(i % 40) + 0.001, 1.0) for i in range(400) for d in "xy"] + [("x", None, 5.0)]
+    df = spark.createDataFrame(rows, "dataset string, v double, share double")
+    got = reports.bin_chart_data(df, "v", "share").collect()
+    assert sum(r.share for r in got) == 805 and len({(r.x_lo, r.x_hi) for r in got}) == 11  # ten bins, and the missing value
+    few = reports.bin_chart_data(df.where("v < 10"), "v", "share").collect()
+    assert all(r.x_lo == r.x_hi for r in few) and len(few) == 20

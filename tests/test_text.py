@@ -130,3 +130,13 @@ def test_rarity_by_form_and_tag_without_names(spark):
 def test_longest_path_is_the_mean_of_sentence_depths(spark):
     toks = spark.createDataFrame([(1, 0, k, "w", "w", "NOUN", k - 1) for k in range(1, 5)] + [(1, 1, 1, "w", "w", "NOUN", 0)], TOKENS)
     assert text.longest_shortest_path(toks).first().longest_shortest_path == 1.5
+
+
+def test_closeness_centralization_by_hand(spark):
+    # 1 <- 2, 1 <- 3, 3 <- 5 (ids have a gap), and a chain 9 <- 8 <- 7; a sentence of one word counts nothing
+    rows = [("t", 0, 1, 0), ("t", 0, 2, 1), ("t", 0, 3, 1), ("t", 0, 5, 3), ("t", 1, 9, 0), ("t", 1, 8, 9), ("t", 1, 7, 8), ("u", 0, 1, 0)]
+    got = {r.text_id: r.closeness_centralization for r in text.closeness_centralization(
+        spark.createDataFrame(rows, "text_id string, sent_id int, tok_id int, head int")).collect()}
+    one = (4 * 1.0 - (3 / 4 + 1.0)) / 3  # c: root 3 / (1 + 1 + 2), node 3 1 / 1, leaves 0
+    two = (3 * 1.0 - (2 / 3 + 1.0)) / 2
+    assert abs(got["t"] - (one + two) / 2) < 1e-9 and got["u"] is None
