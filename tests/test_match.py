@@ -102,9 +102,10 @@ def test_component_accuracy_leaves_rejected_pairs_out(spark):
 
 
 def test_one_exchange(spark, sf_dir):
-    from sqlprism.plans.catalog import QUERIES
+    from sqlprism.plans import corpus
 
-    plan = QUERIES["partial_match"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    dp, pred = corpus.datapoints(spark, sf_dir), corpus.predictions(spark, sf_dir)
+    plan = match.partial_match(dp, pred)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(datapoint_id") <= 2
 
 
