@@ -231,3 +231,9 @@ UNION ALL SELECT 'operator_type_category_errors', category, metric, model, error
 SELECT db_id, CAST(col_idx AS INTEGER) AS col_idx, table_idx, column_name, column_type FROM schema_columns""",
     "question_rows": text_oracle.question_rows_sql(),
 })
+
+ORACLES["datasets_from_registry"] = dps(r"""
+SELECT dataset, split, count(*) AS datapoints, count(*) AS ids, CAST(CASE WHEN dataset = 'P' THEN count(*) ELSE 0 END AS BIGINT) AS alternatives,
+       count(DISTINCT CASE WHEN dataset = 'P' THEN trim(regexp_replace(sql_query, '[\s|]+', ' ', 'g')) WHEN dataset = 'O' THEN regexp_replace(sql_query, '\."(.*?)"', '.\1', 'g') ELSE sql_query END) AS texts,
+       count(DISTINCT CASE WHEN dataset = 'F' THEN db_id ELSE '-' END) AS databases, count(CASE WHEN dataset = 'P' THEN '' ELSE question END) AS questions
+FROM (SELECT * REPLACE (CASE WHEN dataset = 'O' THEN 'all' ELSE split END AS split) FROM datapoints) GROUP BY dataset, split""")

@@ -345,6 +345,16 @@ def over_distinct_pairs(score, gold: DataFrame, predictions: DataFrame, key: str
     return pairs.select("_key", "_model", "g", "p").join(back, ["g", "p"]).drop("g", "p").withColumnsRenamed({"_key": key, "_model": "model"})
 
 
+def best_of_alternatives(golds: DataFrame, predictions: DataFrame, key: str = "datapoint_id", gold_col: str = "sql_query",
+                         pred_col: str = "predicted") -> DataFrame:
+    """S3 with M8: the scores of every (key, model) pair against the best of the gold texts of its key (a row each in ``golds``):
+    by EM, then PM, then the family scores; ``golds`` tells how many there were. Every distinct pair of texts is scored once."""
+    scores = over_distinct_pairs(partial_match, golds, predictions, key, gold_col, pred_col)
+    metrics = ["EM", "PM", "SM", "OM", "VM"]
+    best = F.max_by(F.struct("parse_error", *metrics), F.struct(*metrics, F.col("parse_error").isNull()))
+    return scores.groupBy(key, "model").agg(best.alias("best"), F.count(F.lit(1)).alias("golds")).select(key, "model", "golds", "best.*")
+
+
 def corpus_partial_match(scores: DataFrame, by=("model",)) -> DataFrame:
     """M9 (aggregated): mean of each metric per model (failures count as 0)."""
     metrics = [c for c in scores.columns if c in ("EM", "EX", "PM", "SM", "OM", "VM") or c.endswith("_boolean")]

@@ -7,10 +7,13 @@ unless the cap is the feature (top-k tables).
 
 from __future__ import annotations
 
+import itertools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import evaluation, match, sqltokens, stats
 from . import corpus
@@ -615,7 +618,7 @@ def q_rejected_counts(spark, sf):
 # --- reports ------------------------------------------------------------------------------------------
 
 from ..operators import reports  # noqa: E402
-from ..session import materialize  # noqa: E402
+from ..session import ensure_checkpoint_dir, materialize  # noqa: E402
 
 
 @register("general_info_report")
@@ -923,3 +926,31 @@ def q_question_rows(spark, sf):
     profile = DatasetProfile(spark, corpus.datapoints(spark, sf), fixtures.schema_relations(spark, sf), annotated_tokens=_question_tokens(spark, sf),
                              reference_words=_ref(spark, sf), ignore=("sql_queries", "databases"))
     return _joined(profile.frames()["questions"], "references").drop("question")
+
+
+@register("datasets_from_registry")
+def q_datasets_from_registry(spark, sf):
+    """S1-S3 + S6: the stand-in corpus written as files of three forms, one per dataset, and read back through a registry; datapoints,
+    gold texts and databases per dataset and split. The text form holds each text twice, the second time as an alternative."""
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/datasets-{uuid.uuid4().hex}"
+    line = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\s|]+", " "))
+    dp = corpus.datapoints(spark, sf)
+    for (dataset, form), split in itertools.product({"F": "json_array", "O": "json_lines", "P": "text"}.items(), ("train", "dev", "test")):
+        rows = dp.where((F.col("dataset") == dataset) & (F.col("split") == split))
+        if form == "json_array":  # arrays of a few hundred datapoints, a document per line and file
+            item = F.struct(F.col("sql_query").alias("SQL"), "question", "db_id")
+            out = rows.groupBy(F.expr("datapoint_id div 2000").alias("part")).agg(F.to_json(F.collect_list(item)).alias("value")).select("value").repartition(F.col("value"))
+            out.write.option("maxRecordsPerFile", 1).text(f"{base}/{dataset}/{split}")
+        elif form == "json_lines":
+            rows.select(F.to_json(F.struct(F.col("sql_query").alias("sql"), F.col("question").alias("question_refine"))).alias("value")).write.text(f"{base}/{dataset}/{split}")
+        else:
+            sql = line(F.col("sql_query"))
+            rows.select(F.concat_ws(" ||| ", F.lit("easy"), line(F.col("question")), F.concat_ws(" | ", sql, sql)).alias("value")).write.text(f"{base}/{dataset}/{split}")
+    paths = {d: {s: f"{base}/{d}/{s}" for s in ("train", "dev", "test")} for d in "FOP"}
+    back = readers.read_datasets(spark, [
+        {"name": "F", "form": "json_array", "splits": paths["F"], "sql": "SQL", "schema": T.StructType.fromDDL("SQL string, question string, db_id string")},
+        {"name": "O", "form": "json_lines", "splits": paths["O"], "db_id": "db_0", "schema": T.StructType.fromDDL("sql string, question_refine string"), "union": "all"},
+        {"name": "P", "form": "text", "splits": paths["P"], "db_id": "db_1"}])
+    return back.groupBy("dataset", "split").agg(
+        F.count(F.lit(1)).alias("datapoints"), F.countDistinct("datapoint_id").alias("ids"), F.sum(F.coalesce(F.size("sql_alternatives"), F.lit(0)).cast("long")).alias("alternatives"),
+        F.countDistinct("sql_query").alias("texts"), F.countDistinct("db_id").alias("databases"), F.count("question").alias("questions"))

@@ -157,3 +157,14 @@ def test_execution_next_to_scores(spark):
     long = evaluation.evaluation_long(match.with_execution(scores, executed), p)
     wrong = {(r.metric, r.model): r.errors for r in evaluation.total_errors(long).collect()}
     assert wrong["EX", "m0"] == 3 and wrong["EX", "m1"] == 2  # one that was not run is no success
+
+
+def test_best_of_alternatives(spark):
+    from sqlprism.sources import readers
+    dp = spark.createDataFrame([(0, "select a from t", ["select b from t", "select a from t"]), (1, "select a from t where", None), (2, "select a from u", ["select c from"])],
+                               "datapoint_id long, sql_query string, sql_alternatives array<string>")
+    golds = readers.gold_alternatives(dp)
+    assert golds.count() == 5
+    p = spark.createDataFrame([(0, "m0", "select b from t"), (0, "m1", "select c from t"), (1, "m0", "select a from t"), (2, "m0", "select (")], "datapoint_id long, model string, predicted string")
+    got = {(r.datapoint_id, r.model): r for r in match.best_of_alternatives(golds, p).collect()}
+    assert got[0, "m0"].EM == 1 and got[0, "m0"].golds == 2 and got[0, "m1"].EM == 0 and 0 < got[0, "m1"].PM < 1 and got[2, "m0"].PM == 0
