@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import sqltokens
+
 
 WORD = r"\p{L}+"
 SENTENCE_END = r"[.!?\n]+"
@@ -338,6 +340,35 @@ def schema_reference_percentage(refs: DataFrame, sql_elements: DataFrame, parse_
     return base.select(key, F.round(pct, PRECISION).alias("referenced_schema_elements_percentage"))
 
 
+def over_distinct_questions(datapoints: DataFrame, score, key: str = "datapoint_id") -> DataFrame:
+    """``score`` (questions (key, db_id, question) -> rows by key) of every datapoint, computed once per distinct question of a
+    database; the datapoint of least key stands for all that ask it."""
+    hashes = {"_q": F.xxhash64("db_id", "question"), "_r": F.xxhash64(F.lit("r"), "db_id", "question")}
+    asked = datapoints.select(key, "db_id", "question").withColumns(hashes)
+    one = asked.groupBy("_q", "_r").agg(F.min_by(F.struct(key, "db_id", "question"), key).alias("one"))
+    scored = score(one.select("one.*")).withColumnRenamed(key, "_key")
+    return asked.select(key, "_q", "_r").join(one.select("_q", "_r", F.col(f"one.{key}").alias("_key")).join(scored, "_key"), ["_q", "_r"]).drop("_q", "_r", "_key")
+
+
+def sql_elements_per_query(datapoints: DataFrame, key: str = "datapoint_id", sql_col: str = "sql_query") -> DataFrame:
+    """(key, elements, parse_error): distinct tables and column names (without qualifier) of every query, and why it is rejected (Q32);
+    one aggregate over the tokens of every distinct text."""
+    hashes = {"_a": F.xxhash64(sql_col), "_b": F.xxhash64(F.lit("b"), sql_col)}
+    dp = datapoints.select(key, sql_col).withColumns(hashes)
+    t = sqltokens.token_relation(dp.groupBy("_a", "_b").agg(F.first(sql_col).alias(sql_col)), ["_a", "_b"], sql_col, repartition=False)
+    name = F.when(F.col("role").isin("table", "column"), F.substring_index("lt", ".", -1))
+    per = t.groupBy("_a", "_b").agg(F.collect_set(name).alias("elements"), *sqltokens.signal_aggs())
+    out = dp.select(key, "_a", "_b").join(per, ["_a", "_b"], "left")
+    return out.select(key, F.coalesce("elements", F.array().cast("array<string>")).alias("elements"), sqltokens.parse_error_expr().alias("parse_error"))
+
+
+def reference_percentage(refs: DataFrame, used: DataFrame, key: str = "datapoint_id") -> DataFrame:
+    """T3 from ``schema_references`` and ``sql_elements_per_query``: as ``schema_reference_percentage``, within the row."""
+    ok = F.col("references").isNotNull() & F.col("parse_error").isNull() & (F.size("elements") > 0)
+    pct = F.when(ok, 100.0 * F.size(F.array_intersect("elements", "references")) / F.size("elements"))
+    return refs.join(used, key, "left").select(key, F.round(pct, PRECISION).alias("referenced_schema_elements_percentage"))
+
+
 def dispersion(texts: DataFrame) -> DataFrame:
     """Gini-based and evenness-based dispersion per text, hapaxes excluded.
 

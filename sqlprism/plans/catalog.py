@@ -383,17 +383,22 @@ def _question_tokens(spark, sf):
 @register("question_schema_references")
 def q_schema_refs(spark, sf):
     """Schema elements of the datapoint's database mentioned in its question."""
-    refs = text.schema_references(corpus.datapoints(spark, sf), _elements(spark, sf), tokens=_question_tokens(spark, sf))
-    return refs.select("datapoint_id", "referenced_schema_elements", F.array_join("references", ",").alias("referenced"))
+    return _references(spark, sf).select("datapoint_id", "referenced_schema_elements", F.array_join("references", ",").alias("referenced"))
+
+
+def _references(spark, sf):
+    """T2 of every datapoint, once per distinct question of a database."""
+    def score(questions):
+        tokens = fixtures.annotated_tokens(spark, sf, questions.select(F.col("datapoint_id").alias("text_id"), F.col("question").alias("text")))
+        return text.schema_references(questions, _elements(spark, sf), tokens=tokens)
+
+    return text.over_distinct_questions(corpus.datapoints(spark, sf), score)
 
 
 @register("question_schema_reference_pct")
 def q_schema_ref_pct(spark, sf):
     """T3."""
-    dp = corpus.datapoints(spark, sf)
-    refs = text.schema_references(dp, _elements(spark, sf), tokens=_question_tokens(spark, sf))
-    t = sqltokens.token_relation(dp)
-    return text.schema_reference_percentage(refs, text.sql_schema_elements(t), sqltokens.parse_errors(dp, t))
+    return text.reference_percentage(_references(spark, sf), text.sql_elements_per_query(corpus.datapoints(spark, sf)))
 
 
 def _question_lengths(spark, sf):
