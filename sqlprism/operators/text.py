@@ -179,6 +179,15 @@ def word_frequency_mean(tokens: DataFrame, reference_words: DataFrame) -> DataFr
         F.round(total / F.nullif(F.sum("n"), F.lit(0)), PRECISION).alias("words_freq"))
 
 
+def _head_places() -> Column:
+    """Heads of ``nodes`` as places in the sorted sentence (0: root, or a head that the sentence lacks). Where ids run from 1 without
+    gaps a head is its place; else it is looked up among the ids."""
+    running = F.forall(F.transform("nodes", lambda x, i: x["tok_id"] == i + 1), lambda b: b)
+    direct = F.transform("nodes", lambda x: F.when((x["head"] >= 1) & (x["head"] <= F.size("nodes")), x["head"].cast("int")).otherwise(0))
+    ids = F.col("nodes.tok_id")
+    return F.when(running, direct).otherwise(F.transform("nodes", lambda x: F.coalesce(F.array_position(ids, x["head"]).cast("int"), F.lit(0))))
+
+
 def sentence_trees(tokens: DataFrame) -> DataFrame:
     """(text_id, sent_id, n, depth, edges, leaves, add_sum, dist_sum, max_outdeg, outdeg_sum)
     per sentence.
@@ -191,10 +200,7 @@ def sentence_trees(tokens: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("tok_id", "head"))).alias("nodes"),
         F.sum(F.when(F.col("head") != 0, F.abs(F.col("tok_id") - F.col("head"))).otherwise(0)).alias("add_sum"),
         F.sum(F.when(F.col("head") != 0, 1).otherwise(0)).alias("edges"))
-    # heads as places in the sorted sentence (0: root, or a head that the sentence lacks); ids may have gaps
-    per_sent = per_sent.withColumn("places", F.map_from_arrays(
-        F.transform("nodes", lambda x: x["tok_id"]), F.sequence(F.lit(1), F.size("nodes"))))
-    per_sent = per_sent.withColumn("heads", F.transform("nodes", lambda x: F.coalesce(F.col("places")[x["head"]], F.lit(0))))
+    per_sent = per_sent.withColumn("heads", _head_places())
     n = F.size("nodes")
     # index 0 is a virtual parent of the root; node i (1..n) sits at index i
     anc0 = F.concat(F.array(F.lit(0)), F.col("heads"))
@@ -248,8 +254,7 @@ def closeness_centralization(tokens: DataFrame) -> DataFrame:
     ancestor, in the partitioning that the sentences have already."""
     s = tokens.groupBy("text_id", "sent_id").agg(F.array_sort(F.collect_list(F.struct("tok_id", "head"))).alias("nodes"))
     n = F.size("nodes")
-    ids = F.transform("nodes", lambda x: x["tok_id"])
-    s = s.withColumn("heads", F.transform("nodes", lambda x: F.array_position(ids, x["head"]).cast("int")))  # 0: a root
+    s = s.withColumn("heads", _head_places())
     first = F.transform("heads", lambda h: F.when(h > 0, F.array(h)).otherwise(F.array().cast("array<int>")))
     rounds = F.sequence(F.lit(1), F.greatest(F.ceil(F.log2(n + 1)).cast("int"), F.lit(1)))
     above = F.aggregate(rounds, first, lambda acc, _: F.transform(
