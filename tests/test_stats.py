@@ -82,3 +82,20 @@ def test_chart_bins_are_pooled_quantiles(spark):
     assert sum(r.share for r in got) == 805 and len({(r.x_lo, r.x_hi) for r in got}) == 11  # ten bins, and the missing value
     few = reports.bin_chart_data(df.where("v < 10"), "v", "share").collect()
     assert all(r.x_lo == r.x_hi for r in few) and len(few) == 20
+
+
+def test_categories_read_the_queries_frame_once(spark):
+    """Shares, top-k, variety and depth labels are built on one pass over the queries frame, and keep zeros of the grid."""
+    from sqlprism.operators import reports
+    rows = [("a", "S", -1), ("a", "S", -1), ("a", "S-W", -1), ("a", "S", 0), ("b", "S", -1), (None, "S", -1), ("a", None, -1)]
+    feats = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)],
+                                  "datapoint_id long, dataset string, structural_category_name string, current_depth int")
+    shares = stats.structural_categories(feats)
+    got = {(r.dataset, r.category, r.depth): r.pct_queries for r in shares.collect()}
+    assert got == {("a", "S", -1): 200 / 3, ("a", "S-W", -1): 100 / 3, ("a", "S", 0): 100.0, ("a", "S-W", 0): 0.0, ("b", "S", -1): 100.0}
+    top = {(r.dataset, r.category): r.pct_queries for r in stats.structural_categories(feats, k=1).collect()}
+    assert top == {("a", "S"): 200 / 3, ("a", "Other"): 100 / 3, ("b", "S"): 100.0, ("b", "Other"): 0.0}
+    labels = reports.depth_labels(shares)
+    assert {(r.depth, r.depth_label) for r in labels.collect()} == {(-1, "No depth considered"), (0, "Subqueries at depth 0")}
+    for df in (shares, stats.structural_categories(feats, k=1), stats.structural_variety(feats), labels):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
