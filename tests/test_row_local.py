@@ -24,3 +24,14 @@ def test_arrays_and_relation_agree(spark):
     for f in (sqlfeatures.scope_stats, sqllists.variable_rows, sqllists.query_flags, sqllists.normalized_sql):
         own, back = (sorted(map(str, f(t).collect())) for t in (sqltokens.token_arrays(df), sqltokens.token_relation(df)))
         assert own == back and own
+
+
+def test_pairs_meet_without_window_or_sort(spark):
+    from pyspark.sql import functions as F
+
+    from sqlprism.operators import match
+
+    gold = frame(spark, list(enumerate(SQLS)))
+    preds = gold.select("datapoint_id", F.lit("m0").alias("model"), F.col("sql_query").alias("predicted"))
+    plan = match.aligned_scopes(gold, preds)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan and plan.count("Exchange hashpartitioning") == 1, plan
