@@ -35,3 +35,21 @@ def test_pairs_meet_without_window_or_sort(spark):
     preds = gold.select("datapoint_id", F.lit("m0").alias("model"), F.col("sql_query").alias("predicted"))
     plan = match.aligned_scopes(gold, preds)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "Join" not in plan and plan.count("Exchange hashpartitioning") == 1, plan
+
+
+def test_lowered_is_lower(spark):
+    from pyspark.sql import functions as F
+
+    words = ["", "abc", "ABC_1", "größe", "GRÖSSE", "ΣΑΣ", "İ", "@[`{", "Z", "ſK", None]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", F.lower("w").alias("low"), sqltokens.lowered(F.col("w")).alias("own")).collect()
+    assert all(r.low == r.own for r in rows), rows
+
+
+def test_tokens_between_marks(spark):
+    rows = token_rows(spark, "x y select a b , c from t1 a where d in ( select e f from g ) h order by i , j")
+    assert rows[:2] == [("x", 0, None), ("y", 0, None)] and [r for r in rows if r[0] in ("b", "f", "h", "j")] == [
+        ("b", 0, "select"), ("f", 1, "select"), ("h", 0, "where"), ("j", 0, "orderby")]
+
+
+def token_rows(spark, sql):
+    return [(r.tok, r.depth, r.clause) for r in sqltokens.token_relation(frame(spark, [(1, sql)])).orderBy("pos").collect()]
