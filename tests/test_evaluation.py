@@ -4,7 +4,7 @@ import itertools
 
 from pyspark.sql import functions as F
 
-from sqlprism.operators import evaluation, match
+from sqlprism.operators import evaluation, match, sqlfeatures, stats
 from sqlprism.session import stored
 
 GOLD = ["select a from t where b = 1", "select count(*) from t", "select a from", None]
@@ -66,3 +66,28 @@ def test_question_joins_only_where_asked_for(spark, sf_dir):
     dp = corpus.datapoints(spark, sf_dir)
     joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter")
     assert joins(dp.select("datapoint_id", "sql_query")) == 0 and joins(dp.select("datapoint_id", "question")) == 2
+
+
+def test_categories_come_with_the_scores(spark):
+    """Not from a second analysis of every datapoint; a gold text without a prediction is analysed in its row."""
+    names = ["structural_category_name", "operatorTypes_category_name"]
+    golds = [*GOLD, "", "select a from t where b in (select c from u order by c)", "(select a from t) union select b from u"]
+    datapoints = spark.createDataFrame([(i, "d" + str(i % 2), g) for i, g in enumerate(golds * 2)], "datapoint_id long, dataset string, sql_query string")
+    pairs = datapoints.where("datapoint_id not in (4, 10)").select(
+        "datapoint_id", F.explode(F.array(F.lit("m0"), F.lit("m1"))).alias("model"), F.col("sql_query").alias("gold"), F.lit(GOLD[0]).alias("predicted"))
+    sides, scores = match.distinct_pairs(match.partial_match, None, pairs, gold_col="gold", labels=lambda tokens: sqlfeatures.query_categories(tokens, names))
+    plain = match.over_distinct_pairs(match.partial_match, None, pairs, gold_col="gold")
+    assert _rows(sides.join(scores, "_pair").select(plain.columns)) == _rows(plain)
+    columns = ["datapoint_id", "dataset", "current_depth", *names]
+    want = stats.roots(sqlfeatures.feature_rows(datapoints, carry=("dataset",))).select(columns)
+    assert _rows(evaluation.query_categories(datapoints, scores, names).select(columns)) == _rows(want)
+    assert {None, "S-F-W", "S-F"} < {r[3] for r in want.collect()}
+
+
+def test_texts_of_a_datapoint_are_analysed_once(spark):
+    pairs = spark.createDataFrame([(1, m, GOLD[0], p) for m, p in enumerate([GOLD[0], GOLD[0], "select b from t", None])], "datapoint_id long, model string, gold string, predicted string")
+    aligned = match.aligned_scopes(None, pairs, gold_col="gold", pred_col="predicted")
+    plan = aligned._jdf.queryExecution().executedPlan().toString()
+    assert "array_distinct(filter(transform(texts" in plan, plan
+    scores = {r.model: (r.parse_error, r.EM) for r in match.partial_match(None, pairs, gold_col="gold").collect()}
+    assert scores == {"0": (None, 1), "1": (None, 1), "2": (None, 0), "3": (None, 0)}
