@@ -1,9 +1,11 @@
 """Statistics properties (A12-A25) on the stand-in corpus."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
-from sqlprism.operators import stats
+from sqlprism.operators import sqlfeatures, stats
 from sqlprism.plans import corpus
 from sqlprism.session import materialize
 
@@ -99,3 +101,12 @@ def test_categories_read_the_queries_frame_once(spark):
     assert {(r.depth, r.depth_label) for r in labels.collect()} == {(-1, "No depth considered"), (0, "Subqueries at depth 0")}
     for df in (shares, stats.structural_categories(feats, k=1), stats.structural_variety(feats), labels):
         assert df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+
+@pytest.mark.parametrize("count", [stats.operators_num])
+def test_time_to_plan_does_not_double_with_every_operator(spark, sf_dir, monkeypatch, count):
+    feats = corpus.features(spark, sf_dir)
+    monkeypatch.setattr(stats, "OP_COLS", sqlfeatures.OP_COLS[:17])  # 33 columns once never came to an end
+    start = time.time()
+    count(feats)._jdf.queryExecution().optimizedPlan()
+    assert time.time() - start < 6
