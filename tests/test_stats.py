@@ -103,7 +103,7 @@ def test_categories_read_the_queries_frame_once(spark):
         assert df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
 
 
-@pytest.mark.parametrize("count", [stats.operators_num])
+@pytest.mark.parametrize("count", [stats.operators_num, stats.operators_statistics])
 def test_time_to_plan_does_not_double_with_every_operator(spark, sf_dir, monkeypatch, count):
     feats = corpus.features(spark, sf_dir)
     monkeypatch.setattr(stats, "OP_COLS", sqlfeatures.OP_COLS[:17])  # 33 columns once never came to an end
