@@ -168,3 +168,20 @@ def test_best_of_alternatives(spark):
     p = spark.createDataFrame([(0, "m0", "select b from t"), (0, "m1", "select c from t"), (1, "m0", "select a from t"), (2, "m0", "select (")], "datapoint_id long, model string, predicted string")
     got = {(r.datapoint_id, r.model): r for r in match.best_of_alternatives(golds, p).collect()}
     assert got[0, "m0"].EM == 1 and got[0, "m0"].golds == 2 and got[0, "m1"].EM == 0 and 0 < got[0, "m1"].PM < 1 and got[2, "m0"].PM == 0
+
+
+def test_levels_and_questions_are_not_broadcast(spark, sf_dir):
+    """However small the files look that they come from: a row per datapoint doesn't fit the driver."""
+    from sqlprism.plans.catalog import QUERIES
+
+    for name in ("component_accuracy",):
+        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        joins = [line for line in plan.split("\n") if "BroadcastHashJoin" in line]
+        assert not [line for line in joins if "[datapoint_id#" in line or "[text_id#" in line], name
+
+
+def test_component_accuracy_keeps_datapoints_without_a_level(spark):
+    g, p = _sides(spark, GOLD_SQL, PRED_SQL)
+    levels = spark.createDataFrame([(0, "hard"), (1, "easy")], "datapoint_id long, hardness string")
+    rows = match.component_accuracy(g, p, levels).where("family = 'SM' and component = 'select' and model = 'm0'").collect()
+    assert {(r.hardness, r.pairs) for r in rows} == {("hard", 1), ("easy", 1), (None, 1), ("all", 3)} and all(r.acc == r.rec == 1 for r in rows)
