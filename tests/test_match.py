@@ -174,7 +174,7 @@ def test_levels_and_questions_are_not_broadcast(spark, sf_dir):
     """However small the files look that they come from: a row per datapoint doesn't fit the driver."""
     from sqlprism.plans.catalog import QUERIES
 
-    for name in ("component_accuracy", "partial_scores"):
+    for name in ("component_accuracy", "partial_scores", "question_rows"):
         plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         joins = [line for line in plan.split("\n") if "BroadcastHashJoin" in line]
         assert not [line for line in joins if "[datapoint_id#" in line or "[text_id#" in line], name
