@@ -1,6 +1,7 @@
 """Hand-written SQL cases with expected counts (Q1-Q33), including the reference defects we fix."""
 
 from conftest import frame
+from pyspark.sql import functions as F
 
 from sqlprism.operators import sqlfeatures, sqltokens
 
@@ -84,3 +85,18 @@ def test_parse_errors_only_for_invalid(spark):
     t = sqltokens.token_relation(df)
     errs = {r.datapoint_id: r.parse_error for r in sqltokens.parse_errors(df, t).collect()}
     assert errs == {1: None, 2: "unbalanced quotes", 3: "no select", 4: "no select"}
+
+
+def test_first_condition_that_holds(spark):
+    from sqlprism.functions.columns import cases
+
+    x = F.col("id")
+    rows = spark.range(4).select(cases((x == 0, "a"), (x <= 1, "b"), (F.lit(None).cast("boolean"), "c"), (x == 3, F.lit("d")), otherwise="e").alias("v"), cases((x == 0, "a")).alias("w")).collect()
+    assert [tuple(r) for r in rows] == [("a", "a"), ("b", None), ("e", None), ("d", None)]
+
+
+def test_token_conditions_are_no_long_cases(spark):
+    """A CASE of many branches is searched from the head of a list for each of them, once a token."""
+    df = spark.createDataFrame([("select a from t",)], "q string")
+    plan = df.select(sqltokens.token_array("q").alias("t"))._jdf.queryExecution().analyzed().toString()
+    assert max(case.split(" END")[0].count(" WHEN ") for case in plan.split("CASE")[1:]) < 4
